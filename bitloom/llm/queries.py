@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .decontamination import op2_decontamination
+from .simhash import op4_simhash
 
-QUERIES = {"op2_decontamination": op2_decontamination}
+QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op4_simhash": op4_simhash,
+}
 
 ORACLES: dict[str, str] = {}
