@@ -254,9 +254,13 @@ def _group(key, table):
     return pa.table({"a": edges[:, 0].copy().view(np.int64), "b": edges[:, 1].copy().view(np.int64)})
 
 
-def fingerprint_links(nodes: DataFrame, *, shard_size: int = 32768, sample: int = 4096) -> DataFrame:
-    """Edges (a, b) spanning all links between the distinct values of column ``fp``."""
+def fingerprint_links(nodes: DataFrame, *, shard_size: int | None = None, sample: int = 4096) -> DataFrame:
+    """Edges (a, b) spanning all links between the distinct values of column ``fp``.
+
+    Unless given, shards hold a 256th of the fingerprints, between 4,096 and 262,144.
+    """
     n = nodes.count()
+    shard_size = shard_size or max(4096, min(262144, n // 256))
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_size))))
     trees: list = [0, 0]
     if depth:
@@ -294,7 +298,7 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_size: int = 32768) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_size: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach).
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows with a null id are
