@@ -168,7 +168,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     chosen = chosen.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     # the sample has max_labelled rows of two numbers at most, so it may be broadcast
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = add_statistics(slim).select("id", "label", *FEATURES).collect()
+    rows = add_statistics(slim).select("id", "label", "n_words", *FEATURES).collect()
     seen: dict[int, tuple[dict, int]] = {}
     for r in sorted(rows, key=lambda r: (r.id, r.n_words)):
         seen.setdefault(r.id, ({f: float(r[f]) for f in FEATURES}, int(r.label == 0)))
