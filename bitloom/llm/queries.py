@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontamination import op2_decontamination
+from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op4_simhash
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
