@@ -7,12 +7,14 @@ from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op4_simhash
+from .token_files import op7_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op7_token_files": op7_token_files,
     "op10_secret_scan": op10_secret_scan,
 }
 
