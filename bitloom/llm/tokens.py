@@ -15,8 +15,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KNOWN_LIMIT = 300_000
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -24,8 +22,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Chunks remembered per process; beyond it the older half is forgotten (a cache, not a cap).
+KNOWN_LIMIT = 1_000_000
+
+
 class ChunkTokenizer:
-    """Encodes string arrays; remembers up to ``KNOWN_LIMIT`` chunks (a cache, not a cap)."""
+    """Encodes string arrays; remembers the ids of chunks it has seen."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,56 +38,66 @@ class ChunkTokenizer:
         split = [s for s in spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if s["type"] == "Split"]
         if not any(s["behavior"] == "Removed" and s["invert"] for s in split):
             raise ValueError(f"{path}: white space is part of tokens, so texts can't be encoded by chunks")
-        special = [t for t in spec["added_tokens"] if t["special"] and not t["normalized"]]
-        self.marks = [t["content"] for t in special]
-        self.cut = self.marks[-1] if self.marks else None
-        self.cut_id = special[-1]["id"] if special else -1
-        self._clear()
-
-    def _clear(self) -> None:
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        normal = spec["normalizer"].get("normalizers", [spec["normalizer"]]) if spec["normalizer"] else []
+        self.lowers = any(n["type"] == "Lowercase" for n in normal)
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.words = pa.array([], pa.string())
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
+    def _encode_lists(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: pa.Array) -> None:
+        """Add new chunks. Chunks of letters are one word each, so many are encoded as one text and cut at word ends."""
+        letters = pc.match_substring_regex(words, r"^\pL+$").to_numpy(zero_copy_only=False)
         listed = words.to_pylist()
-        parts: list[np.ndarray] = []
+        plain = np.flatnonzero(letters).tolist()
         sizes = np.zeros(len(listed), np.int64)
-        odd = [i for i, w in enumerate(listed) if self.cut is None or any(m in w for m in self.marks)]
-        special = {i: np.array(e.ids, np.uint32) for i, e in zip(odd, self.library.encode_batch([listed[i] for i in odd], add_special_tokens=False), strict=True)} if odd else {}
-        plain = [w if i not in special else "" for i, w in enumerate(listed)]
-        # chunks are joined by a special token, which cuts the text before anything else happens
-        for lo in range(0, len(plain), 256):
-            some = plain[lo : lo + 256]
-            if self.cut is None:
-                got = np.zeros(len(some), np.uint32)
-                cut = np.arange(len(some))
-            else:
-                got = np.array(self.library.encode(self.cut.join(some) + self.cut, add_special_tokens=False).ids, np.uint32)
-                cut = np.flatnonzero(got == self.cut_id)
-            sizes[lo : lo + len(some)] = np.diff(cut, prepend=-1) - 1
-            if not special:
-                parts.append(np.delete(got, cut))
+        runs: list[tuple[list[int], np.ndarray]] = []
+        odd = np.flatnonzero(~letters).tolist()
+        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        for group, ids in zip(groups, self._encode_lists([" ".join(listed[i] for i in g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != len(group):  # some letter is taken apart by normalisation
+                odd += group
                 continue
-            for j, (a, b) in enumerate(zip(np.concatenate(([0], cut[:-1] + 1)), cut, strict=True)):
-                own = special.get(lo + j, got[a:b])
-                sizes[lo + j] = len(own)
-                parts.append(own)
-        self.words = pa.concat_arrays([self.words, words])
-        self.ids = np.concatenate([self.ids, *parts])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+            sizes[group] = np.diff(ends, prepend=-1)
+            runs.append((group, ids))
+        for i, ids in zip(odd, self._encode_lists([listed[i] for i in odd]), strict=True):
+            sizes[i] = len(ids)
+            runs.append(([i], ids))
+        order = np.array([i for g, _ in runs for i in g], np.int64)
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
+        self.ids = np.concatenate([self.ids, *(ids for _, ids in runs)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes[order])])
+
+    def _forget(self) -> None:
+        k = max(0, len(self.words) - KNOWN_LIMIT // 2)
+        self.words = pa.concat_arrays([self.words.slice(k)])
+        self.ids = self.ids[self.at[k] :].copy()
+        self.at = self.at[k:] - self.at[k]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids and the n + 1 offsets of each text (null: empty)."""
+        texts = texts.cast(pa.string())
         if texts.null_count:
             texts = pc.fill_null(texts, "")
-        chunks = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        if self.lowers and not any(pc.any(pc.match_substring(texts, t)).as_py() or pc.any(pc.match_substring(texts, t, ignore_case=True)).as_py() for t in self.special):
+            # ASCII case is folded anyway, and a full stop or comma after a letter is a word of its own
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([.,])", "\\1 \\2")
+        chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.flatten().dictionary_encode()
         where = pc.index_in(coded.dictionary, value_set=self.words)
         if where.null_count:
             if len(self.words) + where.null_count > KNOWN_LIMIT:
-                self._clear()
-                where = pa.nulls(len(coded.dictionary), pa.int32())
+                self._forget()
+                where = pc.index_in(coded.dictionary, value_set=self.words)
             self._learn(coded.dictionary.filter(pc.is_null(where)))
             where = pc.index_in(coded.dictionary, value_set=self.words)
         entry = where.to_numpy()[coded.indices.to_numpy()]
