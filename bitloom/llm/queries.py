@@ -8,6 +8,7 @@ from .quality_rules import op3_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op4_simhash
 from .token_files import op7_token_files
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -15,7 +16,8 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op7_token_files": op7_token_files,
+    "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
