@@ -8,6 +8,7 @@ from .quality_rules import op3_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op4_simhash
 from .token_files import op7_token_files
+from .toxicity import op6_toxicity
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
