@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op2_decontamination
+from .html_extraction import op5_html_extraction
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .secret_scan import op10_secret_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op9_warc": op9_warc,
