@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op2_decontamination
 from .html_extraction import op5_html_extraction
 from .packing import op1_packing
+from .pii import op8_pii
 from .quality_rules import op3_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op4_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
+    "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
