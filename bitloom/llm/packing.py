@@ -34,7 +34,7 @@ def _cut(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokens.for_chunks(path)
         for whole in batches:
-            for batch in pieces(whole, "text", 8 << 20):
+            for batch in pieces(whole, "text", 12 << 20):
                 ids, off = tokens.with_end(*tokenizer.encode(batch.column(1)), end_id)
                 n = np.diff(off)
                 count = -(-n // size)

@@ -23,14 +23,8 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = np.zeros((blocks, BLOCK), np.uint64)
-    rows.reshape(-1)[:n] = v
     bits = np.zeros((blocks, BLOCK), np.int8)
-    for b in range(64):
-        above = rows >> np.uint64(b)
-        if not above.any():
-            break
-        bits += above != 0
+    bits.reshape(-1)[:n] = _bit_lengths(v)
     # most values of a word from each position on; past a block's end nothing needs to fit, as the
     # number of values is known, so the last word of a block may hold fewer than it has room for
     choice = np.where(bits <= 60, 14, 0).astype(np.uint8)
@@ -39,10 +33,13 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for c in range(2, 61):
         np.maximum(widest[:, : BLOCK - c + 1], bits[:, c - 1 :], out=widest[:, : BLOCK - c + 1])
         if c in by_count:
+            if int(widest.min()) > WIDTHS[by_count[c]]:
+                break
             choice[widest <= WIDTHS[by_count[c]]] = by_count[c]
-    run = widest.copy()
-    np.maximum(run[:, :-60], widest[:, 60:], out=run[:, :-60])
-    choice[run == 0] = 15
+    if not widest.all():
+        run = widest.copy()
+        np.maximum(run[:, :-60], widest[:, 60:], out=run[:, :-60])
+        choice[run == 0] = 15
     choice = choice.reshape(-1)[:n]
     left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
     take = np.minimum(left, COUNTS[choice])
@@ -82,6 +79,19 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, place[np.searchsorted(owner, np.arange(blocks))]
 
 
+_SMALL = np.array([i.bit_length() for i in range(65536)], np.int8)
+
+
+def _bit_lengths(v: np.ndarray) -> np.ndarray:
+    if int(v.max()) < 65536:
+        return _SMALL[v.astype(np.uint16)]
+    bits = np.zeros(len(v), np.int8)
+    for shift in (0, 16, 32, 48):
+        part = _SMALL[((v >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)]
+        np.copyto(bits, part + np.int8(shift), where=part > 0)
+    return bits
+
+
 def decode(words: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values of whole blocks that follow each other; inverse of :func:`encode`."""
     out = np.zeros(n, np.uint64)

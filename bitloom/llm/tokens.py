@@ -53,8 +53,8 @@ class ChunkTokenizer:
     def _encode_lists(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: pa.Array) -> None:
-        """Add new chunks. Chunks of letters are one word each, so many are encoded as one text and cut at word ends."""
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Add new chunks. Chunks of letters are one word each, so many are encoded as one text and cut at word ends. Returns the order in which they were added."""
         letters = pc.match_substring_regex(words, r"^\pL+$").to_numpy(zero_copy_only=False)
         listed = words.to_pylist()
         plain = np.flatnonzero(letters).tolist()
@@ -76,6 +76,7 @@ class ChunkTokenizer:
         self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
         self.ids = np.concatenate([self.ids, *(ids for _, ids in runs)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes[order])])
+        return order
 
     def _forget(self) -> None:
         k = max(0, len(self.words) - KNOWN_LIMIT // 2)
@@ -88,19 +89,22 @@ class ChunkTokenizer:
         texts = texts.cast(pa.string())
         if texts.null_count:
             texts = pc.fill_null(texts, "")
-        if self.lowers and not any(pc.any(pc.match_substring(texts, t)).as_py() or pc.any(pc.match_substring(texts, t, ignore_case=True)).as_py() for t in self.special):
+        if self.lowers and not any(pc.any(pc.match_substring(texts, t, ignore_case=True)).as_py() for t in self.special):
             # ASCII case is folded anyway, and a full stop or comma after a letter is a word of its own
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([.,])", "\\1 \\2")
         chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.flatten().dictionary_encode()
         where = pc.index_in(coded.dictionary, value_set=self.words)
-        if where.null_count:
-            if len(self.words) + where.null_count > KNOWN_LIMIT:
-                self._forget()
-                where = pc.index_in(coded.dictionary, value_set=self.words)
-            self._learn(coded.dictionary.filter(pc.is_null(where)))
+        if where.null_count and len(self.words) + where.null_count > KNOWN_LIMIT:
+            self._forget()
             where = pc.index_in(coded.dictionary, value_set=self.words)
-        entry = where.to_numpy()[coded.indices.to_numpy()]
+        place = pc.fill_null(where, -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            known = len(self.words)
+            order = self._learn(coded.dictionary.take(pa.array(new)))
+            place[new[order]] = known + np.arange(len(new))
+        entry = place[coded.indices.to_numpy()]
         size = self.at[entry + 1] - self.at[entry]
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
