@@ -49,7 +49,9 @@ def add_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn("__repeats", F.when(size > 0, F.sort_array(starts)))
     gaps = F.transform("__repeats", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("__repeats", k + 1), p + 5) - p))
     repeat_words = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
-    d = d.withColumn("n_repeat_words", F.coalesce(repeat_words, F.lit(0)).cast("long"))
+    # The condition always holds. Being non-deterministic it keeps filters on the results above this
+    # projection; pushed below, they would repeat the array columns inside the lambdas of others.
+    d = d.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, F.coalesce(repeat_words, F.lit(0)).cast("long")))
     d = d.withColumn("__lines", F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^ \t-\r]")))
     d = d.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     d = d.withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
