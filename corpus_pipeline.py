@@ -1,20 +1,72 @@
-"""The corpus pipeline: an ordered list of stages over the documents table."""
+"""The corpus pipeline: five stages over the documents table.
+
+Every stage but the last returns the columns of ``documents``; each result is written as Parquet in
+the shared folder and read as the next stage's input. Decisions take effect: rejected documents
+go, one document of each near-duplicate group stays, contaminated documents go, secrets are
+masked in the text, and what is left is packed into sequences.
+
+Nulls, empty texts and repeated rows are treated as the operators state. Of repeated rows with one
+doc_id one stays after the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitloom.llm.common import materialize
+from bitloom.llm.decontamination import decontaminate
+from bitloom.llm.packing import pack_documents
+from bitloom.llm.quality_rules import apply_rules, fit_rules
+from bitloom.llm.secret_scan import scan_secrets
+from bitloom.llm.simhash import near_duplicates
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the base checks and the learned decision list don't reject."""
+    rules = fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return apply_rules(docs, rules).where("kept").select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each group of linked fingerprints."""
+    groups = near_duplicates(docs)
+    keep = materialize(groups.where("doc_id <=> component_id").select("doc_id").distinct(), "kept-ids")
+    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in the text; n_chars follows the new text."""
+    masked = scan_secrets(docs, redact_text=True)
+    return masked.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the ids of what is left into sequences of at most 2048 tokens."""
+    return pack_documents(docs)
+
 
-STAGES = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
 
-#: The stages learn from data and pack greedily, which SQL can't state; tests hold them against brute force.
+#: The stages learn from data, follow links and pack greedily, which SQL can't state; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and read again."""
+    """Apply the stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
