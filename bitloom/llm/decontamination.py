@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import LOWER, find_words, flat_text, pieces, word_hashes
+from .common import LOWER, find_words, flat_text, pieces, tidy, word_hashes
 
 #: Word bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 IS_WORD = np.zeros(256, bool)
@@ -214,7 +214,7 @@ def _scan(text_col: str, box, first: bool, last: bool):
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *(x for x, _ in RESULT)])
 
-    return run
+    return tidy(run)
 
 
 RESULT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items", T.StringType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]

@@ -25,7 +25,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, pieces
+from .common import materialize, pieces, tidy
 
 #: Tag roles of HTML.
 CONTAINERS = frozenset("html body div article main section td th tr table tbody center figure header footer nav aside form ul ol dl blockquote fieldset details".split())
@@ -217,7 +217,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path) of the winning path of each host; equal votes go to the path that sorts last."""
     slim = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string"))
-    summed = slim.mapInArrow(_vote, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    summed = slim.mapInArrow(tidy(_vote), "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
     return summed.groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("path"))
 
 
@@ -230,7 +230,7 @@ def _extract(box):
                 text = [extract(s, p) if s else "" for s, p in zip(batch.column(2).to_pylist(), paths, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return run
+    return tidy(run)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 200_000) -> DataFrame:

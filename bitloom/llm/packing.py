@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens
-from .common import materialize, pieces
+from .common import materialize, pieces, tidy
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -34,7 +34,7 @@ def _cut(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokens.for_chunks(path)
         for whole in batches:
-            for batch in pieces(whole, "text", 12 << 20):
+            for batch in pieces(whole, "text", 4 << 20):
                 ids, off = tokens.with_end(*tokenizer.encode(batch.column(1)), end_id)
                 n = np.diff(off)
                 count = -(-n // size)
@@ -47,7 +47,7 @@ def _cut(path: str, size: int, end_id: int):
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return tidy(run)
 
 
 def token_pieces(docs: DataFrame, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import pieces
+from .common import pieces, tidy
 
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 ROUNDS = 10
@@ -298,7 +298,7 @@ def _run(text_col: str, key: bytes):
                 columns.append(pa.array([",".join(f"{k}:{a}:{b}" for k, a, b, _ in f) for f in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *COUNTS, "spans"])
 
-    return run
+    return tidy(run)
 
 
 def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:

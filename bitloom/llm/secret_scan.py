@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import pieces
+from .common import pieces, tidy
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -195,7 +195,7 @@ def _scan(text_col: str, redacting: bool):
                 columns += [pa.array([hashlib.sha256(_listed(b).encode()).hexdigest() for b in base]), pa.array([_listed(e) for e in every])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(n for n, _ in RESULT)])
 
-    return run
+    return tidy(run)
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", redact_text: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import flat_text, materialize, pieces
+from .common import flat_text, materialize, pieces, tidy
 
 SEED, WORDS, RADIUS = 42, 4, 4
 #: Bit b of a byte value, spread to byte lane b of a 64-bit word.
@@ -88,7 +88,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_fingerprint, "doc_id long, fp long")
+    return slim.mapInArrow(tidy(_fingerprint), "doc_id long, fp long")
 
 
 # --- vantage-point trees -------------------------------------------------------------------
@@ -169,7 +169,7 @@ def _router(trees: list, reach: int):
                     names = ["shard", "fp", "home"]
                     yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32) * 2 + half), pa.array(fp[row].view(np.int64)), pa.array(home)], names=names)
 
-    return run
+    return tidy(run)
 
 
 class _Forest:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import simple8b, tokens
-from .common import fresh_path, materialize, pieces
+from .common import fresh_path, materialize, pieces, tidy
 
 MAGIC = b"BLS8IDS\x01"
 TAIL = struct.Struct("<QQQI8s")
@@ -145,7 +145,7 @@ def _write(path: str, uri: str, end_id: int, max_ids: int):
                 writer = None
 
         for whole in batches:
-            for batch in pieces(whole, "text", 12 << 20):
+            for batch in pieces(whole, "text", 4 << 20):
                 if writer is None:
                     filesystem.create_dir(folder, recursive=True)
                     writer = Writer(filesystem, f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(rows):04d}.bls8")
@@ -157,7 +157,7 @@ def _write(path: str, uri: str, end_id: int, max_ids: int):
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "seq", "path", "n_docs", "n_ids"]).cast(pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return run
+    return tidy(run)
 
 
 def write_token_files(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, max_ids: int = 1 << 25, tokenizer_path: str | None = None) -> DataFrame:
@@ -187,7 +187,7 @@ def _read(uri: str):
                     s = slice(a, a + 8192)
                     yield pa.RecordBatch.from_arrays([ids.slice(a, 8192), pa.array(start[s]), pa.array(n[s]), pa.array(crc[s])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return run
+    return tidy(run)
 
 
 def read_token_files(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import AT_TASK_END
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -23,7 +25,7 @@ def default_path() -> str:
 
 
 #: Chunks remembered per process; beyond it the older half is forgotten (a cache, not a cap).
-KNOWN_LIMIT = 1_000_000
+KNOWN_LIMIT = 300000
 
 
 class ChunkTokenizer:
@@ -114,10 +116,11 @@ class ChunkTokenizer:
 
 
 _OPEN: dict[str, ChunkTokenizer] = {}
+AT_TASK_END.append(_OPEN.clear)
 
 
 def for_chunks(path: str) -> ChunkTokenizer:
-    """One tokenizer per process and file."""
+    """One tokenizer per task and file."""
     if path not in _OPEN:
         _OPEN[path] = ChunkTokenizer(path)
     return _OPEN[path]

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import pieces
+from .common import pieces, tidy
 
 DECAY, MAX_SPAN = 0.6, 7
 #: Letters and digits known to the kernel; 0 stands for all else, which matches nothing and has no weight.
@@ -320,7 +320,7 @@ def _score(text_col: str, box, threshold: float):
                 columns = [*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score", "predicted"])
 
-    return run
+    return tidy(run)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, materialize, tidy
 
 MANIFEST = "path string, records long, bytes long"
 RECORD = "path string, at long, size long, kind string, reason string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"
@@ -98,7 +98,7 @@ def _write(uri: str, date: str, level: int, max_bytes: int):
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["path", "records", "bytes"])
 
-    return run
+    return tidy(run)
 
 
 def write_archives(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 100, date: str = "1970-01-01T00:00:00Z", level: int = 6, max_bytes: int = 1 << 28) -> DataFrame:
@@ -269,7 +269,7 @@ def _read(uri: str):
                 if rows:
                     yield flush()
 
-    return run
+    return tidy(run)
 
 
 def read_archives(spark: SparkSession, uri: str, paths: DataFrame) -> DataFrame:
