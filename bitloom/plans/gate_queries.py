@@ -169,13 +169,18 @@ BILINGUAL_IDENTITY_SQL = f"WITH {BILINGUAL_CTE}, k AS (SELECT doc_id, count(*) A
 
 
 def bilingual_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each bilingual file against its sources; every third conversation's was made from an older target."""
+    """Each bilingual file against its sources; those with ids of even length were made from another text."""
     d = alignment.equal_lines(gate.as_lines(I.pairs(spark, sf_dir)))
-    stale = F.crc32(F.col("doc_id").cast("binary")) % 3 == 0
+    stale = F.length("doc_id") % 2 == 0
     kept = alignment.bilingual_lines(d).withColumn("lines", F.when(stale, F.transform("lines", lambda x: F.regexp_replace(x, "e", "E"))).otherwise(F.col("lines")))
     return alignment.freshness(kept).select("doc_id", "status", F.col("differences").cast("long"))
 
 
+BILINGUAL_FRESHNESS_SQL = f"""WITH {BILINGUAL_CTE}, k AS (SELECT doc_id, count(*) FILTER (contains(text, 'e')) AS n FROM rows_ GROUP BY doc_id), r AS (
+  SELECT doc_id, CASE WHEN length(doc_id) % 2 = 0 THEN coalesce(n, 0) ELSE 0 END AS differences FROM ok LEFT JOIN k USING (doc_id))
+SELECT doc_id, CASE WHEN differences = 0 THEN 'PASS' ELSE 'FAIL' END AS status, differences FROM r"""
+
+
 def freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.freeze_target(gate.as_lines(I.pairs(spark, sf_dir))).select("doc_id", "accepted", "reason")
 
@@ -192,5 +197,5 @@ QUERIES = {
 }
 SQL = {
     "document_lines": DOCUMENT_LINES_SQL, "structure_gate": STRUCTURE_SQL, "gate_report": GATE_REPORT_SQL, "pair_gate": PAIR_GATE_SQL, "mismatched_headings": MISMATCHED_HEADINGS_SQL,
-    "bilingual": BILINGUAL_SQL, "bilingual_split": BILINGUAL_SPLIT_SQL, "bilingual_identity": BILINGUAL_IDENTITY_SQL, "freeze_target": FREEZE_SQL,
+    "bilingual": BILINGUAL_SQL, "bilingual_split": BILINGUAL_SPLIT_SQL, "bilingual_identity": BILINGUAL_IDENTITY_SQL, "bilingual_freshness": BILINGUAL_FRESHNESS_SQL, "freeze_target": FREEZE_SQL,
 }
