@@ -41,20 +41,22 @@ def split_bilingual(docs: DataFrame) -> DataFrame:
     Non-blank runs must have two lines each; the first blank after a pair separates, further
     blanks are lines of both sides. A run of another length is an error.
     """
-    start = F.struct(F.lit(0).alias("state"), F.lit("").alias("held"), F.array().cast("array<struct<s:string,t:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        blank, state = is_blank(x), a["state"]
-        empty = F.struct(F.lit("").alias("s"), F.lit("").alias("t"))
-        bad = F.raise_error(F.concat(F.lit("not a pair of lines: "), x)).cast("int")
-        # 0: between pairs, 1: source read, 2: pair read
-        next_ = F.when(blank, F.when(state == 1, bad).otherwise(0)).otherwise(F.when(state == 0, 1).when(state == 1, 2).otherwise(bad))
-        pair = F.array(F.struct(a["held"].alias("s"), x.alias("t")))
-        out = F.when(blank & (state == 0), F.concat(a["out"], F.array(empty))).when(~blank & (state == 1), F.concat(a["out"], pair)).otherwise(a["out"])
-        return F.struct(next_.alias("state"), F.when(~blank & (state == 0), x).otherwise(F.lit("")).alias("held"), out.alias("out"))
-
-    folded = docs.select("doc_id", F.aggregate("lines", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("doc_id", F.transform("out", lambda p: p["s"]).alias("src"), F.transform("out", lambda p: p["t"]).alias("tgt"))
+    # a line's role follows from its neighbours, so this is one linear pass without a growing state
+    def role(x: Column, i: Column) -> Column:
+        nb = lambda k: ~F.coalesce(is_blank(F.get("lines", i + k)), F.lit(True))  # noqa: E731  a non-blank neighbour
+        before, before2, after, after2 = F.when(i > 0, nb(-1)).otherwise(False), F.when(i > 1, nb(-2)).otherwise(False), nb(1), nb(2)
+        bad = F.raise_error(F.concat(F.lit("not a pair of lines: "), x)).cast("struct<s:string,t:string>")
+        pair = lambda s, t: F.struct(s.alias("s"), t.alias("t"))
+        nothing = F.lit(None).cast("struct<s:string,t:string>")
+        empty = pair(F.lit(""), F.lit(""))
+        return (
+            F.when(is_blank(x), F.when(before, nothing).otherwise(empty))
+            .when(~before, F.when(after & ~after2, pair(x, F.get("lines", i + 1))).otherwise(bad))
+            .otherwise(F.when(before2, bad).otherwise(nothing))
+        )
+
+    out = docs.select("doc_id", F.filter(F.transform("lines", role), lambda p: p.isNotNull()).alias("out"))
+    return out.select("doc_id", F.transform("out", lambda p: p["s"]).alias("src"), F.transform("out", lambda p: p["t"]).alias("tgt"))
 
 
 def freshness(docs: DataFrame) -> DataFrame:

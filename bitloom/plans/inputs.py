@@ -6,7 +6,7 @@ they occur: ``marked`` puts marks into every line of every document by a fixed r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import split_lines
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_ms(column: str) -> Column:
+    """Milliseconds since 1970 of a time without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+
+
 def sql_lines(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(regexp_replace({text}, '({SQL_END})$', ''), '{SQL_END}') END"
 
@@ -78,9 +83,7 @@ GLOSSARY_SQL = "glossary AS (SELECT p_partkey AS row_id, p_name AS zh, p_type AS
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, cue, start_ms, end_ms, text: a user's events are the cues of a track, at most nine seconds each."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros("ts") / 1000).cast("long").alias("ms"), "event_type")
-    from pyspark.sql import Window
-
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", epoch_ms("ts").alias("ms"), "event_type")
     w = Window.partitionBy("user_id").orderBy("ms", "event_id")
     begin = F.first("ms").over(w)
     d = e.select("user_id", F.row_number().over(w).alias("cue"), (F.col("ms") - begin).alias("start_ms"), F.lead("ms").over(w).alias("next"), begin.alias("b"), "event_type", "event_id")
