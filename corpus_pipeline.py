@@ -28,11 +28,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of linked fingerprints."""
+    """Keep the document with the least doc_id of each group of linked fingerprints.
+
+    Texts are shuffled once: the semi-join and the removal of repeated rows share the partitioning
+    by doc_id. Rows without a doc_id can't be told apart by it; of those with one text one stays.
+    """
     groups = near_duplicates(docs)
-    keep = materialize(groups.where("doc_id <=> component_id").select("doc_id").distinct(), "kept-ids")
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keep = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
+    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
