@@ -127,14 +127,10 @@ def sentences(text: Column | str, least: int = 20) -> Column:
 def word_differences(a: Column | str, b: Column | str) -> Column:
     """Positions where two texts' words differ, as structs (i, a, b); a missing word is null."""
     pairs = F.arrays_zip(F.split(squeeze(a), " ").alias("a"), F.split(squeeze(b), " ").alias("b"))
-    numbered = F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p[pairs_field(0)].alias("a"), p[pairs_field(1)].alias("b")))
+    numbered = F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p["a"].alias("a"), p["b"].alias("b")))
     return F.filter(numbered, lambda p: ~p["a"].eqNullSafe(p["b"]))
 
 
-def pairs_field(i: int) -> str:
-    return str(i)
-
-
 def sha256_hex(text: Column | str) -> Column:
     return F.sha2(F.encode(as_column(text), "utf-8"), 256)
 

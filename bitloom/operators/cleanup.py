@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 
-_DOC = Window.partitionBy("doc_id").orderBy("line_no")
-_RUNNING = _DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+def _doc():
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def _running():
+    return _doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -38,7 +43,7 @@ def join_body(lines: DataFrame, body: str = X.CJK_WIDE, glue: str = "") -> DataF
     d = lines.withColumn("s", s)
     breaks = X.is_blank("s") | X.is_section_header("s") | X.is_outline_toc("s")
     d = d.withColumn("breaks", breaks).where(F.col("breaks") | ~X.is_page_number("s"))
-    d = d.withColumn("island", F.sum(F.col("breaks").cast("int")).over(_RUNNING))
+    d = d.withColumn("island", F.sum(F.col("breaks").cast("int")).over(_running()))
     opens = F.min(F.when(~F.col("breaks") & F.col("s").rlike(body), F.col("line_no"))).over(Window.partitionBy("doc_id", "island"))
     inside = ~F.col("breaks") & F.coalesce(F.col("line_no") >= opens, F.lit(False))
     d = d.withColumn("start", F.when(inside, opens).otherwise(F.col("line_no")))
@@ -50,7 +55,7 @@ def collapse_blanks(lines: DataFrame) -> DataFrame:
     """Of consecutive blank lines the first stays; blank lines at the end go."""
     blank = X.is_blank("text")
     last = F.max(F.when(~blank, F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    d = lines.withColumn("again", blank & F.coalesce(F.lag(blank).over(_DOC), F.lit(False))).withColumn("last", last)
+    d = lines.withColumn("again", blank & F.coalesce(F.lag(blank).over(_doc()), F.lit(False))).withColumn("last", last)
     return d.where(~F.col("again") & (F.col("line_no") <= F.col("last"))).select("doc_id", "line_no", "text")
 
 
@@ -59,9 +64,9 @@ def dehyphenate(lines: DataFrame, chains: bool = True) -> DataFrame:
 
     With ``chains`` a joined line may go on; without, a line takes one next line at most.
     """
-    joins = F.col("text").rlike("-\\z") & F.coalesce(F.lead("text").over(_DOC).rlike("\\A\\p{Ll}"), F.lit(False))
+    joins = F.col("text").rlike("-\\z") & F.coalesce(F.lead("text").over(_doc()).rlike("\\A\\p{Ll}"), F.lit(False))
     d = lines.withColumn("joins", joins)
-    d = d.withColumn("first", (~F.coalesce(F.lag("joins").over(_DOC), F.lit(False))).cast("int")).withColumn("island", F.sum("first").over(_RUNNING))
+    d = d.withColumn("first", (~F.coalesce(F.lag("joins").over(_doc()), F.lit(False))).cast("int")).withColumn("island", F.sum("first").over(_running()))
     if not chains:
         k = F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("line_no"))
         d = d.withColumn("half", F.floor((k - 1) / 2))
@@ -108,9 +113,9 @@ def paragraphs_by_style(lines: DataFrame, gap: float = 1.6) -> DataFrame:
     A line starts a paragraph when it is a bullet, its font or size changes, or the step down is over
     ``gap`` times its size. A paragraph has the style of its first line.
     """
-    lag = lambda c: F.lag(c).over(_DOC)
+    lag = lambda c: F.lag(c).over(_doc())
     starts = lag("line_no").isNull() | F.col("is_bullet") | (F.col("font") != lag("font")) | (F.abs(F.col("size") - lag("size")) > 0.5) | (F.col("y") - lag("y") > gap * F.col("size")) | (F.col("y") < lag("y"))
-    d = lines.withColumn("starts", starts.cast("int")).withColumn("paragraph", F.sum("starts").over(_RUNNING))
+    d = lines.withColumn("starts", starts.cast("int")).withColumn("paragraph", F.sum("starts").over(_running()))
     sorted_ = F.array_sort(F.collect_list(F.struct("line_no", "text", "font", "size")))
     return d.groupBy("doc_id", "paragraph").agg(sorted_.alias("l")).select("doc_id", "paragraph", F.concat_ws("/", F.col("l")[0]["font"], F.col("l")[0]["size"].cast("string")).alias("style"), F.array_join(F.transform("l", lambda x: X.strip(x["text"])), " ").alias("text"))
 
