@@ -145,7 +145,7 @@ def _write(path: str, uri: str, end_id: int, max_ids: int):
                 writer = None
 
         for whole in batches:
-            for batch in pieces(whole, "text", 4 << 20):
+            for batch in pieces(whole, "text", min(4 << 20, 4 * max_ids)):
                 if writer is None:
                     filesystem.create_dir(folder, recursive=True)
                     writer = Writer(filesystem, f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(rows):04d}.bls8")

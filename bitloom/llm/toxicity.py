@@ -1,10 +1,11 @@
 """Toxicity scores from a subsequence string kernel, an SVM and Nystroem landmarks.
 
 The unit is a word of the text in lower case, with edge punctuation cut off and ``^`` and ``$`` set
-around it; a run of three or more one-letter words (``i d i o t``) is one more unit. The kernel of
-two units counts their common subsequences of four letters, each occurrence weighted by
-decay ** span with spans up to ``MAX_SPAN``, so gaps and inserted characters cost weight but
-don't break a match; it is normalised by each unit's own weights.
+around it; a run of three or more one-letter words (``i d i o t``) is one more unit, and so is a
+word without the other characters inside it (``i.d.i.o.t``). The kernel of two units counts their
+common subsequences of four letters, each occurrence weighted by decay ** span with spans up to
+``MAX_SPAN``, so gaps and inserted characters cost weight but don't break a match; it is normalised
+by each unit's own weights.
 
 Landmarks are the units whose document counts differ most between the classes, and common units.
 The Nystroem map of a unit is K_mm^(-1/2) k_m(x). The SVM (squared hinge, primal Newton) is
@@ -188,7 +189,7 @@ def fit(texts: list[tuple[str, int]], *, landmarks: int = 240, c: float = 4.0, r
     y = np.array([t for _, t in texts])
     if not len(texts) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.1, 0.01, 0.99))
-        return Model(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
     bags = [text_units(t) for t, _ in texts]
     seen = [Counter(), Counter()]
     for bag, k in zip(bags, y.tolist(), strict=True):
@@ -273,6 +274,15 @@ class _Scorer:
     def units(self, units: list[str]) -> np.ndarray:
         return subsequence_sums(encode_units(units, self.model.letters), self.table) + self.model.bias
 
+    def _score(self, new: pa.Array) -> np.ndarray:
+        """Scores of words; a word with other characters inside also counts without them."""
+        score = np.where(pc.match_substring_regex(new, r"[\pL\pN]").to_numpy(zero_copy_only=False), self.units(new.to_pylist()), _EMPTY)
+        mixed = np.flatnonzero(pc.match_substring_regex(new, r"[\pL\pN][^\pL\pN]+[\pL\pN]").to_numpy(zero_copy_only=False))
+        if len(mixed):
+            bare = pc.replace_substring_regex(new.take(pa.array(mixed)), r"[^\pL\pN]+", "")
+            score[mixed] = np.maximum(score[mixed], self.units(bare.to_pylist()))
+        return score
+
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if texts.null_count:
             texts = pc.fill_null(texts, "")
@@ -288,7 +298,7 @@ class _Scorer:
                 where = pa.nulls(len(coded.dictionary), pa.int32())
             new = coded.dictionary.filter(pc.is_null(where))
             self.words = pa.concat_arrays([self.words, new])
-            self.scores = np.concatenate([self.scores, np.where(pc.equal(new, "").to_numpy(zero_copy_only=False), _EMPTY, self.units(new.to_pylist()))])
+            self.scores = np.concatenate([self.scores, self._score(new)])
             where = pc.index_in(coded.dictionary, value_set=self.words)
         each = self.scores[where.to_numpy()[coded.indices.to_numpy()]] if len(words) else np.zeros(0)
         best = np.full(len(texts), _EMPTY)
