@@ -6,7 +6,8 @@ go, one document of each near-duplicate group stays, contaminated documents go,
 masked in the text, and what is left is packed into sequences.
 
 Nulls, empty texts and repeated rows are treated as the operators state. Of repeated rows with one
-doc_id one stays after the near-duplicate stage.
+doc_id one stays after the near-duplicate stage. An extra column with the name of an operator's
+result holds that result from its stage on.
 """
 
 from __future__ import annotations
@@ -46,9 +47,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask secrets in the text; n_chars follows the new text."""
+    """Mask secrets in the text; n_chars, where there is such a column, follows the new text."""
     masked = scan_secrets(docs, redact_text=True)
-    return masked.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
