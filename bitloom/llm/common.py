@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,15 +55,16 @@ def release(spark: SparkSession) -> None:
 
 
 BATCH_BYTES = 8 << 20
-#: Called when a task ends, to drop what its worker process would keep.
-AT_TASK_END: list[Callable[[], object]] = []
+#: Called when a task of another stage starts, to drop what the worker process has kept.
+AT_STAGE_START: list[Callable[[], object]] = []
+_STAGE: list[int] = []
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, giving memory back when the task ends.
 
     Worker processes are reused by later stages, so what one stage caches would add to the memory
-    of the next. Input batches are bounded by bytes as well as by rows (a session setting, which
+    of the next; caches are dropped when a task of another stage starts. Input batches are bounded by bytes as well as by rows (a session setting, which
     counts when the query runs), as rows may hold very long texts.
     """
     spark = SparkSession.getActiveSession()
@@ -70,12 +72,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage = task.stageId() if (task := TaskContext.get()) else -1
+        if _STAGE != [stage]:
+            _STAGE[:] = [stage]
+            _POWERS.clear()
+            for drop in AT_STAGE_START:
+                drop()
         try:
             yield from run(batches)
         finally:
-            _POWERS.clear()
-            for drop in AT_TASK_END:
-                drop()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):

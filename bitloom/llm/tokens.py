@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import AT_TASK_END
+from .common import AT_STAGE_START
 
 
 def default_path() -> str:
@@ -116,11 +116,11 @@ class ChunkTokenizer:
 
 
 _OPEN: dict[str, ChunkTokenizer] = {}
-AT_TASK_END.append(_OPEN.clear)
+AT_STAGE_START.append(_OPEN.clear)
 
 
 def for_chunks(path: str) -> ChunkTokenizer:
-    """One tokenizer per task and file."""
+    """One tokenizer per process, stage and file."""
     if path not in _OPEN:
         _OPEN[path] = ChunkTokenizer(path)
     return _OPEN[path]
