@@ -114,9 +114,43 @@ def unify(*sheets: tuple[DataFrame, dict[str, str | None]]) -> DataFrame:
     return reduce(DataFrame.unionByName, (branch(*s) for s in sheets))
 
 
-def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, terms: DataFrame, broadcast_chars: int = 8 << 20) -> DataFrame:
     """doc_id, term, n: non-overlapping occurrences of each distinct term in each text.
 
+    Terms of up to ``broadcast_chars`` characters in all are sent to the executors as one automaton,
+    which reads each text once. A larger term table is joined instead (:func:`occurrences_by_join`).
+    """
+    t = terms.select("term").where("term <> ''").distinct()
+    chars = t.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    if chars > broadcast_chars:
+        return occurrences_by_join(docs, t)
+    box = docs.sparkSession.sparkContext.broadcast([r.term for r in t.collect()])
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for term in box.value:
+            tree.add_word(term, term)
+        if box.value:
+            tree.make_automaton()
+        for f in frames:
+            rows = []
+            for d, text in zip(f["doc_id"], f["text"], strict=True):
+                count: dict[str, int] = {}
+                reach: dict[str, int] = {}  # end of the last occurrence counted
+                for end, term in tree.iter(text) if text and box.value else ():
+                    if end - len(term) + 1 >= reach.get(term, 0):
+                        count[term], reach[term] = count.get(term, 0) + 1, end + 1
+                rows += [(d, term, n) for term, n in count.items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "term", "n"])
+
+    return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, term string, n long")
+
+
+def occurrences_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """As :func:`occurrences`, for any number of terms.
+
     Terms and texts meet on the terms' first characters (as many as the shortest term has, three at
     most): the distinct pieces of that length of a text are joined with the terms that start with
     them, and only these candidates are tested. A common beginning is a skewed key that AQE can
