@@ -16,8 +16,8 @@ A text's score is its highest unit score through a logistic curve fitted on the
 As the kernel is a sum over subsequences, landmarks, map and SVM fold exactly into one weight for
 each 4-letter subsequence (:class:`Model`), so units are scored by table look-ups.
 
-Fitting reads at most ``per_class`` labelled texts of each class (those with the least hash of the
-id); all texts are scored. Scoring is one narrow Arrow pass; the model is a sparse
+Fitting reads at most ``per_class`` labelled texts and ``class_bytes`` bytes of each class (those with
+the least hash of the id); all texts are scored. Scoring is one narrow Arrow pass; the model is a sparse
 table of some ten thousand subsequences, spread to 67 MB in each worker.
 """
 
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import pieces, tidy
 
@@ -337,8 +337,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000) -> Model:
-    """Fit on at most ``per_class`` texts of each class, none of them held out. Null labels, ids and texts are left out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, class_bytes: int = 32 << 20) -> Model:
+    """Fit on at most ``per_class`` texts and ``class_bytes`` bytes of each class, none of them held out. Null labels, ids and texts are left out."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     chosen = None
@@ -346,7 +346,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         part = known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     # 2 * per_class rows of two numbers, so the sample may be broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null").collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null")
+    # whole texts, in order of the hash, as far as the bytes go; the driver holds no more than that
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("bytes") <= class_bytes).collect()
     rows.sort(key=lambda r: (r.id, r.text))
     return fit([(r.text, r.label) for r in rows])
 
