@@ -107,7 +107,6 @@ def failure_kind(schema_valid: Column, timed_out: Column, http_status: Column, h
 
 def select_best(summary: DataFrame, order: list[Column], partition: list[str], name: str = "provider") -> DataFrame:
     """partition, selected: the first by ``order`` of those that pass the gate (column hard_gate_pass); null on a tie or without any."""
-    w = Window.partitionBy(*partition).orderBy(*order)
     ranked = summary.withColumn("place", F.when(F.col("hard_gate_pass"), F.rank().over(Window.partitionBy(*partition, "hard_gate_pass").orderBy(*order))))
     first = F.collect_list(F.when(F.col("place") == 1, F.col(name)))
     return ranked.groupBy(*partition).agg(first.alias("f")).select(*partition, F.when(F.size("f") == 1, F.col("f")[0]).alias("selected"))
