@@ -7,10 +7,12 @@ common subsequences of four letters, each occurrence weighted by decay ** span w
 ``MAX_SPAN``, so gaps and inserted characters cost weight but don't break a match; it is normalised
 by each unit's own weights.
 
-Landmarks are the units whose document counts differ most between the classes, and common units.
+Landmarks are the units whose parts differ most between the classes, clean units that look like
+them, and common units.
 The Nystroem map of a unit is K_mm^(-1/2) k_m(x). The SVM (squared hinge, primal Newton) is
 trained on labelled texts as bags of units: a toxic text stands for its most toxic unit, which is
-chosen again after each fit, clean texts for units drawn from them and their highest-scoring ones.
+chosen again after each fit, clean texts for units drawn from them, their highest-scoring ones and
+units that look like toxic ones.
 A text's score is its highest unit score through a logistic curve fitted on the training texts.
 
 As the kernel is a sum over subsequences, landmarks, map and SVM fold exactly into one weight for
@@ -212,9 +214,14 @@ def fit(texts: list[tuple[str, int]], *, landmarks: int = 240, c: float = 4.0, r
 
     value = {p: low_odds(held[1][p], held[0][p]) for p in {*held[0], *held[1]}}
     lead = {u: max(value[p] for p in parts(u)) for u in every}
-    by_lead = sorted(lead, key=lambda u: (-lead[u], u))
+    # a unit that is no more common in toxic texts itself isn't toxic, whatever it looks like
+    own = {u: float(np.log((seen[1][u] + 0.5) / (n1 + 1)) - np.log((seen[0][u] + 0.5) / (n0 + 1))) for u in every}
+    by_lead = sorted((u for u in every if own[u] > 0.5), key=lambda u: (-lead[u], u))
     common = [u for u, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if lead[u] <= 0.5]
-    chosen = [*by_lead[: landmarks // 2], *common[: landmarks - landmarks // 2]]
+    # clean look-alikes of toxic units are landmarks and negatives, too
+    alike = sorted((u for u in every if lead[u] > 1.0 and own[u] <= 0.5 and seen[0][u] > 1), key=lambda u: (-seen[0][u], u))
+    chosen = [*by_lead[: landmarks // 2], *alike[: landmarks // 6]]
+    chosen += common[: landmarks - len(chosen)]
     chosen = sorted(dict.fromkeys(chosen))
     counts = Counter(ch for bag in bags for u in bag for ch in u if ch.isalnum())
     top = sorted(counts, key=lambda ch: (-counts[ch], ch))[: SIZE - 3]
@@ -231,17 +238,19 @@ def fit(texts: list[tuple[str, int]], *, landmarks: int = 240, c: float = 4.0, r
     rng = np.random.default_rng(seed)
     toxic, clean = [b for b, k in zip(bags, y, strict=True) if k and b], [b for b, k in zip(bags, y, strict=True) if not k and b]
     negatives = {u for b in clean for u in rng.choice(b, min(len(b), 6), replace=False).tolist()}
-    # a toxic text names the units of its best three, first by evidence, then by the last fit
+    negatives |= set(alike)
+    # a toxic text names its best units, first by evidence, then by the last fit
     score = lead
     coded = encode_units(every, letters)
     for _ in range(rounds):
         positives: Counter = Counter()
         for b in toxic:
-            best = max(b, key=lambda u: (score[u], u))
-            if lead[best] > 0:
-                positives.update(u for u in b if u == best or lead[u] > 1.0 and score[u] > 0.6 * score[best] > 0)
+            able = [u for u in b if own[u] > 1.5 and lead[u] > 0]
+            if able:
+                best = max(able, key=lambda u: (score[u], u))
+                positives.update(u for u in able if u == best or lead[u] > 1.0 and score[u] > 0.6 * score[best] > 0)
         negatives |= {max(b, key=lambda u: (score[u], u)) for b in clean}
-        negatives -= {u for u in negatives if positives[u] and lead[u] > 1.0}
+        negatives = {u for u in negatives if not positives[u]}
         # gapped, doubled and interrupted forms of the surest units count as toxic, too
         for u in sorted(positives, key=lambda u: (-positives[u], u))[:200]:
             if len(u) >= 4:
@@ -250,7 +259,7 @@ def fit(texts: list[tuple[str, int]], *, landmarks: int = 240, c: float = 4.0, r
                     positives[v] = max(positives[v], 1)
         units = [*sorted(positives), *sorted(negatives)]
         label = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        size = np.array([float(np.sqrt(positives[u])) for u in sorted(positives)] + [1.0] * len(negatives))
+        size = np.array([float(np.sqrt(positives[u])) for u in sorted(positives)] + [min(3.0, float(np.sqrt(max(1, seen[0][u])))) for u in sorted(negatives)])
         w, bias = _svm(mapped(units), label, size, c)
         model = Model(letters, marks.index, marks.fold(root @ w), bias, 1.0, 0.0)
         score = dict(zip(every, (subsequence_sums(coded, model.table()) + bias).tolist(), strict=True))

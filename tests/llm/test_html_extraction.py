@@ -5,8 +5,6 @@ import pytest
 
 from bitloom.llm import html_extraction as H
 
-from .. import oracle
-
 PAGE = """<html><body class="has-sidebar"><div id="header">Top</div><div class="menu"><a href=x>Home</a></div><div class="layout with-sidebar"><div class="post-12 content"><h2>T&eacute;st &amp; more</h2>
 <p>Some <b>bold</b>ly long text with enough words to be counted as main&nbsp; text.<p>Second para<br>line two<ul><li>one<li>two</ul><form>Search <input></form><div class="share-buttons">Share!</div></div>
 <aside>Side text</aside><div id="comments"><p>I like this long comment very much, it is long indeed. Yes it is long.</p></div></div><footer>F</footer>"""
@@ -48,4 +46,3 @@ def test_hosts_agree(spark):
     got = sorted((-1 if r.page_id is None else r.page_id, r.text) for r in H.extract_main_text(d).collect())
     assert [t for i, t in got if i == 10] == ["tiny"] and [t for i, t in got if i == 11] == ["other layout text"] and [t for i, t in got if i == 12] == ["", ""] and got[0] == (-1, "x")
     assert H.extract_main_text(d.where("false")).count() == 0
-    assert oracle.SF

@@ -3,8 +3,6 @@ import re
 
 from bitloom.llm.secret_scan import lexed_spans, redact, scan_secrets
 
-from .. import oracle
-
 ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ORDER = {"assign": 0, "access": 1, "hex": 2}
 
@@ -53,4 +51,3 @@ def test_lexing():
 def test_redaction_merges_overlaps():
     assert redact("abcdefghij", [("assign", 1, 5), ("lexed", 3, 7), ("hex", 8, 9)]) == "a[SECRET]h[SECRET]j"
     assert redact("abc", []) == "abc"
-    assert oracle.SF

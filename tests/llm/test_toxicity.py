@@ -5,8 +5,6 @@ import pytest
 
 from bitloom.llm import toxicity as X
 
-from .. import oracle
-
 
 def test_kernel_equals_its_definition():
     """Folded weights give the kernel expansion, and the kernel is that of all triples of gaps."""
@@ -78,4 +76,3 @@ def test_odd_rows(spark, odd_docs, no_docs, fitted):
     assert X.score_toxicity(no_docs, fitted[2]).count() == 0
     none = X.fit_toxicity(odd_docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert len({r.score for r in X.score_toxicity(odd_docs, none).collect()}) == 1
-    assert oracle.SF
