@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Line terminators, character classes and markers that results depend on.
 LINE_END = "\\r\\n|[\\n\\r\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}]"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CJK_LEAK = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FFFF}\\x{30000}-\\x{323AF}]"
 CJK_BASIC = "[\\x{4E00}-\\x{9FFF}]"
 CJK_WIDE = "[\\x{3400}-\\x{9FFF}]"
@@ -29,12 +30,12 @@ def split_lines(text: Column | str) -> Column:
 
 def is_blank(line: Column | str) -> Column:
     """Only white space of any script, or nothing."""
-    return as_column(line).rlike("(?U)\\A\\s*\\z")
+    return strip(line) == ""
 
 
 def strip(text: Column | str) -> Column:
     """Without leading and trailing white space of any script."""
-    return F.regexp_replace(as_column(text), "(?U)\\A\\s+|\\s+\\z", "")
+    return F.btrim(as_column(text), F.lit(WHITE))
 
 
 def squeeze(text: Column | str) -> Column:
