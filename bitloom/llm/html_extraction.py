@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import materialize, pieces, tidy
 
@@ -202,6 +202,11 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+@F.arrow_udf(T.StringType())
+def _hosts(url: pa.Array) -> pa.Array:
+    return pa.array([host_of(u) for u in url.to_pylist()], pa.string())
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total: Counter = Counter()
@@ -242,8 +247,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     if winners.count() <= broadcast_hosts:
         box = spark.sparkContext.broadcast({r.host: r.path for r in winners.collect()})
         return slim.mapInArrow(_extract(box), out)
-    host = F.lower(F.expr("try_parse_url(url, 'HOST')"))
-    joined = slim.withColumn("host", host).join(winners, "host", "left").select("page_id", "url", "html", "path")
+    # the key of the votes, so that both ways give a page the same path
+    joined = slim.withColumn("host", _hosts("url")).join(winners, "host", "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(_extract(None), out)
 
 

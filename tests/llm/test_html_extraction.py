@@ -46,3 +46,15 @@ def test_hosts_agree(spark):
     got = sorted((-1 if r.page_id is None else r.page_id, r.text) for r in H.extract_main_text(d).collect())
     assert [t for i, t in got if i == 10] == ["tiny"] and [t for i, t in got if i == 11] == ["other layout text"] and [t for i, t in got if i == 12] == ["", ""] and got[0] == (-1, "x")
     assert H.extract_main_text(d.where("false")).count() == 0
+
+
+def test_odd_urls_have_one_host(spark):
+    """Hosts with an underscore or brackets and urls that strict parsers refuse follow their host in both ways."""
+    page = "<body><div class='story'><p>{}</p></div><div class='box'><p>{}</p></div></body>"
+    odd = ["http://my_host.example/{}", "http://a.example/{} b", "http://b.example/{}|x", "http://c.example/{}[", "http://d.example/{}%", "http://[::1]/{}", "http://E.Example:80/{}"]
+    rows = [(100 * k + i, u.format(i), page.format("long enough story text " * 5, "short")) for k, u in enumerate(odd) for i in range(5)]
+    rows += [(100 * k + 50, u.format("z"), page.format("tiny", "a box that is longer than the story")) for k, u in enumerate(odd)]
+    rows += [(999, "::bad::", "<p>x</p>"), (998, None, "<p>y</p>")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent, joined = ({r.page_id: r.text for r in H.extract_main_text(d, broadcast_hosts=limit).collect()} for limit in (200_000, 0))
+    assert sent == joined and len(sent) == len(rows) and [joined[100 * k + 50] for k in range(len(odd))] == ["tiny"] * len(odd)
