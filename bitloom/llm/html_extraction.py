@@ -31,7 +31,10 @@ from .common import materialize, pieces, tidy
 CONTAINERS = frozenset("html body div article main section td th tr table tbody center figure header footer nav aside form ul ol dl blockquote fieldset details".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption hr br address caption option summary legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
+#: Their content isn't markup; without an end tag it goes up to the end of the page.
+RAW = frozenset("script style noscript textarea title iframe".split())
+#: Left out with their content if they are closed within their parent; else only the start tag is.
+EMBEDDED = frozenset("template svg math object canvas audio video".split())
 DROPPED = frozenset("nav aside footer form button select head header menu dialog label".split())
 #: Tags whose start ends an open element of the same group.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -47,6 +50,43 @@ _ATTR = re.compile(r"(?is)(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def embedded_ends(source: str) -> dict[int, int]:
+    """Where the content of embedded elements ends, by where it starts; none for those not closed within their parent."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
+    endless: set[str] = set()
+    at = 0
+
+    def pop() -> tuple[str, int]:
+        tag, start = stack.pop()
+        opened[tag] -= 1
+        return tag, start
+
+    for m in iter(lambda: _TOKEN.search(source, at), None):
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag, closing = m[2].lower(), bool(m[1])
+        if tag in RAW and not closing and (tag in ("script", "style") or not opened["svg"] and not opened["math"]):
+            end = None if tag in endless or m[3].endswith("/") else re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(source, at)
+            if end:
+                at = end.end()
+            elif not m[3].endswith("/"):
+                endless.add(tag)
+        elif closing and opened[tag]:
+            while (top := pop())[0] != tag:
+                pass
+            if tag in EMBEDDED:
+                ends[top[1]] = at
+        elif not closing and (tag in EMBEDDED or tag in BLOCKS or tag in DROPPED) and tag not in VOID and not m[3].endswith("/"):
+            if tag in BLOCKS and stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+                pop()
+            stack.append((tag, at))
+            opened[tag] += 1
+    return ends
+
+
 class Node:
     __slots__ = ("tag", "path", "up", "first", "stop", "dropped", "factor", "score")
 
@@ -75,6 +115,7 @@ class Page:
         stack: list[tuple[str, Node, bool]] = [("html", self.root, False)]  # tag, its container, whether it opened one
         parts: list[str] = []
         linked = depth_a = at = 0
+        ends: dict[int, int] | None = None
 
         def flush() -> None:
             nonlocal linked, parts
@@ -108,6 +149,11 @@ class Page:
                     end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(source, at)
                     at = end.end() if end else len(source)
                 continue
+            if tag in EMBEDDED:
+                if not closing and not m[3].endswith("/"):
+                    ends = embedded_ends(source) if ends is None else ends
+                    at = ends.get(at, at)
+                continue
             if tag == "a":
                 depth_a = 0 if closing else 1
             if tag not in BLOCKS and tag not in DROPPED and tag != "span":

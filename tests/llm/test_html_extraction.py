@@ -58,3 +58,20 @@ def test_odd_urls_have_one_host(spark):
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     sent, joined = ({r.page_id: r.text for r in H.extract_main_text(d, broadcast_hosts=limit).collect()} for limit in (200_000, 0))
     assert sent == joined and len(sent) == len(rows) and [joined[100 * k + 50] for k in range(len(odd))] == ["tiny"] * len(odd)
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<article><p>one</p><video src=x><p>two</p><p>three</p></article><p>four", "one two three"),
+    ("<article><p>one<object data=x> and</p><p>two</p></article>", "one and two"),
+    ("<article><p>a<video src=1></p><p>b</p><p>c<video src=2>no</video>d</p></article>", "a b cd"),
+    ("<article><p>a</p><div><audio src=1></div><p>b</p></audio><p>c</p></article>", "a b c"),
+    ("<article><p>a<svg><svg>no</svg>no</svg>b</p><template><p>no</p></template><canvas>no</canvas></article>", "ab"),
+    ("<article><p>a<svg><title>no</svg>b</p><p>c<svg><title>no</title></svg>d</p></article>", "ab cd"),
+    ("<article><p>a</p><math/><p>b</p></article>", "a b"),
+])
+def test_unclosed_embedded_elements_cut_nothing(source, want):
+    assert H.extract(source, None) == want
+
+
+def test_many_unclosed_elements_stay_linear():
+    assert H.extract("<article>" + "<p>a<video src=x>" * 20_000, None) == " ".join("a" * 20_000)
