@@ -6,7 +6,8 @@ addresses (octets), and calendar dates in six notations. Each value is an elemen
 domain (card payloads of n digits, days from 1900 to 2099, ...). A balanced Feistel network of ten
 rounds, keyed by BLAKE2b, permutes the smallest even power of two that holds the domain, and cycle
 walking stays inside it, so the pseudonym is valid, has the same format, and equal values get equal
-pseudonyms in all documents (a date in two notations becomes one day in both). With the key,
+pseudonyms in all documents (a date in two notations becomes one day in both). A value that other
+numbers or words follow is found by trying shorter readings (:func:`readings`). With the key,
 :func:`restore` inverts it (days and months written without a leading zero may come back with one).
 
 Scale: one narrow Arrow pass per row, no shuffle and no table of pseudonyms: linkage comes from the
@@ -94,20 +95,35 @@ def _card(p: Permutation, text: str, inverse: bool) -> str | None:
         return None
     n = 10 ** (len(d) - 1)
     first = n // 10
-    body = str(_walk(p, int(d[:-1]), n, "card", inverse, lambda x: x >= first and len(set(s := str(x) + str(luhn_digit(str(x))))) > 1)).zfill(len(d) - 1)
-    return _refill(text, body + str(luhn_digit(body)))
+    full = lambda x: f"{x:0{len(d) - 1}d}{luhn_digit(str(x))}"
+    # the next check digit stays, too: so a number that digits follow passes or fails the check with them as its pseudonym does
+    fits = lambda x: x >= first and len(set(s := full(x))) > 1 and luhn_digit(s) == luhn_digit(d)
+    return _refill(text, full(_walk(p, int(d[:-1]), n, "card", inverse, fits)))
+
+
+#: Lengths of the IBANs of each country.
+IBAN_LENGTHS = {c: int(n) for n, codes in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in codes.split(",")}
 
 
 def _iban(p: Permutation, text: str, inverse: bool) -> str | None:
     s = text.replace(" ", "")
     value = lambda t: int("".join(str(int(c, 36)) for c in t)) % 97
-    if not 15 <= len(s) <= 34 or value(s[4:] + s[:4]) != 1:
+    sound = lambda t: value(t[4:] + t[:4]) == 1
+    if not 15 <= len(s) <= 34 or not sound(s):
         return None
     d = _digits(s[4:])
     if not d:
         return None
-    body = _refill(s[4:], str(p.apply(int(d), 10 ** len(d), f"iban{s[:2]}", inverse)).zfill(len(d)))
-    out = iter(f"{s[:2]}{98 - value(body + s[:2] + '00'):02d}{body}")
+
+    def full(x: int) -> str:
+        body = _refill(s[4:], str(x).zfill(len(d)))
+        return f"{s[:2]}{98 - value(body + s[:2] + '00'):02d}{body}"
+
+    # where the country's length is less, its reading comes first and mustn't become valid
+    n = IBAN_LENGTHS.get(s[:2], 34)
+    out = iter(full(_walk(p, int(d), 10 ** len(d), f"iban{s[:2]}", inverse, lambda x: len(s) <= n or not sound(full(x)[:n]))))
     return "".join(c if c == " " else next(out) for c in text)
 
 
@@ -230,6 +246,34 @@ _DIGIT = re.compile("[0-9]")
 _ISSUE = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 
 
+_LOCAL = re.compile(r"(?:1[ .-])?[2-9][0-9]{2}[-. ][2-9][0-9]{2}[-. ][0-9]{4}(?![0-9A-Za-z])")
+
+
+def readings(kind: str, text: str) -> Iterator[str]:
+    """What a candidate may be, the likeliest first: patterns take in numbers and words that follow a value.
+
+    An IBAN has its country's length; a number after +1 has ten digits and others 15 at most; a card is the longest
+    one that ends where a group ends (the groups before its last one have four digits or more).
+    Layout and check digits decide, both of which pseudonyms keep, so they are read as the value was.
+    """
+    if kind == "iban":
+        ends = [i + 1 for i, c in enumerate(text) if c != " "]
+        n = IBAN_LENGTHS.get(text[:2])
+        if n and n < len(ends) and text[ends[n - 1]] == " ":
+            yield text[: ends[n - 1]]
+    elif kind == "phone" and text[0] == "+":
+        cuts = {len(_digits(text[:i])): i for i in range(1, len(text)) if text[i] in " .-" and text[i - 1] not in " .-"}
+        if text[1] == "1" and 11 in cuts:
+            yield text[: cuts[11]]
+        elif len(_digits(text)) > 15:
+            yield from (text[: cuts[n]] for n in sorted(cuts, reverse=True) if 8 <= n <= 15)
+    yield text
+    if kind == "card":
+        for i in range(len(text) - 1, 12, -1):
+            if text[i] in " -" and all(len(g) >= 4 for g in re.split("[ -]", text[:i])[:-1]):
+                yield text[:i]
+
+
 def find(text: str, p: Permutation, inverse: bool = False) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of validated values, left to right, not overlapping; kinds in order of KINDS at one start."""
     got: list[tuple[int, int, str, str]] = []
@@ -243,17 +287,23 @@ def find(text: str, p: Permutation, inverse: bool = False) -> list[tuple[str, in
         while m := _NUMBER.search(text, at):
             at = m.end()
             kind = m.lastgroup
-            new = _ISSUE[kind](p, m[0], inverse)
-            if new is None and kind in ("card", "iban"):
-                # not what it looked like; a shorter value of another kind may start in it
-                at = m.start() + 1
-                if kind == "card" and (q := re.compile(r"(?:1[ .-])?[2-9][0-9]{2}[-. ][2-9][0-9]{2}[-. ][0-9]{4}(?![0-9A-Za-z])").match(text, m.start())):
-                    new, kind, at = _phone(p, q[0], inverse), "phone", q.end()
-                    if new is not None:
-                        got.append((q.start(), q.end(), kind, new))
-                continue
-            if new is not None:
-                got.append((m.start(), m.end(), kind, new))
+            if kind == "card" and (q := _LOCAL.match(text, m.start())):
+                # no card is written in these groups
+                new = _phone(p, q[0], inverse)
+                if new is not None:
+                    got.append((q.start(), q.end(), "phone", new))
+                    at = q.end()
+                    continue
+            for value in readings(kind, m[0]):
+                new = _ISSUE[kind](p, value, inverse)
+                if new is not None:
+                    at = m.start() + len(value)
+                    got.append((m.start(), at, kind, new))
+                    break
+            else:
+                # not what it looked like; another value may start in it
+                if kind in ("card", "iban", "phone"):
+                    at = m.start() + 1
         for m in _WORDED.finditer(text):
             new = _date(p, m[0], inverse)
             if new is not None:

@@ -71,3 +71,33 @@ def test_odd_rows(odd_docs, no_docs):
     rows = P.pseudonymise(odd_docs, KEY).collect()
     assert len(rows) == odd_docs.count() and sorted(str(r.text) for r in rows) == sorted(str(r.text) for r in odd_docs.collect())
     assert P.pseudonymise(no_docs, KEY).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(10**14, 10**15 - 1), st.sampled_from(["", "-", " "]), st.sampled_from([" 12/27", " 123", " 7", " 12 27", " 1234", " 12 345 x", "-1"]))
+def test_cards_before_other_numbers(body, sep, after):
+    digits = f"{body}{P.luhn_digit(str(body))}"
+    number = sep.join(digits[i : i + 4] for i in range(0, 16, 4))
+    p = P.Permutation(KEY)
+    found = P.find(f"pay {number}{after}", p)
+    new = P.replace(f"pay {number}{after}", found)
+    assert found[0][:2] == ("card", 4) and number not in new and P.restore(new, KEY) == f"pay {number}{after}"
+    together = digits + "".join(c for c in after.split("/")[0] if c.isdigit())
+    if P.luhn_digit(together[:-1]) != int(together[-1]) and after != " 12 345 x":
+        assert found[0][2] == 4 + len(number) and found[0][3].replace(sep, "") == P.find(digits, p)[0][3]
+
+
+def test_values_before_other_text():
+    p = P.Permutation(KEY)
+    plain = {
+        "4111 1111 1111 1111": ("card", [" 12/27", " exp 12", " 123", "-99", " 12 27"]), "4111111111111111": ("card", [" 123", " 12/27", " 9 x"]), "3782 822463 10005": ("card", [" 12/27", " 1234"]),
+        "DE89370400440532013000": ("iban", [" EUR 500", " BIC COBADEFF", " 12", " OK"]), "DE89 3704 0044 0532 0130 00": ("iban", [" BIC COBADEFF", " EUR 500 TODAY", " 1"]), "NO93 8601 1117 947": ("iban", [" NOK 5", " 4111"]),
+        "+1 434 555 2368": ("phone", [" 90 days", " 4111", " 12 34", "-7"]), "+14345552368": ("phone", [" 90 days"]), "+44 20 7946 0958": ("phone", [" 4111 1111 1111 1111", " 2024 2025"]), "434-555-2368": ("phone", [" 901", " 90 12345"]),
+    }
+    for value, (kind, after) in plain.items():
+        alone = P.find(value, p)
+        assert [(f[0], f[2]) for f in alone] == [(kind, len(value))], value
+        for tail in after:
+            found = P.find(value + tail, p)
+            assert found[0] == alone[0], (value, tail, found)
+            assert P.restore(P.replace(value + tail, found), KEY) == value + tail
