@@ -9,7 +9,8 @@ Two layers run over every whole text:
   ``name: type = "x"``, ``call(name="x")``, ``NAME=x``, ``<name>x</name>``), joins ``"a" + "b"``,
   propagates constants (``A = "x"``, later ``password = A``), and scores each literal by how
   sensitive its target name is and how random the literal looks. Literals that reach the
-  threshold become ``lexed`` spans at the place where they are written.
+  threshold become ``lexed`` spans at the place where they are written. Apostrophes and other
+  stray quotes open no string, and strings that hold assignments are lexed inside, too.
 
 Scale: one narrow Arrow pass per row, no shuffle; work is linear in the text, and texts without
 a sensitive stem or an assignment sign skip the lexer.
@@ -44,7 +45,7 @@ THRESHOLD = 4.0
 
 _STEM = re.compile(r"(?ai:passw|pwd|passphrase|passcode|secret|token|key|credential|auth|bearer)")
 _TOKEN = re.compile(
-    r"(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
+    r"(?P<string>\"(?:[^\"\\\n]|\\.)*+\"|(?:(?<![^\W_])|(?<=\b[bBfFrRuU])|(?<=\b[bBfFrR]{2}))'(?:[^'\\\n]|\\.)*+'|`[^`\n]*`)"
     r"|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)"
     r"|(?P<op>:=|=>|===?|!=|[=:+])"
     r"|(?P<line>\n)"
@@ -77,12 +78,29 @@ def value_score(value: str, quoted: bool) -> float:
     return score
 
 
+def _stray(text: str, a: int, b: int) -> bool:
+    """Whether the string at a:b starts with a stray quote, so that its last quote really opens the next one."""
+    after = text[b : b + 1]
+    if after.isalnum() or after and after in "_$@":
+        return True
+    return bool(after) and not after.isspace() and after not in ",;)]}>+&.%|" and text[a + 1 : b - 1].rstrip()[-1:] in (":", "=")
+
+
+def lex(text: str) -> list[tuple[str, int, int]]:
+    tokens, at = [], 0
+    while m := _TOKEN.search(text, at):
+        kind, a, at = m.lastgroup, m.start(), m.end()
+        if kind == "string" and text[a] != "`" and _stray(text, a, at):
+            kind, at = "other", a + 1
+        tokens.append((kind, a, at))
+    return tokens
+
+
 def lex_pairs(text: str) -> list[tuple[str, str, bool, list[tuple[int, int]]]]:
     """(name, value, quoted, places of its literals), in the order of assignment, constants propagated."""
-    tokens: list[tuple[str, int, int]] = []
     found: list[tuple[str, str, bool, list[tuple[int, int]]]] = []
     known: dict[str, tuple[str, bool, list[tuple[int, int]]]] = {}
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    tokens = lex(text)
     n = len(tokens)
 
     def term(i: int, end_at: int):
@@ -116,9 +134,10 @@ def lex_pairs(text: str) -> list[tuple[str, str, bool, list[tuple[int, int]]]]:
         if op == "+" or kind == "string" and op not in (":", "=>", "="):
             i += 1
             continue
-        j = i + 2
+        j, names = i + 2, [name]
         if op == ":" and kind == "name" and j + 1 < n and tokens[j][0] == "name" and text[tokens[j + 1][1] : tokens[j + 1][2]] == "=":
-            j += 2  # name: type = value
+            names.append(text[tokens[j][1] : tokens[j][2]])
+            j += 2  # name: type = value, or prose: name = value
         got = term(j, b)
         if got is None:
             i += 1
@@ -130,11 +149,15 @@ def lex_pairs(text: str) -> list[tuple[str, str, bool, list[tuple[int, int]]]]:
             if more is None:
                 break
             value, quoted, places, j = value + more[0], quoted and more[1], places + more[2], more[3]
-        found.append((name, value, quoted, places))
+        found += [(x, value, quoted, places) for x in names]
         if kind == "name" and op in ("=", ":=", ":") and (quoted or len(value) >= 6):
-            known[name] = (value, quoted, places)
+            known |= dict.fromkeys(names, (value, quoted, places))
         # a bare "a: b = 'c'" may hold a later pair, so only strings and names taken as values are passed over
         i = j if quoted else i + 2
+    for kind, a, b in tokens:
+        inner = text[a + 1 : b - 1] if kind == "string" else ""
+        if ("=" in inner or ":" in inner) and _STEM.search(inner):
+            found += [(name, value, quoted, [(x + a + 1, y + a + 1) for x, y in places]) for name, value, quoted, places in lex_pairs(inner)]
     for m in _ELEMENT.finditer(text):
         found.append((m[1], m[2], False, [m.span(2)]))
     return found

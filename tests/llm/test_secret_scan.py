@@ -51,3 +51,30 @@ def test_lexing():
 def test_redaction_merges_overlaps():
     assert redact("abcdefghij", [("assign", 1, 5), ("lexed", 3, 7), ("hex", 8, 9)]) == "a[SECRET]h[SECRET]j"
     assert redact("abc", []) == "abc"
+
+
+def test_stray_quotes():
+    cases = {
+        "don't commit: db_pwd = 'hunter22x'": ["hunter22x"],
+        "it's db_pwd = 'hunter22x'": ["hunter22x"],
+        "# l'accès d'hier, où l'auth: passphrase = 'abc123def456'": ["abc123def456"],
+        "the boys' db_pwd = 'hunter22x'; it's fine": ["hunter22x"],
+        "'tis here: db_pwd = 'hunter22x'": ["hunter22x"],
+        "'tis here: db_pwd = '!hunter22x'": ["!hunter22x"],
+        "'tis {'db_pwd': 'hunter22x'}": ["hunter22x"],
+        '5" disk: db_pwd = "hunter22x"': ["hunter22x"],
+        "it's 'quoted' and accessKey = 'ab12cd34ef'\nprivate_key = 'zz98yy76xx'": ["ab12cd34ef", "zz98yy76xx"],
+        "sh -c 'export DB_PWD=\"ab12cd34ef\"'": ["ab12cd34ef"],
+        "'tis db_pwd = \"hunter22x\" (of the boys')": ["hunter22x"],
+        "db_pwd = 'it\\'s4secret9'": ["it\\'s4secret9"],
+        "x = b'k=' ; db_pwd = 'hunter22x'": ["hunter22x"],
+        'log("db_pwd = ", cfg1.get(x9), "end of it")': [], "it's the pwd: don't tell": [], "print('pwd: ' + name + ' of 12 users')": [],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for a, b in lexed_spans(text)] == want, text
+        assert all(v not in redact(text, [("lexed", *s) for s in lexed_spans(text)]) for v in want)
+
+
+def test_many_quotes_stay_linear():
+    text = "it's pwd: 'a=" * 40_000
+    assert lexed_spans(text) == []
