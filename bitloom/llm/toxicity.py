@@ -18,8 +18,8 @@ A text's score is its highest unit score through a logistic curve fitted on the
 As the kernel is a sum over subsequences, landmarks, map and SVM fold exactly into one weight for
 each 4-letter subsequence (:class:`Model`), so units are scored by table look-ups.
 
-Fitting reads at most ``per_class`` labelled texts and ``class_bytes`` bytes of each class (those with
-the least hash of the id); all texts are scored. Scoring is one narrow Arrow pass; the model is a sparse
+Fitting reads at most ``per_class`` labelled texts of each class (those with the least hash of the id)
+and, of these, the shortest up to ``class_bytes`` bytes; all texts are scored. Scoring is one narrow Arrow pass; the model is a sparse
 table of some ten thousand subsequences, spread to 67 MB in each worker.
 """
 
@@ -356,9 +356,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         chosen = part if chosen is None else chosen.union(part)
     # 2 * per_class rows of two numbers, so the sample may be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null")
-    # whole texts, in order of the hash, as far as the bytes go; the driver holds no more than that
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("bytes") <= class_bytes).collect()
+    # whole texts, the shortest first, as far as the bytes go, so that a long text takes no other's place; the driver holds
+    # no more than that, or the shortest text of a class
+    order = Window.partitionBy("label").orderBy(F.octet_length("text"), F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = rows.withColumns({"bytes": F.sum(F.octet_length("text")).over(order), "nth": F.count("*").over(order)})
+    rows = sized.where((F.col("bytes") <= class_bytes) | (F.col("nth") == 1)).collect()
     rows.sort(key=lambda r: (r.id, r.text))
     return fit([(r.text, r.label) for r in rows])
 

@@ -76,3 +76,15 @@ def test_odd_rows(spark, odd_docs, no_docs, fitted):
     assert X.score_toxicity(no_docs, fitted[2]).count() == 0
     none = X.fit_toxicity(odd_docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert len({r.score for r in X.score_toxicity(odd_docs, none).collect()}) == 1
+
+
+def test_long_labelled_texts_displace_no_others(spark):
+    truth = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    first = [truth.where(f"toxic = {k}").where(~X.held_out()).orderBy(X.F.xxhash64("doc_id")).first().doc_id for k in (0, 1)]
+    text = lambda i: f"word{i % 7} plain text" + (" vileword" if i % 5 == 0 else "")
+    d = spark.createDataFrame([(i, text(i) + (" filler" * 20_000 if i in first else "")) for i in range(400)], "doc_id long, text string")
+    model = X.fit_toxicity(d, truth, class_bytes=100_000)
+    got = X.score_toxicity(d, model).collect()
+    assert all(r.predicted == int(r.doc_id % 5 == 0) for r in got)
+    only = X.fit_toxicity(d, truth.where(X.F.col("doc_id").isin(first)), class_bytes=1000)
+    assert only.slope > 0  # one long text of each class is still both classes
