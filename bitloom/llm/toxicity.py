@@ -2,7 +2,9 @@
 
 The unit is a word of the text in lower case, with edge punctuation cut off and ``^`` and ``$`` set
 around it; a run of three or more one-letter words (``i d i o t``) is one more unit, and so is a
-word without the other characters inside it (``i.d.i.o.t``). The kernel of two units counts their
+word without the other characters inside it (``i.d.i.o.t``). Neighbouring words are joined where one
+of them is no common word of clean texts (``id iot``), and where the labels name the pair though
+neither word alone. The kernel of two units counts their
 common subsequences of four letters, each occurrence weighted by decay ** span with spans up to
 ``MAX_SPAN``, so gaps and inserted characters cost weight but don't break a match; it is normalised
 by each unit's own weights.
@@ -39,6 +41,8 @@ from .common import pieces, tidy
 DECAY, MAX_SPAN = 0.6, 7
 #: Letters and digits known to the kernel; 0 stands for all else, which matches nothing and has no weight.
 SIZE = 64
+#: Longest unit that is made of two neighbouring words because one of them isn't common.
+MAX_JOIN = 16
 EDGE = ".,;:!?\"'`()[]{}<>*#$%&|/\\_~^+=-@«»“”‘’…"
 
 
@@ -50,6 +54,8 @@ class Model:
     bias: float
     slope: float
     offset: float
+    plain: frozenset[str] | None = None  # words of which two neighbours aren't joined; None: no words are joined
+    phrases: frozenset[tuple[str, str]] = frozenset()  # pairs that are joined in any case
 
     def table(self) -> np.ndarray:
         out = np.zeros(SIZE**4, np.float32)
@@ -153,6 +159,37 @@ def text_units(text: str) -> list[str]:
     return sorted(units)
 
 
+def text_words(text: str) -> list[str]:
+    return [w.strip(EDGE) for w in text.lower().split()]
+
+
+def joined_units(words: list[str], plain: frozenset[str], phrases: frozenset[tuple[str, str]]) -> set[str]:
+    """Units of two neighbouring words."""
+    return {a + b for a, b in zip(words, words[1:]) if a and b and ((a, b) in phrases or len(a) + len(b) <= MAX_JOIN and not (a in plain and b in plain))}
+
+
+def _phrases(words: list[list[str]], y: np.ndarray, seen: list[Counter]) -> frozenset[tuple[str, str]]:
+    """Pairs of neighbours that toxic texts surely have more often than clean ones, though neither word alone."""
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    sure = lambda p, n, by: float(np.log((p + 0.5) / (n1 + 1)) - np.log((n + 0.5) / (n0 + 1)) - by * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)))
+    number = {w: i for i, w in enumerate(sorted({*seen[0], *seen[1]}))}
+    names, k = list(number), len(number)
+    codes: list[list[np.ndarray]] = [[], []]
+    for ws, label in zip(words, y.tolist(), strict=True):
+        i = np.array([number.get(w, -1) for w in ws], np.int64)
+        codes[label].append(np.unique((i[:-1] * k + i[1:])[(i[:-1] >= 0) & (i[1:] >= 0)]))
+    toxic, p = np.unique(np.concatenate(codes[1]), return_counts=True)
+    clean, n = np.unique(np.concatenate(codes[0]), return_counts=True)
+    out = []
+    for code, count in zip(toxic[p > 2].tolist(), p[p > 2].tolist(), strict=True):
+        at = int(np.searchsorted(clean, code))
+        other = int(n[at]) if at < len(clean) and clean[at] == code else 0
+        a, b = names[code // k], names[code % k]
+        if sure(count, other, 3.0) > 0 and max(sure(seen[1][w], seen[0][w], 1.5) for w in (a, b)) <= 0:
+            out.append((a, b))
+    return frozenset(out)
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Primal Newton steps for an L2-regularised squared-hinge SVM; the bias isn't penalised."""
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -197,6 +234,14 @@ def fit(texts: list[tuple[str, int]], *, landmarks: int = 240, c: float = 4.0, r
     for bag, k in zip(bags, y.tolist(), strict=True):
         seen[k].update(bag)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    words = [text_words(t) for t, _ in texts]
+    plain, phrases = frozenset(u for u, n in seen[0].items() if n > 1), _phrases(words, y, seen)
+    near = []  # other pairs can be clean look-alikes only: what is toxic in them is one of the units
+    for i, k in enumerate(y.tolist()):
+        named = {a + b for a, b in zip(words[i], words[i][1:]) if (a, b) in phrases} - set(bags[i])
+        bags[i] = sorted({*bags[i], *named})
+        seen[k].update(named)
+        near.append(sorted(joined_units(words[i], plain, frozenset()) - set(bags[i])))
     # evidence of a unit: that of its best part (four letters, or a longer beginning), so inflected forms share it; of a
     # part: the lower end of its log odds, so that neither rare accidents nor common words lead
     every = sorted({*seen[0], *seen[1]})
@@ -241,8 +286,9 @@ def fit(texts: list[tuple[str, int]], *, landmarks: int = 240, c: float = 4.0, r
     negatives |= set(alike)
     # a toxic text names its best units, first by evidence, then by the last fit
     score = lead
-    coded = encode_units(every, letters)
-    for _ in range(rounds):
+    pairs = sorted({u for b in near for u in b} - set(every))
+    scored, step_of = [*every, *pairs], 50_000
+    for turn in range(rounds):
         positives: Counter = Counter()
         for b in toxic:
             able = [u for u in b if own[u] > 1.5 and lead[u] > 0]
@@ -250,6 +296,8 @@ def fit(texts: list[tuple[str, int]], *, landmarks: int = 240, c: float = 4.0, r
                 best = max(able, key=lambda u: (score[u], u))
                 positives.update(u for u in able if u == best or lead[u] > 1.0 and score[u] > 0.6 * score[best] > 0)
         negatives |= {max(b, key=lambda u: (score[u], u)) for b in clean}
+        if turn:
+            negatives |= {max(b, key=lambda u: (score[u], u)) for b, k in zip(near, y, strict=True) if b and not k}
         negatives = {u for u in negatives if not positives[u]}
         # gapped, doubled and interrupted forms of the surest units count as toxic, too
         for u in sorted(positives, key=lambda u: (-positives[u], u))[:200]:
@@ -261,9 +309,12 @@ def fit(texts: list[tuple[str, int]], *, landmarks: int = 240, c: float = 4.0, r
         label = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
         size = np.array([float(np.sqrt(positives[u])) for u in sorted(positives)] + [min(3.0, float(np.sqrt(max(1, seen[0][u])))) for u in sorted(negatives)])
         w, bias = _svm(mapped(units), label, size, c)
-        model = Model(letters, marks.index, marks.fold(root @ w), bias, 1.0, 0.0)
-        score = dict(zip(every, (subsequence_sums(coded, model.table()) + bias).tolist(), strict=True))
-    best = np.array([max((score[u] for u in b), default=_EMPTY) for b in bags])
+        model = Model(letters, marks.index, marks.fold(root @ w), bias, 1.0, 0.0, plain, phrases)
+        table, score = model.table(), {}
+        for i in range(0, len(scored), step_of):
+            part = scored[i : i + step_of]
+            score.update(zip(part, (subsequence_sums(encode_units(part, letters), table) + bias).tolist(), strict=True))
+    best = np.array([max((score[u] for u in (*b, *more)), default=_EMPTY) for b, more in zip(bags, near, strict=True)])
     model.slope, model.offset = _logistic(best, y)
     return model
 
@@ -279,6 +330,10 @@ class _Scorer:
     def __init__(self, model: Model):
         self.model, self.table = model, model.table()
         self.words, self.scores = pa.array([], pa.string()), np.zeros(0)
+        self.plain = None if model.plain is None else pa.array(sorted(model.plain), pa.string())
+        self.phrase_words = pa.array(sorted({w for p in model.phrases for w in p}), pa.string())
+        number = {w: i for i, w in enumerate(self.phrase_words.to_pylist())}
+        self.phrases = np.array(sorted(number[a] * len(number) + number[b] for a, b in model.phrases), np.int64)
 
     def units(self, units: list[str]) -> np.ndarray:
         return subsequence_sums(encode_units(units, self.model.letters), self.table) + self.model.bias
@@ -292,6 +347,39 @@ class _Scorer:
             score[mixed] = np.maximum(score[mixed], self.units(bare.to_pylist()))
         return score
 
+    def known(self, words: pa.Array) -> np.ndarray:
+        """Scores of distinct words, kept for later batches."""
+        where = pc.index_in(words, value_set=self.words)
+        if where.null_count:
+            if len(self.words) + where.null_count > KNOWN_LIMIT:
+                self.words, self.scores = pa.array([], pa.string()), np.zeros(0)
+                where = pa.nulls(len(words), pa.int32())
+            new = words.filter(pc.is_null(where))
+            self.words = pa.concat_arrays([self.words, new])
+            self.scores = np.concatenate([self.scores, self._score(new)])
+            where = pc.index_in(words, value_set=self.words)
+        return self.scores[where.to_numpy()]
+
+    def joined(self, words: pa.Array, code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and scores of the units of two neighbours; ``code``: numbers in ``words`` of all words in order."""
+        inside = np.ones(len(code) + 1, bool)
+        inside[off] = False
+        size = pc.utf8_length(words).to_numpy()
+        plain = pc.is_in(words, value_set=self.plain).to_numpy(zero_copy_only=False)
+        a, b = code[:-1], code[1:]
+        take = ~(plain[a] & plain[b]) & (size[a] + size[b] <= MAX_JOIN)
+        if len(self.phrases):
+            w = pc.fill_null(pc.index_in(words, value_set=self.phrase_words), -1).to_numpy().astype(np.int64)
+            take |= (w[a] >= 0) & (w[b] >= 0) & np.isin(w[a] * len(self.phrase_words) + w[b], self.phrases)
+        at = np.flatnonzero(take & inside[1:-1] & (size[a] > 0) & (size[b] > 0))
+        pair, which = np.unique(a[at].astype(np.int64) * len(words) + b[at], return_inverse=True)
+        each = np.full(len(pair), _EMPTY)
+        for i in range(0, len(pair), KNOWN_LIMIT // 5):
+            part = pair[i : i + KNOWN_LIMIT // 5]
+            text = pc.binary_join_element_wise(words.take(pa.array(part // len(words))), words.take(pa.array(part % len(words))), "").dictionary_encode()
+            each[i : i + len(part)] = self.known(text.dictionary)[text.indices.to_numpy()]
+        return np.searchsorted(off, at, side="right") - 1, each[which]
+
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if texts.null_count:
             texts = pc.fill_null(texts, "")
@@ -300,20 +388,14 @@ class _Scorer:
         off -= off[0]
         words = pc.utf8_trim(chunks.flatten(), characters=EDGE)
         coded = words.dictionary_encode()
-        where = pc.index_in(coded.dictionary, value_set=self.words)
-        if where.null_count:
-            if len(self.words) + where.null_count > KNOWN_LIMIT:
-                self.words, self.scores = pa.array([], pa.string()), np.zeros(0)
-                where = pa.nulls(len(coded.dictionary), pa.int32())
-            new = coded.dictionary.filter(pc.is_null(where))
-            self.words = pa.concat_arrays([self.words, new])
-            self.scores = np.concatenate([self.scores, self._score(new)])
-            where = pc.index_in(coded.dictionary, value_set=self.words)
-        each = self.scores[where.to_numpy()[coded.indices.to_numpy()]] if len(words) else np.zeros(0)
+        code = coded.indices.to_numpy()
+        each = self.known(coded.dictionary)[code] if len(words) else np.zeros(0)
         best = np.full(len(texts), _EMPTY)
         some = np.flatnonzero(off[1:] > off[:-1])
         if len(some):
             best[some] = np.maximum.reduceat(each, off[some])
+        if self.plain is not None and len(code) > 1:
+            np.maximum.at(best, *self.joined(coded.dictionary, code, off))
         single = pc.equal(pc.utf8_length(words), 1).to_numpy(zero_copy_only=False)
         if single.any():
             # runs of one-letter words within a text

@@ -88,3 +88,26 @@ def test_long_labelled_texts_displace_no_others(spark):
     assert all(r.predicted == int(r.doc_id % 5 == 0) for r in got)
     only = X.fit_toxicity(d, truth.where(X.F.col("doc_id").isin(first)), class_bytes=1000)
     assert only.slope > 0  # one long text of each class is still both classes
+
+
+def test_neighbouring_words(fitted):
+    """An insult cut in two, and abuse made of words that are clean alone."""
+    import pyarrow as pa
+
+    model = fitted[2]
+    scorer = X._Scorer(model)
+    p = model.probability(scorer(pa.array(["you id iot", "such an idi ot here", "id", "iot", "some id", "the iot device"])))
+    assert (p[:2] > 0.3).all() and (p[2:] < 0.3).all()
+    assert np.allclose(scorer(pa.array(["you id", "iot"])), scorer(pa.array(["you id", "iot", None, ""]))[:2])
+
+    rng = np.random.default_rng(1)
+    words = [f"{a}{b}" for a in ("lam", "ter", "son", "gri") for b in ("pel", "dun", "fay", "kos", "wim")]
+    texts = []
+    for i in range(900):
+        w = rng.choice(words, 14).tolist()
+        w = [x for k, x in enumerate(w) if not (k and w[k - 1] == "lampel" and x == "griwim")]
+        texts.append((" ".join([*w[:5], "lampel", "griwim", *w[5:]] if i % 3 == 0 else ["griwim", *w, "lampel"]), int(i % 3 == 0)))
+    clean_words = X.fit(texts[:600])
+    assert clean_words.phrases >= {("lampel", "griwim")}
+    got = clean_words.probability(X._Scorer(clean_words)(pa.array([t for t, _ in texts[600:]]))) >= 0.3
+    assert np.mean(got == np.array([k for _, k in texts[600:]], bool)) > 0.95
