@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -19,19 +20,29 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    It lies below ``spark.checkpoint.dir``. Only where that setting is absent
-    (tests, one machine) a temporary folder is made and set for the session.
+    It lies below ``spark.checkpoint.dir``. Where neither that setting nor the context's checkpoint folder is set, a
+    temporary folder is made for a session on one machine; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if sc.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="bitloom-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/bitloom-{spark.sparkContext.applicationId}"
 
 
+_RELEASED_AT_EXIT: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in this application's folder, which is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RELEASED_AT_EXIT:
+        _RELEASED_AT_EXIT.add(app)
+        atexit.register(_release_at_exit, spark)
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
@@ -44,16 +55,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._bitloom_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables this application wrote to the shared folder."""
+def _delete(spark: SparkSession, uri: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path = jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that no later result is read from."""
+    for df in tables:
+        _delete(df.sparkSession, df._bitloom_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application wrote to the shared folder."""
+    _delete(spark, shared_dir(spark))
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            release(spark)
+
+
 BATCH_BYTES = 8 << 20
 #: Called when a task of another stage starts, to drop what the worker process has kept.
 AT_STAGE_START: list[Callable[[], object]] = []
