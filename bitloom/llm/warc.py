@@ -8,11 +8,17 @@ task attempt and only files in the manifest, written by the same tasks, are read
 Salvage: every member must inflate with its CRC, start with a version line, have the stated
 length, end in an empty line and match its block digest. After a failed check the reader looks for
 the next gzip magic whose member starts with a version line, or, in plain files, the next version
-line, goes on from there, and logs the byte gap with its reason. Memory is one record and a window.
+line with a header after it, goes on from there, and logs the byte gap with its reason. Memory is
+one record of at most ``max_record`` bytes, however much a damaged header or member claims, and a
+window; larger records are gaps.
 
 Scale: pages are not shuffled. Digests (32 bytes and an id) are pre-aggregated per task; the table
 of payloads that occur more than once is written, and Spark broadcasts it only if its files are
-below the broadcast threshold, else it joins by digest, where AQE can split a hot digest.
+below the broadcast threshold, else it joins by digest, where AQE can split a hot digest. Pages
+without a digest (small or null payloads) are dealt by row there, not by one null key.
+
+Rows: null html is an empty payload; very long html is one record, written and read whole; pages
+with equal ids and payloads (ties) are all responses; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +39,11 @@ MANIFEST = "path string, records long, bytes long"
 RECORD = "path string, at long, size long, kind string, reason string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = b"WARC/1."
+_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
 _GZIP = b"\x1f\x8b\x08"
+#: Where a member or a record may start after damage, whatever comes before it; a match is shorter than _REACH bytes.
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n(?=[A-Za-z])")
+_REACH = 12
 WINDOW = 1 << 20
 
 
@@ -109,11 +119,11 @@ def write_archives(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_c
     is, or is a response. An empty table gives no file.
     """
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    d = d.withColumn("digest", F.when(F.octet_length(F.coalesce("html", F.lit(""))) >= min_revisit, F.unhex(F.sha2(payload, 256))))
+    d = d.withColumn("digest", F.when(F.octet_length(F.coalesce("html", F.lit(""))) >= min_revisit, F.unhex(F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256))))
     shared = d.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     shared = materialize(shared, "shared-payloads")
-    joined = d.join(shared, "digest", "left")
+    # a key that no digest equals, so that pages without one don't meet in one task
+    joined = d.withColumn("key", F.coalesce("digest", F.monotonically_increasing_id().cast("string").cast("binary"))).join(shared.withColumnRenamed("digest", "key"), "key", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     rows = joined.select("page_id", "url", "html", "first", revisit.alias("revisit"))
     return materialize(rows.mapInArrow(_write(_uri(uri), date, level, max_bytes), MANIFEST), "manifest")
@@ -129,8 +139,10 @@ class Damaged(ValueError):
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """(headers in lower case, block, bytes used) of the record at the start of ``data``; checks length, end and digest."""
     cut = data.find(b"\r\n\r\n")
-    if not data.startswith(_VERSION) or cut < 0:
-        raise Damaged("no version line" if not data.startswith(_VERSION) else "header does not end")
+    if not _LINE.match(data):
+        raise Damaged("no version line")
+    if cut < 0:
+        raise Damaged("header does not end")
     headers: dict[str, str] = {}
     for line in data[:cut].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -138,7 +150,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
             raise Damaged("malformed header")
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
-    if not re.fullmatch(r"[0-9]+", length):
+    if not re.fullmatch(r"[0-9]{1,18}", length):
         raise Damaged("no content length")
     start, end = cut + 4, cut + 4 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
@@ -158,17 +170,19 @@ class Salvage:
         self.gaps: list[tuple[int, int, str]] = []
 
     def _inflate(self, at: int, enough: int | None = None) -> tuple[bytes, int]:
-        """The member at ``at`` (or its first ``enough`` bytes) and where it ends."""
-        z, out, pos, got = zlib.decompressobj(31), [], at, 0
+        """The member at ``at`` (or its first ``enough`` bytes) and where it ends; no step inflates to more than a window."""
+        z, out, pos, got, step = zlib.decompressobj(31), [], at, 0, WINDOW if enough is None else 4096
+        data = b""
         while True:
-            chunk = self.file.read_at(min(WINDOW, self.size - pos), pos)
-            if not chunk:
-                raise Damaged("member is cut off")
+            if not data:
+                data = self.file.read_at(min(step, self.size - pos), pos)
+                pos += len(data)
+            ended = not data
             try:
-                out.append(z.decompress(chunk, enough or 0))
+                out.append(z.decompress(data, enough or step))
             except zlib.error as e:
                 raise Damaged(f"gzip: {e}") from None
-            pos += len(chunk)
+            data = z.unconsumed_tail
             got += len(out[-1])
             if z.eof:
                 return b"".join(out), pos - len(z.unused_data)
@@ -176,24 +190,28 @@ class Salvage:
                 return b"".join(out), pos
             if got > self.max_record:
                 raise Damaged("member is too large")
+            if ended and not out[-1]:
+                raise Damaged("member is cut off")
 
     def _plain(self, at: int) -> tuple[bytes, int]:
         """The bytes of the plain record at ``at``, as its header states them."""
         head = self.file.read_at(min(WINDOW, self.size - at), at)
-        m = re.search(rb"\r\n(?i:content-length):[ \t]*([0-9]+)[ \t]*\r\n", head)
+        m = re.search(rb"\r\n(?i:content-length):[ \t]*([0-9]{1,18})[ \t]*\r\n", head)
         cut = head.find(b"\r\n\r\n")
         if not m or cut < 0 or m.start() > cut:
             raise Damaged("no content length")
         end = at + cut + 4 + int(m[1]) + 4
         if end > self.size:
             raise Damaged("record is cut off")
+        if end - at > self.max_record:
+            raise Damaged("record is too large")
         return self.file.read_at(end - at, at), end
 
     def _next(self, at: int) -> int:
         """The next place from ``at`` on where a member or record seems to start, or the end."""
         while at < self.size:
             window = self.file.read_at(min(WINDOW, self.size - at), at)
-            for m in re.finditer(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.", window):
+            for m in _START.finditer(window):
                 if m[0] != _GZIP:
                     return at + m.start()
                 try:
@@ -203,7 +221,7 @@ class Salvage:
                     continue
             if at + len(window) >= self.size:
                 break
-            at += len(window) - 7
+            at += len(window) - _REACH
         return self.size
 
     def records(self) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -236,10 +254,10 @@ def describe(headers: dict[str, str], block: bytes) -> tuple:
     n, digest = len(payload), hashlib.sha256(payload).hexdigest()
     kind = headers.get("warc-type", "")
     if kind == "revisit":
-        m = re.search(rb"(?i)content-length:[ \t]*([0-9]+)", block[: max(cut, 0)])
+        m = re.search(rb"(?i)content-length:[ \t]*([0-9]{1,18})(?![0-9])", block[: max(cut, 0)])
         n = int(m[1]) if m else None
         digest = headers.get("warc-payload-digest", "").removeprefix("sha256:") or None
-    number = lambda name: int(v) if re.fullmatch(r"-?[0-9]+", v := headers.get(name, "")) else None
+    number = lambda name: int(v) if re.fullmatch(r"-?[0-9]{1,18}", v := headers.get(name, "")) else None
     return kind, number("x-page-id"), headers.get("warc-target-uri"), n, digest, number("x-refers-to-page-id")
 
 

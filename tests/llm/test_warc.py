@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 
@@ -73,3 +74,45 @@ def test_checks():
     assert [x for x in W.Salvage(Bytes(b"")).records()] == []
     s = W.Salvage(Bytes(b"garbage only"))
     assert list(s.records()) == [] and s.gaps == [(0, 12, "neither a member nor a version line")]
+
+
+@pytest.mark.parametrize("stray", [b"\n", b"x", b"\r\n", b"WARC/1.", b"\x1f\x8b\x08"])
+@pytest.mark.parametrize("packed", [True, False])
+def test_stray_bytes_cost_no_record(stray, packed):
+    parts = [W.gzip_member(r, 6) if packed else r for r in RECORDS]
+    data = stray + stray.join(parts)
+    s = W.Salvage(Bytes(data))
+    assert [h["x-page-id"] for _, _, h, _ in s.records()] == [str(i) for i in range(20)]
+    assert sum(b - a for a, b, _ in s.gaps) == 20 * len(stray)
+
+
+def test_claims_of_damaged_headers_take_no_memory():
+    """A length that is false, absurd or over the limit is a gap; records after it come back."""
+    after = b"".join(RECORDS[1:3])
+    for length in (b"99999", b"9" * 5000, b"-5", b"60000000"):
+        bad = RECORDS[0].replace(b"Content-Length: %d" % (len(RECORDS[0].split(b"\r\n\r\n", 1)[1]) - 4), b"Content-Length: " + length)
+        assert length in bad
+        s = W.Salvage(Bytes(bad + after + b" " * 200_000), max_record=100_000)
+        assert [h["x-page-id"] for _, _, h, _ in s.records()] == ["1", "2"] and s.gaps
+
+
+def test_inflating_stops_at_the_limit(monkeypatch):
+    bomb = W.gzip_member(b"WARC/1.1\r\nContent-Length: 5\r\n\r\n" + bytes(300 << 20), 9)
+    s = W.Salvage(Bytes(bomb + W.gzip_member(RECORDS[1], 6)), max_record=8 << 20)
+    tracemalloc.start()
+    assert [h["x-page-id"] for _, _, h, _ in s.records()] == ["1"]
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def test_pages_without_digest_are_dealt_by_row(spark):
+    rows = [(i, "u", None if i % 2 else "z" * 120) for i in range(400)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        uri = fresh_path(spark, "w")
+        got = W.read_archives(spark, uri, W.write_archives(d, uri)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(i, "response" if i % 2 or i == 0 else "revisit", None if i % 2 or i == 0 else 0) for i in range(400)]
