@@ -9,9 +9,10 @@ into new, fewer groups, where best-fit decreasing runs again. This repeats until
 or nothing is released, so the waste of the partition borders goes as well.
 
 Scale: texts are tokenised where they are read, in one narrow pass; only rows of seven numbers
-are shuffled. A group has about ``group_size`` rows whatever the input, and rounds shrink
-geometrically. The driver sees one row per group and the histogram of lengths (at most ``size``
-rows).
+are shuffled. Rows are dealt by their place in the table, not by their id, so repeated or null ids
+spread like all others: a group has about ``group_size`` rows whatever the input, and rounds shrink
+geometrically. The driver sees counts only, and for :func:`certificate` the histogram of lengths (at
+most ``size`` rows).
 """
 
 from __future__ import annotations
@@ -129,20 +130,23 @@ def _pack(size: int, last: bool, loose: float, release: int):
 
 
 def pack(found: DataFrame, *, size: int = 2048, group_size: int = 50_000, max_rounds: int = 8, loose: float = 0.99, release: int = 16) -> DataFrame:
-    """Rows of ``found`` (PIECE columns) with sequence_id and offset.
+    """Rows of ``found`` (PIECE columns) with sequence_id, offset and certified.
 
     Every row gets a place; ties and repeated rows are separate items. An empty table stays empty.
+    ``certified``: the row's group, when it was packed for good, used no more sequences than its lower
+    bound. False in the last of ``max_rounds`` rounds says that the group may hold a gap.
     """
     done: list[DataFrame] = []
     n = found.count()
     for round_ in range(max_rounds):
         groups = max(1, -(-n // group_size))
         last = groups == 1 or round_ == max_rounds - 1
-        dealt = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(groups)))
+        # a number of the row itself, so that equal ids and pieces don't meet in one group
+        dealt = found.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups)))
         schema = f"{PIECE}, part long, bin long, offset long, open boolean, bins long, bound long"
         packed = materialize(dealt.groupBy("part").applyInArrow(_pack(size, last, loose, release), schema), f"packed{round_}")
         number = F.lit(round_ * 2**56) + F.col("part") * F.lit(2**24) + F.col("bin")
-        done.append(packed.where("not open").select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset"))
+        done.append(packed.where("not open").select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset", (F.col("bins") == F.col("bound")).alias("certified")))
         if last:
             break
         found = packed.where("open").select(*(f.split()[0] for f in PIECE.split(", ")))
@@ -166,7 +170,13 @@ def certificate(packed: DataFrame, size: int = 2048) -> tuple[int, int]:
 
 
 def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer_path: str | None = None, group_size: int = 50_000) -> DataFrame:
-    """Tokenise, cut and pack ``docs``. Null and empty texts are one end id; null ids are kept."""
+    """Tokenise, cut and pack ``docs``.
+
+    Null and empty texts are one end id; very long texts are cut into pieces and packed whole; null ids
+    and repeated rows are kept, each with a place of its own; texts of equal length (ties) are packed in
+    the order they come. An empty table gives no rows. Columns besides the id and the text are
+    ignored, whatever their names.
+    """
     found = materialize(token_pieces(docs, size=size, end_id=end_id, tokenizer_path=tokenizer_path), "pieces")
     return pack(found, size=size, group_size=group_size)
 

@@ -118,3 +118,14 @@ def test_exchange_between_groups(spark):
 def test_odd_rows(odd_docs, no_docs):
     check(P.pack_documents(odd_docs).collect(), [(r.doc_id, r.text) for r in odd_docs.collect()])
     assert P.pack_documents(no_docs).count() == 0
+
+
+def test_one_id_for_all_rows_spreads_over_the_groups(spark):
+    """Equal and null ids with one piece number are dealt like any others."""
+    found = spark.range(3000).selectExpr("if(id % 2 = 0, 7L, cast(null as long)) doc_id", "0 piece", "0L start", "1 + id % 900 length", "0L ids_crc32")
+    packed = P.pack(found, group_size=300)
+    assert packed.count() == 3000
+    used, bound = P.certificate(packed)
+    assert bound <= used <= bound + 2
+    sequences = packed.groupBy(P.F.floor(P.F.col("sequence_id") / 2**24).alias("group")).count().collect()
+    assert max(r["count"] for r in sequences) < 450  # no group took more than its share
