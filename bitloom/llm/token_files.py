@@ -9,8 +9,9 @@ the tokenizer into files of at most about ``max_ids`` ids. A file's name holds t
 only files named in the manifest, which is written by the same tasks, are read; so a repeated or
 lost attempt leaves no trace in the result. Reading streams a million ids at a time.
 
-Scale: one shuffle of the texts by range (ordered output needs it), then narrow. The driver sees
-one manifest row per file.
+Scale: one shuffle of the texts by range (ordered output needs it), then narrow. Ranges go by id,
+text hash and row number, so rows with one id or none, even equal ones, are split like others. The
+driver sees one manifest row per file.
 """
 
 from __future__ import annotations
@@ -163,14 +164,17 @@ def _write(path: str, uri: str, end_id: int, max_ids: int):
 def write_token_files(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, max_ids: int = 1 << 25, tokenizer_path: str | None = None) -> DataFrame:
     """Write ``docs`` below ``uri`` (a folder of the shared store) and return the manifest.
 
-    Null ids come first; null and empty texts are one end id; repeated rows are separate documents;
-    an empty table gives no file.
+    Null ids come first; null and empty texts are one end id; very long texts are written whole; rows with one
+    id (ties) are separate documents in the order of their texts' hashes; an empty table gives no
+    file. Columns besides the id and the text are ignored, whatever their names.
     """
     if "://" not in uri:
         uri = uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialize(ordered.mapInArrow(_write(tokenizer_path or tokens.default_path(), uri, end_id, max_ids), MANIFEST), "manifest")
+    # the row number only splits equal rows, so it needn't be the same in another run
+    keyed = slim.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "text")
+    return materialize(ordered.select("doc_id", "text").mapInArrow(_write(tokenizer_path or tokens.default_path(), uri, end_id, max_ids), MANIFEST), "manifest")
 
 
 def _read(uri: str):

@@ -63,10 +63,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     uri = fresh_path(spark, "t")
     rows = TF.read_token_files(spark, uri, TF.write_token_files(odd_docs, uri)).collect()
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    # equal ids have no order among themselves, so their sums are compared
     got, want = check(rows, docs)
     assert sorted(r[2:] for r in got) == sorted(r[2:] for r in want) and sum(r[2] for r in got) == sum(r[2] for r in want)
     spans = sorted((r[1], r[1] + r[2]) for r in got)
     assert [s[0] for s in spans] == [0, *(s[1] for s in spans[:-1])]
     uri = fresh_path(spark, "t")
     assert TF.read_token_files(spark, uri, TF.write_token_files(no_docs, uri)).count() == 0
+
+
+def test_one_id_for_all_rows(spark):
+    """Rows with one id are split over tasks, and their order is the same however the table is dealt."""
+    texts = [f"text number {i % 50}" for i in range(600)]
+    d = spark.createDataFrame([(7 if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = []
+    for parts in (3, 5):
+        uri = fresh_path(spark, "t")
+        manifest = TF.write_token_files(d.repartition(parts), uri)
+        assert manifest.count() > 1 and max(r.n_docs for r in manifest.collect()) < 400
+        found.append(sorted(map(tuple, TF.read_token_files(spark, uri, manifest).collect()), key=lambda r: r[1]))
+    assert found[0] == found[1] and len(found[0]) == 600 and [r[0] for r in found[0]] == [None] * 200 + [7] * 400
