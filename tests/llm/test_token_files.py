@@ -76,9 +76,11 @@ def test_one_id_for_all_rows(spark):
     texts = [f"text number {i % 50}" for i in range(600)]
     d = spark.createDataFrame([(7 if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
     found = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     for parts in (3, 5):
         uri = fresh_path(spark, "t")
         manifest = TF.write_token_files(d.repartition(parts), uri)
         assert manifest.count() > 1 and max(r.n_docs for r in manifest.collect()) < 400
         found.append(sorted(map(tuple, TF.read_token_files(spark, uri, manifest).collect()), key=lambda r: r[1]))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found[0] == found[1] and len(found[0]) == 600 and [r[0] for r in found[0]] == [None] * 200 + [7] * 400
