@@ -6,9 +6,17 @@ addresses (octets), and calendar dates in six notations. Each value is an elemen
 domain (card payloads of n digits, days from 1900 to 2099, ...). A balanced Feistel network of ten
 rounds, keyed by BLAKE2b, permutes the smallest even power of two that holds the domain, and cycle
 walking stays inside it, so the pseudonym is valid, has the same format, and equal values get equal
-pseudonyms in all documents (a date in two notations becomes one day in both). A value that other
-numbers or words follow is found by trying shorter readings (:func:`readings`). With the key,
-:func:`restore` inverts it (days and months written without a leading zero may come back with one).
+pseudonyms in all documents:
+
+* a date becomes one day in all notations. Days up to the 12th become such days and later ones later
+  ones, so that numbers with slashes are read as day and month in the order they were;
+* addresses are equal whatever their letters' case, which the pseudonym keeps place by place.
+
+No address, date, IP address or foreign phone number stays as it is (:meth:`Permutation.move`); other kinds
+have domains of 10^9 and more, where one value in that many may. A value that other numbers or words
+follow is found by trying shorter readings (:func:`readings`). With the key, :func:`restore` inverts it
+(days and months written without a leading zero may come back with one, and a month whose pseudonym
+is May may come back shortened).
 
 Scale: one narrow Arrow pass per row, no shuffle and no table of pseudonyms: linkage comes from the
 permutation. The key is a parameter and must be kept secret in production.
@@ -16,6 +24,7 @@ permutation. The key is a parameter and must be kept secret in production.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -59,6 +68,14 @@ class Permutation:
             if x < n:
                 return x
 
+    def move(self, x: int, n: int, tweak: str, inverse: bool = False) -> int:
+        """A permutation of range(n) that leaves no value in place (n > 1): a keyed step along the cycle that :meth:`apply` lays."""
+        if n < 2:
+            return x
+        step = 1 + self._round(ROUNDS, 0, f"{tweak}/{n}/step".encode(), 64) % (n - 1)
+        at = self.apply(x, n, tweak, inverse=True)
+        return self.apply((at - step if inverse else at + step) % n, n, tweak)
+
 
 # --- formats ------------------------------------------------------------------------------
 
@@ -156,18 +173,20 @@ def _phone(p: Permutation, text: str, inverse: bool) -> str | None:
     if not plus or not 8 <= len(d) <= 15 or d[0] == "0":
         return None
     rest = d[len(code) :]
-    return _refill(text, code + str(p.apply(int(rest), 10 ** len(rest), f"phone{code}", inverse)).zfill(len(rest)))
+    return _refill(text, code + str(p.move(int(rest), 10 ** len(rest), f"phone{code}", inverse)).zfill(len(rest)))
 
 
 def _ip(p: Permutation, text: str, inverse: bool) -> str | None:
     octets = text.split(".")
     if any(int(o) > 255 or o != str(int(o)) for o in octets):
         return None
-    x = p.apply(int.from_bytes(bytes(map(int, octets)), "big"), 2**32, "ip", inverse)
+    x = p.move(int.from_bytes(bytes(map(int, octets)), "big"), 2**32, "ip", inverse)
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Days up to the 12th of a month, and later ones.
+_DAYS = tuple([x for x in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(x).day > 12) == late] for late in (False, True))
 #: English month names.
 MONTHS = "January February March April May June July August September October November December".split()
 
@@ -192,10 +211,8 @@ def _date(p: Permutation, text: str, inverse: bool) -> str | None:
         return None
     if not FIRST_DAY <= x <= LAST_DAY:
         return None
-    # an all-numeric day and month that could be read both ways must stay so, or it couldn't be restored
-    numeric_slash = not names and "/" in text
-    fits = lambda v: not numeric_slash or (order == "mdy") == (datetime.date.fromordinal(v + FIRST_DAY).day <= 31 and order == "mdy") and (order == "mdy" or datetime.date.fromordinal(v + FIRST_DAY).day > 12)
-    v = datetime.date.fromordinal(FIRST_DAY + _walk(p, x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", inverse, fits))
+    days = _DAYS[d > 12]
+    v = datetime.date.fromordinal(days[p.move(bisect.bisect_left(days, x), len(days), f"date{len(days)}", inverse)])
     name = MONTHS[v.month - 1]
     if names:
         old = parts[names[0]]
@@ -212,19 +229,19 @@ def _date(p: Permutation, text: str, inverse: bool) -> str | None:
 def _email(p: Permutation, text: str, inverse: bool) -> str | None:
     local, _, domain = text.rpartition("@")
     x, n = 0, 1
-    alphabet = {"d": "0123456789", "l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    kind = [k if (k := "d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "") else "" for c in local]
-    for c, k in zip(local, kind, strict=True):
+    alphabet = {"d": "0123456789", "l": "abcdefghijklmnopqrstuvwxyz"}
+    kind = ["d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "" for c in local.lower()]
+    for c, k in zip(local.lower(), kind, strict=True):
         if k:
             x, n = x * len(alphabet[k]) + alphabet[k].index(c), n * len(alphabet[k])
     if n == 1:
         return None
-    x = p.apply(x, n, f"email@{domain.lower()}", inverse)
+    x = p.move(x, n, f"email@{domain.lower()}", inverse)
     out = []
     for c, k in zip(reversed(local), reversed(kind), strict=True):
         if k:
             x, r = divmod(x, len(alphabet[k]))
-            c = alphabet[k][r]
+            c = alphabet[k][r].upper() if "A" <= c <= "Z" else alphabet[k][r]
         out.append(c)
     return "".join(reversed(out)) + "@" + domain
 
@@ -354,8 +371,9 @@ def _run(text_col: str, key: bytes):
 def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced, and a count of each kind and spans (in the old text) added.
 
-    Existing columns with these names are replaced. Null and empty texts stay as they are.
-    Repeated rows get the same pseudonyms.
+    Existing columns with these names are replaced; others pass through. Null and empty texts stay as
+    they are; very long texts are read whole; repeated rows get the same pseudonyms. Of values that
+    start at one place (ties) the first in the order of KINDS counts. An empty table gives no rows.
     """
     docs = docs.drop(*COUNTS, "spans").withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("spans", T.StringType())])

@@ -1,3 +1,4 @@
+import functools
 import itertools
 import struct
 import zlib
@@ -15,6 +16,7 @@ from .. import oracle
 ODD = ["", "  a  b ", None, "It's <|endoftext|> a<|startoftext|>b x", "é x\x85y\x1cz  　q", "́ lead ́", "Café CAFÉ don't 123abc!!! \n\t\x0b\x0c\r end", "ΣΑΣ Σ", "�\U0001F389\U0001F389 émoji", "<|x|> <| <|ENDOFTEXT|>", "a" * 5000, "rock'n'roll we're 'S 'S a.b,c..d ., e", "יִ ﬀ Å ｆｕｌｌ 한글"]
 
 
+@functools.cache
 def library():
     from tokenizers import Tokenizer
 
