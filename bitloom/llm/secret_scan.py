@@ -4,20 +4,24 @@ Two layers run over every whole text:
 
 * base patterns, leftmost and non-overlapping per kind: ``assign`` (a sensitive name, = or :, a
   value of 8 characters or more), ``access`` (AKIA keys) and ``hex`` (runs of 32 or more);
-* a lexer for source and configuration syntax. It cuts the text into names, string literals,
-  bare values and operators, pairs names with literals (``name = "x"``, ``"name": "x"``,
-  ``name: type = "x"``, ``call(name="x")``, ``NAME=x``, ``<name>x</name>``), joins ``"a" + "b"``,
-  propagates constants (``A = "x"``, later ``password = A``), and scores each literal by how
-  sensitive its target name is and how random the literal looks. Literals that reach the
+* a lexer for source and configuration syntax. It cuts the text into names, string literals
+  (also triple-quoted ones), bare values and operators, pairs names with literals (``name = "x"``,
+  ``"name": "x"``, ``name: type = "x"``, ``call(name="x")``, ``NAME=x``, ``<name>x</name>``,
+  ``Authorization: Bearer x``), joins ``"a" + "b"``, propagates constants (``A = "x"``, later
+  ``password = A``) within the braces or the ``def`` that they are set in, and scores each literal
+  by how sensitive its target name is and how random the literal looks. Literals that reach the
   threshold become ``lexed`` spans at the place where they are written. Apostrophes and other
   stray quotes open no string, and strings that hold assignments are lexed inside, too.
 
-Scale: one narrow Arrow pass per row, no shuffle; work is linear in the text, and texts without
-a sensitive stem or an assignment sign skip the lexer.
+Scale: one narrow Arrow pass per row, no shuffle. Work and memory are linear in the text, whatever
+it holds: a quote that doesn't close is tried once per line, joined values share their parts, and a
+value is judged by its first ``JUDGED`` characters (its span is whole). Texts without a sensitive stem or an
+assignment sign skip the lexer.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -36,7 +40,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _NAMED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Sensitivity of words, and of neighbouring word pairs, in a target name.
-NAME_WORDS = {"password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "passcode": 3.0, "secret": 3.0, "apikey": 3.0, "token": 2.5, "credential": 2.0, "credentials": 2.0, "auth": 1.5, "bearer": 2.0}
+NAME_WORDS = {"password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "passcode": 3.0, "secret": 3.0, "apikey": 3.0, "token": 2.5, "credential": 2.0, "credentials": 2.0, "auth": 1.5, "authorization": 2.5, "bearer": 2.0}
 NAME_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("account", "key"), ("client", "secret")}
 #: Words that say a name holds something about a secret, not the secret.
 NAME_AGAINST = {"url", "uri", "path", "file", "field", "label", "hint", "policy", "type", "length", "count", "limit", "name", "public", "prompt", "regex", "pattern", "header"}
@@ -45,12 +49,19 @@ THRESHOLD = 4.0
 
 _STEM = re.compile(r"(?ai:passw|pwd|passphrase|passcode|secret|token|key|credential|auth|bearer)")
 _TOKEN = re.compile(
-    r"(?P<string>\"(?:[^\"\\\n]|\\.)*+\"|(?:(?<![^\W_])|(?<=\b[bBfFrRuU])|(?<=\b[bBfFrR]{2}))'(?:[^'\\\n]|\\.)*+'|`[^`\n]*`)"
+    r"(?P<quote>[\"'`])"
     r"|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)"
     r"|(?P<op>:=|=>|===?|!=|[=:+])"
     r"|(?P<line>\n)"
     r"|(?P<other>[^\s])"
 )
+_CLOSED = {'"': re.compile(r'"(?:[^"\\\n]|\\.)*+"'), "'": re.compile(r"'(?:[^'\\\n]|\\.)*+'"), "`": re.compile(r"`[^`]*+`")}
+#: A single quote opens a string unless a letter or digit comes before it that is no prefix of a literal.
+_OPENS = re.compile(r"(?:(?<![^\W_])|(?<=\b[bBfFrRuU])|(?<=\b[bBfFrR]{2}))'")
+_SCHEME = re.compile(r"(?i)(?:bearer|basic|token)[ \t]+(?=[^\s])")
+_DEF = re.compile(r"[ \t]*+(?:async[ \t]+)?def[ \t]")
+_INDENT = re.compile(r"[ \t]*+(?=[^\s])")
+JUDGED = 512
 _BARE = re.compile(r"[^\s\"'`,;{}()\[\]<>]+")
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)>([^<\s]{6,})</")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -87,79 +98,197 @@ def _stray(text: str, a: int, b: int) -> bool:
 
 
 def lex(text: str) -> list[tuple[str, int, int]]:
-    tokens, at = [], 0
+    """(kind, start, end) of names, strings, operators, line ends and other characters, in order."""
+    tokens: list[tuple[str, int, int]] = []
+    #: Up to where a quote of its kind is known to open no string: it doesn't close in this line, or closes as a stray one.
+    closed_till = {'"': -1, "'": -1, "`": -1, '"""': -1, "'''": -1}
+    at = 0
     while m := _TOKEN.search(text, at):
         kind, a, at = m.lastgroup, m.start(), m.end()
-        if kind == "string" and text[a] != "`" and _stray(text, a, at):
-            kind, at = "other", a + 1
+        if kind == "quote":
+            kind, q = "other", text[a]
+            if q != "`" and text.startswith(3 * q, a) and closed_till[3 * q] <= a:
+                end = text.find(3 * q, a + 3)
+                if end >= 0:
+                    kind, at = "string", end + 3
+                else:
+                    closed_till[3 * q] = len(text)
+            if kind == "other" and closed_till[q] <= a and (q != "'" or _OPENS.match(text, a)):
+                got = _CLOSED[q].match(text, a)
+                if got is None:
+                    end = text.find("\n", a) if q != "`" else -1
+                    closed_till[q] = end if end >= 0 else len(text)
+                elif q != "`" and _stray(text, a, got.end()):
+                    closed_till[q] = got.end() - 1
+                else:
+                    kind, at = "string", got.end()
         tokens.append((kind, a, at))
     return tokens
 
 
-def lex_pairs(text: str) -> list[tuple[str, str, bool, list[tuple[int, int]]]]:
-    """(name, value, quoted, places of its literals), in the order of assignment, constants propagated."""
-    found: list[tuple[str, str, bool, list[tuple[int, int]]]] = []
-    known: dict[str, tuple[str, bool, list[tuple[int, int]]]] = {}
+def _inside(text: str, a: int, b: int) -> tuple[int, int]:
+    """Where the content of the string at a:b is."""
+    k = 3 if b - a >= 6 and text[a] != "`" and text.startswith(3 * text[a], a) and text.endswith(3 * text[a], a, b) else 1
+    return a + k, b - k
+
+
+class Value:
+    """A literal or a joined value. ``parts``: places in the text and other values; shared, never copied."""
+
+    __slots__ = ("text", "quoted", "parts", "score")
+
+    def __init__(self, text: str, quoted: bool, parts: tuple):
+        self.text, self.quoted, self.parts = text[:JUDGED], quoted, parts
+        self.score: float | None = None
+
+    def judged(self) -> float:
+        if self.score is None:
+            self.score = value_score(self.text, self.quoted)
+        return self.score
+
+
+def places(value: Value, seen: set[int]) -> list[tuple[int, int]]:
+    """The literals that ``value`` is made of, without those of values in ``seen``, which grows."""
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if id(v) not in seen:
+            seen.add(id(v))
+            for p in v.parts:
+                if isinstance(p, Value):
+                    todo.append(p)
+                else:
+                    out.append(p)
+    return out
+
+
+class _Known:
+    """Constants by name, in scopes that end with a brace or with the indentation of a ``def``."""
+
+    def __init__(self):
+        self.values: dict[str, list[Value]] = {}
+        self.scopes: list[tuple[int, list[str]]] = []  # indentation of a def, or -1 for a brace; the names set in it
+        self.braces = 0
+
+    def open(self, indent: int) -> None:
+        self.scopes.append((indent, []))
+        self.braces += indent < 0
+
+    def _end(self) -> int:
+        indent, names = self.scopes.pop()
+        self.braces -= indent < 0
+        for name in names:
+            self.values[name].pop()
+        return indent
+
+    def close_brace(self) -> None:
+        while self.braces and self._end() >= 0:
+            pass
+
+    def dedent(self, indent: int) -> None:
+        while self.scopes and self.scopes[-1][0] >= indent:
+            self._end()
+
+    def set(self, name: str, value: Value) -> None:
+        self.values.setdefault(name, []).append(value)
+        if self.scopes:
+            self.scopes[-1][1].append(name)
+
+    def get(self, name: str) -> Value | None:
+        found = self.values.get(name)
+        return found[-1] if found else None
+
+
+def lex_pairs(text: str, shift: int = 0) -> list[tuple[str, Value]]:
+    """(name, value) in the order of assignment, constants propagated; places are moved by ``shift``."""
+    found: list[tuple[str, Value]] = []
+    known = _Known()
     tokens = lex(text)
+    starts = [t[1] for t in tokens]
     n = len(tokens)
+    bare = (0, 0)  # the run of value characters last looked at
 
-    def term(i: int, end_at: int):
-        """The literal, constant or bare value at token i, as (value, quoted, places, next token)."""
+    def term(i: int) -> tuple[Value, int] | None:
+        """The literal, constant or bare value at token i, and the next token."""
+        nonlocal bare
         if i >= n:
             return None
         kind, a, b = tokens[i]
         if kind == "string":
-            return text[a + 1 : b - 1], True, [(a + 1, b - 1)], i + 1
-        if kind == "name" and text[a:b] in known:
-            value, quoted, places = known[text[a:b]]
-            return value, quoted, places, i + 1
+            x, y = _inside(text, a, b)
+            if m := _SCHEME.match(text, x, y):
+                x = m.end()
+            return Value(text[x : min(y, x + JUDGED)], True, ((x + shift, y + shift),)), i + 1
+        if kind == "name" and (value := known.get(text[a:b])) is not None:
+            return value, i + 1
         if kind == "other" and text[a] == "$" or kind in ("line", "op"):
             return None
-        m = _BARE.match(text, a)
-        if not m:
-            return None
-        j = i + 1
-        while j < n and tokens[j][1] < m.end():
-            j += 1
-        return m[0], False, [(m.start(), m.end())], j
-
+        scheme = _SCHEME.match(text, a) if kind == "name" else None
+        if scheme:
+            a = scheme.end()
+        if not bare[0] <= a < bare[1]:
+            m = _BARE.match(text, a)
+            if not m:
+                return None
+            bare = m.span()
+        end = bare[1]
+        return Value(text[a : min(end, a + JUDGED)], scheme is not None, ((a + shift, end + shift),)), max(i + 1, bisect.bisect_left(starts, end))
+
+    def after_line(a: int) -> None:
+        if m := _INDENT.match(text, a):
+            known.dedent(m.end() - a)
+            if _DEF.match(text, a):
+                known.open(m.end() - a)
+
+    after_line(0)
     i = 0
+    passed = 0  # tokens whose scopes have been followed
     while i < n:
+        while passed <= i:
+            kind, a, b = tokens[passed]
+            if kind == "line":
+                after_line(b)
+            elif kind == "other" and text[a] == "{":
+                known.open(-1)
+            elif kind == "other" and text[a] == "}":
+                known.close_brace()
+            passed += 1
         kind, a, b = tokens[i]
         if kind not in ("name", "string") or i + 2 >= n or tokens[i + 1][0] != "op":
             i += 1
             continue
-        name = text[a:b] if kind == "name" else text[a + 1 : b - 1]
+        x, y = (a, b) if kind == "name" else _inside(text, a, b)
         op = text[tokens[i + 1][1] : tokens[i + 1][2]]
-        if op == "+" or kind == "string" and op not in (":", "=>", "="):
+        if op == "+" or kind == "string" and (op not in (":", "=>", "=") or y - x > JUDGED):
             i += 1
             continue
-        j, names = i + 2, [name]
+        j, names = i + 2, [text[x : min(y, x + JUDGED)]]
         if op == ":" and kind == "name" and j + 1 < n and tokens[j][0] == "name" and text[tokens[j + 1][1] : tokens[j + 1][2]] == "=":
             names.append(text[tokens[j][1] : tokens[j][2]])
             j += 2  # name: type = value, or prose: name = value
-        got = term(j, b)
+        got = term(j)
         if got is None:
             i += 1
             continue
-        value, quoted, places, j = got
-        places = list(places)
+        value, j = got
         while j + 1 < n and tokens[j][0] == "op" and text[tokens[j][1] : tokens[j][2]] == "+":
-            more = term(j + 1, b)
+            more = term(j + 1)
             if more is None:
                 break
-            value, quoted, places, j = value + more[0], quoted and more[1], places + more[2], more[3]
-        found += [(x, value, quoted, places) for x in names]
-        if kind == "name" and op in ("=", ":=", ":") and (quoted or len(value) >= 6):
-            known |= dict.fromkeys(names, (value, quoted, places))
+            value, j = Value(value.text + more[0].text, value.quoted and more[0].quoted, (value, more[0])), more[1]
+        found += [(x, value) for x in names]
+        if kind == "name" and op in ("=", ":=", ":") and (value.quoted or len(value.text) >= 6):
+            for x in names:
+                known.set(x, value)
         # a bare "a: b = 'c'" may hold a later pair, so only strings and names taken as values are passed over
-        i = j if quoted else i + 2
+        i = j if value.quoted else i + 2
     for kind, a, b in tokens:
-        inner = text[a + 1 : b - 1] if kind == "string" else ""
-        if ("=" in inner or ":" in inner) and _STEM.search(inner):
-            found += [(name, value, quoted, [(x + a + 1, y + a + 1) for x, y in places]) for name, value, quoted, places in lex_pairs(inner)]
-    for m in _ELEMENT.finditer(text):
-        found.append((m[1], m[2], False, [m.span(2)]))
+        if kind == "string":
+            x, y = _inside(text, a, b)
+            if (text.find("=", x, y) >= 0 or text.find(":", x, y) >= 0) and _STEM.search(text, x, y):
+                found += lex_pairs(text[x:y], shift + x)
+    if not shift:
+        found += [(m[1], Value(m[2], False, (m.span(2),))) for m in _ELEMENT.finditer(text)]
     return found
 
 
@@ -167,10 +296,11 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     if not ("=" in text or ":" in text or "</" in text) or not _STEM.search(text):
         return []
     spans: set[tuple[int, int]] = set()
-    for name, value, quoted, places in lex_pairs(text):
+    seen: set[int] = set()
+    for name, value in lex_pairs(text):
         score = name_score(name)
-        if score >= 1.5 and score + value_score(value, quoted) >= THRESHOLD:
-            spans.update(p for p in places if p[1] > p[0])
+        if score >= 1.5 and score + value.judged() >= THRESHOLD:
+            spans.update(p for p in places(value, seen) if p[1] > p[0])
     return sorted(spans)
 
 
@@ -225,7 +355,9 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", redact_text: bool =
     """``docs`` with n_assign, n_access, n_hex, base_sha256 and spans added; the text redacted on request.
 
     Existing columns with these names are replaced; others pass through. Null and empty texts have
-    no spans (and stay null or empty). Repeated rows each get their own result.
+    no spans (and stay null or empty); very long texts are read whole, in linear time; repeated rows each
+    get their own result. Spans that start at one place (ties) are listed in the order of KINDS. An
+    empty table gives no rows.
     """
     docs = docs.drop(*(n for n, _ in RESULT)).withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in RESULT)])

@@ -1,7 +1,10 @@
 import hashlib
 import re
+import time
 
-from bitloom.llm.secret_scan import lexed_spans, redact, scan_secrets
+import pytest
+
+from bitloom.llm.secret_scan import base_spans, lexed_spans, redact, scan_secrets
 
 ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ORDER = {"assign": 0, "access": 1, "hex": 2}
@@ -78,3 +81,48 @@ def test_stray_quotes():
 def test_many_quotes_stay_linear():
     text = "it's pwd: 'a=" * 40_000
     assert lexed_spans(text) == []
+
+
+def test_more_syntax():
+    cases = {
+        'password = """s3cr3tV4lue9x"""': ["s3cr3tV4lue9x"],
+        "db_pwd = '''ab12\ncd34ef56'''": ["ab12\ncd34ef56"],
+        "Authorization: Bearer ab12CD34ef56GH78": ["ab12CD34ef56GH78"],
+        'headers = {"Authorization": "Bearer ab12CD34ef56GH78"}': ["ab12CD34ef56GH78"],
+        "curl -H 'Authorization: Basic dXNlcjpwYXNzMTIz' https://x.example": ["dXNlcjpwYXNzMTIz"],
+        "Authorization: required by the manager": [], "Authorization: Bearer token required": [], '""" about the password: nothing here """': [],
+        'def a():\n    K = "ab12cd34ef"\n    return 1\n\ndef b(K):\n    db_pwd = K\n': [],
+        'def a():\n    K = "ab12cd34ef"\n    db_pwd = K\n': ["ab12cd34ef"],
+        'K = "ab12cd34ef"\ndef b():\n    db_pwd = K\n': ["ab12cd34ef"],
+        'function a() { K = "ab12cd34ef"; }\nfunction b(K) { db_pwd = K; }': [],
+        'K = "ab12cd34ef";\nfunction b() { if (x) { db_pwd = K; } }': ["ab12cd34ef"],
+        'A = "ab12cd"\nB = A + "34ef56"\ndb_pwd = B + B': ["ab12cd", "34ef56"],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for a, b in lexed_spans(text)] == want, text
+
+
+@pytest.mark.parametrize("text", [
+    'token = 1 "' + '\\"a' * 330_000,
+    "token = 1 '" + "\\'a" * 330_000 + "'x",
+    "token='\"`" * 120_000,
+    "password=" * 110_000,
+    "a=" * 500_000 + "token",
+    'K0 = "ab12cd34"\n' + "".join(f"K{i + 1} = K{i} + K{i}\n" for i in range(40_000)) + "db_pwd = K40000",
+    'K0 = "ab12cd34"\n' + "".join(f"db_pwd = K{i} = K0\nK{i + 1} = K{i} + 'x'\n" for i in range(20_000)),
+    'A = "' + "x1" * 250_000 + '"\n' + "db_pwd = A\n" * 40_000,
+    "{" * 500_000 + 'token: "a"' + "}" * 500_000,
+    '"""' * 330_000 + " token=",
+    "<token>" * 140_000,
+    "pwd=\"" + "a='b:" * 200_000,
+], ids=range(12))
+def test_hostile_texts_take_linear_time(text):
+    start = time.process_time()
+    lexed_spans(text)
+    base_spans(text)
+    assert time.process_time() - start < 15
+
+
+def test_a_chain_of_constants_leads_to_its_literals():
+    text = 'K0 = "ab12cd34"\n' + "".join(f"K{i + 1} = K{i} + K{i}\n" for i in range(200)) + "db_pwd = K200"
+    assert [text[a:b] for a, b in lexed_spans(text)] == ["ab12cd34"]
