@@ -8,6 +8,14 @@
 3. Pages are read again and the text below their host's winning path is extracted. A page that
    doesn't have that path, or a page without a host, uses its own best container.
 
+Time and memory are linear in the page, whatever its markup: a tag that doesn't end is looked for
+once, open elements are counted, and paths are numbers within a page.
+
+Rows: null and empty html give an empty text; very long html is read whole, one page at a time;
+repeated rows each give a row and vote each; of equally good containers (ties) the earlier one
+counts, of equal votes the path that sorts last; an empty table gives no rows; extra columns are
+ignored, whatever their names.
+
 Scale: both passes are narrow. Votes are summed within each batch, then per task, before they are
 shuffled, so a host with a third of all pages sends a few rows per task. The winners (one row per
 host) are broadcast only up to ``broadcast_hosts`` rows; beyond, they are joined by host, where AQE
@@ -38,18 +46,48 @@ EMBEDDED = frozenset("template svg math object canvas audio video".split())
 DROPPED = frozenset("nav aside footer form button select head header menu dialog label".split())
 #: Tags whose start ends an open element of the same group.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-NEGATIVE = re.compile(r"(?i)(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?s?|sidebars?|comments?|respond|replies|disqus|cookies?|consent|gdpr|notices?|banners?|alerts?|popups?|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend(?:ed|ations)?|breadcrumbs?|pagination|pager|menus?|nav|navbar|navigation|toolbar|footers?|headers?|masthead|copyright|widgets?|login|search|skip|hidden)(?:$|[-_\s0-9])")
-NEGATIVE_ARTICLE = re.compile(r"(?i)(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?s?|comments?|respond|replies|related|recommended|teasers?)(?:$|[-_\s0-9])")
+#: Reader comments, also in names written without separators.
+_COMMENTS = r"(?:user|reader|page|post|article|blog|fb|facebook|disqus)?comments?(?:list|area|section|thread|form|box|wrapper|wrap|container|feed|block|body|text|content|item|count|meta|author|respond|reply|replies)?s?"
+NEGATIVE = re.compile(r"(?i)(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?s?|sidebars?|" + _COMMENTS + r"|respond|repl(?:y|ies)|discussions?|disqus|cookies?|consent|gdpr|notices?|banners?|alerts?|popups?|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend(?:ed|ations)?|breadcrumbs?|pagination|pager|menus?|nav|navbar|navigation|toolbar|footers?|headers?|masthead|copyright|widgets?|login|search|skip|hidden)(?:$|[-_\s0-9])")
+NEGATIVE_ARTICLE = re.compile(r"(?i)(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?s?|" + _COMMENTS + r"|respond|repl(?:y|ies)|related|recommended|teasers?)(?:$|[-_\s0-9])")
 #: Names that say what a layout has, not what the element is.
 _LAYOUT = re.compile(r"(?i)(?:has|with|no|without)[-_][a-z0-9]+")
 POSITIVE = re.compile(r"(?i)(?:^|[-_\s])(?:articles?|body|content|entry|main|page|post|text|story|blog)(?:$|[-_\s0-9])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags. A quote after = that closes hides the > inside it; others are plain characters.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>", re.S)
+#: The same where quotes hide nothing.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_MARK = re.compile(r"<[!?/a-zA-Z]")
 _ATTR = re.compile(r"(?is)(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+class _Tags:
+    """Comments, declarations and tags of a page, in order.
+
+    From the first tag on that doesn't end because of its quotes, quotes hide nothing, so all tags end at the next >. After the
+    last > there are no more tags. So no part of the page is searched more than a few times.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.pattern, self.last = source, _TOKEN, source.rfind(">")
+
+    def next(self, at: int) -> re.Match | None:
+        while m := _MARK.search(self.source, at):
+            found = self.pattern.match(self.source, m.start())
+            if found is None and m.start() < self.last and self.pattern is _TOKEN and m[0] != "</" and m[0][1] not in "!?":
+                self.pattern = _PLAIN
+                found = _PLAIN.match(self.source, m.start())
+            if found is not None:
+                return found
+            if m.start() > self.last and self.source.find("<!", m.start()) < 0 and self.source.find("<?", m.start()) < 0:
+                return None
+            at = m.start() + 1
+        return None
+
+
 def embedded_ends(source: str) -> dict[int, int]:
     """Where the content of embedded elements ends, by where it starts; none for those not closed within their parent."""
     ends: dict[int, int] = {}
@@ -63,7 +101,8 @@ def embedded_ends(source: str) -> dict[int, int]:
         opened[tag] -= 1
         return tag, start
 
-    for m in iter(lambda: _TOKEN.search(source, at), None):
+    tags = _Tags(source)
+    for m in iter(lambda: tags.next(at), None):
         at = m.end()
         if m[2] is None:
             continue
@@ -87,10 +126,18 @@ def embedded_ends(source: str) -> dict[int, int]:
     return ends
 
 
+_LONG_REFERENCE = re.compile(r"&#(?:0*+[0-9]{8,}|[xX]0*+[0-9a-fA-F]{7,});?")
+
+
+def decoded(text: str) -> str:
+    """``text`` with its character references decoded; numbers too long for a character give U+FFFD."""
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", text) if "&#" in text else text)
+
+
 class Node:
     __slots__ = ("tag", "path", "up", "first", "stop", "dropped", "factor", "score")
 
-    def __init__(self, tag: str, path: str, up: Node | None, first: int, dropped: bool, factor: float):
+    def __init__(self, tag: str, path: int, up: Node | None, first: int, dropped: bool, factor: float):
         self.tag, self.path, self.up, self.first, self.stop = tag, path, up, first, -1
         self.dropped, self.factor, self.score = dropped, factor, 0.0
 
@@ -99,7 +146,9 @@ class Page:
     """Containers and blocks of one page. ``blocks``: (text, linked characters, container or None if dropped)."""
 
     def __init__(self, source: str):
-        self.root = Node("html", "", None, 0, False, 0.6)
+        self.steps: dict[tuple[int, str], int] = {}  # number of the path that a step leads to from another path
+        self.paths: list[tuple[int, str]] = [(-1, "")]  # the last step of each path
+        self.root = Node("html", 0, None, 0, False, 0.6)
         self.nodes: list[Node] = [self.root]
         self.blocks: list[tuple[str, int, Node | None]] = []
         self._parse(source)
@@ -111,16 +160,33 @@ class Page:
                 node.score += weight * share * node.factor
                 node = node.up
 
+    def path_id(self, path: str) -> int | None:
+        """The number of a path written out, if the page has it."""
+        at = 0
+        for step in path.split(">")[1:]:
+            at = self.steps.get((at, step), -1)
+            if at < 0:
+                return None
+        return at
+
+    def path_text(self, at: int) -> str:
+        out = []
+        while at:
+            at, step = self.paths[at]
+            out.append(step)
+        return "".join(f">{x}" for x in reversed(out))
+
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, Node, bool]] = [("html", self.root, False)]  # tag, its container, whether it opened one
         parts: list[str] = []
+        opened = Counter(["html"])  # tags in the stack
         linked = depth_a = at = 0
         ends: dict[int, int] | None = None
 
         def flush() -> None:
             nonlocal linked, parts
             if parts:
-                text = " ".join(entities.unescape("".join(parts)).split())
+                text = " ".join(decoded("".join(parts)).split())
                 if text:
                     node = stack[-1][1]
                     self.blocks.append((text, min(linked, len(text)), None if node.dropped else node))
@@ -130,10 +196,12 @@ class Page:
         def close(to: int) -> None:
             while len(stack) > to:
                 tag, node, own = stack.pop()
+                opened[tag] -= 1
                 if own:
                     node.stop = len(self.blocks)
 
-        for m in iter(lambda: _TOKEN.search(source, at), None):
+        tags = _Tags(source)
+        for m in iter(lambda: tags.next(at), None):
             if m.start() > at:
                 parts.append(source[at : m.start()])
                 if depth_a:
@@ -159,9 +227,9 @@ class Page:
             if tag not in BLOCKS and tag not in DROPPED and tag != "span":
                 continue
             if closing:
-                if tag == "span" and not any(t == "span" for t, _, _ in stack):
+                if tag == "span" and not opened["span"]:
                     continue
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if opened[tag] else 0
                 if k:
                     flush()
                     close(k)
@@ -173,7 +241,7 @@ class Page:
             here = stack[-1][1]
             named = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
             bad = (
-                tag in DROPPED and not (tag == "header" and any(t in ("article", "main") for t, _, _ in stack))
+                tag in DROPPED and not (tag == "header" and (opened["article"] or opened["main"]))
                 or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
                 or "display:none" in attrs.get("style", "").replace(" ", "").lower()
                 or bool(named) and tag not in ("html", "body", "main") and bool((NEGATIVE_ARTICLE if tag == "article" else NEGATIVE).search(_LAYOUT.sub("", named)))
@@ -187,7 +255,7 @@ class Page:
             depth_a = 0
             if tag in CLOSES:
                 # only up to the list or table that this one belongs to
-                for i in range(len(stack) - 1, 0, -1):
+                for i in () if not any(opened[t] for t in CLOSES[tag]) else range(len(stack) - 1, 0, -1):
                     if stack[i][0] in CLOSES[tag]:
                         close(i)
                         break
@@ -199,16 +267,20 @@ class Page:
             if tag in CONTAINERS or bad:
                 if tag == "html":
                     continue
-                key = tag + "".join(f".{c}" for c in sorted({_DIGITS.sub("", c).strip("-_").lower() for c in attrs.get("class", "").split()} - {""}))
+                key = tag + "".join(f".{c}" for c in sorted({_DIGITS.sub("", c).strip("-_").lower() for c in attrs.get("class", "").replace(">", " ").split()} - {""}))
                 # so that a container inside doesn't beat an article with its title
                 factor = 3.0 if tag == "article" else 2.2 if tag == "main" else 0.6 if tag in ("body", "ul", "ol", "dl", "table", "tbody", "tr") else 1.0
                 if named and POSITIVE.search(named):
                     factor *= 1.3
-                node = Node(tag, f"{here.path}>{key}", here, len(self.blocks), here.dropped or bad, factor)
+                path = self.steps.setdefault((here.path, key), len(self.paths))
+                if path == len(self.paths):
+                    self.paths.append((here.path, key))
+                node = Node(tag, path, here, len(self.blocks), here.dropped or bad, factor)
                 self.nodes.append(node)
                 stack.append((tag, node, True))
             else:
                 stack.append((tag, here, False))
+            opened[tag] += 1
         if at < len(source):
             parts.append(source[at:])
         flush()
@@ -228,13 +300,13 @@ class Page:
 def votes(page: Page) -> Counter:
     """Up to 100 points for each of the page's three best containers' paths."""
     best = page.ranked()[:3]
-    return Counter({n.path: max(1, int(100 * n.score / best[0].score)) for n in reversed(best)})
+    return Counter({page.path_text(n.path): max(1, int(100 * n.score / best[0].score)) for n in reversed(best)})
 
 
 def extract(source: str, path: str | None) -> str:
     page = Page(source)
-    if path is not None:
-        text = page.text([n for n in page.nodes if n.path == path and not n.dropped])
+    if path is not None and (wanted := page.path_id(path)) is not None:
+        text = page.text([n for n in page.nodes if n.path == wanted and not n.dropped])
         if text:
             return text
     best = page.ranked()[:1]

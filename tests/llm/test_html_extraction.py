@@ -1,5 +1,8 @@
 import html
+import random
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -75,3 +78,69 @@ def test_unclosed_embedded_elements_cut_nothing(source, want):
 
 def test_many_unclosed_elements_stay_linear():
     assert H.extract("<article>" + "<p>a<video src=x>" * 20_000, None) == " ".join("a" * 20_000)
+
+
+@pytest.mark.parametrize("source", [
+    "<a " * 330_000, '<a ">" ' * 150_000, '<a x=">" ' * 110_000, "<div>" * 100_000, "<div>" * 50_000 + "</p></span><li></li>" * 30_000, "<div class=abc><video>" * 45_000, "<!--" * 250_000, "</" * 500_000, "&#" * 500_000,
+    "<div " + "class " * 160_000 + ">x", "<script>" + "</script  " * 100_000, "<a x='\"" * 120_000,
+], ids=range(12))
+def test_hostile_pages_take_linear_time(source):
+    start = time.process_time()
+    H.extract(source, None)
+    assert time.process_time() - start < 15
+
+
+def test_deep_pages_take_linear_memory():
+    used = []
+    for n in (1_000, 2_000, 4_000):
+        tracemalloc.start()
+        H.votes(H.Page("<div class='some-name'>" * n + "text here"))
+        used.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert used[2] < 5 * used[0] and used[2] < 8 << 20
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p>a&#" + "9" * 10_000 + ";b &#x" + "f" * 10_000 + "; &#0000000000000000065;</p>", "a�b � A"),
+    ('<p title="a > b">x</p><p title="a" > b">y</p>', 'x b">y'),
+    ('<div class="a>b"><p>x</p></div>', "x"),
+    ("<p>1 <2 and 3> 2 <a href='x'>l</a", "1 <2 and 3> 2 l</a"),
+    ('<p><i title="x>one</i> two <b class="c">three</b></p>', 'three'),
+    ("<p>it's <b title=\"it's\">b</b></p>", "it's b"),
+])
+def test_quotes_and_references(source, want):
+    assert H.extract(source, None) == want
+
+
+@pytest.mark.parametrize("name", ["commentlist", "comment-list", "commentsection", "comments", "userComments", "CommentThread", "post-comments", "fb-comments", "comment_body"])
+def test_reader_comments_are_no_main_text(name):
+    page = f"<div class='story'><p>The article is short.</p></div><ol class='{name}'><li>{'a comment that is much longer than the article ' * 20}</li></ol>"
+    assert H.extract(page, None) == "The article is short."
+
+
+TEMPLATES = {
+    "divs": "<div id=top class=site-header>{n}</div><div class='wrap'><div class='post post-{i}'><h1>{t}</h1>{p}</div><div class=sidebar><p>{n} {n}</p></div></div><ul class=commentlist>{c}</ul><div class=footer>{n}</div>",
+    "table": "<table><tr><td class=menu>{n}</td><td class=text{i}><h2>{t}</h2>{p}</td></tr></table><p class=copyright>{n}</p><form><p>{n}</p><input></form>",
+    "main": "<nav>{n}</nav><main><header><h1>{t}</h1></header>{p}<section class=comments>{c}</section></main><aside><p>{n}</p></aside><script>var a = '<p>{n}</p>';</script>",
+    "plain": "<div class=cookie-banner><p>{n}</p></div><div class='cols'><div class='col-main'>{p}</div><div class='col-ads ads'>{n}</div></div><!-- {n} --><style>p {{ }}</style><div class='note'><p>{s}</p></div>",
+    "broken": "<body><div class=nav><a href='/'>{n}</a></div><div class=entry><h3>{t}</h3>{p}<div class=share>{n}</div><video src=x></div><div class=related><p>{n}</p></div>",
+}
+
+
+def test_templates_by_host(spark):
+    """Five templates on two hosts each; the text that was put in comes out, whatever is longer around it on single pages."""
+    rng = random.Random(4)
+    text = lambda k: " ".join(rng.choice(["river", "stone", "&amp;", "caf&eacute;", "of", "moun<b>tain</b>", "don't", "1 &lt; 2"]) for _ in range(k))
+    plain = lambda x: " ".join(html.unescape(re.sub("<[^>]*>", "", x)).split())
+    rows, want = [], {}
+    for k, (name, template) in enumerate(TEMPLATES.items()):
+        for i in range(60):
+            title, parts = text(4), [text(rng.choice([2, 3, 12, 40])) for _ in range(rng.choice([1, 2, 6]))]
+            noise, comment = text(3), "".join(f"<li>{text(60)}</li>" for _ in range(rng.choice([0, 1, 5])))
+            body = "".join(f"<p class=p{j}>{x}</p>\n" if name != "broken" else f"<p>{x}" for j, x in enumerate(parts))
+            page = template.format(n=noise, i=i, t=title, p=body, c=comment, s=text(rng.choice([1, 1, 1, 200])))
+            rows.append((k * 100 + i, f"https://{name}{i % 2}.example/{i}", page))
+            want[k * 100 + i] = " ".join([plain(title)] * (name != "plain") + [plain(x) for x in parts])
+    got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    wrong = [k for k in want if got[k] != want[k]]
+    assert not wrong, [(k, got[k][:200], want[k][:200]) for k in wrong[:3]]
