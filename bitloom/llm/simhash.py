@@ -4,14 +4,15 @@ Fingerprints: XXH64 (seed 42) of every 4-word shingle of the whole text; a bit i
 set in over half of the hashes. Two texts are linked when their fingerprints differ in at most
 ``radius`` = 4 bits; components of links are found exactly.
 
-Search. Two fingerprints within 4 bits agree up to 2 bits in their upper or in their lower 32
-bits, and the Hamming distance over one half is itself a metric. So for each half
-
-* a top vantage-point tree, fitted on a bounded sample (``sample`` = 4096 fingerprints), cuts
-  the space into shards by distance to vantage points (inside: d <= mu, outside: d > mu);
-* each distinct fingerprint lives in one home shard, and by the triangle bound it also queries
-  every shard that its ball of radius 2 may overlap (d <= mu + 2 and d + 2 > mu), in one of
-  the two directions of a pair;
+Search. The 64 bits are cut into three segments; two fingerprints within 4 bits agree up to 1 bit in
+one of them at least, and the Hamming distance over a segment is itself a metric. So for each segment
+
+* a top vantage-point tree, fitted on a sample of some 16 fingerprints per leaf, cuts the space into
+  shards by distance to vantage points (inside: d <= mu, outside: d > mu). Where a segment can't cut
+  further, as in a large group of near copies, the distance over all 64 bits does;
+* each distinct fingerprint lives in one home shard, and by the triangle bound it also queries every
+  shard that its ball (radius 1, or 4 over all bits) may overlap (d <= mu + r and d + r > mu), in
+  one of the two directions of a pair;
 * within a shard another vantage-point tree is built and searched with the same pruning; leaves
   compare all 64 bits.
 
@@ -19,10 +20,16 @@ Every pair within 4 bits therefore meets in at least one shard; nothing is cappe
 only a spanning forest of its links (at most one edge per fingerprint), never all pairs of a
 group. Exact copies share one fingerprint and are one node.
 
-Scale: the tree depth follows the number of distinct fingerprints, so shards keep their size;
-sample medians adapt the cuts to dense regions. Components use alternating large-star and
-small-star rounds on DataFrames, with minima pre-aggregated before each shuffle and each round
-written to the shared folder. The driver sees the sample, counts and checksums only.
+Scale: the tree depth follows the number of distinct fingerprints, and the sample the depth (up to
+``SAMPLE`` fingerprints, 32 MB, so up to some 262,144 shards a segment), so that shards keep their size;
+sample medians adapt the cuts to dense regions. A level of the tree multiplies the visits of a fingerprint by about 1.3:
+10 at depth 6, 48 at depth 12 (measured). Components use alternating large-star and small-star rounds on
+DataFrames, with minima pre-aggregated and written before they are joined back, so that AQE can split the rows
+of a hub or of a very large component. The driver sees the sample, counts and checksums only.
+
+Rows: a null or empty text has fingerprint 0; very long texts are read whole; equal rows are one node and each
+give a row; of a component the least id names it (ties can't be); an empty table gives no rows; columns besides
+the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +41,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import flat_text, materialize, pieces, tidy
+from .common import discard, flat_text, materialize, pieces, tidy
 
 SEED, WORDS, RADIUS = 42, 4, 4
+#: Bits where segments end.
+EDGES = (0, 21, 42, 64)
+SEGMENTS = len(EDGES) - 1
+SAMPLE = 1 << 22
 #: Bit b of a byte value, spread to byte lane b of a 64-bit word.
 _LANES = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], np.uint64)
 
@@ -83,22 +94,27 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text"):
             fp = fingerprints(*flat_text(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
 
 def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and text_hash (XXH64 of the whole text) of every row."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(tidy(_fingerprint), "doc_id long, fp long")
+    return slim.withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(_fingerprint), "doc_id long, fp long, text_hash long")
 
 
 # --- vantage-point trees -------------------------------------------------------------------
 
 
-def _half(fp: np.ndarray, half: int) -> np.ndarray:
-    return (fp >> np.uint64(32) if half else fp).astype(np.uint32)
+def _segment(fp: np.ndarray, k: int) -> np.ndarray:
+    return (fp >> np.uint64(EDGES[k]) & np.uint64((1 << EDGES[k + 1] - EDGES[k]) - 1)).astype(np.uint32)
+
+
+def _values(fp: np.ndarray, k: int, whole: bool) -> np.ndarray:
+    return fp if whole else _segment(fp, k)
 
 
-def _choose(points: np.ndarray, reach: int, rng: np.random.Generator, tries: int = 12) -> tuple[np.uint32, int] | None:
+def _choose(points: np.ndarray, reach: int, rng: np.random.Generator, tries: int = 12) -> tuple[np.unsignedinteger, int] | None:
     """A vantage point and cut that leave the fewest points near the cut; None if all distances agree."""
     best = None
     for v in points[rng.integers(0, len(points), tries)]:
@@ -115,26 +131,37 @@ def _choose(points: np.ndarray, reach: int, rng: np.random.Generator, tries: int
     return best and (best[1], best[2])
 
 
-def fit_tree(points: np.ndarray, depth: int, reach: int, seed: int = 1) -> list:
-    """Nested (vantage, cut, inside, outside); a leaf is its shard number."""
+def _cut(fp: np.ndarray, k: int, radius: int, rng: np.random.Generator, tries: int = 12) -> tuple[np.unsignedinteger, int, bool] | None:
+    """A vantage point, a cut and whether they are over all bits, which is so where segment ``k`` can't cut; None if nothing can."""
+    for whole in (False, True):
+        pick = _choose(_values(fp, k, whole), radius if whole else radius // SEGMENTS, rng, tries)
+        if pick is not None:
+            return *pick, whole
+    return None
+
+
+def fit_tree(fp: np.ndarray, k: int, depth: int, radius: int = RADIUS, seed: int = 1) -> list:
+    """Nested (vantage, cut, inside, outside, over all bits) for segment ``k``; a leaf is its shard number."""
     rng = np.random.default_rng(seed)
     shards = [0]
 
     def grow(p: np.ndarray, depth: int):
-        pick = _choose(p, reach, rng) if depth and len(p) >= 8 else None
+        pick = _cut(p, k, radius, rng) if depth and len(p) >= 8 else None
         if pick is None:
             shards[0] += 1
             return shards[0] - 1
-        d = np.bitwise_count(p ^ pick[0])
-        return [int(pick[0]), pick[1], grow(p[d <= pick[1]], depth - 1), grow(p[d > pick[1]], depth - 1)]
+        v, cut, whole = pick
+        d = np.bitwise_count(_values(p, k, whole) ^ v)
+        return [int(v), cut, grow(p[d <= cut], depth - 1), grow(p[d > cut], depth - 1), whole]
 
-    return grow(points, depth)
+    return grow(fp, depth)
 
 
-def route(tree, values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, is home) of all visits; reach 0 gives homes only."""
+def route(tree, fp: np.ndarray, k: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, is home) of all visits."""
     rows, shards, homes = [], [], []
-    todo = [(tree, np.arange(len(values)), np.ones(len(values), bool))]
+    segment = _segment(fp, k)
+    todo = [(tree, np.arange(len(fp)), np.ones(len(fp), bool))]
     while todo:
         node, i, home = todo.pop()
         if not len(i):
@@ -144,7 +171,9 @@ def route(tree, values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray,
             shards.append(np.full(len(i), node, np.int32))
             homes.append(home)
             continue
-        d = np.bitwise_count(values[i] ^ np.uint32(node[0])).astype(np.int64)
+        values = fp if node[4] else segment
+        reach = radius if node[4] else radius // SEGMENTS
+        d = np.bitwise_count(values[i] ^ values.dtype.type(node[0])).astype(np.int64)
         inside = d <= node[1]
         near, far = d <= node[1] + reach, d + reach > node[1]
         todo.append((node[2], i[near], (home & inside)[near]))
@@ -154,20 +183,20 @@ def route(tree, values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
 
 
-def _router(trees: list, reach: int):
+def _router(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 8192):
                 fp = whole.column(0).slice(at, 8192).to_numpy().view(np.uint64)
-                for half, tree in enumerate(trees):
-                    row, shard, home = route(tree, _half(fp, half), reach)
+                for k, tree in enumerate(box.value):
+                    row, shard, home = route(tree, fp, k)
                     own = np.empty(len(fp), np.int32)
                     own[row[home]] = shard[home]
                     # of two homes that a pair lies in, only the later one is queried
                     keep = home | (shard > own[row])
                     row, shard, home = row[keep], shard[keep], home[keep]
                     names = ["shard", "fp", "home"]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32) * 2 + half), pa.array(fp[row].view(np.int64)), pa.array(home)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32) * SEGMENTS + k), pa.array(fp[row].view(np.int64)), pa.array(home)], names=names)
 
     return tidy(run)
 
@@ -198,12 +227,12 @@ class _Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def shard_links(fp: np.ndarray, home: np.ndarray, half: int, radius: int = RADIUS, leaf: int = 48) -> np.ndarray:
+def shard_links(fp: np.ndarray, home: np.ndarray, k: int, radius: int = RADIUS, leaf: int = 48) -> np.ndarray:
     """Spanning edges (two columns of uint64) of all pairs within ``radius`` of which one at least is at home here."""
     fp, inverse = np.unique(fp, return_inverse=True)
     at_home = np.zeros(len(fp), bool)
     at_home[inverse[home]] = True
-    values, reach = _half(fp, half), radius // 2
+    segment = _segment(fp, k)
     forest, rng = _Forest(len(fp)), np.random.default_rng(7)
     pairs: list[np.ndarray] = []
     waiting = 0
@@ -221,7 +250,7 @@ def shard_links(fp: np.ndarray, home: np.ndarray, half: int, radius: int = RADIU
         points, queries = todo.pop()
         if not len(points) or not len(queries):
             continue
-        pick = _choose(values[points], reach, rng, 4) if len(points) > leaf else None
+        pick = _cut(fp[points], k, radius, rng, 4) if len(points) > leaf else None
         if pick is None:
             step = max(1, (1 << 20) // len(points))
             for at in range(0, len(queries), step):
@@ -236,7 +265,8 @@ def shard_links(fp: np.ndarray, home: np.ndarray, half: int, radius: int = RADIU
                     if waiting > 1 << 20:
                         flush()
             continue
-        v, cut = pick
+        v, cut, whole = pick
+        values, reach = (fp, radius) if whole else (segment, radius // SEGMENTS)
         dp = np.bitwise_count(values[points] ^ v)
         dq = np.bitwise_count(values[queries] ^ v).astype(np.int64)
         todo.append((points[dp <= cut], queries[dq <= cut + reach]))
@@ -250,24 +280,30 @@ def shard_links(fp: np.ndarray, home: np.ndarray, half: int, radius: int = RADIU
 
 def _group(key, table):
     fp = table.column("fp").to_numpy().view(np.uint64)
-    edges = shard_links(fp, table.column("home").to_numpy(zero_copy_only=False).astype(bool), int(key[0].as_py()) % 2)
+    edges = shard_links(fp, table.column("home").to_numpy(zero_copy_only=False).astype(bool), int(key[0].as_py()) % SEGMENTS)
     return pa.table({"a": edges[:, 0].copy().view(np.int64), "b": edges[:, 1].copy().view(np.int64)})
 
 
-def fingerprint_links(nodes: DataFrame, *, shard_size: int | None = None, sample: int = 4096) -> DataFrame:
+def fit_trees(nodes: DataFrame, n: int, depth: int) -> list:
+    """A tree for each segment from a sample of the ``n`` distinct fingerprints, chosen by their hash."""
+    if not depth:
+        return [0] * SEGMENTS
+    share = min(1.0, min(SAMPLE, max(4096, 16 << depth)) / n)
+    some = nodes.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(share * (1 << 40))).toArrow().column("fp").to_numpy()
+    some = np.sort(some.view(np.uint64))
+    return [fit_tree(some, k, depth) for k in range(SEGMENTS)]
+
+
+def fingerprint_links(nodes: DataFrame, *, shard_size: int | None = None) -> DataFrame:
     """Edges (a, b) spanning all links between the distinct values of column ``fp``.
 
-    Unless given, shards hold a 256th of the fingerprints, between 4,096 and 262,144.
+    Unless given, shards are home to a 256th of the fingerprints, between 4,096 and 131,072.
     """
     n = nodes.count()
-    shard_size = shard_size or max(4096, min(262144, n // 256))
+    shard_size = shard_size or max(4096, min(131072, n // 256))
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_size))))
-    trees: list = [0, 0]
-    if depth:
-        rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-        some = np.array([r.fp for r in rows], np.int64).view(np.uint64)
-        trees = [fit_tree(_half(some, h), depth, RADIUS // 2) for h in (0, 1)]
-    routed = nodes.select("fp").mapInArrow(_router(trees, RADIUS // 2), "shard int, fp long, home boolean")
+    box = nodes.sparkSession.sparkContext.broadcast(fit_trees(nodes, n, depth))
+    routed = nodes.select("fp").mapInArrow(_router(box), "shard int, fp long, home boolean")
     return routed.groupBy("shard").applyInArrow(_group, "a long, b long")
 
 
@@ -277,27 +313,44 @@ def fingerprint_links(nodes: DataFrame, *, shard_size: int | None = None, sample
 def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b); root is the least node of its component.
 
-    Alternating large-star and small-star rounds; each is written to the shared folder. A hub's
-    minimum is pre-aggregated, and the joins that bring it back can be split by AQE.
+    Alternating large-star and small-star rounds; each is written to the shared folder, and tables
+    of rounds that are done are deleted. Minima are pre-aggregated and written, so a join that brings a hub's
+    minimum back to its rows is one of plain scans, which AQE can split.
     """
     state = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     check = None
     for _ in range(max_rounds):
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == check:
+        if now == check or not now[0]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(state.select("v", "v").distinct())
         check = now
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least, state)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         state = materialize(small.where("u <> v").distinct(), "edges")
+        discard(least, large)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shard_size: int | None) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, root, component_id) of each distinct one."""
+    prints = materialize(add_fingerprints(docs, id_col, text_col), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    found = materialize(components(fingerprint_links(nodes, shard_size=shard_size)), "components")
+    named = materialize(nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
+    # only components of several fingerprints have a name to find; their rows are joined to a written table, so AQE can split them
+    first = materialize(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    label = named.join(first, "root", "left").select("fp", "root", F.coalesce("component_id", "rep").alias("component_id"))
+    label = materialize(label, "labels")
+    discard(nodes, found, named, first)
+    return prints, label
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_size: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach).
 
@@ -305,15 +358,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept, but never name a component: one of them alone has a null component_id. Repeated rows each
     give a row. An empty table gives no rows.
     """
-    prints = materialize(add_fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = materialize(components(fingerprint_links(nodes, shard_size=shard_size)), "components")
-    named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = materialize(named.join(first, "root").select("fp", "component_id"), "labels")
+    prints, label = _labelled(docs, id_col, text_col, shard_size)
     hex_ = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(label, "fp").select("doc_id", hex_.alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_size: int | None = None) -> DataFrame:
+    """(doc_id, text_hash) of one document of each component: the least id (nulls last), of rows with that id the least hash.
+
+    Components are told apart by their root, not by a name, so rows with one id and unlike texts each stand for theirs.
+    """
+    prints, label = _labelled(docs, id_col, text_col, shard_size)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = prints.join(label, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    return first.select("first.doc_id", "first.text_hash")
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

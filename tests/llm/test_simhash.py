@@ -63,9 +63,9 @@ def test_chains_of_close_fingerprints():
             x = up[x]
         return x
 
-    for half in (0, 1):
-        tree = S.fit_tree(S._half(fps, half), 5, 2)
-        row, shard, home = S.route(tree, S._half(fps, half), 2)
+    for half in range(S.SEGMENTS):
+        tree = S.fit_tree(fps, half, 5)
+        row, shard, home = S.route(tree, fps, half)
         assert np.bincount(row[home], minlength=len(fps)).tolist() == [1] * len(fps)
         for k in np.unique(shard):
             for a, b in S.shard_links(fps[row[shard == k]], home[shard == k], half, leaf=8).tolist():
@@ -96,3 +96,43 @@ def test_odd_rows(odd_docs, no_docs):
     got = sorted(map(tuple, S.near_duplicates(odd_docs).collect()), key=repr)
     assert got == brute_components([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert S.near_duplicates(no_docs).count() == 0
+
+
+def leaves(tree):
+    return leaves(tree[2]) + leaves(tree[3]) if isinstance(tree, list) else 1
+
+
+def test_leaves_double_with_depth():
+    """With a sample in proportion, the tree keeps cutting, also within one dense group of near copies."""
+    rng = np.random.default_rng(3)
+    far = rng.integers(0, 2**63, 16 << 12).astype(np.uint64)
+    sparse = [leaves(S.fit_tree(far, 0, d)) for d in (6, 8, 10, 12)]
+    assert all(n >= 0.9 * 2**d for n, d in zip(sparse, (6, 8, 10, 12), strict=True)), sparse
+    flips = np.uint64(1) << rng.integers(21, 64, (16 << 8, 12)).astype(np.uint64)
+    near = np.unique(np.bitwise_xor.reduce(flips, axis=1))  # all alike in the first segment
+    assert leaves(S.fit_tree(near, 0, 6)) >= 32
+
+
+def test_groups_of_near_copies_are_searched_by_all_bits():
+    rng = np.random.default_rng(3)
+    fps = np.unique(np.bitwise_xor.reduce(np.uint64(1) << rng.integers(21, 64, (3000, 9)).astype(np.uint64), axis=1))
+    edges = S.shard_links(fps, np.ones(len(fps), bool), 0)
+    up = {x: x for x in fps.tolist()}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges.tolist():
+        up[root(a)] = root(b)
+    for i in range(len(fps)):
+        assert all(root(int(x)) == root(int(fps[i])) for x in fps[np.bitwise_count(fps ^ fps[i]) <= 4])
+
+
+def test_representatives_tell_components_apart(spark):
+    """One row per component; rows with one id, or none, and unlike texts each stand for theirs."""
+    text = lambda k: " ".join(f"word{k * 31 + i * i % 97}" for i in range(60))
+    rows = [(5, text(1)), (5, text(2)), (5, text(1)), (7, text(2)), (None, text(1)), (None, text(3)), (None, text(3)), (9, text(4))]
+    got = S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, (r.doc_id for r in got))) == ["5", "5", "9", "None"] and len({r.text_hash for r in got}) == 4
