@@ -5,8 +5,9 @@ the shared folder and read as the next stage's input. Decisions take effect: rej
 go, one document of each near-duplicate group stays, contaminated documents go, secrets are
 masked in the text, and what is left is packed into sequences.
 
-Nulls, empty texts and repeated rows are treated as the operators state. Of repeated rows with one
-doc_id one stays after the near-duplicate stage. An extra column with the name of an operator's
+Nulls, empty and very long texts, ties and empty tables are treated as the operators state. Of rows with
+one doc_id and one text one stays after the near-duplicate stage; a doc_id with unlike texts keeps each
+that is no near duplicate. An extra column with the name of an operator's
 result holds that result from its stage on.
 """
 
@@ -14,12 +15,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bitloom.llm.common import materialize
+from bitloom.llm.common import discard, materialize
 from bitloom.llm.decontamination import decontaminate
 from bitloom.llm.packing import pack_documents
 from bitloom.llm.quality_rules import apply_rules, fit_rules
 from bitloom.llm.secret_scan import scan_secrets
-from bitloom.llm.simhash import near_duplicates
+from bitloom.llm.simhash import representatives
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +30,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of linked fingerprints.
+    """Keep one document of each group of linked fingerprints: that with the least doc_id, null ids last.
 
-    Texts are shuffled once: the semi-join and the removal of repeated rows share the partitioning
-    by doc_id. Rows without a doc_id can't be told apart by it; of those with one text one stays.
+    A document is known by its doc_id and the hash of its text, so rows with one doc_id, or none, are told apart. Texts are
+    shuffled once: the semi-join and the removal of repeated rows share the partitioning by those keys.
     """
-    groups = near_duplicates(docs)
-    keep = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text": F.xxhash64(F.col("text").cast("string"))}
+    keep = representatives(docs).select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_hash").alias("__text"))
+    keep = materialize(keep, "kept-ids")
+    return docs.withColumns(key).join(keep, [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
