@@ -12,17 +12,21 @@ pattern. For each pattern length m a Wu-Manber table is built:
   and a pattern's first symbol must agree (the prefix test of the algorithm);
 * the remaining patterns are compared symbol by symbol and then byte by byte.
 
+Patterns are places in the benchmark's row of symbols, not copies of words, so the index takes some
+ten times the bytes of the benchmark's text, on the driver and in each Python worker.
+
 The text is cut into lanes that are scanned in lockstep with numpy, each lane
 owning a range of window end positions, so nothing is lost at lane borders.
 
-Scale: documents stream through one narrow ``mapInArrow`` (no shuffle). The
-benchmark is sent to executors in blocks of at most ``block_bytes`` of text; a
-larger benchmark is scanned in several chained passes over each batch of rows,
-which carry the occurrences found so far. No block depends on the documents.
+Scale: documents stream through one narrow ``mapInArrow`` (no shuffle). Items are cut in Spark into parts
+of at most ``part_bytes`` (whole words, overlapping by a window less one word), equal parts are taken once, and
+parts are dealt into blocks of about ``block_bytes`` of text, so neither a long nor a repeated item makes a large
+block. With several blocks a worker loads one index after the other and passes ``_CHUNK`` bytes of documents by each.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import LOWER, find_words, flat_text, pieces, tidy, word_hashes
+from .common import LOWER, find_words, flat_text, materialize, pieces, tidy, word_hashes
 
 #: Word bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 LANE = 512
-_FOUND = "__occurrences"
+_CHUNK = 64 << 20
 
 
 def _mix(a: np.ndarray, b: np.ndarray, mask: int) -> np.ndarray:
@@ -45,22 +49,24 @@ def _mix(a: np.ndarray, b: np.ndarray, mask: int) -> np.ndarray:
 
 
 class _Table:
-    """Shift table and suffix-hash buckets for the patterns of one length."""
+    """Shift table and suffix-hash buckets for the patterns of one length, given by where they start in ``symbols``."""
 
-    def __init__(self, patterns: np.ndarray, numbers: list[int]):
-        self.patterns, self.numbers = patterns, np.asarray(numbers, np.int64)
-        n, self.m = patterns.shape
-        self.block = min(2, self.m)
-        bits = max(12, int(np.ceil(np.log2(8 * n * self.m + 1))))
+    def __init__(self, symbols: np.ndarray, places: np.ndarray, m: int):
+        self.symbols, self.places, self.m = symbols, places, m
+        n = len(places)
+        self.block = min(2, m)
+        bits = max(12, int(np.ceil(np.log2(8 * n * m + 1))))
         self.mask = (1 << min(bits, 22)) - 1
-        self.shift = np.full(self.mask + 1, min(self.m - self.block + 1, 255), np.uint8)
-        for end in range(self.block - 1, self.m):
-            h = self._hash(patterns[:, end - 1] if self.block == 2 else patterns[:, end], patterns[:, end])
-            np.minimum.at(self.shift, h, np.uint8(min(self.m - 1 - end, 255)))
-        suffix = self._hash(patterns[:, -2] if self.block == 2 else patterns[:, -1], patterns[:, -1])
-        order = np.argsort(suffix, kind="stable")
-        self.bucket = order
-        self.bucket_at = np.searchsorted(suffix[order], np.arange(self.mask + 2))
+        self.shift = np.full(self.mask + 1, min(m - self.block + 1, 255), np.uint8)
+        for end in range(self.block - 1, m):
+            h = self._hash(self.column(end - 1 if self.block == 2 else end), self.column(end))
+            np.minimum.at(self.shift, h, np.uint8(min(m - 1 - end, 255)))
+        suffix = self._hash(self.column(m - 2 if self.block == 2 else m - 1), self.column(m - 1))
+        self.bucket = np.argsort(suffix, kind="stable").astype(np.int32)
+        self.bucket_at = np.searchsorted(suffix[self.bucket], np.arange(self.mask + 2)).astype(np.int32)
+
+    def column(self, j: int) -> np.ndarray:
+        return self.symbols[self.places + j]
 
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix(a if self.block == 2 else np.zeros_like(a), b, self.mask)
@@ -99,10 +105,10 @@ class _Table:
             k = size[lo:hi]
             p = np.repeat(at[lo:hi], k)
             row = self.bucket[np.repeat(self.bucket_at[h[lo:hi]], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)]
-            ok = symbols[p - m + 1] == self.patterns[row, 0]
+            ok = symbols[p - m + 1] == self.symbols[self.places[row]]
             p, row = p[ok], row[ok]
             for j in range(1, m):
-                ok = symbols[p - m + 1 + j] == self.patterns[row, j]
+                ok = symbols[p - m + 1 + j] == self.symbols[self.places[row] + j]
                 p, row = p[ok], row[ok]
             out_at.append(p - m + 1)
             out_row.append(row)
@@ -113,30 +119,69 @@ class Matcher:
     """Patterns of some benchmark items, ready to be sent to executors."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = 10):
-        texts: dict[tuple[bytes, ...], set[str]] = {}
-        for item_id, text in items:
-            if item_id is None or text is None:
-                continue
-            words = item_words(text)
-            spans = [words] if 0 < len(words) < window else [words[i : i + window] for i in range(len(words) - window + 1)]
-            for span in spans:
-                texts.setdefault(tuple(span), set()).add(str(item_id))
-        self.texts = [b" ".join(k) for k in texts]
-        self.items = [sorted(v) for v in texts.values()]
-        vocabulary = sorted({w for k in texts for w in k})
-        joined = np.frombuffer(b"".join(vocabulary), np.uint8)
-        ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64) if vocabulary else np.zeros(0, np.int64)
-        hashes = word_hashes(joined, ends - np.array([len(w) for w in vocabulary], np.int64), ends)
-        self.hashes = np.unique(hashes)
-        number = {w: int(np.searchsorted(self.hashes, h)) + 1 for w, h in zip(vocabulary, hashes, strict=True)}
-        by_length: dict[int, tuple[list, list]] = {}
-        for i, k in enumerate(texts):
-            rows, numbers = by_length.setdefault(len(k), ([], []))
-            rows.append([number[w] for w in k])
-            numbers.append(i)
-        self.tables = [_Table(np.array(r, np.int32), n) for _, (r, n) in sorted(by_length.items())]
-
-    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        items = sorted({(str(i), t) for i, t in items if i is not None and t is not None})
+        raw = [t.encode("utf-8", "surrogatepass") for _, t in items]
+        off = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+        self.data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        self.starts, self.ends, at = find_words(self.data, off, IS_WORD)
+        hashes = word_hashes(self.data, self.starts, self.ends)
+        self.hashes, inverse = np.unique(hashes, return_inverse=True)
+        self.symbols = (inverse + 1).astype(np.int32)
+        self.names = [i for i, _ in items]
+        n = np.diff(at)
+        owner = np.repeat(np.arange(len(items)), n)
+        place = np.arange(len(self.symbols))
+        by_length: dict[int, np.ndarray] = {}
+        whole = place[place + window <= at[owner + 1]] if len(owner) else place
+        if len(whole):
+            by_length[window] = whole
+        for m in np.unique(n[(n > 0) & (n < window)]).tolist():
+            by_length[m] = at[:-1][n == m]
+        self.tables: list[_Table] = []
+        self.owners: list[tuple[np.ndarray, np.ndarray]] = []  # for each table: items of all places, and where each pattern's begin
+        for m, places in sorted(by_length.items()):
+            # equal patterns are one, with the items of all of them; places in order of their words' bytes are equal side by side
+            order, first = self._grouped(places, m)
+            self.tables.append(_Table(self.symbols, order[first], m))
+            self.owners.append((owner[order].astype(np.int32), np.append(first, len(order))))
+
+    def words(self, place: int, m: int) -> list[bytes]:
+        return [self.data[a:b].tobytes() for a, b in zip(self.starts[place : place + m].tolist(), self.ends[place : place + m].tolist(), strict=True)]
+
+    def _grouped(self, places: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places with equal symbols side by side, and where each group starts; words with one hash and other bytes part a group."""
+        h = np.zeros(len(places), np.uint64)
+        for j in range(m):
+            h = (h ^ self.symbols[places + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        order = places[np.lexsort((places, h))]
+        new = np.ones(len(order), bool)
+        if len(order) > 1:
+            same = np.ones(len(order) - 1, bool)
+            for j in range(m):
+                same &= self.symbols[order[1:] + j] == self.symbols[order[:-1] + j]
+            new[1:] = ~same
+            for k in np.flatnonzero(same).tolist() if not self._sound else ():
+                new[k + 1] = self.words(order[k], m) != self.words(order[k + 1], m)
+        return order, np.flatnonzero(new)
+
+    @functools.cached_property
+    def _sound(self) -> bool:
+        """Whether words with one hash are equal, by bytes: each is held against the first with its symbol."""
+        first = np.full(len(self.hashes) + 1, -1, np.int64)
+        first[self.symbols[::-1]] = np.arange(len(self.symbols))[::-1]
+        size, other = self.ends - self.starts, first[self.symbols]
+        if (size != size[other]).any():
+            return False
+        on, k = np.flatnonzero(size > 0), 0
+        while len(on):
+            if (self.data[self.starts[on] + k] != self.data[self.starts[other[on]] + k]).any():
+                return False
+            k += 1
+            on = on[size[on] > k]
+        return True
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, tuple[int, int]]]:
         """(text, first word in it, words, pattern) of all occurrences; ``at``: word offsets of the texts."""
         if not len(self.hashes) or not len(starts):
             return []
@@ -145,74 +190,104 @@ class Matcher:
         i[i == len(self.hashes)] = 0
         symbols = np.where(self.hashes[i] == h, i + 1, 0).astype(np.int32)
         found = []
-        for table in self.tables:
+        for which, table in enumerate(self.tables):
             first, row = table.search(symbols)
             if not len(first):
                 continue
             text = np.searchsorted(at, first, side="right") - 1
             inside = first + table.m <= at[text + 1]
             for f, r, t in zip(first[inside].tolist(), row[inside].tolist(), text[inside].tolist(), strict=True):
-                k = int(table.numbers[r])
-                words = [data[starts[j] : ends[j]].tobytes() for j in range(f, f + table.m)]
-                if b" ".join(words) == self.texts[k]:
-                    found.append((t, f - int(at[t]), table.m, k))
+                words = [data[a:b].tobytes() for a, b in zip(starts[f : f + table.m].tolist(), ends[f : f + table.m].tolist(), strict=True)]
+                if words == self.words(int(table.places[r]), table.m):
+                    found.append((t, f - int(at[t]), table.m, (which, r)))
         return found
 
+    def items(self, pattern: tuple[int, int]) -> set[str]:
+        """The ids of the items that a pattern is in."""
+        who, first = self.owners[pattern[0]]
+        return {self.names[i] for i in np.unique(who[first[pattern[1]] : first[pattern[1] + 1]]).tolist()}
 
-def item_words(text: str) -> list[bytes]:
-    data = LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    s, e, _ = find_words(data, np.array([0, len(data)], np.int64), IS_WORD)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
 
-
-def _scan(text_col: str, box, first: bool, last: bool):
-    """mapInArrow function of one pass. Occurrences are carried as flat [start, words, ...] lists and item lists."""
+def _parts(window: int, part_bytes: int):
+    """Cut item texts into parts of at most ``part_bytes`` (one word and the overlap at least); all windows are in some part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher: Matcher = box.value
-        for whole in batches:
-            for batch in pieces(whole, text_col):
-                n = batch.num_rows
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                if len(raw) <= part_bytes:
+                    parts = [text]
+                else:
+                    s, e, _ = find_words(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)], np.int64), IS_WORD)
+                    parts, at = [], 0
+                    while True:
+                        to = max(at + window, int(np.searchsorted(e, s[at] + part_bytes, side="right"))) if len(s) else 0
+                        parts.append(raw[s[at] : e[min(to, len(s)) - 1]].decode("utf-8", "surrogatepass") if len(s) else "")
+                        if to >= len(s):
+                            break
+                        at = to - window + 1
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["i", "t"])
+
+    return run
+
+
+def _scan(text_col: str, boxes: list):
+    """mapInArrow function; with several blocks each index is loaded once for each _CHUNK bytes of documents."""
+
+    def result(batch: pa.RecordBatch, n: int, at: np.ndarray, spans: list[list[int]], items: list[set[str]]) -> pa.RecordBatch:
+        hit = np.zeros(n, np.int64)
+        for j, s in enumerate(spans):
+            if s:
+                pairs = np.array(s, np.int64).reshape(-1, 2)
+                step = np.zeros(int(at[j + 1] - at[j]) + 1, np.int64)
+                np.add.at(step, pairs[:, 0], 1)
+                np.add.at(step, pairs[:, 0] + pairs[:, 1], -1)
+                hit[j] = np.count_nonzero(np.cumsum(step) > 0)
+        ids = [",".join(sorted(i)) for i in items]
+        columns = [
+            *batch.columns,
+            pa.array(np.diff(at), pa.int64()),
+            pa.array(hit, pa.int64()),
+            pa.array([len(i) for i in items], pa.int64()),
+            pa.array(ids, pa.string()),
+            pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids], pa.string()),
+            pa.array(hit > 0, pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(x for x, _ in RESULT)])
+
+    def scan(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans: list[list[list[int]]] = [[[] for _ in range(b.num_rows)] for b in waiting]
+        items: list[list[set[str]]] = [[set() for _ in range(b.num_rows)] for b in waiting]
+        counts: list[np.ndarray] = []
+        for k, box in enumerate(boxes):
+            matcher: Matcher = box.value
+            for j, batch in enumerate(waiting):
                 data, off = flat_text(batch.column(batch.schema.get_field_index(text_col)))
                 data = LOWER[data]
                 starts, ends, at = find_words(data, off, IS_WORD)
-                spans: list[list[int]] = [[] for _ in range(n)]
-                items: list[set[str]] = [set() for _ in range(n)]
-                names = list(batch.schema.names)
-                columns = list(batch.columns)
-                if not first:
-                    k = names.index(_FOUND)
-                    for j, old in enumerate(columns.pop(k).to_pylist()):
-                        spans[j] = old["spans"]
-                        items[j] = set(old["items"])
-                    names.pop(k)
-                for t, f, m, k in matcher.find(data, starts, ends, at):
-                    spans[t] += (f, m)
-                    items[t].update(matcher.items[k])
-                if not last:
-                    kind = pa.struct([("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-                    columns.append(pa.array([{"spans": s, "items": sorted(i)} for s, i in zip(spans, items, strict=True)], kind))
-                    yield pa.RecordBatch.from_arrays(columns, names=[*names, _FOUND])
-                    continue
-                hit = np.zeros(n, np.int64)
-                for j, s in enumerate(spans):
-                    if s:
-                        pairs = np.array(s, np.int64).reshape(-1, 2)
-                        step = np.zeros(int(at[j + 1] - at[j]) + 1, np.int64)
-                        np.add.at(step, pairs[:, 0], 1)
-                        np.add.at(step, pairs[:, 0] + pairs[:, 1], -1)
-                        hit[j] = np.count_nonzero(np.cumsum(step) > 0)
-                ids = [",".join(sorted(i)) for i in items]
-                columns += [
-                    pa.array(np.diff(at), pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(i) for i in items], pa.int64()),
-                    pa.array(ids, pa.string()),
-                    pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids], pa.string()),
-                    pa.array(hit > 0, pa.bool_()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *(x for x, _ in RESULT)])
+                if not k:
+                    counts.append(at)
+                for t, f, m, pattern in matcher.find(data, starts, ends, at):
+                    spans[j][t] += (f, m)
+                    items[j][t] |= matcher.items(pattern)
+            if len(boxes) > 1:
+                del matcher
+                box.__dict__.pop("_value", None)  # the next index takes its place in memory
+        for batch, at, s, i in zip(waiting, counts, spans, items, strict=True):
+            yield result(batch, batch.num_rows, at, s, i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for whole in batches:
+            for batch in pieces(whole, text_col):
+                waiting.append(batch)
+                size += batch.nbytes
+                if len(boxes) == 1 or size >= _CHUNK:
+                    yield from scan(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from scan(waiting)
 
     return tidy(run)
 
@@ -220,32 +295,26 @@ def _scan(text_col: str, box, first: bool, last: bool):
 RESULT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items", T.StringType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 16 << 20, part_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items, items_sha256 and contaminated added.
 
     Existing columns with these names are replaced. Null and empty texts have no words and no
-    hits; null items or ids are ignored; items with one id count once; repeated rows each get
-    their own result; an empty benchmark leaves every document clean. Columns besides these
-    pass through.
+    hits; very long texts are searched whole; null items or ids are ignored; items with one id count once;
+    equal items (ties) are all named; repeated rows each get their own result; an empty benchmark leaves every document
+    clean and an empty table gives no rows. Columns besides these pass through.
     """
     spark = docs.sparkSession
     docs = docs.drop(*(n for n, _ in RESULT))
-    bench = benchmark.select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null")
-    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bench = benchmark.select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    parts = materialize(bench.mapInArrow(tidy(_parts(window, part_bytes)), "i string, t string").distinct(), "benchmark-parts")
+    total = parts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    schema = docs.schema
+    boxes = []
     for b in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect() if blocks > 1 else bench.collect()
-        box = spark.sparkContext.broadcast(Matcher([(r.i, r.t) for r in rows], window))
-        out = T.StructType(list(schema.fields))
-        last = b == blocks - 1
-        if last:
-            for name, kind in RESULT:
-                out.add(name, kind)
-        else:
-            out.add(_FOUND, T.StructType().add("spans", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType())))
-        docs = docs.mapInArrow(_scan(text_col, box, b == 0, last), out)
-    return docs
+        rows = parts.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # about block_bytes of text
+        boxes.append(spark.sparkContext.broadcast(Matcher([(r.i, r.t) for r in rows], window)))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in RESULT)])
+    return docs.mapInArrow(_scan(text_col, boxes), schema)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -39,8 +40,8 @@ def test_whole_tables(spark):
     assert got == want and sum(r[5] for r in want) > 0
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_random_small_vocabulary(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "part_bytes"), [(1 << 20, 1 << 20), (60, 1 << 20), (60, 15)])
+def test_random_small_vocabulary(spark, block_bytes, part_bytes):
     """Many overlapping windows and short items; also with the benchmark cut into several passes."""
     rng = np.random.default_rng(5)
     words = ["aa", "B", "c1", "ü", "dd", "aa-b"]
@@ -49,7 +50,7 @@ def test_random_small_vocabulary(spark, block_bytes):
     items = [(i, text(int(n))) for i, n in enumerate([0, 1, 2, 3, 4, 5, 12, 14, 10])] + [(3, text(11)), (99, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate(df, b, window=4, block_bytes=block_bytes).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    got = decontaminate(df, b, window=4, block_bytes=block_bytes, part_bytes=part_bytes).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert sorted(map(tuple, got), key=repr) == brute(docs, items, 4)
 
 
@@ -66,3 +67,23 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_skips_positions():
     m = Matcher([(1, " ".join(f"w{i}" for i in range(30)))])
     assert float(np.mean(m.tables[0].shift)) > 8.5
+
+
+def test_memory_of_the_index_is_in_proportion():
+    """Some ten times the text, whatever it holds, and repeated items take no more."""
+    rng = np.random.default_rng(1)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 200_000, 2000))) for i in range(150)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    m = Matcher(items + items)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(m.names) == 150 and held < 16 * size + (64 << 20) and peak < 40 * size + (96 << 20), (size, held, peak)
+
+
+def test_one_long_item_is_many_blocks(spark):
+    words = [f"w{i * i % 7919}" for i in range(9000)]
+    b = spark.createDataFrame([(1, " ".join(words))] * 3, "item_id long, text string")
+    docs = [(i, " ".join(words[k : k + 14])) for i, k in enumerate(range(0, 8980, 97))] + [(999, " ".join(words[5:14])), (1000, " ".join(words))]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), b, block_bytes=9000, part_bytes=2000).collect()
+    assert [r.n_hit for r in sorted(got, key=lambda r: r.doc_id)] == [14] * (len(docs) - 2) + [0, 9000] and {r.items for r in got} == {"1", ""}
