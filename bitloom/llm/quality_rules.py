@@ -1,17 +1,21 @@
 """Learned quality rules: an ordered decision list over text statistics, native to Spark.
 
 Statistics are DataFrame expressions inside one row; no text leaves the JVM. Repeated 5-word
-windows are found exactly: windows are hashed, and only texts in which a hash occurs twice (equal
-windows have equal hashes) sort their (hash, window, position) triples and compare neighbours.
+windows are found exactly: each word is hashed once and five neighbours' hashes make a window's, and only texts
+in which a window's hash occurs twice (equal windows have equal hashes) sort their (hash, window, position)
+triples and compare neighbours.
 
 The verdict is a decision list learned by sequential covering: each rule is grown as a
 conjunction of thresholds by FOIL gain on a grow set, pruned from its end on a prune set, and
-kept while its precision there is good enough; covered rows are removed and the next rule is
-learned. The list becomes one CASE expression (:func:`DecisionList.to_column`, also ``to_sql``).
+kept while its precision is good enough, both on the rows of the prune set that it covers and on all of its
+rows; covered rows are removed and the next rule is learned. The list becomes one CASE expression (:func:`DecisionList.to_column`, also ``to_sql``).
 
 Fitting uses at most ``max_labelled`` labelled rows (those with the least hash of the id), whose
-statistics are the only rows brought to the driver; all rows are scored. Fit sets hold whole
-documents, each at most once per id.
+statistics are the only rows brought to the driver, one for each id however often it is repeated (that with
+the least word count); all rows are scored.
+
+Rows: null and empty texts have no words and fail the base; very long texts are read whole; repeated rows each get
+their own verdict; values at a threshold (ties) pass as the rule's <= or >= says; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,17 +28,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPACE = r"[ \t-\r]+"
 #: Names of the statistics that rules may test. All are shares or means, so that a rule does not turn on length alone.
 FEATURES = ("mean_word_chars", "symbol_share", "symbols_per_word", "dup_line_share", "repeat_share", "letter_share", "upper_share", "line_words", "max_run_share", "lone_symbol_share")
+_INSIDE = ("__words", "__each", "__hashes", "__sorted", "__repeats", "__lines", "__text")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def add_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the base counts and FEATURES added (existing columns of these names are replaced)."""
-    docs = docs.drop(*BASE, *FEATURES, "__words", "__hashes", "__sorted", "__repeats", "__lines", "__text")
+    docs = docs.drop(*BASE, *FEATURES, *_INSIDE)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.withColumn("__text", text)
-    d = d.withColumn("__words", F.filter(F.split("__text", SPACE, -1), lambda w: w != ""))
+    d = d.withColumn("__words", F.array_remove(F.split("__text", SPACE, -1), ""))
     d = d.withColumn("n_words", F.size("__words").cast("long"))
-    d = d.withColumn("__hashes", F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(1), F.size("__words") - 4), lambda i: F.xxhash64(F.slice("__words", i, 5)))))
+    d = d.withColumn("__each", F.transform("__words", lambda w: F.xxhash64(w)))
+    five = F.arrays_zip(*(F.slice("__each", k + 1, F.size("__each") - 4).alias(f"h{k}") for k in range(5)))
+    d = d.withColumn("__hashes", F.when(F.col("n_words") >= 5, F.transform(five, lambda w: F.xxhash64(w))))
     twice = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
     triples = F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), F.slice("__words", i + 1, 5).alias("w"), i.alias("i")))
     d = d.withColumn("__sorted", F.when(twice, F.sort_array(triples)))
@@ -68,14 +75,14 @@ def add_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "letter_share": letters / chars,
         "upper_share": upper / F.greatest(letters, F.lit(1)),
         "line_words": F.col("n_words") / F.greatest(F.size("__lines"), F.lit(1)),
-        "max_run_share": F.aggregate(F.transform("__words", lambda w, k: (w == F.get("__words", k - 1)).cast("int")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))) / words,
+        "max_run_share": F.size(F.filter("__words", lambda w, k: w == F.get("__words", k - 1))) / words,
         "lone_symbol_share": F.size(F.filter("__words", lambda w: F.length(w) == 1)) / words,
     })
-    return d.drop("__words", "__hashes", "__sorted", "__repeats", "__lines", "__text")
+    return d.drop(*_INSIDE)
 
 
 @dataclass(frozen=True)
-class Test:
+class Threshold:
     feature: str
     at_least: bool
     value: float
@@ -91,7 +98,7 @@ class Test:
 class DecisionList:
     """Rules in order; the first that holds rejects, and what none covers is kept."""
 
-    rules: list[tuple[Test, ...]] = field(default_factory=list)
+    rules: list[tuple[Threshold, ...]] = field(default_factory=list)
 
     def rejects(self, row: dict) -> bool:
         return any(all(t.holds(row) for t in r) for r in self.rules)
@@ -109,7 +116,7 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
-def _best(rows: list[tuple[dict, int]]) -> tuple[float, Test] | None:
+def _best(rows: list[tuple[dict, int]]) -> tuple[float, Threshold] | None:
     p0 = sum(y for _, y in rows)
     n0 = len(rows) - p0
     best = None
@@ -127,7 +134,7 @@ def _best(rows: list[tuple[dict, int]]) -> tuple[float, Test] | None:
                 if a and a + b < len(rows) and (g := _gain(p0, n0, a, b)) > 1e-9 and (best is None or g > best[0]):
                     # ">=" takes values over the cut, so it must be above v itself
                     c = c if not at_least or c > v else order[k + 1][0]
-                    best = (g, Test(f, at_least, float(c)))
+                    best = (g, Threshold(f, at_least, float(c)))
     return best
 
 
@@ -137,7 +144,7 @@ def learn(rows: list[tuple[dict, int]], *, min_precision: float = 0.9, max_rules
     prune = [r for i, r in enumerate(rows) if i % 3 == 0]
     out = DecisionList()
     while len(out.rules) < max_rules and sum(y for _, y in grow) >= min_cover:
-        rule: list[Test] = []
+        rule: list[Threshold] = []
         left = grow
         while len(rule) < max_tests and any(1 - y for _, y in left):
             found = _best(left)
@@ -148,14 +155,16 @@ def learn(rows: list[tuple[dict, int]], *, min_precision: float = 0.9, max_rules
         if not rule:
             break
 
-        def worth(tests: list[Test]) -> tuple[float, int]:
+        def worth(tests: list[Threshold]) -> tuple[float, int]:
             got = [y for r, y in prune if all(t.holds(r) for t in tests)]
             p = sum(got)
             return ((2 * p - len(got)) / len(got) if got else -1.0, -len(tests))
 
-        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
+        if any(all(t.holds(r) for t in rule[:1]) for r, _ in prune):  # else nothing speaks for a shorter rule
+            rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
         got = [y for r, y in rows if all(t.holds(r) for t in rule)]
-        if sum(got) < min_cover or sum(got) < min_precision * len(got):
+        unseen = [y for r, y in prune if all(t.holds(r) for t in rule)]
+        if sum(got) < min_cover or sum(got) < min_precision * len(got) or sum(unseen) < min_precision * len(unseen):
             break
         out.rules.append(tuple(rule))
         grow = [r for r in grow if not all(t.holds(r[0]) for t in rule)]
@@ -170,10 +179,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     chosen = chosen.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     # the sample has max_labelled rows of two numbers at most, so it may be broadcast
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = add_statistics(slim).select("id", "label", "n_words", *FEATURES).collect()
-    seen: dict[int, tuple[dict, int]] = {}
-    for r in sorted(rows, key=lambda r: (r.id, r.n_words)):
-        seen.setdefault(r.id, ({f: float(r[f]) for f in FEATURES}, int(r.label == 0)))
+    # one row for each id, whatever the number of its rows
+    least = add_statistics(slim).groupBy("id", "label").agg(F.min(F.struct("n_words", *FEATURES)).alias("s"))
+    seen = {r.id: ({f: float(r.s[f]) for f in FEATURES}, int(r.label == 0)) for r in least.collect()}
     ordered = sorted(seen, key=lambda i: (i * 0x9E3779B97F4A7C15 % 2**64, i))
     return learn([seen[i] for i in ordered])
 

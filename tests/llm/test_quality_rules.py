@@ -2,7 +2,7 @@ import re
 
 from hypothesis import given, settings, strategies as st
 
-from bitloom.llm.quality_rules import BASE, FEATURES, DecisionList, Test, add_statistics, apply_rules, fit_rules, learn
+from bitloom.llm.quality_rules import BASE, FEATURES, DecisionList, Threshold, add_statistics, apply_rules, fit_rules, learn
 
 from .. import oracle
 
@@ -49,11 +49,11 @@ def test_rules_reject_junk_and_keep_clean(spark):
 def test_filter_on_the_verdict_stays_above_the_windows(spark):
     """Pushed below, the filter would repeat array columns inside lambdas and never end."""
     d = spark.createDataFrame([(1, "a b c d e f " * 2000)], "doc_id long, text string")
-    assert apply_rules(d, DecisionList([(Test("symbol_share", True, 0.5),)])).where("kept or not kept").count() == 1
+    assert apply_rules(d, DecisionList([(Threshold("symbol_share", True, 0.5),)])).where("kept or not kept").count() == 1
 
 
 def test_list_as_sql_and_as_rows(spark):
-    rules = DecisionList([(Test("symbol_share", True, 0.25), Test("upper_share", False, 0.5)), (Test("max_run_share", True, 0.3),)])
+    rules = DecisionList([(Threshold("symbol_share", True, 0.25), Threshold("upper_share", False, 0.5)), (Threshold("max_run_share", True, 0.3),)])
     d = spark.createDataFrame([(1, "## ## aa bb cc"), (2, "x x x x y z"), (3, "plain words here")], "doc_id long, text string")
     got = apply_rules(d, rules).collect()
     assert {r.doc_id: r.rule for r in got} == {1: 1, 2: 2, 3: 0}
@@ -77,3 +77,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert apply_rules(no_docs, DecisionList()).count() == 0
     empty = spark.createDataFrame([], "doc_id long, quality int")
     assert fit_rules(odd_docs, empty).rules == [] and fit_rules(odd_docs, spark.createDataFrame([(None, 0), (6, None)], "doc_id long, quality int")).rules == []
+
+
+def test_repeated_ids_count_once(spark):
+    """A labelled id with many rows brings one row of statistics to the driver."""
+    junk, good = "## || ## || ## " * 5, "plain words of a good text that goes on for a while here"
+    docs = spark.createDataFrame([(i % 40, good if i % 2 else junk) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rules = fit_rules(docs, labels)
+    assert rules.rules == fit_rules(docs.dropDuplicates(), labels).rules and len(rules.rules) == 1
+
+
+def test_rules_are_held_to_the_prune_set():
+    """A rule that is right on the grow set by accident only isn't kept."""
+    rows = [(dict.fromkeys(FEATURES, 0.0) | {"symbol_share": float(i % 3 == 0 or i % 2)}, int(i % 3 != 0 and i % 2)) for i in range(300)]
+    assert learn(rows).rules == []
