@@ -9,6 +9,10 @@ common subsequences of four letters, each occurrence weighted by decay ** span w
 ``MAX_SPAN``, so gaps and inserted characters cost weight but don't break a match; it is normalised
 by each unit's own weights.
 
+Labels are given for texts, not units. Which units of a toxic text are toxic is estimated from the labels of all
+texts that share their parts: a unit's evidence is the log odds, lower end, of its best part (four letters or a
+beginning) in toxic against clean texts. That evidence chooses landmarks and the first positives, and the SVM does the rest.
+
 Landmarks are the units whose parts differ most between the classes, clean units that look like
 them, and common units.
 The Nystroem map of a unit is K_mm^(-1/2) k_m(x). The SVM (squared hinge, primal Newton) is
@@ -437,7 +441,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         part = known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     # 2 * per_class rows of two numbers, so the sample may be broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where("text is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").where("text is not null")
+    # one text for each id, the shortest, so that the window below has 2 * per_class rows at most, however often ids repeat
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.octet_length("text"), "text")).alias("least")).select("id", "label", "least.text")
     # whole texts, the shortest first, as far as the bytes go, so that a long text takes no other's place; the driver holds
     # no more than that, or the shortest text of a class
     order = Window.partitionBy("label").orderBy(F.octet_length("text"), F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
@@ -450,7 +456,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on) added, replacing such columns.
 
-    Null, empty and wordless texts get the score of no evidence. Repeated rows get equal scores.
+    Null, empty and wordless texts get the score of no evidence; very long texts are scored whole; repeated rows get
+    equal scores; a score at the threshold (a tie) predicts 1; an empty table gives no rows. Columns besides these pass
+    through.
     """
     docs = docs.drop("score", "predicted").withColumn(text_col, F.col(text_col).cast("string"))
     box = docs.sparkSession.sparkContext.broadcast(model)

@@ -111,3 +111,13 @@ def test_neighbouring_words(fitted):
     assert clean_words.phrases >= {("lampel", "griwim")}
     got = clean_words.probability(X._Scorer(clean_words)(pa.array([t for t, _ in texts[600:]]))) >= 0.3
     assert np.mean(got == np.array([k for _, k in texts[600:]], bool)) > 0.95
+
+
+def test_repeated_ids_are_one_text(spark):
+    """However often a labelled id is repeated, its shortest text stands for it."""
+    truth = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    text = lambda i: f"word{i % 7} plain text" + (" vileword" if i % 5 == 0 else "")
+    once = spark.createDataFrame([(i, text(i)) for i in range(200)], "doc_id long, text string")
+    many = once.union(spark.createDataFrame([(i % 200, text(i % 200) + " and more text that is longer") for i in range(4000)], "doc_id long, text string"))
+    a, b = X.fit_toxicity(once, truth), X.fit_toxicity(many, truth)
+    assert (a.weights == b.weights).all() and a.bias == b.bias
