@@ -12,15 +12,16 @@ import re
 from dataclasses import dataclass
 from decimal import Decimal
 
-# English number words and their values, months, and the shape of source numbers.
+# English number words and their values, months, and the marks of source numbers.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 SCALES = {"hundred": 100, "thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12, "quadrillion": 10**15, "dozen": 12, "score": 20}
 ORDINALS = "zeroth first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth".split()
 ORDINAL_TENS = {"twentieth": 20, "thirtieth": 30}
 MONTHS = "january february march april may june july august september october november december".split()
-SOURCE_NUMBER = re.compile(r"(?<!\d)(?P<nth>第)?(?P<n>(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)(?:\s*(?P<over>多)?\s*(?P<unit>[万亿]))?(?P<date>世纪|[年月日号])?")
 FACTOR = {"": 1, "万": 10**4, "亿": 10**8}
+ORDINAL_MARK, APPROXIMATE_MARK = "第", "多"
+DATE_MARKS = ("世纪", "年", "月", "日", "号")
 
 _DIGIT = re.compile(r"\d")
 _WORDS = {w: i for i, w in enumerate(ONES)} | TENS
@@ -77,14 +78,74 @@ def ordinal(n: int) -> str:
     return f"{n}{'th' if n // 10 % 10 == 1 or n % 100 == 20 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
 
 
+# What may hold numbers that aren't content.
+_ANCHOR, _DESTINATION, _CONTENTS = re.compile(r"\{#[^{}\n]*\}"), re.compile(r"(?<=\])\([^()\n]*\)"), re.compile(r"\[\d+\]\(\s*#")
+
+
 def strip_structure(text: str) -> str:
-    return re.sub(r"\{#[^}]*\}", "", re.sub(r"(?<=\])\([^)]*\)", "", text))
+    """Without page marks of contents lists, anchors and link destinations."""
+    return _DESTINATION.sub("", _ANCHOR.sub("", _CONTENTS.sub("", text)))
+
+
+class _Scanner:
+    """Reads a source line from left to right."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def digits(self, at: int) -> int:
+        """Where the run of digits from ``at`` ends."""
+        while at < len(self.text) and self.text[at].isdecimal():
+            at += 1
+        return at
+
+    def blanks(self, at: int) -> int:
+        while at < len(self.text) and self.text[at].isspace():
+            at += 1
+        return at
+
+    def number(self) -> Decimal:
+        """The number at the present place: digits, groups of three after a comma, and a decimal part."""
+        start, end = self.at, self.digits(self.at)
+        if end - start <= 3:
+            while self.text[end : end + 1] == "," and self.digits(end + 1) >= end + 4:
+                end += 4
+        if self.text[end : end + 1] == "." and (tail := self.digits(end + 1)) > end + 1:
+            end = tail
+        self.at = end
+        return Decimal(self.text[start:end].replace(",", ""))
+
+    def magnitude(self) -> tuple[str, bool]:
+        """A unit that multiplies the number, and whether it is approximate; nothing is read without a unit."""
+        at = self.blanks(self.at)
+        over = self.text[at : at + 1] == APPROXIMATE_MARK
+        if over:
+            at = self.blanks(at + 1)
+        unit = self.text[at : at + 1]
+        if not unit or unit not in FACTOR:
+            return "", False
+        self.at = at + 1
+        return unit, over
+
+    def date(self) -> str:
+        mark = next((m for m in DATE_MARKS if self.text.startswith(m, self.at)), "")
+        self.at += len(mark)
+        return mark
 
 
 def mentions(source: str) -> list[Mention]:
-    out = []
-    for m in SOURCE_NUMBER.finditer(strip_structure(source)):
-        out.append(Mention(Decimal(m["n"].replace(",", "")), m["unit"] or "", bool(m["over"]), m["date"] or "", bool(m["nth"])))
+    """Numbers of a source line: digits, then magnitude, then date mark."""
+    scan, out = _Scanner(strip_structure(source)), []
+    while scan.at < len(scan.text):
+        if not scan.text[scan.at].isdecimal():
+            scan.at += 1
+            continue
+        nth = scan.text[scan.at - 1 : scan.at] == ORDINAL_MARK if scan.at else False
+        number = scan.number()
+        unit, over = scan.magnitude()
+        out.append(Mention(number, unit, over, scan.date(), nth))
+        if scan.text[scan.at - 1].isdecimal():
+            scan.at = scan.digits(scan.at)  # digits that go on after a group belong to no number
     return out
 
 

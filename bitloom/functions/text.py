@@ -11,6 +11,13 @@ CJK_LEAK = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}
 CJK_BASIC = "[\\x{4E00}-\\x{9FFF}]"
 CJK_WIDE = "[\\x{3400}-\\x{9FFF}]"
 CJK_TWO_BLOCKS = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]"
+CJK_BODY = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]"
+ANCHOR = "\\{#[^{}\\n]*\\}"
+LINK_DESTINATION = "(?<=\\])\\([^()\\n]*\\)"
+SECTION_NUMBER = "[一二三四五六七八九十]+[、，,]"
+ITEM_NUMBER = "\\d+[、.,]"
+DOT_LEADER = "\\.{3,}"
+PAGE_NUMBER = "\\d{1,3}"
 CHINESE_PUNCTUATION = "[，。、；：？！《》【】（）]"
 EMPHASIS = "\\*[^*\\n]+\\*"
 COMMENT = "\\{%|%\\}"
@@ -30,7 +37,7 @@ def split_lines(text: Column | str) -> Column:
 
 def is_blank(line: Column | str) -> Column:
     """Only white space of any script, or nothing."""
-    return strip(line) == ""
+    return ~as_column(line).rlike(f"[^{WHITE}]")
 
 
 def strip(text: Column | str) -> Column:
@@ -45,20 +52,33 @@ def squeeze(text: Column | str) -> Column:
 
 def heading_level(line: Column | str) -> Column:
     """1 to 6, or 0 for a line that isn't a heading."""
-    return F.length(F.regexp_extract(as_column(line), "(?U)^(#{1,6})(?:\\s|$)", 1))
+    t = as_column(line)
+    return F.when(t.startswith("#"), F.length(F.regexp_extract(t, "(?U)^(#{1,6})(?:\\s|$)", 1))).when(t.isNotNull(), 0)
 
 
 def emphasis_count(line: Column | str) -> Column:
-    return F.regexp_count(as_column(line), F.lit(EMPHASIS))
+    t = as_column(line)
+    return F.when(t.contains("*"), F.regexp_count(t, F.lit(EMPHASIS))).when(t.isNotNull(), 0)
 
 
 def comment_tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(as_column(text), F.lit(COMMENT), F.lit(0))
+    t = as_column(text)
+    return F.when(t.contains("%"), F.regexp_extract_all(t, F.lit(COMMENT), F.lit(0))).when(t.isNotNull(), F.array().cast("array<string>"))
 
 
 def strip_structure(text: Column | str) -> Column:
     """Without ``{#anchors}`` and link destinations."""
-    return F.regexp_replace(F.regexp_replace(as_column(text), "\\{#[^}]*\\}", ""), "(?<=\\])\\([^)]*\\)", "")
+    t = as_column(text)
+    bare = F.regexp_replace(F.regexp_replace(t, ANCHOR, ""), LINK_DESTINATION, "")
+    return F.when(t.contains("{#") | t.contains("]"), bare).otherwise(t)
+
+
+def _outside(line: Column | str, allowed: tuple[str, ...]) -> Column:
+    """A line without structure and allowed strings."""
+    t = strip_structure(line)
+    for s in allowed:
+        t = F.replace(t, F.lit(s), F.lit(""))
+    return t
 
 
 def is_title_line(line: Column | str) -> Column:
@@ -72,14 +92,12 @@ def title_key(line: Column | str) -> Column:
 
 def has_cjk_leak(line: Column | str, allowed: tuple[str, ...] = ()) -> Column:
     """Chinese characters left after structure and allowed strings are taken out."""
-    t = strip_structure(line)
-    for s in allowed:
-        t = F.replace(t, F.lit(s), F.lit(""))
-    return t.rlike(CJK_LEAK)
+    return _outside(line, allowed).rlike(CJK_LEAK)
 
 
-def has_punctuation_leak(line: Column | str) -> Column:
-    return strip_structure(line).rlike(CHINESE_PUNCTUATION)
+def has_punctuation_leak(line: Column | str, allowed: tuple[str, ...] = ()) -> Column:
+    """Chinese punctuation left after structure and allowed strings are taken out."""
+    return _outside(line, allowed).rlike(CHINESE_PUNCTUATION)
 
 
 def has_bold(line: Column | str) -> Column:
@@ -205,17 +223,20 @@ def is_vertical_toc(line: Column | str) -> Column:
 
 
 def is_section_header(line: Column | str) -> Column:
+    """A title in lenticular brackets, a ``#`` heading, or a line that opens with a number and its mark."""
     s = strip(line)
-    return s.rlike("\\A【.*】\\z") | s.startswith("#") | s.rlike("\\A[一二三四五六七八九十]+[、.,]") | s.rlike("\\A\\d+[、.,]")
+    return s.rlike(f"\\A(?:【.*】\\z|#|{SECTION_NUMBER}|{ITEM_NUMBER})")
 
 
 def is_outline_toc(line: Column | str) -> Column:
+    """A dot leader, or a numbered entry of under 30 characters."""
     s = strip(line)
-    return s.rlike("\\.{3,}") | (s.rlike("\\A(?:\\d+[.、,]|[一二三四五六七八九十]+[、,])\\s*\\S") & (F.length(s) < 30))
+    entry = s.rlike(f"\\A(?:{SECTION_NUMBER}|{ITEM_NUMBER})\\s*\\S")
+    return s.rlike(DOT_LEADER) | entry & (F.length(s) < 30)
 
 
 def is_pdf_noise(line: Column | str, running_heads: tuple[str, ...] = ()) -> Column:
     """Empty lines, page numbers, typesetter slugs and given running heads."""
     s = strip(line)
-    noise = (s == "") | s.rlike("\\A\\d{1,4}\\z") | s.rlike("(?i)\\.indd\\b|\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\s+\\d{1,2}:\\d{2}")
+    noise = (s == "") | s.rlike(f"\\A{PAGE_NUMBER}\\z") | s.rlike("(?i)\\.indd\\b|\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\s+\\d{1,2}:\\d{2}")
     return noise | s.isin(*running_heads) if running_heads else noise

@@ -23,7 +23,7 @@ def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(X.split_lines(F.coalesce(F.col(text), F.lit("")))).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("line_no"), "text")
 
 
-def toc_end(lines: DataFrame, body: str = X.CJK_WIDE, least: int = 3) -> DataFrame:
+def toc_end(lines: DataFrame, body: str = X.CJK_BODY, least: int = 3) -> DataFrame:
     """doc_id, toc_end: lines before the first with ``least`` body characters, and before the blanks above it; 0 without one."""
     n = F.regexp_count("text", F.lit(body))
     first = lines.groupBy("doc_id").agg(F.min(F.when(n >= least, F.col("line_no"))).alias("first"))
@@ -32,7 +32,7 @@ def toc_end(lines: DataFrame, body: str = X.CJK_WIDE, least: int = 3) -> DataFra
     return j.groupBy("doc_id").agg(F.when(F.first("first").isNull(), 0).otherwise(F.coalesce(above, F.lit(0))).alias("toc_end"))
 
 
-def join_body(lines: DataFrame, body: str = X.CJK_WIDE, glue: str = "") -> DataFrame:
+def join_body(lines: DataFrame, body: str = X.CJK_BODY, glue: str = "") -> DataFrame:
     """doc_id, line_no (of the first line), text: broken lines joined to paragraphs.
 
     Blank lines, section headers and outline entries end a paragraph and stand alone; page numbers

@@ -2,8 +2,8 @@
 
 A document is one row (doc_id, src, tgt) of line arrays, so aligning by line number is
 ``arrays_zip`` inside the row: a full outer join by position without a shuffle, in which a missing
-line is null. Lines are exploded once, every check is a conditional count over the same rows, and
-counts are pre-aggregated per document before the only exchange.
+line is null. All structural checks are counts over that array, so the gate and its report need no exchange;
+only reports by title or line explode it.
 """
 
 from __future__ import annotations
@@ -52,38 +52,39 @@ def repeated_titles(docs: DataFrame) -> DataFrame:
 
 
 def structure_counts(docs: DataFrame, allow_cjk: tuple[str, ...] = ()) -> DataFrame:
-    """One row of issue counts per document, from one pass over its aligned lines."""
-    a = aligned(docs)
-    both = F.col("src").isNotNull() & F.col("tgt").isNotNull()
-    issues = {
-        "blank_alignment": both & (X.is_blank("src") != X.is_blank("tgt")),
-        "headings": ~F.when(F.col("src").isNotNull(), X.heading_level("src")).eqNullSafe(F.when(F.col("tgt").isNotNull(), X.heading_level("tgt"))),
-        "emphasis": both & (X.emphasis_count("tgt") < X.emphasis_count("src")),
-        "comment_lines": ~F.when(F.col("src").isNotNull(), X.comment_tokens("src")).eqNullSafe(F.when(F.col("tgt").isNotNull(), X.comment_tokens("tgt"))),
-        "cjk_leakage": F.col("tgt").isNotNull() & X.has_cjk_leak("tgt", allow_cjk),
-        "punctuation_leakage": F.col("tgt").isNotNull() & X.has_punctuation_leak("tgt"),
-        "bold_leakage": F.col("tgt").isNotNull() & X.has_bold("tgt"),
-        "src_nonblank": F.col("src").isNotNull() & ~X.is_blank("src"),
-        "tgt_nonblank": F.col("tgt").isNotNull() & ~X.is_blank("tgt"),
-    }
-    per_line = a.groupBy("doc_id").agg(*(F.count_if(c).alias(n) for n, c in issues.items()))
-    # what needs a whole side at once is computed inside the row
-    whole = docs.select(
-        "doc_id",
-        F.size("src").alias("src_lines"),
-        F.size("tgt").alias("tgt_lines"),
-        X.paragraph_count(F.col("src")).alias("src_paragraphs"),
-        X.paragraph_count(F.col("tgt")).alias("tgt_paragraphs"),
-        comment_depth(X.comment_tokens(F.array_join("src", "\n"))).alias("src_comments"),
-        comment_depth(X.comment_tokens(F.array_join("tgt", "\n"))).alias("tgt_comments"),
+    """``docs`` (doc_id, src, tgt) as one row of issue counts per document, all computed inside the row."""
+    def flags(p: Column) -> Column:
+        s, t = p["src"], p["tgt"]
+        both = s.isNotNull() & t.isNotNull()
+        level = lambda x: F.when(x.isNotNull(), X.heading_level(x))
+        tokens = lambda x: F.when(x.isNotNull(), X.comment_tokens(x))
+        title = both & X.is_title_line(s)
+        return F.struct(
+            (s.isNotNull() & ~X.is_blank(s)).alias("src_text"), (t.isNotNull() & ~X.is_blank(t)).alias("tgt_text"), both.alias("both"),
+            (~level(s).eqNullSafe(level(t))).alias("headings"), (both & (X.emphasis_count(t) < X.emphasis_count(s))).alias("emphasis"), (~tokens(s).eqNullSafe(tokens(t))).alias("comment_lines"),
+            (t.isNotNull() & X.has_cjk_leak(t, allow_cjk)).alias("cjk_leakage"), (t.isNotNull() & X.has_punctuation_leak(t, allow_cjk)).alias("punctuation_leakage"), (t.isNotNull() & X.has_bold(t)).alias("bold_leakage"),
+            F.when(title, X.title_key(s)).alias("title"), F.when(title, X.title_key(t)).alias("rendering"),
+        )
+
+    d = docs.select("doc_id", "src", "tgt", F.transform(F.arrays_zip("src", "tgt"), flags).alias("lines"))
+    n = lambda f: F.size(F.filter("lines", f)).cast("long")
+    # a line with text that none precedes opens a paragraph
+    opens = lambda side: F.size(F.filter("lines", lambda x, i: x[side] & ((i == 0) | ~F.get("lines", i - 1)[side])))
+    renderings = F.array_distinct(F.transform(F.filter("lines", lambda x: x["title"] != ""), lambda x: F.struct(x["title"].alias("title"), x["rendering"].alias("rendering"))))
+    d = d.withColumn("titles", F.array_sort(F.transform(renderings, lambda x: x["title"])))
+    several = F.size(F.array_distinct(F.filter("titles", lambda x, i: x == F.get("titles", i - 1))))
+    flag = lambda k: lambda x: x[k]
+    simple = ("headings", "emphasis", "comment_lines", "cjk_leakage", "punctuation_leakage", "bold_leakage")
+    return d.select(
+        "doc_id", F.size("src").alias("src_lines"), F.size("tgt").alias("tgt_lines"), opens("src_text").alias("src_paragraphs"), opens("tgt_text").alias("tgt_paragraphs"),
+        comment_depth(X.comment_tokens(F.array_join("src", "\n"))).alias("src_comments"), comment_depth(X.comment_tokens(F.array_join("tgt", "\n"))).alias("tgt_comments"),
+        n(lambda x: x["src_text"]).alias("src_nonblank"), n(lambda x: x["tgt_text"]).alias("tgt_nonblank"), n(lambda x: x["both"] & (x["src_text"] != x["tgt_text"])).alias("blank_alignment"),
+        *(n(flag(k)).alias(k) for k in simple), several.cast("long").alias("repeated_titles"),
     )
-    titles = repeated_titles(docs).groupBy("doc_id").agg(F.count_if(F.col("renderings") > 1).alias("repeated_titles"))
-    joined = whole.join(per_line, "doc_id", "left").join(titles, "doc_id", "left")
-    return joined.fillna(0, [*issues, "repeated_titles"])
 
 
-def structure_checks(docs: DataFrame, allow_cjk: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, check_no, check, status, issues of the eleven structural checks."""
+def structure_report(docs: DataFrame, allow_cjk: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, checks: an array of (check_no, check, issues, status) of the eleven structural checks."""
     c = structure_counts(docs, allow_cjk)
     same_lines = F.col("src_lines") == F.col("tgt_lines")
     broken = F.col("src_comments.depth") + F.col("src_comments.errors") + F.col("tgt_comments.depth") + F.col("tgt_comments.errors")
@@ -100,26 +101,37 @@ def structure_checks(docs: DataFrame, allow_cjk: tuple[str, ...] = ()) -> DataFr
         "punctuation_leakage": F.col("punctuation_leakage"),
         "bold_leakage": F.col("bold_leakage"),
     }
-    rows = F.array(*(F.struct(F.lit(i).alias("check_no"), F.lit(n).alias("check"), issues[n].cast("long").alias("issues")) for i, n in enumerate(CHECKS, 1)))
-    long_ = c.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.check_no", "r.check", "r.issues")
-    return long_.withColumn("status", F.when(F.col("issues") == 0, PASS).otherwise(FAIL))
+    rows = (F.struct(F.lit(i).alias("check_no"), F.lit(n).alias("check"), issues[n].cast("long").alias("issues"), F.when(issues[n] == 0, PASS).otherwise(FAIL).alias("status")) for i, n in enumerate(CHECKS, 1))
+    return c.select("doc_id", F.array(*rows).alias("checks"))
 
 
-def roll_up(checks: DataFrame, strict: bool = False) -> DataFrame:
-    """doc_id, overall, passed, warned, skipped, failed: names in check order, comma-joined.
+def structure_checks(docs: DataFrame, allow_cjk: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, check_no, check, issues, status of the eleven structural checks."""
+    # outer, though there are always eleven: for the other kind a filter on the array is inferred, and the whole computation repeated in it
+    return structure_report(docs, allow_cjk).select("doc_id", F.inline_outer("checks"))
+
+
+def summary(checks: Column, strict: bool = False) -> list[Column]:
+    """overall, passed, warned, skipped, failed of an array of checks: names in check order, comma-joined.
 
     FAIL beats all; in strict runs a SKIP makes the whole SKIP; then WARN; then PASS.
     """
     def names(status: str) -> Column:
-        found = F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("check_no", "check"))))
-        return F.array_join(F.transform(found, lambda s: s["check"]), ",")
+        found = F.array_sort(F.transform(F.filter(checks, lambda x: x["status"] == status), lambda x: F.struct(x["check_no"], x["check"])))
+        return F.array_join(F.transform(found, lambda x: x["check"]), ",")
 
-    n = {s: F.count_if(F.col("status") == s) for s in (FAIL, SKIP, WARN)}
-    overall = F.when(n[FAIL] > 0, FAIL)
+    some = lambda status: F.exists(checks, lambda x: x["status"] == status)
+    overall = F.when(some(FAIL), FAIL)
     if strict:
-        overall = overall.when(n[SKIP] > 0, SKIP)
-    overall = overall.when(n[WARN] > 0, WARN).otherwise(PASS)
-    return checks.groupBy("doc_id").agg(overall.alias("overall"), names(PASS).alias("passed"), names(WARN).alias("warned"), names(SKIP).alias("skipped"), names(FAIL).alias("failed"))
+        overall = overall.when(some(SKIP), SKIP)
+    overall = overall.when(some(WARN), WARN).otherwise(PASS)
+    return [overall.alias("overall"), names(PASS).alias("passed"), names(WARN).alias("warned"), names(SKIP).alias("skipped"), names(FAIL).alias("failed")]
+
+
+def roll_up(checks: DataFrame, strict: bool = False) -> DataFrame:
+    """doc_id and the :func:`summary` of checks given as rows (doc_id, check_no, check, status)."""
+    found = checks.groupBy("doc_id").agg(F.collect_list(F.struct("check_no", "check", "status")).alias("checks"))
+    return found.select("doc_id", *summary(F.col("checks"), strict))
 
 
 def mismatched_lines(docs: DataFrame, condition: Column, first: int = 10) -> DataFrame:

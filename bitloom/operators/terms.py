@@ -6,7 +6,6 @@ terms, source authority, row_id.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -67,7 +66,7 @@ def term_map(terms: DataFrame, candidates: DataFrame, limit: int = DEFAULT_LIMIT
 
     The search for a candidate puts its exact matches first, so taking exact matches out of its best
     ``limit`` results is an equi-join and a rank; no containment join is needed. Of candidates with
-    one source the first counts. Renderings equal to the preferred one but for case are left out.
+    one source the first counts. Of renderings equal but for case the first stays, and none that equals the preferred one.
     """
     c = candidates.withColumn("source", X.strip("source")).where("source <> ''")
     first = Window.partitionBy("source").orderBy("ord")
@@ -84,12 +83,18 @@ def term_map(terms: DataFrame, candidates: DataFrame, limit: int = DEFAULT_LIMIT
     return joined.select(
         "source", F.coalesce("sense", F.lit("")).alias("sense"), "ord",
         F.when(known, preferred).alias("preferred"),
-        F.when(known, F.array_distinct(others)).otherwise(F.array().cast("array<string>")).alias("allowed"),
+        F.when(known, distinct_ignoring_case(others)).otherwise(F.array().cast("array<string>")).alias("allowed"),
         F.when(known, labels).otherwise(F.array().cast("array<string>")).alias("sources"),
         F.when(known, "selected").otherwise("needs_human").alias("status"),
     )
 
 
+def distinct_ignoring_case(values: Column) -> Column:
+    """``values`` without those that an earlier one equals but for case."""
+    keys = F.transform(values, F.lower)
+    return F.filter(values, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+
+
 def audit(terms: DataFrame) -> DataFrame:
     """rows, distinct terms, terms with several renderings, and terms of the first authority."""
     t = terms.select(F.trim("zh").alias("zh"), F.trim("en").alias("en"), "source").where("zh <> ''")
@@ -161,33 +166,44 @@ def occurrences_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
     t = t.withColumn("head", F.substring("term", 1, k))
     # a look-ahead takes the piece at every position in one linear pass
     pieces_ = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
-    heads = docs.where("text <> ''").select("doc_id", F.explode(pieces_).alias("head"))
-    pairs = heads.join(t, "head").select("doc_id", "term")
-    tested = pairs.join(docs.select("doc_id", "text"), "doc_id")
+    # rows are joined back by their text, so that rows with one doc_id stay apart; equal texts are searched once
+    own = docs.where("text <> ''").select("doc_id", "text", F.sha2("text", 256).alias("key"))
+    texts = own.groupBy("key").agg(F.first("text").alias("text"))
+    pairs = texts.select("key", F.explode(pieces_).alias("head")).join(t, "head").select("key", "term")
+    tested = pairs.join(texts, "key")
     n = ((F.length("text") - F.length(F.replace("text", F.col("term"), F.lit("")))) / F.length("term")).cast("long")
-    return tested.select("doc_id", "term", n.alias("n")).where("n > 0")
+    found = tested.select("key", "term", n.alias("n")).where("n > 0")
+    return own.select("doc_id", "key").join(found, "key").select("doc_id", "term", "n")
 
 
 # --- terminology fidelity -------------------------------------------------------------------
 
 
-def rendering_pattern(rendering: str) -> re.Pattern[str]:
-    """A rendering as a whole: white space is flexible, and an alphanumeric edge is a word edge."""
-    words = rendering.split()
-    body = r"\s+".join(map(re.escape, words))
-    left = r"(?<!\w)" if words and re.match(r"\w", words[0][0]) else ""
-    right = r"(?!\w)" if words and re.match(r"\w", words[-1][-1]) else ""
-    return re.compile(left + body + right, re.IGNORECASE)
+def whole_pattern(rendering: Column) -> Column:
+    """A regular expression for a rendering as a whole: any white space between its words, and no word going on at an alphanumeric edge."""
+    r = X.strip(rendering)
+    quoted = F.transform(F.split(X.squeeze(r), " "), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    edge = lambda c, look: F.when(c.rlike("[\\p{L}\\p{N}]"), F.lit(look)).otherwise(F.lit(""))
+    return F.concat(F.lit("(?iU)"), edge(F.substring(r, 1, 1), "(?<!\\w)"), F.array_join(quoted, "\\s+"), edge(F.right(r, F.lit(1)), "(?!\\w)"))
+
+
+def ranked_patterns(renderings: Column) -> Column:
+    """Patterns of distinct renderings, the longest first; of equally long ones the earlier first."""
+    known = F.array_distinct(F.filter(renderings, lambda r: ~X.is_blank(r)))
+    ranked = F.array_sort(F.transform(known, lambda r, i: F.struct((-F.length(r)).alias("size"), i.alias("i"), whole_pattern(r).alias("p"))))
+    return F.transform(ranked, lambda x: x["p"])
 
 
-def count_renderings(text: str, renderings: list[str]) -> int:
-    """Occurrences of any rendering, longer ones first, none overlapping another."""
-    taken: list[tuple[int, int]] = []
-    for r in sorted(dict.fromkeys(r for r in renderings if r.strip()), key=len, reverse=True):
-        for m in rendering_pattern(r).finditer(text):
-            if not any(m.start() < b and a < m.end() for a, b in taken):
-                taken.append(m.span())
-    return len(taken)
+_TAKEN = "\u0000"
+
+
+def renderings_in(text: Column, patterns: Column) -> Column:
+    """How often ``text`` holds any of the renderings, longer ones first, none overlapping another.
+
+    What a rendering takes is blotted out before the next one is looked for, and the blots are counted.
+    """
+    blots = lambda t: F.length(t) - F.length(F.replace(t, F.lit(_TAKEN), F.lit("")))
+    return blots(F.aggregate(patterns, text, lambda t, p: F.regexp_replace(t, p, F.lit(_TAKEN)))) - blots(text)
 
 
 def terminology(docs: DataFrame, policy: DataFrame, strict: bool = False) -> DataFrame:
@@ -199,29 +215,19 @@ def terminology(docs: DataFrame, policy: DataFrame, strict: bool = False) -> Dat
     """
     text = docs.select("doc_id", F.array_join("src", "\n").alias("text"))
     n = occurrences(text, policy.select(F.col("source").alias("term")))
-    met = n.join(policy.withColumnRenamed("source", "term"), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "n", "renderings", "forbidden", "needs_human"))).alias("terms"))
+    # patterns are made once for each term, before it meets documents
+    ready = policy.select(F.col("source").alias("term"), ranked_patterns(F.col("renderings")).alias("good"), ranked_patterns(F.col("forbidden")).alias("bad"), "needs_human")
+    met = n.join(ready, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "n", "good", "bad", "needs_human"))).alias("terms"))
     whole = docs.select("doc_id", F.lower(F.array_join("tgt", " ")).alias("target")).join(met, "doc_id", "left")
-
-    def judge(target: str, terms) -> tuple:
-        failed, unresolved, warned = [], [], []
-        for t in [] if terms is None else terms:
-            hits = count_renderings(target, list(t["renderings"]))
-            if any(rendering_pattern(r).search(target) for r in t["forbidden"]):
-                failed.append(t["term"])
-            elif t["needs_human"]:
-                unresolved.append(t["term"])
-            elif hits == 0:
-                failed.append(t["term"])
-            elif hits < t["n"]:
-                (failed if strict and hits < 0.99 * t["n"] else warned).append(t["term"])
-        checked = 0 if terms is None else len(terms)
-        status = SKIP if not checked else FAIL if failed else SKIP if unresolved else WARN if warned else PASS
-        return status, checked, ",".join(failed), ",".join(unresolved), ",".join(warned)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *judge(t or "", x)) for d, t, x in zip(f["doc_id"], f["target"], f["terms"], strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "status", "checked", "failed", "unresolved", "warned"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return whole.mapInPandas(batches, f"doc_id {kind}, status string, checked int, failed string, unresolved string, warned string")
+    target = F.coalesce("target", F.lit(""))
+    judged = F.transform("terms", lambda t: F.struct(
+        t["term"].alias("term"), t["n"].alias("n"), t["needs_human"].alias("open"), renderings_in(target, t["good"]).alias("hits"),
+        F.exists(t["bad"], lambda p: F.rlike(target, p)).alias("bad"),
+    ))
+    few = (lambda t: t["hits"] < 0.99 * t["n"]) if strict else (lambda t: F.lit(False))
+    state = lambda t: F.when(t["bad"], "failed").when(t["open"], "unresolved").when((t["hits"] == 0) | few(t), "failed").when(t["hits"] < t["n"], "warned").otherwise("")
+    d = whole.select("doc_id", F.coalesce(F.size("terms"), F.lit(0)).alias("checked"), F.transform(judged, lambda t: F.struct(t["term"].alias("term"), state(t).alias("state"))).alias("states"))
+    names = lambda k: F.array_join(F.transform(F.filter(F.coalesce("states", F.array().cast("array<struct<term:string,state:string>>")), lambda t: t["state"] == k), lambda t: t["term"]), ",")
+    has = lambda k: F.exists("states", lambda t: t["state"] == k)
+    status = F.when(F.col("checked") <= 0, SKIP).when(has("failed"), FAIL).when(has("unresolved"), SKIP).when(has("warned"), WARN).otherwise(PASS)
+    return d.select("doc_id", status.alias("status"), F.greatest("checked", F.lit(0)).alias("checked"), names("failed").alias("failed"), names("unresolved").alias("unresolved"), names("warned").alias("warned"))

@@ -87,13 +87,42 @@ SELECT doc_id, coalesce(string_agg('L' || line_no, ',' ORDER BY line_no) FILTER
   count(*) FILTER (k % 11 = 0 OR k % 4 = 0) = 0 AS ordered FROM lines GROUP BY doc_id"""
 
 
+#: Source and target by kind of line: equal, another number, a unit, no source number, an approximation without its word, a date, an ordinal.
+_NUMBER_KINDS = {
+    0: ("concat('共有 ', n, ' 人')", "concat('there were ', n, ' people')"),
+    1: ("concat('共有 ', n, ' 人')", "concat('there were ', m, ' people')"),
+    2: ("concat('约 ', n, ' 万元')", "concat('about ', n, '0,000 yuan')"),
+    3: ("'没有数字'", "concat('note ', n, ' here')"),
+    4: ("concat(n, '多万人')", "concat(n, '0000 people')"),
+    5: ("concat('2024年8月', d, '日')", "concat('August ', d, ', 2024')"),
+    6: ("concat('排在第', d, '位')", "concat('ranked ', d, CASE WHEN d IN (1, 21, 31) THEN 'st' WHEN d IN (2, 22) THEN 'nd' WHEN d IN (3, 23) THEN 'rd' ELSE 'th' END)"),
+}
+
+
+def _number_line(side: int, kind: str) -> str:
+    """An expression that both engines read."""
+    cases = " ".join(f"WHEN {k} THEN {v[side]}" for k, v in _NUMBER_KINDS.items())
+    return f"CASE {kind} {cases} END"
+
+
 def number_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of all documents against a target in which every seventh line lost its digits."""
-    d = I.table(spark, sf_dir, "documents").select("doc_id", X.split_lines(F.coalesce("text", F.lit(""))).alias("src"))
-    d = d.withColumn("tgt", F.transform("src", lambda x, i: F.when((F.col("doc_id") + i) % 7 == 0, F.regexp_replace(x, "[0-9]", "")).otherwise(x)))
+    """Two lines for each part, whose kinds and numbers come from its key."""
+    d = I.table(spark, sf_dir, "part").selectExpr("p_partkey AS doc_id", "p_partkey % 7 AS a", "(p_partkey + 1 + p_partkey % 3) % 7 AS b", "p_partkey % 900 + 101 AS n", "p_partkey % 900 + 102 AS m", "p_partkey % 31 + 1 AS d")
+    d = d.select("doc_id", F.array(F.expr(_number_line(0, "a")), F.expr(_number_line(0, "b"))).alias("src"), F.array(F.expr(_number_line(1, "a")), F.expr(_number_line(1, "b"))).alias("tgt"))
     return numbers.check_numbers(d)
 
 
+def _number_labels(values: dict[int, str]) -> str:
+    """Labels of both lines, comma-joined, by kind of line."""
+    line = lambda i, kind: f"CASE {kind} " + " ".join(f"WHEN {k} THEN concat('L{i}:', {v})" for k, v in values.items()) + " END"
+    return f"coalesce(concat_ws(',', {line(1, 'a')}, {line(2, 'b')}), '')"
+
+
+NUMBER_FIDELITY_SQL = f"""WITH d AS (SELECT p_partkey AS doc_id, p_partkey % 7 AS a, (p_partkey + 1 + p_partkey % 3) % 7 AS b, p_partkey % 900 + 101 AS n, p_partkey % 900 + 102 AS m FROM part)
+SELECT doc_id, CASE WHEN a IN (1, 4) OR b IN (1, 4) THEN 'FAIL' WHEN a = 3 OR b = 3 THEN 'WARN' ELSE 'PASS' END AS status,
+  {_number_labels({1: "n", 4: "n, '多万'"})} AS missing, {_number_labels({1: "m", 3: "n", 4: "n, '0000'"})} AS extra FROM d"""
+
+
 EVENT_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 90}}, "additionalProperties": False}
 EVENT_SCHEMA_SQL = "SELECT CASE WHEN CAST(props ->> 'k' AS BIGINT) > 90 THEN '$.k: out of range' ELSE 'none' END AS problem, count(*) AS n FROM events GROUP BY 1"
 
@@ -105,4 +134,4 @@ def event_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: globals()[n] for n in ("risk_focus", "evidence_rules", "id_coverage", "number_fidelity", "event_schema")}
-SQL = {"risk_focus": RISK_FOCUS_SQL, "evidence_rules": EVIDENCE_RULES_SQL, "id_coverage": ID_COVERAGE_SQL, "event_schema": EVENT_SCHEMA_SQL}
+SQL = {"risk_focus": RISK_FOCUS_SQL, "evidence_rules": EVIDENCE_RULES_SQL, "id_coverage": ID_COVERAGE_SQL, "number_fidelity": NUMBER_FIDELITY_SQL, "event_schema": EVENT_SCHEMA_SQL}

@@ -26,7 +26,7 @@ def structure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.structure_checks(I.marked(spark, sf_dir)).select("doc_id", "check_no", "check", "issues", "status")
 
 
-_SQL_CLEAN = r"regexp_replace(regexp_replace(tgt, '\{#[^}]*\}', '', 'g'), '(\])\([^)]*\)', '\1', 'g')"
+_SQL_CLEAN = r"regexp_replace(regexp_replace(tgt, '\{#[^{}\n]*\}', '', 'g'), '(\])\([^()\n]*\)', '\1', 'g')"
 _SQL_TITLE = r"trim(regexp_replace(regexp_replace(regexp_replace({c}, '^\s*(?:#{{1,6}}\s+|-\s+)', ''), '(?i)^(?:[一二三四五六七八九十百]+[、．.]|\d+[．.]|[IVXLCDM]+[.)])\s*', ''), '\s+', ' ', 'g'))"
 
 
@@ -88,7 +88,8 @@ STRUCTURE_SQL = f"WITH {STRUCTURE_CTE} SELECT * FROM checks"
 
 
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.roll_up(gate.structure_checks(I.marked(spark, sf_dir)))
+    r = gate.structure_report(I.marked(spark, sf_dir))
+    return r.select("doc_id", *gate.summary(F.col("checks")))
 
 
 GATE_REPORT_SQL = f"""WITH {STRUCTURE_CTE}

@@ -137,5 +137,12 @@ def sentence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleanup.sentence_matches(d).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count("found").alias("found"))
 
 
+SENTENCE_MATCHES_SQL = rf"""WITH {I.PAIRS_SQL}, t AS (
+  SELECT doc_id, translate(lower(trim(regexp_replace(source, '\s+', ' ', 'g'))), '“”‘’', concat(chr(34), chr(34), chr(39), chr(39))) AS body,
+    list_filter(string_split(regexp_replace(trim(regexp_replace(target, '\s+', ' ', 'g')), '([.!?"”])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 20) AS sentences FROM pairs),
+e AS (SELECT doc_id, body, translate(lower(unnest(sentences)), '“”‘’', concat(chr(34), chr(34), chr(39), chr(39))) AS k FROM t)
+SELECT doc_id, count(*) AS sentences, count(*) FILTER (contains(body, k) OR length(k) > 60 AND contains(body, left(k, 60)) OR length(k) > 30 AND contains(body, left(k, 30))) AS found FROM e GROUP BY doc_id"""
+
+
 QUERIES = {n: globals()[n] for n in ("subtitle_checks", "subtitle_files", "subtitle_roundtrip", "subtitle_alignment", "join_body", "collapse_blanks", "dehyphenate", "line_batches", "toc_end", "rate_audit", "link_policy", "sentence_matches")}
-SQL = {n: globals()[n.upper() + "_SQL"] for n in QUERIES if n != "sentence_matches"}
+SQL = {n: globals()[n.upper() + "_SQL"] for n in QUERIES}

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from bitloom.functions import text as X
-from bitloom.operators import alignment, gate
+from bitloom.operators import alignment, cleanup, gate
 
 
 def docs(spark, *pairs):
@@ -94,3 +94,23 @@ def test_predicates(spark):
     assert (r.g.title, r.g.page, r.h.cn, r.h.en, r.i, r.j) == ("Intro", 12, "你好", "Hello there", ["1. a", "2. b"], "2. How")
     assert [(x.i, x.a, x.b) for x in r.k] == [(1, "b", "x"), (3, None, "d")]
     assert r.l == ["甲", "第一步乙", "第二步丙"] and r.m == ["This is a longer sentence here!", "And another long sentence."]
+
+
+def test_allowed_strings_and_structure(spark):
+    """Allowed strings may hold script and punctuation; braces and brackets inside a destination hide nothing."""
+    d = spark.createDataFrame([("see 《心经》 here",), ("[x](中(b)",), ("[x](中文) {#锚}",), ("{#a{中}",)], "t string")
+    r = d.select(X.has_cjk_leak("t", ("《心经》",)), X.has_punctuation_leak("t", ("《心经》",)), X.has_cjk_leak("t"), X.has_punctuation_leak("t")).collect()
+    assert [tuple(x) for x in r] == [(False, False, True, True), (True, False, True, False), (False, False, False, False), (True, False, True, False)]
+
+
+def test_line_kinds(spark):
+    d = spark.createDataFrame([("一，空",), ("一.空",), ("三、",), ("12、x",), ("12，x",), ("【序】",), ("2024",), ("207",), ("见......9",)], "t string")
+    r = d.select(X.is_section_header("t"), X.is_outline_toc("t"), X.is_pdf_noise("t")).collect()
+    assert [tuple(x) for x in r] == [(True, True, False), (False, False, False), (True, False, False), (True, True, False), (False, False, False), (True, False, False), (False, False, False), (False, False, True), (False, True, False)]
+
+
+def test_default_body_class(spark):
+    """Compatibility ideographs count as body; marks between the blocks don't."""
+    rows = [(1, 1, "序"), (1, 2, ""), (1, 3, "\uf900\uf901\uf902"), (2, 1, "\u4dc0\u4dc1\u4dc2")]
+    got = cleanup.toc_end(spark.createDataFrame(rows, "doc_id int, line_no int, text string")).collect()
+    assert {r.doc_id: r.toc_end for r in got} == {1: 1, 2: 0}

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom.operators import terms
 
@@ -68,6 +69,9 @@ def test_occurrences(spark):
     for limit in (1000, 0):  # one automaton, or a join
         assert sorted((r.doc_id, r.term, r.n) for r in terms.occurrences(d, t, limit).collect()) == want
     assert terms.occurrences(d, t.where("false")).count() == 0
+    again = spark.createDataFrame([(1, "aaaa"), (1, "aa"), (1, "aa"), (None, "b b"), (None, "b")], "doc_id int, text string")
+    both = [sorted(((r.doc_id, r.term, r.n) for r in terms.occurrences(again, t, limit).collect()), key=repr) for limit in (1000, 0)]
+    assert both[0] == both[1] == sorted([(1, "aa", 2), (1, "aa", 1), (1, "aa", 1), (None, "b", 2), (None, "b", 1)], key=repr)
 
 
 def test_unify(spark):
@@ -75,3 +79,17 @@ def test_unify(spark):
     b = spark.createDataFrame([("乙", "B", "B2")], "zh string, en1 string, en2 string")
     u = terms.unify((a, {"zh": "c", "en": "e", "source": "=one"}), (b, {"zh": "zh", "en": "en1", "source": "=two"}), (b, {"zh": "zh", "en": "en2", "source": "=two"}))
     assert sorted(map(tuple, u.collect())) == [("乙", "B", None, "two"), ("乙", "B2", None, "two"), ("甲", "A", None, "one")]
+
+
+@pytest.mark.parametrize(("text", "renderings", "n"), [
+    ("the view of emptiness is emptiness", ["emptiness", "view of emptiness"], 2), ("a b c d e", ["b c d", "a b", "d e"], 1), ("calm  abiding, calm\tabiding", ["Calm Abiding", "calm"], 2), ("calmly calm_ calm", ["calm"], 1),
+    ("a.b axb (a.b)", ["a.b"], 2), ("x (y) z(y)", ["(y)"], 2), ("\\\\Q a \\\\E b", ["\\\\E b", "\\\\Q"], 2), ("éclair clair", ["clair"], 1), ("one one one", ["one", "one", "ONE"], 3), ("none", ["", " "], 0),
+])
+def test_renderings(spark, text, renderings, n):
+    d = spark.createDataFrame([(text, renderings)], "t string, r array<string>")
+    assert d.select(terms.renderings_in(F.col("t"), terms.ranked_patterns(F.col("r")))).first()[0] == n
+
+
+def test_renderings_equal_but_for_case(spark):
+    d = spark.createDataFrame([(["calm", "Calm", "still", "CALM", "Still"],), ([],)], "r array<string>")
+    assert [r[0] for r in d.select(terms.distinct_ignoring_case(F.col("r"))).collect()] == [["calm", "still"], []]
