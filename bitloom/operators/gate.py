@@ -134,6 +134,18 @@ def roll_up(checks: DataFrame, strict: bool = False) -> DataFrame:
     return found.select("doc_id", *summary(F.col("checks"), strict))
 
 
+def full_report(docs: DataFrame, more: dict[str, DataFrame], strict: bool = False, allow_cjk: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the :func:`summary` of the structural checks and ``more``: tables of (doc_id, status) by the name of their check.
+
+    Each further check is joined by doc_id; a document that it has no row for skips it.
+    """
+    d = structure_report(docs, allow_cjk).select("doc_id", F.transform("checks", lambda x: F.struct(x["check_no"].alias("check_no"), x["check"].alias("check"), x["status"].alias("status"))).alias("checks"))
+    for i, (name, found) in enumerate(more.items(), len(CHECKS) + 1):
+        one = F.struct(F.lit(i).alias("check_no"), F.lit(name).alias("check"), F.coalesce("more_status", F.lit(SKIP)).alias("status"))
+        d = d.join(found.select("doc_id", F.col("status").alias("more_status")), "doc_id", "left").select("doc_id", F.array_append("checks", one).alias("checks"))
+    return d.select("doc_id", *summary(F.col("checks"), strict))
+
+
 def mismatched_lines(docs: DataFrame, condition: Column, first: int = 10) -> DataFrame:
     """doc_id, n, lines: how many aligned lines meet ``condition`` on src and tgt, and the first of them."""
     hit = aligned(docs).where(condition)

@@ -27,38 +27,40 @@ def source_scores(gold: DataFrame, runs: DataFrame) -> DataFrame:
     """provider, predicate_f1, role_f1, relation_f1, scope_f1, ambiguity_preservation_rate.
 
     ``gold``: case_id, predicates, roles, relations, scopes (JSON texts), ambiguities. ``runs``:
-    provider, run, case_id and the same arrays, of valid outputs; ``expected_runs`` come from the
-    distinct (provider, run) of ``runs`` with null case_id rows standing for invalid ones. A case
-    without output scores 0. The gold set is small and broadcast after Spark has checked its size.
+    provider, run, case_id and the same arrays, of valid outputs; rows with a null case_id stand for
+    invalid runs. A case without output scores 0: as that adds nothing to a sum, outputs meet their
+    case by its id, and sums are divided by runs times cases.
     """
-    every = runs.select("provider", "run").distinct()
     g = gold.select("case_id", *(F.col(c).alias(f"g_{c}") for c in ("predicates", "roles", "relations", "scopes", "ambiguities")))
-    grid = every.join(g)  # runs of providers by gold cases: both are report-sized
-    j = grid.join(runs, ["provider", "run", "case_id"], "left")
-    missing = F.col("predicates").isNull()
-    score = lambda c, f=lambda x: x: F.when(missing, 0.0).otherwise(set_f1(f(F.col(f"g_{c}")), f(F.col(c))))
+    all_ = gold.agg(F.count("*").alias("cases"), F.coalesce(F.sum(F.size("ambiguities")), F.lit(0)).alias("doubts"))
     keys = lambda c: F.transform(c, role_key)
-    kept = F.when(missing, 0).otherwise(F.size(F.filter("g_ambiguities", lambda a: preserved(a, F.col("roles")))))
-    mean = lambda c: F.round(F.avg(c), 6)
-    rate = F.when(F.sum(F.size("g_ambiguities")) > 0, F.round(F.sum(kept) / F.sum(F.size("g_ambiguities")), 6)).otherwise(1.0)
-    return j.groupBy("provider").agg(mean(score("predicates")).alias("predicate_f1"), mean(score("roles", keys)).alias("role_f1"), mean(score("relations")).alias("relation_f1"), mean(score("scopes")).alias("scope_f1"), rate.alias("ambiguity_preservation_rate"))
+    kept = F.size(F.filter("g_ambiguities", lambda a: preserved(a, F.col("roles"))))
+    per = runs.where("case_id is not null").join(g, "case_id").groupBy("provider").agg(
+        F.sum(set_f1(F.col("g_predicates"), F.col("predicates"))).alias("p"), F.sum(set_f1(keys(F.col("g_roles")), keys(F.col("roles")))).alias("r"),
+        F.sum(set_f1(F.col("g_relations"), F.col("relations"))).alias("l"), F.sum(set_f1(F.col("g_scopes"), F.col("scopes"))).alias("s"), F.sum(kept).alias("k"),
+    )
+    n = runs.groupBy("provider").agg(F.countDistinct("run").alias("runs"))
+    j = n.join(per, "provider", "left").join(F.broadcast(all_))  # one row
+    mean = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)) / (F.col("runs") * F.col("cases")), 6)
+    rate = F.when(F.col("doubts") > 0, F.round(F.coalesce("k", F.lit(0)) / (F.col("runs") * F.col("doubts")), 6)).otherwise(1.0)
+    return j.where("cases > 0").select("provider", mean("p").alias("predicate_f1"), mean("r").alias("role_f1"), mean("l").alias("relation_f1"), mean("s").alias("scope_f1"), rate.alias("ambiguity_preservation_rate"))
 
 
 def review_scores(gold: DataFrame, runs: DataFrame) -> DataFrame:
     """provider, blocking_recall, control_false_positive_rate.
 
     ``gold``: case_id, blocking_codes, control. ``runs``: provider, run, case_id, findings (code,
-    severity), with a row of null case_id for an invalid run. Any finding on a control counts.
+    severity), with a row of null case_id for an invalid run. Any finding on a control counts. Cases
+    without findings add nothing to the sums, as in :func:`source_scores`.
     """
-    every = runs.select("provider", "run").distinct()
-    j = every.join(gold).join(runs, ["provider", "run", "case_id"], "left")
-    found = F.coalesce("findings", F.array().cast(dict(runs.dtypes)["findings"]))
-    codes = F.array_distinct(F.transform(F.filter(found, lambda f: f["severity"].isin("critical", "major")), lambda f: f["code"]))
-    expected = F.array_distinct("blocking_codes")
-    control = F.coalesce("control", F.lit(False))
-    n, hit = F.sum(F.size(expected)), F.sum(F.size(F.array_intersect(expected, codes)))
-    c, bad = F.count_if(control), F.count_if(control & (F.size(found) > 0))
-    return j.groupBy("provider").agg(F.when(n > 0, F.round(hit / n, 6)).otherwise(1.0).alias("blocking_recall"), F.when(c > 0, F.round(bad / c, 6)).otherwise(0.0).alias("control_false_positive_rate"))
+    g = gold.select("case_id", F.array_distinct("blocking_codes").alias("expected"), F.coalesce("control", F.lit(False)).alias("control"))
+    all_ = g.agg(F.coalesce(F.sum(F.size("expected")), F.lit(0)).alias("codes"), F.count_if("control").alias("controls"))
+    codes = F.array_distinct(F.transform(F.filter("findings", lambda f: f["severity"].isin("critical", "major")), lambda f: f["code"]))
+    per = runs.where("case_id is not null").join(g, "case_id").groupBy("provider").agg(F.sum(F.size(F.array_intersect("expected", codes))).alias("hit"), F.count_if(F.col("control") & (F.size("findings") > 0)).alias("bad"))
+    n = runs.groupBy("provider").agg(F.countDistinct("run").alias("runs"))
+    j = n.join(per, "provider", "left").join(F.broadcast(all_))  # one row
+    share = lambda c, d, empty: F.when(F.col(d) > 0, F.round(F.coalesce(F.col(c), F.lit(0)) / (F.col("runs") * F.col(d)), 6)).otherwise(empty)
+    return j.select("provider", share("hit", "codes", 1.0).alias("blocking_recall"), share("bad", "controls", 0.0).alias("control_false_positive_rate"))
 
 
 def consistency(runs: DataFrame, values: list[str], keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ A cue is (track, cue, start_ms, end_ms, text); times are whole milliseconds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import as_column, is_blank, split_lines
@@ -98,6 +100,12 @@ def same_timing(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("track").agg(F.bool_and(F.col("s1").eqNullSafe(F.col("s2")) & F.col("e1").eqNullSafe(F.col("e2"))).alias("aligned"))
 
 
+def same_timing_all(tracks: dict[str, DataFrame], source: str) -> DataFrame:
+    """track, file, aligned: each file of ``tracks`` (by name) against the ``source`` file, cue by cue."""
+    found = [same_timing(tracks[source], d).withColumn("file", F.lit(n)) for n, d in tracks.items() if n != source]
+    return reduce(DataFrame.unionByName, found)
+
+
 def from_map(segments: DataFrame, lines: DataFrame) -> DataFrame:
     """Cues from a source map: segments (track, id, start, end in seconds, source_line) with their non-blank lines; a blank or missing line is an error."""
     n = F.row_number().over(Window.partitionBy("track").orderBy("start", "id"))

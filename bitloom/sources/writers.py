@@ -14,6 +14,14 @@ def write_texts(docs: DataFrame, path: str, text: str = "text") -> None:
     docs.select("doc_id", text).write.mode("overwrite").json(path)
 
 
+def write_checked(rows: DataFrame, path: str, problem: str = "problem") -> None:
+    """Artefacts as JSON lines, if none has a problem; else nothing is written and the first problems are raised."""
+    bad = rows.where(F.col(problem).isNotNull()).limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(str(r[problem]) for r in bad))
+    rows.drop(problem).write.mode("overwrite").json(path)
+
+
 def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     """Rows of ``text`` in total order, as text files whose names sort in that order."""
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("overwrite").text(path)
