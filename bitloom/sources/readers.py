@@ -5,7 +5,9 @@ All files are read through Spark's readers, so they may lie in any store Spark c
 
 from __future__ import annotations
 
+import sqlite3
 import unicodedata
+from contextlib import closing
 from collections.abc import Iterator
 
 import pandas as pd
@@ -145,3 +147,35 @@ def sheet_csv(spark: SparkSession, path: str) -> DataFrame:
     for s in same[1:]:
         is_head = is_head & s
     return body.where(any_ & ~is_head)
+
+
+def term_table_sqlite(spark: SparkSession, path: str, table: str = "terms", batch: int = 10_000) -> DataFrame:
+    """path, row_id, zh, en, loc, source, problem of database files: row_id is the place in the table, from 1; a file that can't be read is one row with a problem.
+
+    A file is a row of bytes (so under 2 GB), opened in memory: nothing is written beside it, locked or
+    waited for, and an unmerged write-ahead log is not read. Rows leave in batches of ``batch``.
+    """
+    query = 'SELECT CAST(zh AS TEXT), CAST(en AS TEXT), CAST(loc AS TEXT), CAST(source AS TEXT) FROM "{}"'.format(table.replace('"', '""'))
+    names = ["zh", "en", "loc", "source"]
+
+    def rows(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+        with closing(sqlite3.connect(":memory:")) as db:
+            db.text_factory = lambda b: b.decode("utf-8", "replace")
+            try:
+                db.deserialize(content[:18] + b"\1\1" + content[20:])  # the two bytes would ask for the log
+                found, at = db.execute(query), 1
+                while got := found.fetchmany(batch):
+                    f = pd.DataFrame(got, columns=names, dtype=object)
+                    yield f.assign(path=path, row_id=range(at, at + len(got)), problem=None)
+                    at += len(got)
+            except sqlite3.Error:
+                yield pd.DataFrame([dict.fromkeys(names)], dtype=object).assign(path=path, row_id=None, problem="unreadable")
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, content in zip(f["path"], f["content"], strict=True):
+                for part in rows(name, content):
+                    yield part.astype({"row_id": "Int64"})
+
+    schema = "path string, row_id long, zh string, en string, loc string, source string, problem string"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(batches, schema)

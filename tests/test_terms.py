@@ -1,7 +1,10 @@
+import sqlite3
+
 import pytest
 from pyspark.sql import functions as F
 
 from bitloom.operators import terms
+from bitloom.sources import readers
 
 ROWS = [
     (1, "空性", "emptiness", "p1", "other"), (2, "空性", "voidness", None, "佛教术语"), (3, "空性", "emptiness", None, "DoT定稿"), (4, "空性", "Emptiness", None, "DoT定稿"),
@@ -93,3 +96,32 @@ def test_renderings(spark, text, renderings, n):
 def test_renderings_equal_but_for_case(spark):
     d = spark.createDataFrame([(["calm", "Calm", "still", "CALM", "Still"],), ([],)], "r array<string>")
     assert [r[0] for r in d.select(terms.distinct_ignoring_case(F.col("r"))).collect()] == [["calm", "still"], []]
+
+
+def test_term_table_file(spark, table, tmp_path):
+    for name, mode in (("a.db", "delete"), ("b.db", "wal")):
+        with sqlite3.connect(tmp_path / name) as db:
+            db.execute(f"PRAGMA journal_mode={mode}")
+            db.execute("CREATE TABLE terms (zh, en, loc, source, more)")
+            db.executemany("INSERT INTO terms VALUES (?, ?, ?, ?, 1)", [r[1:] for r in ROWS])
+            db.commit()
+        db.close()
+        before = sorted(p.name for p in tmp_path.iterdir())
+        read = readers.term_table_sqlite(spark, str(tmp_path / name), batch=4)
+        assert {r.problem for r in read.collect()} == {None}
+        got = read.select("row_id", "zh", "en", "loc", "source")
+        assert [tuple(r) for r in got.orderBy("row_id").collect()] == ROWS
+        assert ids(terms.search(got, "空性", limit=None)) == ids(terms.search(table, "空性", limit=None))
+        assert sorted(p.name for p in tmp_path.iterdir()) == before
+
+
+def test_term_table_file_unreadable_or_empty(spark, tmp_path):
+    (tmp_path / "broken.db").write_bytes(b"no database at all" * 9)
+    with sqlite3.connect(tmp_path / "other.db") as db:
+        db.execute("CREATE TABLE words (zh, en, loc, source)")
+        db.execute('CREATE TABLE "a ""b" (zh, en, loc, source)')
+    db.close()
+    read = readers.term_table_sqlite(spark, str(tmp_path / "*.db"))
+    assert [(r.path.rsplit("/", 1)[1], r.row_id, r.problem) for r in read.orderBy("path").collect()] == [("broken.db", None, "unreadable"), ("other.db", None, "unreadable")]
+    assert readers.term_table_sqlite(spark, str(tmp_path / "other.db"), table="words").count() == 0
+    assert readers.term_table_sqlite(spark, str(tmp_path / "other.db"), table='a "b').count() == 0
