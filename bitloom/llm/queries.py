@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op2_decontamination
+from .fill_middle import OP13_SQL, op13_fill_middle
 from .html_extraction import op5_html_extraction
 from .packing import op1_packing
 from .pii import op8_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op13_fill_middle": op13_fill_middle,
 }
 
-ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL, "op13_fill_middle": OP13_SQL}
