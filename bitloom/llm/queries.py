@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op11_byte_bpe
 from .decontamination import op2_decontamination
 from .fill_middle import OP13_SQL, op13_fill_middle
 from .html_extraction import op5_html_extraction
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op11_byte_bpe": op11_byte_bpe,
     "op13_fill_middle": op13_fill_middle,
 }
 
