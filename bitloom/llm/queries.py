@@ -7,6 +7,7 @@ from .decontamination import op2_decontamination
 from .fill_middle import OP13_SQL, op13_fill_middle
 from .html_extraction import op5_html_extraction
 from .packing import op1_packing
+from .phrases import OP12_SQL, op12_phrases
 from .pii import op8_pii
 from .quality_rules import op3_quality_rules
 from .secret_scan import op10_secret_scan
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_phrases": op12_phrases,
     "op13_fill_middle": op13_fill_middle,
 }
 
-ORACLES: dict[str, str] = {"op9_warc": OP9_SQL, "op13_fill_middle": OP13_SQL}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL, "op12_phrases": OP12_SQL, "op13_fill_middle": OP13_SQL}
