@@ -133,5 +133,31 @@ def event_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_schema.validate(e, "props", EVENT_SCHEMA).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {n: globals()[n] for n in ("risk_focus", "evidence_rules", "id_coverage", "number_fidelity", "event_schema")}
-SQL = {"risk_focus": RISK_FOCUS_SQL, "evidence_rules": EVIDENCE_RULES_SQL, "id_coverage": ID_COVERAGE_SQL, "number_fidelity": NUMBER_FIDELITY_SQL, "event_schema": EVENT_SCHEMA_SQL}
+#: A conversation as one nested text: turns in order, each with a role and a text of some length.
+_TURN = {"type": "object", "additionalProperties": False, "required": ["role", "text"], "properties": {"turn": {"type": "integer", "minimum": 0}, "role": {"enum": ["user", "assistant"]}, "text": {"type": "string", "minLength": 40, "maxLength": 500}}}
+NESTED_SCHEMA = {
+    "type": "object", "required": ["id", "turns"], "properties": {"id": {"$ref": "#/$defs/id"}, "turns": {"type": "array", "minItems": 2, "maxItems": 8, "items": _TURN}},
+    "if": {"properties": {"id": {"maximum": 20}}}, "then": {"properties": {"turns": {"maxItems": 3}}}, "$defs": {"id": {"type": "integer", "not": {"const": 7}}},
+}
+NESTED_SCHEMA_SQL = """WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), e AS (
+  SELECT conv_id, count(*) AS n, arg_min(CASE
+    WHEN role IS NULL THEN '$.turns[' || i || ']: lacks role' WHEN text IS NULL THEN '$.turns[' || i || ']: lacks text' WHEN role NOT IN ('user', 'assistant') THEN '$.turns[' || i || '].role: not one of the allowed values'
+    WHEN length(text) < 40 THEN '$.turns[' || i || '].text: too short' WHEN length(text) > 500 THEN '$.turns[' || i || '].text: too long' WHEN turn < 0 THEN '$.turns[' || i || '].turn: out of range' END, i)
+    FILTER (role IS NULL OR text IS NULL OR role NOT IN ('user', 'assistant') OR length(text) NOT BETWEEN 40 AND 500 OR turn < 0) AS first FROM t GROUP BY conv_id
+)
+SELECT conv_id, CASE WHEN conv_id <= 20 AND n > 3 THEN '$.turns: too many items' WHEN conv_id = 7 THEN '$.id: fits what it must not' WHEN n < 2 THEN '$.turns: too few items' WHEN n > 8 THEN '$.turns: too many items'
+  ELSE first END AS problem FROM e"""
+
+
+def nested_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation, written as one JSON text, against a nested schema."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    c = I.table(spark, sf_dir, "conversations").where("conv_id is not null").groupBy("conv_id").agg(turns.alias("turns"))
+    texts = c.select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("id"), "turns")).alias("json"))
+    return json_schema.validate(texts, "json", NESTED_SCHEMA).select("conv_id", "problem")
+
+
+QUERIES = {n: globals()[n] for n in ("risk_focus", "evidence_rules", "id_coverage", "number_fidelity", "event_schema", "nested_schema")}
+SQL = {"risk_focus": RISK_FOCUS_SQL, "evidence_rules": EVIDENCE_RULES_SQL, "id_coverage": ID_COVERAGE_SQL, "number_fidelity": NUMBER_FIDELITY_SQL, "event_schema": EVENT_SCHEMA_SQL, "nested_schema": NESTED_SCHEMA_SQL}
