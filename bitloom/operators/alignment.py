@@ -7,11 +7,12 @@ documents (a match consumes what later matches may use) fold over a document's l
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text as X
 from ..functions.text import is_blank
 
 
@@ -161,39 +162,98 @@ def forward_pairs(docs: DataFrame) -> DataFrame:
     return _fold(docs, run, "ord int, cn string, en string")
 
 
-def find_in_order(paragraphs: DataFrame, prefixes: tuple[int, ...] = (80, 40, 25)) -> DataFrame:
+#: Lengths of the beginnings that places are looked up by: a part has the longest that it reaches.
+_KEYS = (25, 8, 1)
+_BUCKETS = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hits(body: Column, keys: Column, size: int) -> Column:
+    """Places (from 0) of ``body`` where ``size`` characters have one of the hashes in ``keys``, as structs (h, i)."""
+    # a look-ahead takes the piece at each place in one pass; a place is tested against the keys of one bucket only
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    hashed = F.transform(pieces, lambda p, i: F.struct(F.xxhash64(p).alias("h"), i.alias("i")))
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(_BUCKETS - 1)), lambda b: F.filter(keys, lambda k: F.pmod(k, F.lit(_BUCKETS)) == b))
+    known = _let(buckets, lambda bs: F.filter(hashed, lambda x: F.array_contains(F.get(bs, F.pmod(x["h"], F.lit(_BUCKETS)).cast("int")), x["h"])))
+    return F.when(F.size(keys) > 0, known).otherwise(F.expr("cast(array() as array<struct<h: bigint, i: int>>)"))
+
+
+def find_in_order(paragraphs: DataFrame, prefixes: tuple[int, ...] = (80, 40, 25), least_step: int = 30) -> DataFrame:
     """doc_id, ord, at: where each of ``parts`` starts in ``body`` after the match before it, or null.
 
-    Both are compared in lower case with white space squeezed (offsets count in the squeezed body);
-    the whole part is tried first, then its beginnings of the given lengths.
+    Both are compared in lower case with white space squeezed and straight quotes. The whole part is looked for first, then
+    its beginnings of the given lengths; the first place from the cursor on counts, and the cursor moves on by the part's
+    length, ``least_step`` at least. ``at`` counts characters of ``body`` as it is: of the first one of the word that the
+    match begins in, if lower case changes that word's length.
+
+    All in the row, without a shuffle: one pass hashes the characters at each place and keeps places that begin like some
+    part, equality is tested at these alone, and one ordered ``aggregate`` over the parts chooses. Null and empty parts are
+    not found; a null body has no matches; repeated rows are each searched; a document without parts has no rows.
     """
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for d, body, parts in zip(frame["doc_id"], frame["body"], frame["parts"], strict=True):
-                text, at = " ".join((body or "").lower().split()), 0
-                for k, part in enumerate([] if parts is None else parts):
-                    needle = " ".join((part or "").lower().split())
-                    found = -1
-                    for n in (len(needle), *(p for p in prefixes if p < len(needle))):
-                        found = text.find(needle[:n], at) if needle else -1
-                        if found >= 0:
-                            break
-                    rows.append((d, k, found if found >= 0 else None))
-                    if found >= 0:
-                        at = found + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "at"]).astype({"at": "Int64"})
-
-    kind = dict(paragraphs.dtypes)["doc_id"]
-    return paragraphs.select("doc_id", "body", "parts").mapInPandas(batches, f"doc_id {kind}, ord int, at long")
+    lengths = sorted(set(prefixes), reverse=True)
+    d = paragraphs.select("doc_id", F.coalesce("body", F.lit("")).alias("raw"), F.coalesce("parts", F.array().cast("array<string>")).alias("parts"))
+    d = d.withColumn("body", X.normalise_search("raw")).withColumn("needles", F.transform("parts", lambda p: X.normalise_search(F.coalesce(p, F.lit("")))))
+    for k, size in enumerate(_KEYS):
+        own = F.filter("needles", lambda n: (F.length(n) >= size) & (F.length(n) < (_KEYS[k - 1] if k else 1 << 31)))
+        keys = F.array_distinct(F.transform(own, lambda n: F.xxhash64(F.substring(n, 1, size))))
+        d = d.withColumn(f"keys{k}", keys)
+    for k, size in enumerate(_KEYS):
+        d = d.withColumn(f"hits{k}", _hits(F.col("body"), F.col(f"keys{k}"), size))
+
+    def places(needle: Column) -> Column:
+        """Structs (i, fits): how many characters of the part's start are at each place, of the lengths that count."""
+        def of(hits: str, size: int) -> Column:
+            mine = F.filter(hits, lambda x: x["h"] == F.xxhash64(F.substring(needle, 1, size)))
+            here = lambda x, n: F.substring(F.col("body"), x["i"] + 1, n) == F.substring(needle, F.lit(1), n)
+
+            def longest(x: Column) -> Column:
+                out = F.when(here(x, F.length(needle)), F.length(needle))
+                for n in lengths:
+                    out = out.when((F.length(needle) > n) & here(x, F.lit(n)), F.lit(n))
+                return out
+
+            return F.filter(F.transform(mine, lambda x: F.struct(x["i"].alias("i"), longest(x).alias("fits"))), lambda x: x["fits"].isNotNull())
+
+        size = F.length(needle)
+        out = F.when(size >= _KEYS[0], of("hits0", _KEYS[0]))
+        for k in range(1, len(_KEYS)):
+            out = out.when(size >= _KEYS[k], of(f"hits{k}", _KEYS[k]))
+        return F.coalesce(out, F.expr("cast(array() as array<struct<i: int, fits: int>>)"))
+
+    found = F.transform("needles", lambda n: F.struct(F.length(n).alias("size"), places(n).alias("places")))
+
+    def step(state: Column, part: Column) -> Column:
+        ahead = F.filter(part["places"], lambda x: x["i"] >= state["cursor"])
+        first = lambda size: F.array_min(F.transform(F.filter(ahead, lambda x: x["fits"] >= size), lambda x: x["i"]))
+        at = F.coalesce(first(part["size"]), *(F.when(part["size"] > n, first(F.lit(n))) for n in lengths))
+        return _let(at, lambda a: F.struct(
+            F.when(a.isNull(), state["cursor"]).otherwise(a + F.greatest(part["size"], F.lit(least_step))).alias("cursor"), F.array_append(state["at"], a).alias("at"),
+        ))
+
+    start = F.struct(F.lit(0).alias("cursor"), F.expr("cast(array() as array<int>)").alias("at"))
+    d = d.withColumn("ats", F.aggregate(found, start, step, lambda s: s["at"]))
+    # a place of the squeezed text is a number of words and a place in the next word
+    bare = F.ltrim("raw", F.lit(X.WHITE))
+    lead = F.length("raw") - F.length(bare)
+
+    def original(at: Column, words: Column) -> Column:
+        before = F.substring(F.col("body"), F.lit(1), at)
+        word = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+        own = F.regexp_replace(F.get(words, word), "(?U)\\s+$", "")
+        inside = F.when(F.length(F.lower(own)) == F.length(own), F.length(F.substring_index(before, " ", -1))).otherwise(0)
+        return F.aggregate(F.slice(words, F.lit(1), word), lead, lambda n, w: n + F.length(w)) + inside
+
+    mapped = _let(F.regexp_extract_all(bare, F.lit("(?U)\\S+\\s*"), F.lit(0)), lambda w: F.transform("ats", lambda a: F.when(a.isNotNull(), original(a, w))))
+    return d.select("doc_id", F.posexplode(mapped).alias("ord", "at")).select("doc_id", "ord", F.col("at").cast("long").alias("at"))
 
 
 def segments(found: DataFrame, bodies: DataFrame) -> DataFrame:
-    """doc_id, ord, segment: the squeezed body from each match to the next."""
-    from pyspark.sql import Window
-
+    """doc_id, ord, segment: ``body`` from each match to the next, without white space around it."""
     w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
     ends = found.withColumn("to", F.first("at", ignorenulls=True).over(w)).where("at is not null")
-    body = bodies.select("doc_id", F.lower(F.trim(F.regexp_replace("body", "\\s+", " "))).alias("body"))
     size = F.coalesce(F.col("to"), F.length("body").cast("long")) - F.col("at")
-    return ends.join(body, "doc_id").select("doc_id", "ord", F.trim(F.substring(F.col("body"), (F.col("at") + 1).cast("int"), size.cast("int"))).alias("segment"))
+    cut = F.substring(F.col("body"), (F.col("at") + 1).cast("int"), size.cast("int"))
+    return ends.join(bodies.select("doc_id", "body"), "doc_id").select("doc_id", "ord", X.strip(cut).alias("segment"))

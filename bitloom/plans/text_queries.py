@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import cleanup, subtitles
+from ..operators import alignment, cleanup, subtitles
 from . import inputs as I
 
 
@@ -144,5 +144,37 @@ e AS (SELECT doc_id, body, translate(lower(unnest(sentences)), '“”‘’', c
 SELECT doc_id, count(*) AS sentences, count(*) FILTER (contains(body, k) OR length(k) > 60 AND contains(body, left(k, 60)) OR length(k) > 30 AND contains(body, left(k, 30))) AS found FROM e GROUP BY doc_id"""
 
 
-QUERIES = {n: globals()[n] for n in ("subtitle_checks", "subtitle_files", "subtitle_roundtrip", "subtitle_alignment", "join_body", "collapse_blanks", "dehyphenate", "line_batches", "toc_end", "rate_audit", "link_policy", "sentence_matches")}
+def sequential_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document, some in capitals and some with another end, looked for one after another in its text."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("\\S"))
+    parts = F.transform(lines, lambda x, i: F.when(i % 3 == 1, F.translate(x, "aeinrst", "AEINRST")).when(i % 4 == 2, F.concat(F.substring(x, 1, 45), F.lit(" zz"))).otherwise(x))
+    d = I.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), parts.alias("parts"))
+    found = alignment.find_in_order(d)
+    return found.groupBy("doc_id").agg(F.count("*").alias("parts"), F.count("at").alias("found"), F.max("at").alias("last"), F.sum("at").alias("places"))
+
+
+SEQUENTIAL_MATCHES_SQL = r"""WITH RECURSIVE d AS (
+  SELECT doc_id, text, translate(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '“”‘’', concat(chr(34), chr(34), chr(39), chr(39))) AS body,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents WHERE text IS NOT NULL
+), p AS (
+  SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d
+), n AS (
+  SELECT doc_id, i, translate(lower(trim(regexp_replace(CASE WHEN i % 3 = 1 THEN translate(x, 'aeinrst', 'AEINRST') WHEN i % 4 = 2 THEN left(x, 45) || ' zz' ELSE x END, '\s+', ' ', 'g'))), '“”‘’', concat(chr(34), chr(34), chr(39), chr(39))) AS k FROM p
+), walk AS (
+  SELECT doc_id, -1 AS i, 0::BIGINT AS cursor, NULL::BIGINT AS pos FROM d
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN f IS NULL THEN cursor ELSE cursor + f - 1 + greatest(length(k), 30) END, cursor + f - 1 FROM (
+    SELECT n.doc_id, n.i, n.k, w.cursor, coalesce(nullif(instr(substr(body, w.cursor + 1), k), 0), nullif(instr(substr(body, w.cursor + 1), left(k, 80)), 0),
+      nullif(instr(substr(body, w.cursor + 1), left(k, 40)), 0), nullif(instr(substr(body, w.cursor + 1), left(k, 25)), 0)) AS f
+    FROM walk w JOIN n ON n.doc_id = w.doc_id AND n.i = w.i + 1 JOIN d ON d.doc_id = w.doc_id)
+), words AS (
+  SELECT doc_id, body, length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS white, regexp_extract_all(text, '\S+\s*') AS w FROM d
+), places AS (
+  SELECT walk.doc_id, i, pos, white + coalesce(list_sum(list_transform(w[1:length(left(body, pos)) - length(replace(left(body, pos), ' ', ''))], lambda x: length(x))), 0) + length(string_split(left(body, pos), ' ')[-1]) AS place
+  FROM walk JOIN words USING (doc_id) WHERE i >= 0
+)
+SELECT doc_id, count(*) AS parts, count(pos) AS found, max(place)::BIGINT AS last, sum(place)::BIGINT AS places FROM places GROUP BY doc_id"""
+
+
+QUERIES = {n: globals()[n] for n in ("subtitle_checks", "subtitle_files", "subtitle_roundtrip", "subtitle_alignment", "join_body", "collapse_blanks", "dehyphenate", "line_batches", "toc_end", "rate_audit", "link_policy", "sentence_matches", "sequential_matches")}
 SQL = {n: globals()[n.upper() + "_SQL"] for n in QUERIES}
