@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from . import containment
 from .gate import FAIL, PASS, SKIP, WARN
 
 # Glossary sources by authority; all others come after them.
@@ -123,12 +124,12 @@ def occurrences(docs: DataFrame, terms: DataFrame, broadcast_chars: int = 8 << 2
     """doc_id, term, n: non-overlapping occurrences of each distinct term in each text.
 
     Terms of up to ``broadcast_chars`` characters in all are sent to the executors as one automaton,
-    which reads each text once. A larger term table is joined instead (:func:`occurrences_by_join`).
+    which reads each text once. A larger term table is looked up in an index (:func:`.containment.occurrences`).
     """
     t = terms.select("term").where("term <> ''").distinct()
     chars = t.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
     if chars > broadcast_chars:
-        return occurrences_by_join(docs, t)
+        return containment.occurrences(docs, t)
     box = docs.sparkSession.sparkContext.broadcast([r.term for r in t.collect()])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,29 +154,6 @@ def occurrences(docs: DataFrame, terms: DataFrame, broadcast_chars: int = 8 << 2
     return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, term string, n long")
 
 
-def occurrences_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """As :func:`occurrences`, for any number of terms.
-
-    Terms and texts meet on the terms' first characters (as many as the shortest term has, three at
-    most): the distinct pieces of that length of a text are joined with the terms that start with
-    them, and only these candidates are tested. A common beginning is a skewed key that AQE can
-    split, and texts are not copied for terms that can't occur.
-    """
-    t = terms.select("term").where("term <> ''").distinct()
-    k = t.agg(F.least(F.min(F.length("term")), F.lit(3))).first()[0] or 1
-    t = t.withColumn("head", F.substring("term", 1, k))
-    # a look-ahead takes the piece at every position in one linear pass
-    pieces_ = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
-    # rows are joined back by their text, so that rows with one doc_id stay apart; equal texts are searched once
-    own = docs.where("text <> ''").select("doc_id", "text", F.sha2("text", 256).alias("key"))
-    texts = own.groupBy("key").agg(F.first("text").alias("text"))
-    pairs = texts.select("key", F.explode(pieces_).alias("head")).join(t, "head").select("key", "term")
-    tested = pairs.join(texts, "key")
-    n = ((F.length("text") - F.length(F.replace("text", F.col("term"), F.lit("")))) / F.length("term")).cast("long")
-    found = tested.select("key", "term", n.alias("n")).where("n > 0")
-    return own.select("doc_id", "key").join(found, "key").select("doc_id", "term", "n")
-
-
 # --- terminology fidelity -------------------------------------------------------------------
 
 

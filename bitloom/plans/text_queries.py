@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import alignment, cleanup, subtitles
+from ..functions import text as X
+from ..operators import alignment, cleanup, containment, subtitles
 from . import inputs as I
 
 
@@ -144,6 +145,30 @@ e AS (SELECT doc_id, body, translate(lower(unnest(sentences)), '“”‘’', c
 SELECT doc_id, count(*) AS sentences, count(*) FILTER (contains(body, k) OR length(k) > 60 AND contains(body, left(k, 60)) OR length(k) > 30 AND contains(body, left(k, 30))) AS found FROM e GROUP BY doc_id"""
 
 
+def sentences_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each document that other documents have, wholly or in their first 60 or 30 characters."""
+    d = I.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.sha2(X.normalise_search("text"), 256).alias("body"))
+    own = d.select("doc_id", "body", F.explode(F.array_distinct(F.transform(X.sentences("text"), X.normalise_search))).alias("s")).select("doc_id", "body", F.sha2("s", 256).alias("sentence"))
+    parts = d.select(F.explode(X.sentences("text")).alias("sentence"))
+    found = containment.sentence_bodies(parts, d.select(F.col("text").alias("body")))
+    # bodies are distinct texts; copies of a document's own text don't count as others
+    per = found.groupBy("sentence").agg(*(F.count_if(F.col("found") == f).alias(n) for f, n in (("full", "whole"), ("first 60", "first60"), ("first 30", "first30"))))
+    hit = own.join(per, "sentence")
+    full, some = F.col("whole") > 1, F.col("whole") + F.col("first60") > 1
+    part = F.col("whole") + F.col("first60") + F.col("first30") > 1
+    return hit.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(full).alias("whole"), F.count_if(~full & some).alias("first60"), F.count_if(~some & part).alias("first30"))
+
+
+_SQL_NORM = "translate(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '“”‘’', concat(chr(34), chr(34), chr(39), chr(39)))"
+SENTENCES_ELSEWHERE_SQL = rf"""WITH d AS (SELECT doc_id, text, {_SQL_NORM.format("text")} AS body FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT doc_id, {_SQL_NORM.format("s")} AS k FROM (
+  SELECT doc_id, unnest(list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?"”])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 20)) AS s FROM d)),
+k AS (SELECT DISTINCT k, left(k, 30) AS k30, left(k, 60) AS k60 FROM e), b AS (SELECT DISTINCT body FROM d),
+n AS (SELECT k, count(*) FILTER (contains(body, k)) AS w, count(*) FILTER (contains(body, k) OR length(k) > 60 AND contains(body, k60)) AS s, count(*) FILTER (contains(body, k) OR length(k) > 30 AND contains(body, k30)) AS t
+  FROM k JOIN b ON contains(body, k30) GROUP BY k)
+SELECT doc_id, count(*) AS sentences, count(*) FILTER (w > 1) AS whole, count(*) FILTER (w <= 1 AND s > 1) AS first60, count(*) FILTER (s <= 1 AND t > 1) AS first30 FROM e JOIN n USING (k) GROUP BY doc_id"""
+
+
 def sequential_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document, some in capitals and some with another end, looked for one after another in its text."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("\\S"))
@@ -176,5 +201,5 @@ SEQUENTIAL_MATCHES_SQL = r"""WITH RECURSIVE d AS (
 SELECT doc_id, count(*) AS parts, count(pos) AS found, max(place)::BIGINT AS last, sum(place)::BIGINT AS places FROM places GROUP BY doc_id"""
 
 
-QUERIES = {n: globals()[n] for n in ("subtitle_checks", "subtitle_files", "subtitle_roundtrip", "subtitle_alignment", "join_body", "collapse_blanks", "dehyphenate", "line_batches", "toc_end", "rate_audit", "link_policy", "sentence_matches", "sequential_matches")}
+QUERIES = {n: globals()[n] for n in ("subtitle_checks", "subtitle_files", "subtitle_roundtrip", "subtitle_alignment", "join_body", "collapse_blanks", "dehyphenate", "line_batches", "toc_end", "rate_audit", "link_policy", "sentence_matches", "sequential_matches", "sentences_elsewhere")}
 SQL = {n: globals()[n.upper() + "_SQL"] for n in QUERIES}
