@@ -13,10 +13,12 @@ Two layers run over every whole text:
   threshold become ``lexed`` spans at the place where they are written. Apostrophes and other
   stray quotes open no string, and strings that hold assignments are lexed inside, too.
 
+Values are judged whole, whatever their length.
+
 Scale: one narrow Arrow pass per row, no shuffle. Work and memory are linear in the text, whatever
-it holds: a quote that doesn't close is tried once per line, joined values share their parts, and a
-value is judged by its first ``JUDGED`` characters (its span is whole). Texts without a sensitive stem or an
-assignment sign skip the lexer.
+it holds: a quote that doesn't close is tried once per line, joined values share their parts, and values of
+more than ``SHORT`` characters are judged by shares of characters, which are counted once and added up where values
+are joined or end in the same run. Texts without a sensitive stem or an assignment sign skip the lexer.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ import bisect
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -53,7 +56,7 @@ _TOKEN = re.compile(
     r"|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)"
     r"|(?P<op>:=|=>|===?|!=|[=:+])"
     r"|(?P<line>\n)"
-    r"|(?P<other>[^\s])"
+    r"|(?P<other>[^\s\x01])"
 )
 _CLOSED = {'"': re.compile(r'"(?:[^"\\\n]|\\.)*+"'), "'": re.compile(r"'(?:[^'\\\n]|\\.)*+'"), "`": re.compile(r"`[^`]*+`")}
 #: A single quote opens a string unless a letter or digit comes before it that is no prefix of a literal.
@@ -61,7 +64,16 @@ _OPENS = re.compile(r"(?:(?<![^\W_])|(?<=\b[bBfFrRuU])|(?<=\b[bBfFrR]{2}))'")
 _SCHEME = re.compile(r"(?i)(?:bearer|basic|token)[ \t]+(?=[^\s])")
 _DEF = re.compile(r"[ \t]*+(?:async[ \t]+)?def[ \t]")
 _INDENT = re.compile(r"[ \t]*+(?=[^\s])")
-JUDGED = 512
+#: Values up to this length are kept as text; longer ones by their start and the shares of their characters.
+SHORT = 512
+#: Characters beyond ASCII share 64 classes when shares are taken.
+CLASSES = 192
+STEP = 256
+#: Lengths of values that are joined with themselves over and over stay at this.
+HUGE = 1 << 500
+#: Stands for the backslash of an escaped quote where a string is lexed inside.
+_ESCAPE = "\x01"
+_PREFIX = re.compile(r"(?i)(?:[bfru]|[bf]r|r[bf])(?=[\"'])")
 _BARE = re.compile(r"[^\s\"'`,;{}()\[\]<>]+")
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)>([^<\s]{6,})</")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -129,24 +141,142 @@ def lex(text: str) -> list[tuple[str, int, int]]:
 def _inside(text: str, a: int, b: int) -> tuple[int, int]:
     """Where the content of the string at a:b is."""
     k = 3 if b - a >= 6 and text[a] != "`" and text.startswith(3 * text[a], a) and text.endswith(3 * text[a], a, b) else 1
-    return a + k, b - k
+    a, b = a + k, b - k
+    return a, b - (b > a and text[b - 1] == _ESCAPE)
+
+
+def _class(char: str) -> int:
+    point = ord(char)
+    return point if point < 128 else 128 + point % 64
+
+
+class Seen:
+    """What a long value holds: its length, the shares of its characters, and kinds of characters in it."""
+
+    __slots__ = ("n", "shares", "letter", "digit", "space", "other", "line", "tail")
+
+    def __init__(self, n: int, shares: dict[int, float], letter: bool, digit: bool, space: bool, other: bool, line: bool, tail: str):
+        self.n, self.shares, self.letter, self.digit, self.space, self.other, self.line, self.tail = n, shares, letter, digit, space, other, line, tail
+
+    @classmethod
+    def of(cls, text: str) -> Seen:
+        chars = set(text)
+        kinds = (any(map(str.isalpha, chars)), any(map(str.isdigit, chars)), any(map(str.isspace, chars)), not all(map(str.isalpha, chars)))
+        shares: dict[int, float] = {}
+        for c, k in Counter(text).items():
+            shares[_class(c)] = shares.get(_class(c), 0.0) + k / len(text)
+        return cls(len(text), shares, *kinds, "\n" in chars, text[-1:])
+
+    def then(self, more: Seen) -> Seen:
+        n = self.n + more.n
+        if not self.n or not more.n:
+            return self if self.n else more
+        one, two = self.n / n, more.n / n
+        shares = {c: p * one for c, p in self.shares.items()}
+        for c, p in more.shares.items():
+            shares[c] = shares.get(c, 0.0) + p * two
+        return Seen(min(n, HUGE), shares, self.letter or more.letter, self.digit or more.digit, self.space or more.space, self.other or more.other, self.line or more.line, more.tail)
+
+
+class Run:
+    """A run of value characters, in which several bare values may start and all end together."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.source, self.start, self.end, self.codes = text, start, end, None
+
+    def _count(self) -> None:
+        text = self.source[self.start : self.end]
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.codes = np.where(points < 128, points, 128 + points % 64).astype(np.int64)
+        full = np.stack([np.bincount(self.codes[i : i + STEP], minlength=CLASSES) for i in range(0, len(text), STEP)])
+        self.after = np.concatenate([np.cumsum(full[::-1], axis=0)[::-1][1:], np.zeros((1, CLASSES), np.int64)])  # counts beyond each step
+        places_ = {c: i for i, c in enumerate(text)}  # the last of each character
+        last = lambda test: max((i for c, i in places_.items() if test(c)), default=-1)
+        self.last = last(str.isalpha), last(str.isdigit), last(lambda c: not c.isalpha())
+
+    def seen(self, at: int) -> Seen:
+        if self.codes is None:
+            self._count()
+        k = at - self.start
+        step = k // STEP
+        counts = self.after[step] + np.bincount(self.codes[k : (step + 1) * STEP], minlength=CLASSES)
+        letter, digit, other = (i >= k for i in self.last)
+        held = np.flatnonzero(counts)
+        shares = dict(zip(held.tolist(), (counts[held] / (self.end - at)).tolist(), strict=True))
+        return Seen(self.end - at, shares, letter, digit, False, other, False, self.source[self.end - 1])
+
+
+_STARTS = re.compile(r"(?i)(?:your|change_?me|example|placeholder|todo|dummy|redacted)")
+
+
+def long_score(head: str, quoted: bool, seen: Seen) -> float:
+    """As :func:`value_score`, of a value of more than ``SHORT`` characters, of which ``head`` is the start."""
+    share = lambda chars: sum(seen.shares.get(ord(c), 0.0) for c in chars)
+    ends = head[:1] == "<" and seen.tail == ">" or head[:1] == "%" and seen.tail == "%" or head[:2] in ("${", "{{") and seen.tail == "}"
+    if any(share(c) > 1 - 1e-9 for c in ("xX", "*", ".")) or not seen.line and (ends or _STARTS.match(head)):
+        return -9.0
+    entropy = -sum(p * math.log2(p) for p in seen.shares.values() if p > 0)
+    score = 2.0 + float(seen.letter and seen.digit) + float(entropy >= 3.0 - 1e-9) - 2.0 * seen.space
+    return score if seen.digit or seen.other else score - (1.0 if quoted else 3.0)
 
 
 class Value:
     """A literal or a joined value. ``parts``: places in the text and other values; shared, never copied."""
 
-    __slots__ = ("text", "quoted", "parts", "score")
+    __slots__ = ("text", "n", "quoted", "parts", "origin", "score")
 
-    def __init__(self, text: str, quoted: bool, parts: tuple):
-        self.text, self.quoted, self.parts = text[:JUDGED], quoted, parts
+    def __init__(self, text: str, n: int, quoted: bool, parts: tuple, origin: tuple | None = None):
+        self.text, self.n, self.quoted, self.parts, self.origin = text[:SHORT], n, quoted, parts, origin
         self.score: float | None = None
 
+    def joined(self, more: Value) -> Value:
+        text = self.text + more.text if self.n < SHORT else self.text
+        return Value(text, min(self.n + more.n, HUGE), self.quoted and more.quoted, (self, more))
+
     def judged(self) -> float:
         if self.score is None:
-            self.score = value_score(self.text, self.quoted)
+            self.score = value_score(self.text, self.quoted) if self.n <= SHORT else long_score(self.text, self.quoted, _seen(self))
         return self.score
 
 
+_RECENT: OrderedDict[int, tuple[Value, Seen]] = OrderedDict()
+
+
+def _keep(value: Value, seen: Seen) -> None:
+    _RECENT[id(value)] = value, seen
+    if len(_RECENT) > 2048:
+        _RECENT.popitem(last=False)
+
+
+def _seen(value: Value) -> Seen:
+    """What a value holds; of a chain of joined values some are remembered, so that later ones don't start over."""
+    done: dict[int, Seen] = {}
+    todo = [value]
+    while todo:
+        v = todo[-1]
+        if id(v) in done:
+            todo.pop()
+        elif (known := _RECENT.get(id(v))) and known[0] is v:
+            done[id(v)] = known[1]
+            todo.pop()
+        elif v.n <= SHORT:
+            done[id(v)] = Seen.of(v.text)
+            todo.pop()
+        elif v.origin:
+            source, a, b = v.origin
+            done[id(v)] = source.seen(a) if isinstance(source, Run) else Seen.of(source[a:b])
+            todo.pop()
+        elif missing := [p for p in v.parts if id(p) not in done]:
+            todo += missing
+        else:
+            done[id(v)] = done[id(v.parts[0])].then(done[id(v.parts[1])])
+            todo.pop()
+            if len(done) % 32 == 0:
+                _keep(v, done[id(v)])
+    _keep(value, done[id(value)])
+    return done[id(value)]
+
+
 def places(value: Value, seen: set[int]) -> list[tuple[int, int]]:
     """The literals that ``value`` is made of, without those of values in ``seen``, which grows."""
     out, todo = [], [value]
@@ -199,6 +329,17 @@ class _Known:
         return found[-1] if found else None
 
 
+def _closing(text: str, tokens: list[tuple[str, int, int]]) -> dict[int, int]:
+    """The token that closes each opened parenthesis."""
+    opened, out = [], {}
+    for i, (kind, a, _) in enumerate(tokens):
+        if kind == "other" and text[a] == "(":
+            opened.append(i)
+        elif kind == "other" and text[a] == ")" and opened:
+            out[opened.pop()] = i
+    return out
+
+
 def lex_pairs(text: str, shift: int = 0) -> list[tuple[str, Value]]:
     """(name, value) in the order of assignment, constants propagated; places are moved by ``shift``."""
     found: list[tuple[str, Value]] = []
@@ -206,11 +347,28 @@ def lex_pairs(text: str, shift: int = 0) -> list[tuple[str, Value]]:
     tokens = lex(text)
     starts = [t[1] for t in tokens]
     n = len(tokens)
-    bare = (0, 0)  # the run of value characters last looked at
+    bare = Run(text, 0, 0)  # the run of value characters last looked at
+
+    closing = _closing(text, tokens)
 
     def term(i: int) -> tuple[Value, int] | None:
-        """The literal, constant or bare value at token i, and the next token."""
+        """The literal, constant or bare value at token i, and the next token; of ``call(...) or "x"`` the literal."""
         nonlocal bare
+        if i + 1 < n and tokens[i][0] == "other" and text[tokens[i][1]] == "\\" and tokens[i + 1][0] == "line":
+            i += 1
+        if i + 1 < n and tokens[i][0] == "line" and (tokens[i + 1][0] == "string" or _PREFIX.match(text, tokens[i + 1][1])):
+            i += 1
+        if i < n and tokens[i][0] == "name" and (end := closing.get(i + 1)) is not None and tokens[i + 1][1] == tokens[i][2]:
+            k = end + 1
+            if k < n and text[tokens[k][1] : tokens[k][2]] == "or":
+                k += 1
+            elif k + 1 < n and text[tokens[k][1] : tokens[k + 1][2]] in ("||", "??"):
+                k += 2
+            else:
+                return None
+            return term(k) if k < n and tokens[k][0] == "string" else None
+        if i + 1 < n and tokens[i][0] == "name" and tokens[i + 1][0] == "string" and tokens[i][2] == tokens[i + 1][1] and _PREFIX.match(text, tokens[i][1]):
+            i += 1
         if i >= n:
             return None
         kind, a, b = tokens[i]
@@ -218,7 +376,7 @@ def lex_pairs(text: str, shift: int = 0) -> list[tuple[str, Value]]:
             x, y = _inside(text, a, b)
             if m := _SCHEME.match(text, x, y):
                 x = m.end()
-            return Value(text[x : min(y, x + JUDGED)], True, ((x + shift, y + shift),)), i + 1
+            return Value(text[x : min(y, x + SHORT)], y - x, True, ((x + shift, y + shift),), (text, x, y)), i + 1
         if kind == "name" and (value := known.get(text[a:b])) is not None:
             return value, i + 1
         if kind == "other" and text[a] == "$" or kind in ("line", "op"):
@@ -226,13 +384,14 @@ def lex_pairs(text: str, shift: int = 0) -> list[tuple[str, Value]]:
         scheme = _SCHEME.match(text, a) if kind == "name" else None
         if scheme:
             a = scheme.end()
-        if not bare[0] <= a < bare[1]:
+        if not bare.start <= a < bare.end:
             m = _BARE.match(text, a)
             if not m:
                 return None
-            bare = m.span()
-        end = bare[1]
-        return Value(text[a : min(end, a + JUDGED)], scheme is not None, ((a + shift, end + shift),)), max(i + 1, bisect.bisect_left(starts, end))
+            bare = Run(text, *m.span())
+        end = bare.end
+        value = Value(text[a : min(end, a + SHORT)], end - a, scheme is not None, ((a + shift, end + shift),), (bare, a, end))
+        return value, max(i + 1, bisect.bisect_left(starts, end))
 
     def after_line(a: int) -> None:
         if m := _INDENT.match(text, a):
@@ -254,15 +413,17 @@ def lex_pairs(text: str, shift: int = 0) -> list[tuple[str, Value]]:
                 known.close_brace()
             passed += 1
         kind, a, b = tokens[i]
-        if kind not in ("name", "string") or i + 2 >= n or tokens[i + 1][0] != "op":
+        # an index in brackets names what it is assigned to
+        at = i + 1 + (kind == "string" and i + 3 < n and text[tokens[i + 1][1]] == "]" and text[tokens[i + 2][1] : tokens[i + 2][2]] == "=")
+        if kind not in ("name", "string") or at + 1 >= n or tokens[at][0] != "op":
             i += 1
             continue
         x, y = (a, b) if kind == "name" else _inside(text, a, b)
-        op = text[tokens[i + 1][1] : tokens[i + 1][2]]
-        if op == "+" or kind == "string" and (op not in (":", "=>", "=") or y - x > JUDGED):
+        op = text[tokens[at][1] : tokens[at][2]]
+        if op == "+" or kind == "string" and op not in (":", "=>", "="):
             i += 1
             continue
-        j, names = i + 2, [text[x : min(y, x + JUDGED)]]
+        j, names = at + 1, [text[x:y]]
         if op == ":" and kind == "name" and j + 1 < n and tokens[j][0] == "name" and text[tokens[j + 1][1] : tokens[j + 1][2]] == "=":
             names.append(text[tokens[j][1] : tokens[j][2]])
             j += 2  # name: type = value, or prose: name = value
@@ -275,20 +436,21 @@ def lex_pairs(text: str, shift: int = 0) -> list[tuple[str, Value]]:
             more = term(j + 1)
             if more is None:
                 break
-            value, j = Value(value.text + more[0].text, value.quoted and more[0].quoted, (value, more[0])), more[1]
+            value, j = value.joined(more[0]), more[1]
         found += [(x, value) for x in names]
-        if kind == "name" and op in ("=", ":=", ":") and (value.quoted or len(value.text) >= 6):
+        if kind == "name" and op in ("=", ":=", ":") and (value.quoted or value.n >= 6):
             for x in names:
                 known.set(x, value)
         # a bare "a: b = 'c'" may hold a later pair, so only strings and names taken as values are passed over
-        i = j if value.quoted else i + 2
+        i = j if value.quoted else at + 1
     for kind, a, b in tokens:
         if kind == "string":
             x, y = _inside(text, a, b)
             if (text.find("=", x, y) >= 0 or text.find(":", x, y) >= 0) and _STEM.search(text, x, y):
-                found += lex_pairs(text[x:y], shift + x)
+                inner = text[x:y]
+                found += lex_pairs(re.sub(r"\\(?=[\"'])", _ESCAPE, inner) if "\\" in inner else inner, shift + x)
     if not shift:
-        found += [(m[1], Value(m[2], False, (m.span(2),))) for m in _ELEMENT.finditer(text)]
+        found += [(m[1], Value(m[2], len(m[2]), False, (m.span(2),), (text, *m.span(2)))) for m in _ELEMENT.finditer(text)]
     return found
 
 
@@ -297,6 +459,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         return []
     spans: set[tuple[int, int]] = set()
     seen: set[int] = set()
+    _RECENT.clear()
     for name, value in lex_pairs(text):
         score = name_score(name)
         if score >= 1.5 and score + value.judged() >= THRESHOLD:

@@ -3,8 +3,10 @@ import re
 import time
 
 import pytest
+from hypothesis import given, settings, strategies as st
 
-from bitloom.llm.secret_scan import base_spans, lexed_spans, redact, scan_secrets
+from bitloom.llm import secret_scan as SS
+from bitloom.llm.secret_scan import base_spans, lexed_spans, name_score, redact, scan_secrets, value_score
 
 ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ORDER = {"assign": 0, "access": 1, "hex": 2}
@@ -115,7 +117,12 @@ def test_more_syntax():
     '"""' * 330_000 + " token=",
     "<token>" * 140_000,
     "pwd=\"" + "a='b:" * 200_000,
-], ids=range(12))
+    "token=%a=" * 110_000,
+    "pwd=x1 + " * 100_000,
+    'K0 = "' + "".join(map(chr, range(0x4E00, 0x9000))) + '"\n' + "".join(f"K{i + 1} = K{i} + 'x'\n" for i in range(15_000)) + "".join(f"db_pwd = K{i}\n" for i in range(15_000, 0, -1)),
+    'pwd = "' + "k=v1 " * 200_000 + '"',
+    "pwd = f(" * 120_000 + ")" * 120_000,
+], ids=range(17))
 def test_hostile_texts_take_linear_time(text):
     start = time.process_time()
     lexed_spans(text)
@@ -126,3 +133,44 @@ def test_hostile_texts_take_linear_time(text):
 def test_a_chain_of_constants_leads_to_its_literals():
     text = 'K0 = "ab12cd34"\n' + "".join(f"K{i + 1} = K{i} + K{i}\n" for i in range(200)) + "db_pwd = K200"
     assert [text[a:b] for a, b in lexed_spans(text)] == ["ab12cd34"]
+
+
+def test_values_are_judged_whole():
+    rest = "Zx9kk22PPqqZx9kk22PPqq"
+    for name in ("db_credential", "service_auth", "n" * 600 + "_pwd"):
+        for value in ("a" * 512 + rest, rest + "a" * 512, "a" * 700 + rest * 40):
+            text = f'{name} = "{value}"'
+            # what is random may stand anywhere in the value
+            assert bool(lexed_spans(text)) == (name_score(name) + value_score(value, True) >= 4), (name, value)
+    text = f'{{"{"k" * 600}_passphrase": "{rest}"}}'
+    assert [text[a:b] for a, b in lexed_spans(text)] == [rest]
+
+
+alphabet = st.sampled_from(["aaaa", "x", "Zx9", "%", "<", ">", "é", "\u4e00\u4e8c", ".", "*", "X", "your", "-", "42"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(alphabet, min_size=1, max_size=30).map("".join), min_size=1, max_size=4), st.booleans(), st.integers(1, 200))
+def test_long_scores(parts, quoted, times):
+    """Joined values and values that end in one run are scored as their whole text is."""
+    whole = [p * times for p in parts]
+    values = [SS.Value(w, len(w), quoted, ((0, 1),), (w, 0, len(w))) for w in whole]
+    joined = values[0]
+    for v in values[1:]:
+        joined = joined.joined(v)
+    assert joined.judged() == value_score("".join(whole), quoted)
+    run = SS.Run("".join(whole), 0, sum(map(len, whole)))
+    for a in (0, 1, len(run.source) // 3, len(run.source) - 1):
+        v = run.source[a:]
+        assert SS.Value(v, len(v), quoted, ((0, 1),), (run, a, run.end)).judged() == value_score(v, quoted)
+
+
+def test_more_places():
+    v = "Zx9kk22PPqq"
+    cases = {
+        f'cfg["pwd"]="{v}"': [v], f"os.environ['DB_PWD'] = '{v}'": [v], f'db_pwd =\n    "{v}"': [v], f'db_pwd = \\\n    "{v}"': [v],
+        f'x = "{{\\"db_pwd\\": \\"{v}\\"}}"': [v], f"pwd = f'{v}{{n}}'": [v + "{n}"], f'pwd = os.getenv("X") or "{v}"': [v], f'pwd = env("A_B") || "{v}"': [v], 'pwd = os.getenv("DB_PWD")': [],
+        "pwd = read_password_file9(x)": [],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for a, b in lexed_spans(text)] == want, text
