@@ -5,6 +5,9 @@
    those above it, with bonuses and maluses by tag, class and id).
 2. Each page votes for the generalised tag-class paths of its best containers (digits are
    dropped from classes), and Spark sums the votes per host and path.
+   Names don't drop anything alone: an element named like a sidebar, an advert or comments, or a form, stays if it
+   holds half of the page's text and, inside, what marks the main part of a page (``excused``); a page of which
+   nothing would be left is read with the names left aside.
 3. Pages are read again and the text below their host's winning path is extracted. A page that
    doesn't have that path, or a page without a host, uses its own best container.
 
@@ -18,8 +21,8 @@ ignored, whatever their names.
 
 Scale: both passes are narrow. Votes are summed within each batch, then per task, before they are
 shuffled, so a host with a third of all pages sends a few rows per task. The winners (one row per
-host) are broadcast only up to ``broadcast_hosts`` rows; beyond, they are joined by host, where AQE
-can split a hot host.
+host) are broadcast only up to ``broadcast_hosts`` rows and ``broadcast_bytes`` bytes; beyond, they are joined by
+host, where AQE can split a hot host.
 """
 
 from __future__ import annotations
@@ -44,12 +47,18 @@ RAW = frozenset("script style noscript textarea title iframe".split())
 #: Left out with their content if they are closed within their parent; else only the start tag is.
 EMBEDDED = frozenset("template svg math object canvas audio video".split())
 DROPPED = frozenset("nav aside footer form button select head header menu dialog label".split())
+#: Controls, which are words of a sentence within one, outside a form.
+CONTROLS = frozenset("button label".split())
+_SENTENCE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Tags whose start ends an open element of the same group.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Reader comments, also in names written without separators.
 _COMMENTS = r"(?:user|reader|page|post|article|blog|fb|facebook|disqus)?comments?(?:list|area|section|thread|form|box|wrapper|wrap|container|feed|block|body|text|content|item|count|meta|author|respond|reply|replies)?s?"
 NEGATIVE = re.compile(r"(?i)(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?s?|sidebars?|" + _COMMENTS + r"|respond|repl(?:y|ies)|discussions?|disqus|cookies?|consent|gdpr|notices?|banners?|alerts?|popups?|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend(?:ed|ations)?|breadcrumbs?|pagination|pager|menus?|nav|navbar|navigation|toolbar|footers?|headers?|masthead|copyright|widgets?|login|search|skip|hidden)(?:$|[-_\s0-9])")
 NEGATIVE_ARTICLE = re.compile(r"(?i)(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?s?|" + _COMMENTS + r"|respond|repl(?:y|ies)|related|recommended|teasers?)(?:$|[-_\s0-9])")
+_COMMENT_NAME = re.compile(r"(?i)(?:^|[-_\s])(?:" + _COMMENTS + r"|respond|repl(?:y|ies)|discussions?|disqus|related|recommend(?:ed|ations)?|teasers?)(?:$|[-_\s0-9])")
+#: Classes that say what an article is, whatever others say of its state.
+_ARTICLE_NAMES = frozenset("post hentry h-entry entry story article page single type-post type-page".split())
 #: Names that say what a layout has, not what the element is.
 _LAYOUT = re.compile(r"(?i)(?:has|with|no|without)[-_][a-z0-9]+")
 POSITIVE = re.compile(r"(?i)(?:^|[-_\s])(?:articles?|body|content|entry|main|page|post|text|story|blog)(?:$|[-_\s0-9])")
@@ -134,12 +143,21 @@ def decoded(text: str) -> str:
     return entities.unescape(_LONG_REFERENCE.sub("\ufffd", text) if "&#" in text else text)
 
 
+#: Why a container may be dropped: it never holds main text, or its name or tag suggests so, or its name says it holds comments or teasers.
+HARD, NAMED, REMARKS = 1, 2, 3
+
+
 class Node:
-    __slots__ = ("tag", "path", "up", "first", "stop", "dropped", "factor", "score")
+    __slots__ = ("tag", "path", "up", "first", "stop", "doubt", "dropped", "factor", "score", "size", "main", "around", "good", "titled", "named")
 
-    def __init__(self, tag: str, path: int, up: Node | None, first: int, dropped: bool, factor: float):
+    def __init__(self, tag: str, path: int, up: Node | None, first: int, doubt: int, factor: float, good: bool = False):
         self.tag, self.path, self.up, self.first, self.stop = tag, path, up, first, -1
-        self.dropped, self.factor, self.score = dropped, factor, 0.0
+        self.doubt, self.dropped, self.factor, self.score, self.good = doubt, False, factor, 0.0, good
+        self.size = 0  # unlinked characters below
+        self.main = 0  # characters below a main element or a single article; 0 without
+        self.named = 0  # characters below a container named for content
+        self.titled = False  # a page title is in it
+        self.around = False  # navigation, headers or footers are below
 
 
 class Page:
@@ -148,10 +166,12 @@ class Page:
     def __init__(self, source: str):
         self.steps: dict[tuple[int, str], int] = {}  # number of the path that a step leads to from another path
         self.paths: list[tuple[int, str]] = [(-1, "")]  # the last step of each path
-        self.root = Node("html", 0, None, 0, False, 0.6)
+        self.root = Node("html", 0, None, 0, 0, 0.6)
         self.nodes: list[Node] = [self.root]
-        self.blocks: list[tuple[str, int, Node | None]] = []
+        self.blocks: list[tuple[str, int, Node | None]] = []  # text, linked characters, container
         self._parse(source)
+        self._drop()
+        self.blocks = [(text, linked, None if node.dropped else node) for text, linked, node in self.blocks]
         for text, linked, node in self.blocks:
             share = max(0, len(text) - 2 * linked)
             for weight in (1.0, 0.5, 0.25, 0.12, 0.06):
@@ -160,6 +180,43 @@ class Page:
                 node.score += weight * share * node.factor
                 node = node.up
 
+    def _drop(self) -> None:
+        """Decide which containers are dropped, from the inside out, then passed down."""
+        for text, linked, node in self.blocks:
+            node.size += max(0, len(text) - 2 * linked)
+        for node in reversed(self.nodes):
+            if node.up is not None and node.doubt != HARD:
+                node.up.size += node.size
+        total = self.root.size
+        bad = {}
+        for node in reversed(self.nodes):
+            if node.doubt == 0 and node.tag in ("main", "article"):
+                node.main = node.size
+            if node.doubt == 0 and node.good:
+                node.named = node.size
+            bad[id(node)] = node.doubt == HARD or node.doubt > 0 and not self._excused(node, total)
+            if node.up is not None:
+                if not bad[id(node)]:
+                    node.up.main = max(node.up.main, node.main)
+                    node.up.named = max(node.up.named, node.named)
+                    node.up.around |= node.around
+                    node.up.titled |= node.titled
+                elif node.tag in ("nav", "header", "footer", "aside") or node.doubt == NAMED and node.tag != "form":
+                    node.up.around = True
+        for leave in (False, True):
+            for node in self.nodes:
+                own = node.doubt == HARD if leave else bad[id(node)]
+                node.dropped = own or node.up is not None and node.up.dropped
+            if any(not node.dropped for _, _, node in self.blocks):
+                break
+
+    @staticmethod
+    def _excused(node: Node, total: int) -> bool:
+        """A doubtful container that holds half of the page and in it its title or one main part, or, unless it is named for remarks, the page's frame."""
+        if 2 * node.size < total or not node.size:
+            return False
+        return node.titled or 2 * node.main >= node.size or node.doubt != REMARKS and (node.around or 2 * node.named >= node.size)
+
     def path_id(self, path: str) -> int | None:
         """The number of a path written out, if the page has it."""
         at = 0
@@ -189,7 +246,7 @@ class Page:
                 text = " ".join(decoded("".join(parts)).split())
                 if text:
                     node = stack[-1][1]
-                    self.blocks.append((text, min(linked, len(text)), None if node.dropped else node))
+                    self.blocks.append((text, min(linked, len(text)), node))
                 parts = []
             linked = 0
 
@@ -240,18 +297,29 @@ class Page:
             attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[3])} if m[3] else {}
             here = stack[-1][1]
             named = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-            bad = (
-                tag in DROPPED and not (tag == "header" and (opened["article"] or opened["main"]))
-                or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+            if tag in CONTROLS and stack[-1][0] in _SENTENCE and not opened["form"]:
+                continue
+            names = _LAYOUT.sub("", named)
+            hard = (
+                tag in DROPPED and tag != "form" and not (tag == "header" and (opened["article"] or opened["main"]))
+                or attrs.get("role", "").lower() in ROLES - {"form", "search"} or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
                 or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-                or bool(named) and tag not in ("html", "body", "main") and bool((NEGATIVE_ARTICLE if tag == "article" else NEGATIVE).search(_LAYOUT.sub("", named)))
             )
+            doubted = tag == "form" or attrs.get("role", "").lower() in ("form", "search")
+            if names and tag not in ("html", "body", "main"):
+                if tag == "article":
+                    doubted |= bool(NEGATIVE_ARTICLE.search(names)) and not _ARTICLE_NAMES & set(names.lower().split())
+                else:
+                    doubted |= bool(NEGATIVE.search(names))
+            bad = HARD if hard else 0 if not doubted else REMARKS if _COMMENT_NAME.search(names) else NAMED
             if tag == "span" and not bad:
                 continue
             if tag != "span" or bad:
                 flush()
             if tag in VOID:
                 continue
+            if tag == "h1":
+                stack[-1][1].titled = True
             depth_a = 0
             if tag in CLOSES:
                 # only up to the list or table that this one belongs to
@@ -275,7 +343,7 @@ class Page:
                 path = self.steps.setdefault((here.path, key), len(self.paths))
                 if path == len(self.paths):
                     self.paths.append((here.path, key))
-                node = Node(tag, path, here, len(self.blocks), here.dropped or bad, factor)
+                node = Node(tag, path, here, len(self.blocks), bad, factor, bool(named) and bool(POSITIVE.search(names)))
                 self.nodes.append(node)
                 stack.append((tag, node, True))
             else:
@@ -356,13 +424,14 @@ def _extract(box):
     return tidy(run)
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 200_000) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 200_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url, text, n_chars of every page. Null and empty html give an empty text; repeated rows each give a row."""
     spark = pages.sparkSession
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     winners = materialize(host_paths(slim), "host-paths")
     out = f"page_id {dict(slim.dtypes)['page_id']}, url string, text string, n_chars long"
-    if winners.count() <= broadcast_hosts:
+    size = winners.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0)).alias("bytes")).first()
+    if size.n <= broadcast_hosts and size.bytes <= broadcast_bytes:
         box = spark.sparkContext.broadcast({r.host: r.path for r in winners.collect()})
         return slim.mapInArrow(_extract(box), out)
     # the key of the votes, so that both ways give a page the same path

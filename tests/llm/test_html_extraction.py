@@ -59,8 +59,8 @@ def test_odd_urls_have_one_host(spark):
     rows += [(100 * k + 50, u.format("z"), page.format("tiny", "a box that is longer than the story")) for k, u in enumerate(odd)]
     rows += [(999, "::bad::", "<p>x</p>"), (998, None, "<p>y</p>")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
-    sent, joined = ({r.page_id: r.text for r in H.extract_main_text(d, broadcast_hosts=limit).collect()} for limit in (200_000, 0))
-    assert sent == joined and len(sent) == len(rows) and [joined[100 * k + 50] for k in range(len(odd))] == ["tiny"] * len(odd)
+    sent, joined, bounded = ({r.page_id: r.text for r in H.extract_main_text(d, broadcast_hosts=limit, broadcast_bytes=size).collect()} for limit, size in ((200_000, 1 << 20), (0, 1 << 20), (200_000, 50)))
+    assert sent == joined == bounded and len(sent) == len(rows) and [joined[100 * k + 50] for k in range(len(odd))] == ["tiny"] * len(odd)
 
 
 @pytest.mark.parametrize(("source", "want"), [
@@ -144,3 +144,37 @@ def test_templates_by_host(spark):
     got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     wrong = [k for k in want if got[k] != want[k]]
     assert not wrong, [(k, got[k][:200], want[k][:200]) for k in wrong[:3]]
+
+
+STORY = "<h1>Title here</h1><p>" + "The story of the river goes on. " * 8 + "</p><p>It ends well.</p>"
+WANT = " ".join(["Title here", ("The story of the river goes on. " * 8).strip(), "It ends well."])
+FRAME = "<div class='menu'><a href=x>Home</a> and more menu words</div>{}<div class='footer'>Foot words</div>"
+
+
+@pytest.mark.parametrize("page", [
+    "<div id='wrapper' class='sidebar-right'>" + FRAME.format("<div class='inner'>" + STORY + "</div>") + "</div>",
+    "<article class='post comments-open hentry'>" + STORY + "</article><aside>side</aside>",
+    "<article class='post tag-ads'>" + STORY + "</article>",
+    "<div id='search-page'>" + FRAME.format("<div class='content'>" + STORY + "</div>") + "</div>",
+    "<form action='x'>" + FRAME.format("<div class='box'>" + STORY + "</div>") + "<input></form>",
+    "<div class='page-header-hidden widget-area'>" + STORY + "</div>",
+    "<div class='nav-open'><div class='modal-free login'>" + FRAME.format("<div>" + STORY + "</div>") + "</div></div>",
+    "<div class='comments-open single'>" + STORY + "<ol class='commentlist'><li>" + "a comment that is long. " * 40 + "</li></ol></div>",
+])
+def test_names_alone_lose_no_page(page):
+    got = H.extract(f"<html><body>{page}</body></html>", None)
+    assert got == WANT, got
+
+
+def test_words_in_controls():
+    assert H.extract("<article><p>Mix the <label>red</label> paint and <button>press</button> it.</p><button>Share</button><form><p>Your <label>name</label></p></form></article>", None) == "Mix the red paint and press it."
+
+
+def test_short_article_with_long_comments():
+    for name in ("comments", "reader-comments", "related-posts"):
+        page = f"<body><div class='story'><h2>T</h2><p>The article is short.</p></div><div class='{name}'><div class='text'>{'a remark that is longer than the article ' * 20}</div><form>Reply</form></div></body>"
+        assert H.extract(page, None) == "T The article is short."
+
+
+def test_a_page_of_doubtful_names_only():
+    assert H.extract("<div class='notice'><p>All there is.</p></div>", None) == "All there is."
