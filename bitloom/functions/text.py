@@ -126,6 +126,19 @@ def is_analytic_chinese(text: Column | str) -> Column:
     return t.rlike(CJK_TWO_BLOCKS) & (F.regexp_count(t, F.lit("[A-Za-z]+(?:['-][A-Za-z]+)*")) < 8)
 
 
+def folded(text: Column | str) -> Column:
+    """A text in the form in which texts are equal that differ in letter case only (``Straße`` and ``STRASSE``)."""
+    # capitals take letters apart that lower case leaves (ß, ligatures); capital ß and dotless i have none of their own, and final sigma is a sigma
+    kept = F.translate(as_column(text), "\u0131\u1e9e", "\ue000\u00df")
+    # the optimizer takes lower(upper(x)) for lower(x), which it isn't, so the two are kept apart
+    capitals = F.translate(F.upper(kept), "\u03c2", "\u03a3")
+    return F.translate(F.lower(capitals), "\u03c2", "\u03c3")
+
+
+def same_folded(a: Column | str, b: Column | str) -> Column:
+    return folded(a) == folded(b)
+
+
 def normalise_search(text: Column | str) -> Column:
     """Lower case, squeezed white space, straight quotes."""
     return F.lower(F.translate(squeeze(text), "“”‘’", "\"\"''"))

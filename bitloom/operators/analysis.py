@@ -94,7 +94,7 @@ def reorder(expected: Column, items: Column, key: str) -> Column:
 def review_problem(reviewer: str, prefix: str, allowed: Column | None = None) -> Column:
     """The first rule that a finding row breaks, or null: new findings are open, by this reviewer, in Chinese, on an allowed paragraph."""
     p = (
-        F.when(~F.col("severity").isin("critical", "major", "minor", "suggestion"), "severity").when(F.col("status") != "open", "status").when(F.col("reviewer") != reviewer, "reviewer")
+        F.when(~F.col("severity").isin("critical", "major", "minor", "discussion"), "severity").when(F.col("status") != "open", "status").when(F.col("reviewer") != reviewer, "reviewer")
         .when(~F.col("finding_id").startswith(prefix), "finding_id").when(~F.col("message").rlike(X.CJK_WIDE), "message")
     )
     return p if allowed is None else p.when(~F.array_contains(allowed, F.col("paragraph_id")), "paragraph_id")

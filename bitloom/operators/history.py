@@ -1,12 +1,12 @@
-"""Append-only review histories, certificates, rounds, governance and freshness checks."""
+"""Append-only review histories, their certificates and rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .gate import FAIL, PASS, SKIP, WARN
-
+# Severities that block a release, and the statuses in which they do.
 BLOCKING = ("critical", "major")
+UNRESOLVED = ("open", "deferred")
 
 
 def canonical(*columns: str) -> Column:
@@ -41,28 +41,43 @@ def duplicates(findings: DataFrame, key: str = "finding_id") -> DataFrame:
 
 
 def is_blocking(severity: Column | str = "severity", status: Column | str = "status") -> Column:
-    """A critical or major finding that is neither resolved nor rejected."""
+    """A critical or major finding that is open or deferred."""
     s = F.col(severity) if isinstance(severity, str) else severity
     t = F.col(status) if isinstance(status, str) else status
-    return s.isin(*BLOCKING) & ~t.isin("resolved", "rejected")
+    return s.isin(*BLOCKING) & t.isin(*UNRESOLVED)
+
+
+def history_state(findings: DataFrame) -> DataFrame:
+    """project, records, finding_ids, blocking_ids, findings_sha256 of each project's history.
+
+    ``findings``: project, ord, finding_id, severity, status and any further fields. The digest is over all fields of all
+    records, in order, one JSON text a line, so that any change of a finding changes it. A row is as large as one history file.
+    """
+    fields = sorted(c for c in findings.columns if c not in ("project", "ord", "round"))
+    note = F.col("resolution_note") if "resolution_note" in fields else F.lit(None).cast("string")
+    record = F.struct("ord", "finding_id", "severity", "status", note.alias("resolution_note"), canonical(*fields).alias("line"))
+    d = findings.groupBy("project").agg(F.array_sort(F.collect_list(record)).alias("records"))
+    ids = lambda rows: F.transform(rows, lambda r: r["finding_id"])
+    lines = F.concat(F.array_join(F.transform("records", lambda r: r["line"]), "\n"), F.lit("\n"))
+    return d.select("project", "records", ids("records").alias("finding_ids"), ids(F.filter("records", lambda r: is_blocking(r["severity"], r["status"]))).alias("blocking_ids"), F.sha2(lines, 256).alias("findings_sha256"))
 
 
 def certificates(findings: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """project, review_round, blocking_findings, status, findings_sha256 over each project's whole history.
+    """project, review_round, findings, blocking_findings, status, findings_sha256, finding_ids, blocking_finding_ids over each project's whole history.
 
-    clear without blockers; blocking, or needs_human when the certificate before was blocking, too.
-    ``previous`` has project, status. Ids are in history order, so their digest binds the history.
+    clear without blockers; blocking, or needs_human when the certificate before was blocking or needs_human, too.
+    ``previous`` has project, status. The digest binds all records (:func:`history_state`).
     """
-    ids = F.array_sort(F.collect_list(F.struct("ord", "finding_id")))
-    listed = F.array_join(F.transform(ids, lambda x: x["finding_id"]), "\n")
-    c = findings.groupBy("project").agg(F.max("round").alias("review_round"), F.count("*").alias("findings"), F.count_if(is_blocking()).alias("blocking_findings"), F.sha2(listed, 256).alias("findings_sha256"))
+    last = findings.groupBy("project").agg(F.max("round").alias("review_round"))
+    c = history_state(findings).join(last, "project")
     if previous is None:
         before = F.lit(None).cast("string")
     else:
         c = c.join(previous.select("project", F.col("status").alias("before")), "project", "left")
         before = F.col("before")
-    status = F.when(F.col("blocking_findings") == 0, "clear").when(before.isin("blocking", "needs_human"), "needs_human").otherwise("blocking")
-    return c.select("project", "review_round", "findings", "blocking_findings", status.alias("status"), "findings_sha256")
+    n = F.size("blocking_ids")
+    status = F.when(n == 0, "clear").when(before.isin("blocking", "needs_human"), "needs_human").otherwise("blocking")
+    return c.select("project", "review_round", F.size("finding_ids").cast("long").alias("findings"), n.cast("long").alias("blocking_findings"), status.alias("status"), "findings_sha256", "finding_ids", F.col("blocking_ids").alias("blocking_finding_ids"))
 
 
 def rounds(findings: DataFrame) -> DataFrame:
@@ -80,75 +95,5 @@ def rounds(findings: DataFrame) -> DataFrame:
     return d.select("project", "round", "new", "blocking_so_far", F.when(~blocked, "clear").when(F.coalesce(before, F.lit(False)), "needs_human").otherwise("blocking").alias("status"))
 
 
-def round_violations(before: DataFrame, after: DataFrame) -> DataFrame:
-    """finding_id, reason for what a later history may not do to an earlier one.
-
-    Ids must survive; a blocker must stay critical or major; one in needs_human may only be resolved
-    or rejected, with a note. Both have finding_id, severity, status; ``after`` a resolution_note.
-    """
-    a = after.select("finding_id", F.col("severity").alias("sev2"), F.col("status").alias("st2"), "resolution_note", F.lit(True).alias("there"))
-    j = before.join(a, "finding_id", "left")
-    settled = F.col("st2").isin("resolved", "rejected")
-    reason = (
-        F.when(F.col("there").isNull(), "lost")
-        .when(F.col("severity").isin(*BLOCKING) & ~F.col("sev2").isin(*BLOCKING), "downgraded")
-        .when((F.col("status") == "needs_human") & (F.col("st2") != "needs_human") & ~settled, "reopened")
-        .when((F.col("status") == "needs_human") & settled & (F.trim(F.coalesce("resolution_note", F.lit(""))) == ""), "no note")
-    )
-    return j.withColumn("reason", reason).where("reason is not null").select("finding_id", "reason")
-
-
-def governance(projects: DataFrame, findings: DataFrame) -> DataFrame:
-    """project, status, blockers of the release gate.
-
-    ``projects``: project, reviewed (a review exists), audience, sensitive, genre, strict. Protected
-    projects (strict, public, sensitive or scripture) fail on blockers, others are warned; without a
-    review all skip.
-    """
-    n = findings.groupBy("project").agg(F.count_if(is_blocking()).alias("blockers"))
-    p = projects.join(n, "project", "left").fillna(0, ["blockers"])
-    protected = F.col("strict") | (F.col("audience") == "public") | F.col("sensitive") | (F.col("genre") == "scripture")
-    status = F.when((F.col("blockers") > 0) & protected, FAIL).when(~F.col("reviewed"), SKIP).when(F.col("blockers") > 0, WARN).otherwise(PASS)
-    return p.select("project", status.alias("status"), "blockers")
-
-
-def semantic_freshness(certs: DataFrame, current: DataFrame) -> DataFrame:
-    """project, status of each certificate against current hashes and histories.
-
-    ``current``: project, source_sha256, target_sha256, findings_sha256, required. Missing where
-    required skips; another hash or history fails; where required the round must be 2 or later and
-    clear; blockers warn otherwise.
-    """
-    c = certs.select("project", F.col("source_sha256").alias("cs"), F.col("target_sha256").alias("ct"), F.col("findings_sha256").alias("cf"), "review_round", "status", "blocking_findings")
-    j = current.join(c, "project", "left")
-    fresh = (F.col("cs") == F.col("source_sha256")) & (F.col("ct") == F.col("target_sha256")) & (F.col("cf") == F.col("findings_sha256"))
-    status = (
-        F.when(F.col("cs").isNull(), F.when(F.col("required"), SKIP).otherwise(PASS))
-        .when(~fresh, FAIL)
-        .when(F.col("required") & ((F.col("review_round") < 2) | (F.col("status") != "clear")), FAIL)
-        .when(F.col("blocking_findings") > 0, WARN)
-        .otherwise(PASS)
-    )
-    return j.select("project", status.alias("status_"), "blocking_findings").withColumnRenamed("status_", "status")
-
-
-def external_policy(analyses: DataFrame, current: DataFrame) -> DataFrame:
-    """project, status: an analysis must be of the current source, cover exactly its paragraphs in order, and be internal where outside review is denied.
-
-    ``analyses``: project, source_sha256, provider, paragraph_ids; ``current``: project,
-    source_sha256, paragraph_ids, policy, sensitive.
-    """
-    a = analyses.select("project", F.col("source_sha256").alias("as"), "provider", F.col("paragraph_ids").alias("ap"))
-    j = current.join(a, "project", "left")
-    deny = (F.col("policy") == "deny") | F.col("sensitive")
-    status = (
-        F.when(F.col("as").isNull(), SKIP)
-        .when((F.col("as") != F.col("source_sha256")) | (F.col("ap") != F.col("paragraph_ids")), FAIL)
-        .when(deny & (F.col("provider") != "internal"), FAIL)
-        .otherwise(PASS)
-    )
-    return j.select("project", status.alias("status"))
-
-
 def with_provenance(findings: DataFrame, stage: str, provider: str, model: str, source_sha256: str, target_sha256: str) -> DataFrame:
     return findings.withColumns({k: F.lit(v) for k, v in dict(stage=stage, provider=provider, model=model, source_sha256=source_sha256, target_sha256=target_sha256).items()})

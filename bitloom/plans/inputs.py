@@ -107,14 +107,14 @@ CUES_SQL = """ev AS (
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project, ord, finding_id, severity, status, round from the events, in order of event_id."""
     e = table(spark, sf_dir, "events")
-    severity = F.element_at(F.array(*map(F.lit, ("critical", "major", "minor", "suggestion"))), (F.length("event_type") % 4 + 1).cast("int"))
-    status = F.element_at(F.array(*map(F.lit, ("open", "resolved", "rejected", "needs_human", "resolved"))), (F.col("event_id") % 5 + 1).cast("int"))
+    severity = F.element_at(F.array(*map(F.lit, ("critical", "major", "minor", "discussion"))), (F.length("event_type") % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ("open", "resolved", "rejected", "deferred", "resolved"))), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select((F.col("user_id") % 97).alias("project"), F.col("event_id").alias("ord"), F.concat(F.lit("R-"), F.col("event_id").cast("string")).alias("finding_id"), severity.alias("severity"), status.alias("status"), (F.col("event_id") % 3 + 1).cast("int").alias("round"))
 
 
 FINDINGS_SQL = """findings AS (
   SELECT user_id % 97 AS project, event_id AS ord, 'R-' || event_id AS finding_id,
-    ['critical','major','minor','suggestion'][CAST(length(event_type) % 4 + 1 AS INTEGER)] AS severity,
-    ['open','resolved','rejected','needs_human','resolved'][CAST(event_id % 5 + 1 AS INTEGER)] AS status,
+    ['critical','major','minor','discussion'][CAST(length(event_type) % 4 + 1 AS INTEGER)] AS severity,
+    ['open','resolved','rejected','deferred','resolved'][CAST(event_id % 5 + 1 AS INTEGER)] AS status,
     CAST(event_id % 3 + 1 AS INTEGER) AS round
   FROM events)"""

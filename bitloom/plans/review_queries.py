@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import history, scoring
+from ..operators import history, release, scoring
 from . import inputs as I
 
 
@@ -37,14 +40,17 @@ SELECT finding_id, CASE WHEN ord % 2 = 0 THEN ord ELSE ord + last + 1 END AS ord
 def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = I.findings(spark, sf_dir)
     before = history.certificates(f.where("round = 1")).select("project", "status")
-    return history.certificates(f, before)
+    c = history.certificates(f, before)
+    return c.withColumns({n: F.array_join(n, ",") for n in ("finding_ids", "blocking_finding_ids")})
 
 
 CERTIFICATES_SQL = f"""WITH {I.FINDINGS_SQL}, b AS (
-  SELECT *, severity IN ('critical', 'major') AND status NOT IN ('resolved', 'rejected') AS blocker FROM findings
+  SELECT *, severity IN ('critical', 'major') AND status IN ('open', 'deferred') AS blocker FROM findings
 ), p AS (SELECT project, count(*) FILTER (blocker) > 0 AS blocked FROM b WHERE round = 1 GROUP BY project
-), c AS (SELECT project, max(round) AS review_round, count(*) AS findings, count(*) FILTER (blocker) AS blocking_findings, sha256(string_agg(finding_id, chr(10) ORDER BY ord)) AS findings_sha256 FROM b GROUP BY project)
-SELECT c.project, review_round, findings, blocking_findings, CASE WHEN blocking_findings = 0 THEN 'clear' WHEN p.blocked THEN 'needs_human' ELSE 'blocking' END AS status, findings_sha256
+), c AS (SELECT project, max(round) AS review_round, count(*) AS findings, count(*) FILTER (blocker) AS blocking_findings,
+  sha256(string_agg('{{"finding_id":"' || finding_id || '","severity":"' || severity || '","status":"' || status || '"}}' || chr(10), '' ORDER BY ord)) AS findings_sha256,
+  string_agg(finding_id, ',' ORDER BY ord) AS finding_ids, coalesce(string_agg(finding_id, ',' ORDER BY ord) FILTER (blocker), '') AS blocking_finding_ids FROM b GROUP BY project)
+SELECT c.project, review_round, findings, blocking_findings, finding_ids, blocking_finding_ids, CASE WHEN blocking_findings = 0 THEN 'clear' WHEN p.blocked THEN 'needs_human' ELSE 'blocking' END AS status, findings_sha256
 FROM c LEFT JOIN p USING (project)"""
 
 
@@ -53,61 +59,129 @@ def review_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REVIEW_ROUNDS_SQL = f"""WITH {I.FINDINGS_SQL}, r AS (
-  SELECT project, round, count(*) AS new, count(*) FILTER (severity IN ('critical', 'major') AND status NOT IN ('resolved', 'rejected')) AS b FROM findings GROUP BY project, round
+  SELECT project, round, count(*) AS new, count(*) FILTER (severity IN ('critical', 'major') AND status IN ('open', 'deferred')) AS b FROM findings GROUP BY project, round
 ), s AS (SELECT project, round, new, CAST(sum(b) OVER w AS BIGINT) AS blocking_so_far FROM r WINDOW w AS (PARTITION BY project ORDER BY round)),
 t AS (SELECT *, lag(blocking_so_far) OVER (PARTITION BY project ORDER BY round) AS before FROM s)
 SELECT project, round, new, blocking_so_far, CASE WHEN blocking_so_far = 0 THEN 'clear' WHEN coalesce(before, 0) > 0 THEN 'needs_human' ELSE 'blocking' END AS status FROM t"""
 
 
-def round_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = I.findings(spark, sf_dir)
-    after = f.where("ord % 17 <> 0").select("finding_id", F.when(F.col("ord") % 19 == 0, "minor").otherwise(F.col("severity")).alias("severity"), F.when(F.col("status") == "needs_human", F.when(F.col("ord") % 3 == 0, "open").otherwise("resolved")).otherwise(F.col("status")).alias("status"), F.when(F.col("ord") % 4 == 0, "seen").alias("resolution_note"))
-    return history.round_violations(f, after)
+def _on(condition: str, value: object, other: object) -> Column:
+    return F.when(F.expr(condition), F.lit(value)).otherwise(F.lit(other))
+
 
+def _both(check: Callable[[bool], DataFrame]) -> DataFrame:
+    """A check of drafts and of strict runs, problems comma-joined."""
+    return reduce(DataFrame.unionByName, (check(strict).withColumns({"strict": F.lit(strict), "problems": F.array_join("problems", ",")}) for strict in (False, True)))
 
-ROUND_VIOLATIONS_SQL = f"""WITH {I.FINDINGS_SQL}, r AS (
-  SELECT finding_id, CASE WHEN ord % 17 = 0 THEN 'lost' WHEN severity IN ('critical', 'major') AND ord % 19 = 0 THEN 'downgraded'
-    WHEN status = 'needs_human' AND ord % 3 = 0 THEN 'reopened' WHEN status = 'needs_human' AND ord % 4 <> 0 THEN 'no note' END AS reason FROM findings)
-SELECT * FROM r WHERE reason IS NOT NULL"""
+
+_PROJECTS_SQL = "p AS (SELECT DISTINCT c_custkey % 97 AS k FROM customer), runs AS (SELECT unnest([false, true]) AS strict)"
+_BLOCKED_SQL = "n AS (SELECT project, count(*) FILTER (severity IN ('critical', 'major') AND status IN ('open', 'deferred')) AS b FROM findings GROUP BY project)"
 
 
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project for each remainder of the customers' keys, whose fields follow from it."""
     p = I.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 97).alias("project")).distinct()
-    return p.select("project", (F.col("project") % 5 != 0).alias("reviewed"), F.when(F.col("project") % 2 == 0, "public").otherwise("internal").alias("audience"), (F.col("project") % 7 == 0).alias("sensitive"), F.when(F.col("project") % 11 == 0, "scripture").otherwise("essay").alias("genre"), (F.col("project") % 13 == 0).alias("strict"))
+    level = F.element_at(F.array(*map(F.lit, ("draft", "internal", "public", "sensitive"))), (F.col("project") % 4 + 1).cast("int"))
+    return p.select(
+        "project", level.alias("level"), _on("project % 11 = 0", "scripture", "book").alias("genre"), _on("project % 5 = 0", False, True).alias("source_origin_declared"), _on("project % 19 = 0", False, True).alias("delivery_format_declared"),
+        _on("project % 3 = 0", False, True).alias("independent_review_required"), _on("project % 3 = 1 AND project % 2 = 0", False, True).alias("named_approver_required"), _on("project % 7 = 0", False, True).alias("review_completed"),
+        F.when(F.expr("project % 13 = 0"), " ").when(F.expr("project % 6 = 1"), "ANN").otherwise("bob").alias("reviewer"), F.lit("Ann").alias("translator"), _on("project % 9 = 4", False, True).alias("approved"), _on("project % 8 = 5", None, "carl").alias("approver"),
+        _on("project % 10 = 7", False, True).alias("has_findings"), _on("project % 3 = 0", "deny", "allow").alias("external_semantic_review"),
+    )
+
+
+_FIELDS_SQL = """f AS (SELECT k, strict, ['draft', 'internal', 'public', 'sensitive'][k % 4 + 1] AS level, k % 11 = 0 AS scripture, k % 5 <> 0 AND k % 19 <> 0 AS declared, k % 3 <> 0 AS need_review, NOT (k % 3 = 1 AND k % 2 = 0) AS need_approval,
+  k % 7 <> 0 AND k % 13 <> 0 AS reviewed, k % 13 <> 0 AND k % 6 = 1 AS same, k % 9 <> 4 AS approved, k % 8 = 5 AS nameless, k % 10 <> 7 AS has_findings, coalesce(b, 0) AS b FROM p CROSS JOIN runs LEFT JOIN n ON n.project = k)"""
 
 
 def governance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.governance(_projects(spark, sf_dir), I.findings(spark, sf_dir).where("status <> 'open'"))
+    # every fifth history has no open findings, so that some projects have no blockers
+    f = I.findings(spark, sf_dir).where("project % 5 <> 2 OR status = 'resolved'")
+    return _both(lambda strict: release.governance(_projects(spark, sf_dir), f, strict))
 
 
-GOVERNANCE_SQL = f"""WITH {I.FINDINGS_SQL}, p AS (SELECT DISTINCT c_custkey % 97 AS project FROM customer),
-n AS (SELECT project, count(*) FILTER (severity IN ('critical', 'major') AND status NOT IN ('resolved', 'rejected')) AS b FROM findings WHERE status <> 'open' GROUP BY project)
-SELECT p.project, CASE WHEN coalesce(b, 0) > 0 AND (p.project % 13 = 0 OR p.project % 2 = 0 OR p.project % 7 = 0 OR p.project % 11 = 0) THEN 'FAIL'
-  WHEN p.project % 5 = 0 THEN 'SKIP' WHEN coalesce(b, 0) > 0 THEN 'WARN' ELSE 'PASS' END AS status, coalesce(b, 0) AS blockers FROM p LEFT JOIN n USING (project)"""
+GOVERNANCE_SQL = f"""WITH {I.FINDINGS_SQL.replace("findings AS", "every AS", 1)}, findings AS (SELECT * FROM every WHERE project % 5 <> 2 OR status = 'resolved'), {_PROJECTS_SQL}, {_BLOCKED_SQL}, {_FIELDS_SQL},
+g AS (SELECT *, strict OR level IN ('public', 'sensitive') OR scripture AS guarded FROM f),
+r AS (SELECT *, list_filter([CASE WHEN strict AND level NOT IN ('public', 'sensitive') THEN 'level' END, CASE WHEN guarded AND NOT declared THEN 'declaration' END, CASE WHEN guarded AND NOT need_review THEN 'review not required' END,
+    CASE WHEN guarded AND NOT need_approval THEN 'approval not required' END, CASE WHEN (need_review OR guarded) AND reviewed AND same THEN 'reviewer is translator' END, CASE WHEN (need_approval OR guarded) AND NOT approved THEN 'not approved' END,
+    CASE WHEN guarded AND b > 0 THEN 'blockers' END], lambda x: x IS NOT NULL) AS bad,
+  list_filter([CASE WHEN (need_review OR guarded) AND NOT reviewed THEN 'no review' END, CASE WHEN (need_review OR guarded) AND NOT has_findings THEN 'no findings' END, CASE WHEN (need_approval OR guarded) AND nameless THEN 'no approver' END], lambda x: x IS NOT NULL) AS gone FROM g)
+SELECT k AS project, strict, b AS blockers, CASE WHEN len(bad) > 0 THEN 'FAIL' WHEN len(gone) > 0 THEN 'SKIP' WHEN b > 0 THEN 'WARN' ELSE 'PASS' END AS status,
+  array_to_string(CASE WHEN len(bad) + len(gone) > 0 OR b = 0 THEN bad || gone ELSE ['blockers'] END, ',') AS problems FROM r"""
+
+
+def _certificates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Certificates of the findings up to now, or of the first two rounds, with a fault in some; and the findings."""
+    f = I.findings(spark, sf_dir).where("project % 6 <> 3 OR severity NOT IN ('critical', 'major')")
+    c = history.certificates(f).withColumns({"source_sha256": F.concat(F.lit("s"), "project"), "target_sha256": _on("project % 5 = 1", "old", "t"), "provider": _on("project % 4 = 0", "Internal", "other")})
+    return c.withColumns({
+        "finding_ids": F.when(F.expr("project % 7 = 2"), F.reverse("finding_ids")).otherwise(F.col("finding_ids")), "blocking_findings": F.col("blocking_findings") + F.when(F.expr("project % 7 = 3"), 1).otherwise(0),
+        "blocking_finding_ids": F.when(F.expr("project % 7 = 4"), F.slice("blocking_finding_ids", 1, F.greatest(F.size("blocking_finding_ids") - 1, F.lit(0)))).otherwise(F.col("blocking_finding_ids")),
+        "review_round": F.when(F.expr("project % 3 = 0"), 1).otherwise(F.col("review_round")), "findings_sha256": F.when(F.expr("project % 7 = 5"), "old").otherwise(F.col("findings_sha256")),
+    }).where("project % 13 <> 0"), f.where("project % 17 <> 5")
 
 
 def semantic_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = history.certificates(I.findings(spark, sf_dir)).withColumns({"source_sha256": X.sha256_hex(F.concat(F.lit("s"), F.col("project"))), "target_sha256": X.sha256_hex(F.concat(F.lit("t"), F.col("project")))})
-    now = c.select("project", "source_sha256", F.when(F.col("project") % 5 == 0, F.lit("other")).otherwise(F.col("target_sha256")).alias("target_sha256"), "findings_sha256", (F.col("project") % 2 == 0).alias("required"))
-    return history.semantic_freshness(c.where("project % 7 <> 0"), now).select("project", "status")
+    c, f = _certificates(spark, sf_dir)
+    now = _projects(spark, sf_dir).select("project", "level", F.concat(F.when(F.expr("project % 8 <> 6"), "s"), "project").alias("source_sha256"), F.lit("t").alias("target_sha256"))
+    return _both(lambda strict: release.semantic_review(now, c, f, strict))
 
 
-SEMANTIC_FRESHNESS_SQL = f"""WITH {I.FINDINGS_SQL}, c AS (SELECT project, max(round) AS r, count(*) FILTER (severity IN ('critical', 'major') AND status NOT IN ('resolved', 'rejected')) AS b FROM findings GROUP BY project)
-SELECT project, CASE WHEN project % 7 = 0 THEN CASE WHEN project % 2 = 0 THEN 'SKIP' ELSE 'PASS' END WHEN project % 5 = 0 THEN 'FAIL'
-  WHEN project % 2 = 0 AND (r < 2 OR b > 0) THEN 'FAIL' WHEN b > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM c"""
+SEMANTIC_FRESHNESS_SQL = f"""WITH {I.FINDINGS_SQL}, h AS (SELECT project, max(round) AS r, count(*) AS n, count(*) FILTER (severity IN ('critical', 'major') AND status IN ('open', 'deferred')) AS b FROM findings
+  WHERE project % 6 <> 3 OR severity NOT IN ('critical', 'major') GROUP BY project), {_PROJECTS_SQL},
+c AS (SELECT k, strict, strict AND k % 4 IN (2, 3) AS required, k % 13 <> 0 AND h.project IS NOT NULL AS made, k % 17 = 5 AS lost, k % 8 = 6 AS unknown, n, b, b + CASE WHEN k % 7 = 3 THEN 1 ELSE 0 END AS says,
+    CASE WHEN k % 3 = 0 THEN 1 ELSE r END AS r FROM p CROSS JOIN runs LEFT JOIN h ON h.project = k),
+d AS (SELECT *, CASE WHEN NOT made THEN CAST([] AS VARCHAR[]) ELSE list_filter([CASE WHEN unknown THEN 'no hashes' END, CASE WHEN NOT unknown AND k % 5 = 1 THEN 'target' END, CASE WHEN lost THEN 'no history' END, CASE WHEN NOT lost AND k % 7 = 5 THEN 'history' END,
+    CASE WHEN lost OR k % 7 = 2 AND n > 1 THEN 'finding ids' END, CASE WHEN says <> CASE WHEN lost THEN 0 ELSE b END THEN 'blocking count' END,
+    CASE WHEN lost AND b - CASE WHEN k % 7 = 4 AND b > 0 THEN 1 ELSE 0 END > 0 OR NOT lost AND k % 7 = 4 AND b > 0 THEN 'blocking ids' END, CASE WHEN required AND r < 2 THEN 'first round' END,
+    CASE WHEN required AND (says <> 0 OR b > 0) THEN 'blockers' END], lambda x: x IS NOT NULL) END AS problems FROM c)
+SELECT k AS project, strict, CASE WHEN NOT made THEN CASE WHEN required THEN 'SKIP' ELSE 'PASS' END WHEN len(problems) > 0 THEN 'FAIL' WHEN says > 0 THEN 'WARN' ELSE 'PASS' END AS status, array_to_string(problems, ',') AS problems FROM d"""
 
 
 def external_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _projects(spark, sf_dir)
     ids = F.transform(F.sequence(F.lit(1), F.col("project") % 4 + 1), lambda i: F.concat(F.lit("L"), i))
-    now = p.select("project", F.lit("h").alias("source_sha256"), ids.alias("paragraph_ids"), F.when(F.col("project") % 3 == 0, "deny").otherwise("allow").alias("policy"), "sensitive")
-    made = now.where("project % 9 <> 0").select("project", F.when(F.col("project") % 8 == 0, "old").otherwise("h").alias("source_sha256"), F.when(F.col("project") % 10 == 0, F.reverse("paragraph_ids")).otherwise(F.col("paragraph_ids")).alias("paragraph_ids"), F.when(F.col("project") % 4 == 0, "internal").otherwise("outside").alias("provider"))
-    return history.external_policy(made, now)
+    now = p.select("project", F.when(F.expr("project % 23 <> 1"), F.col("level")).alias("level"), F.when(F.expr("project % 23 <> 1"), F.col("external_semantic_review")).alias("external_semantic_review"),
+                   F.lit("h").alias("source_sha256"), F.lit("p").alias("project_sha256"), _on("project % 2 = 0", "m", None).alias("term_map_sha256"), ids.alias("paragraph_ids"))
+    made = now.where("project % 9 <> 0").select(
+        "project", _on("project % 8 = 1", "old", "h").alias("source_sha256"), _on("project % 12 = 5", "old", "p").alias("project_sha256"), _on("project % 5 = 2", "old", "m").alias("term_map_sha256"),
+        F.when(F.col("project") % 10 == 7, F.reverse("paragraph_ids")).otherwise(F.col("paragraph_ids")).alias("paragraph_ids"), _on("project % 4 = 3", "INTERNAL", "outside").alias("provider"))
+    certified = p.where("project % 7 <> 1").select("project", _on("project % 5 = 0", "elsewhere", "internal").alias("provider"))
+    f = I.findings(spark, sf_dir).select("project", F.when(F.expr("ord % 31 = 0"), "outside").when(F.expr("ord % 3 = 0"), " ").when(F.expr("ord % 3 = 1"), "internal").alias("provider"))
+    return _both(lambda strict: release.external_policy(now, made, certified, f, strict))
+
 
+EXTERNAL_POLICY_SQL = f"""WITH {I.FINDINGS_SQL}, {_PROJECTS_SQL}, o AS (SELECT project, bool_or(ord % 31 = 0) AS outside FROM findings GROUP BY project),
+c AS (SELECT k, strict, k % 9 <> 0 AS made, k % 23 <> 1 AND strict AND k % 4 IN (2, 3) AS required, k % 23 <> 1 AND (k % 4 = 3 OR k % 3 = 0) AS closed, coalesce(outside, false) AS outside FROM p CROSS JOIN runs LEFT JOIN o ON o.project = k),
+d AS (SELECT *, list_filter([CASE WHEN made AND k % 8 = 1 THEN 'source' END, CASE WHEN made AND k % 12 = 5 THEN 'project' END, CASE WHEN made AND k % 2 = 0 AND k % 5 = 2 THEN 'term map' END, CASE WHEN made AND k % 10 = 7 AND k % 4 > 0 THEN 'paragraphs' END,
+  CASE WHEN made AND closed AND k % 4 <> 3 THEN 'analysis provider' END, CASE WHEN closed AND k % 7 <> 1 AND k % 5 = 0 THEN 'certificate provider' END, CASE WHEN closed AND outside THEN 'finding provider' END], lambda x: x IS NOT NULL) AS problems FROM c)
+SELECT k AS project, strict, CASE WHEN NOT made AND required THEN 'SKIP' WHEN len(problems) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN NOT made AND required THEN '' ELSE array_to_string(problems, ',') END AS problems FROM d"""
 
-EXTERNAL_POLICY_SQL = """WITH p AS (SELECT DISTINCT c_custkey % 97 AS project FROM customer)
-SELECT project, CASE WHEN project % 9 = 0 THEN 'SKIP' WHEN project % 8 = 0 OR (project % 10 = 0 AND project % 4 > 0) THEN 'FAIL'
-  WHEN (project % 3 = 0 OR project % 7 = 0) AND project % 4 <> 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM p"""
+
+def round_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next round of each project after its first two were certified, with some findings lost, downgraded or settled since."""
+    f = I.findings(spark, sf_dir)
+    early = f.where("round < 3 AND (project % 4 > 0 OR ord % 3 = 0)")
+    c = history.certificates(early).where("project % 13 <> 0").withColumns({
+        "status": F.when(F.expr("project % 19 = 7"), "done").when(F.expr("project % 2 = 0 AND blocking_findings > 0"), "needs_human").otherwise(F.col("status")),
+        "blocking_findings": F.col("blocking_findings") + F.when(F.expr("project % 11 = 4"), 1).otherwise(0),
+    })
+    now = early.where("project % 5 <> 1 OR ord % 17 > 0").withColumns({
+        "severity": F.when(F.expr("project % 7 = 3 AND severity = 'critical'"), "minor").otherwise(F.col("severity")),
+        "status": F.when(F.expr("project % 3 > 0 AND severity IN ('critical', 'major') AND status IN ('open', 'deferred')"), "resolved").otherwise(F.col("status")),
+        "resolution_note": F.when(F.expr("project % 10 <> 4"), "seen"),
+    }).where("project % 23 <> 9")
+    return release.next_rounds(_projects(spark, sf_dir), c, now)
+
+
+# the digest covers the notes, so every history with a certificate that asks for a person has changed here
+ROUND_VIOLATIONS_SQL = f"""WITH {I.FINDINGS_SQL}, e AS (SELECT *, severity IN ('critical', 'major') AND status IN ('open', 'deferred') AS blocker FROM findings WHERE round < 3 AND (project % 4 > 0 OR ord % 3 = 0)),
+s AS (SELECT project, max(round) AS r, count(*) FILTER (blocker) AS b, bool_or(project % 5 = 1 AND ord % 17 = 0) AS lost, bool_or(blocker AND project % 7 = 3 AND severity = 'critical') AS down,
+    bool_or(blocker AND project % 3 = 0 AND NOT (project % 7 = 3 AND severity = 'critical') AND NOT (project % 5 = 1 AND ord % 17 = 0)) AS still FROM e GROUP BY project),
+p AS (SELECT DISTINCT c_custkey % 97 AS k FROM customer),
+v AS (SELECT k, r, s.project IS NOT NULL AND k % 13 <> 0 AS made, k % 2 = 0 AND b > 0 AND k % 19 <> 7 AS person, CASE WHEN k % 19 = 7 THEN 'bad status' WHEN k % 23 = 9 THEN 'no history' WHEN lost THEN 'finding lost' WHEN down THEN 'blocker lost or downgraded'
+    WHEN k % 2 = 0 AND b > 0 AND k % 11 = 4 THEN 'no list of blockers' WHEN k % 2 = 0 AND b > 0 AND still THEN 'still blocked' WHEN k % 2 = 0 AND b > 0 AND k % 10 = 4 THEN 'no note' END AS problem FROM p LEFT JOIN s ON s.project = k)
+SELECT k AS project, CAST(CASE WHEN NOT made THEN 1 WHEN problem IS NULL THEN r + 1 END AS INTEGER) AS review_round, CASE WHEN made THEN problem END AS problem FROM v"""
 
 
 # --- scoring --------------------------------------------------------------------------------
@@ -187,7 +261,7 @@ def blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("project").agg(F.count("*").alias("n"), F.array_join(F.transform(ids, lambda x: x["finding_id"]), ",").alias("ids"))
 
 
-BLOCKERS_SQL = f"WITH {I.FINDINGS_SQL} SELECT project, count(*) AS n, string_agg(finding_id, ',' ORDER BY ord) AS ids FROM findings WHERE severity IN ('critical', 'major') AND status NOT IN ('resolved', 'rejected') GROUP BY project"
+BLOCKERS_SQL = f"WITH {I.FINDINGS_SQL} SELECT project, count(*) AS n, string_agg(finding_id, ',' ORDER BY ord) AS ids FROM findings WHERE severity IN ('critical', 'major') AND status IN ('open', 'deferred') GROUP BY project"
 
 
 def duplicate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import text as X
+from ..functions import json_schema, text as X
 from . import schemas as S
 
 
@@ -86,33 +86,43 @@ def term_candidates(texts: DataFrame) -> DataFrame:
     return d.withColumn("k", first).where("k = 1").drop("k")
 
 
-def findings_jsonl(lines: DataFrame) -> DataFrame:
-    """path, line_no, finding, problem of each line of findings files (path, line_no, text)."""
-    f = F.from_json("text", S.FINDING)
-    keys = F.json_object_keys("text")
-    names = F.array(*(F.lit(n) for n in S.FINDING.fieldNames()))
-    missing = F.exists(F.array(*(F.coalesce(X.is_blank(F.col(f"f.{n}")), F.lit(True)) for n in S.FINDING_REQUIRED)), lambda b: b)
-    twice = F.count("*").over(Window.partitionBy("path", F.col("f.finding_id"))) > 1
-    d = lines.select("path", "line_no", f.alias("f"), keys.alias("keys"), X.is_blank("text").alias("blank"))
-    problem = (
-        F.when(F.col("blank"), "blank line").when(F.col("keys").isNull(), "not an object").when(F.size(F.array_except("keys", names)) > 0, "unknown field").when(missing, "missing field")
-        .when(~F.col("f.severity").isin(*S.SEVERITIES), "bad severity").when(~F.col("f.status").isin(*S.FINDING_STATUSES), "bad status").when(~X.is_line_id("f.paragraph_id"), "bad paragraph_id").when(twice, "repeated id")
-    )
-    return d.select("path", "line_no", F.col("f").alias("finding"), problem.alias("problem"))
+_FILLED, _DIGEST, _TEXT = {"type": "string", "pattern": "\\S"}, {"type": "string", "pattern": "^[0-9a-f]{64}\\z"}, {"type": "string"}
+FINDING_SHAPE = {
+    "type": "object", "additionalProperties": False, "required": list(S.FINDING_REQUIRED), "properties": {
+        **dict.fromkeys(("finding_id", "paragraph_id", "message", "reviewer", "stage", "provider", "model"), _FILLED), **dict.fromkeys(("suggestion", "resolution_note"), _TEXT),
+        **dict.fromkeys(("source_sha256", "target_sha256"), _DIGEST), "severity": {"enum": list(S.SEVERITIES)}, "category": {"enum": list(S.CATEGORIES)}, "status": {"enum": list(S.FINDING_STATUSES)},
+    },
+}
+
+
+def findings_jsonl(lines: DataFrame, history: bool = False) -> DataFrame:
+    """path, line_no, finding, problem of the lines of findings files (path, line_no, text); an id that came before is a problem.
+
+    Blank lines are passed over, but in a ``history`` they are a problem.
+    """
+    kept = lines if history else lines.where(~X.is_blank("text"))
+    d = json_schema.validate(kept.select("path", "line_no", "text"), "text", FINDING_SHAPE)
+    d = d.withColumn("finding", F.when(~X.is_blank("text"), F.from_json("text", S.FINDING)))
+    before = F.row_number().over(Window.partitionBy("path", "finding.finding_id").orderBy("line_no")) > 1
+    more = F.when(before & F.col("finding.finding_id").isNotNull(), "repeated id")
+    return d.select("path", "line_no", "finding", F.when(X.is_blank("text"), "blank line").otherwise(F.coalesce("problem", more)).alias("problem"))
+
+
+_IDS = {"type": "array", "items": _FILLED, "uniqueItems": True}
+CERTIFICATE_SHAPE = {
+    "type": "object", "additionalProperties": False, "required": S.CERTIFICATE.fieldNames(), "properties": {
+        "schema_version": {"const": 1}, "stage": {"const": "semantic_review"}, **dict.fromkeys(("provider", "model", "generated_at", "summary"), _FILLED), **dict.fromkeys(("source_sha256", "target_sha256", "findings_sha256"), _DIGEST),
+        "review_round": {"type": "integer", "minimum": 1}, "blocking_findings": {"type": "integer", "minimum": 0}, "blocking_finding_ids": _IDS, "finding_ids": _IDS, "status": {"enum": ["clear", "blocking", "needs_human"]},
+    },
+}
 
 
 def certificates_json(texts: DataFrame) -> DataFrame:
-    """path, certificate, problem: counts, ids, hashes, times and status must agree."""
-    c = F.from_json("text", S.CERTIFICATE)
-    d = texts.select("path", c.alias("c"))
-    hashes = X.is_hex64("c.source_sha256") & X.is_hex64("c.target_sha256") & X.is_hex64("c.findings_sha256")
-    unique = (F.size("c.finding_ids") == F.size(F.array_distinct("c.finding_ids"))) & (F.size(F.array_except("c.blocking_finding_ids", "c.finding_ids")) == 0)
+    """path, certificate, problem: the shape first, then whether the count, the status and the time agree with the rest."""
+    d = json_schema.validate(texts.select("path", "text"), "text", CERTIFICATE_SHAPE).withColumn("c", F.from_json("text", S.CERTIFICATE))
     clear = (F.col("c.status") == "clear") == (F.col("c.blocking_findings") == 0)
-    problem = (
-        F.when(F.col("c").isNull() | F.col("c.status").isNull(), "unreadable").when(~hashes, "bad hash").when(F.col("c.review_round") < 1, "bad round").when(F.size("c.blocking_finding_ids") != F.col("c.blocking_findings"), "count does not match")
-        .when(~unique, "ids do not match").when(~clear, "status does not match").when(~X.is_offset_datetime("c.generated_at"), "bad time")
-    )
-    return d.select("path", F.col("c").alias("certificate"), problem.alias("problem"))
+    more = F.when(F.size("c.blocking_finding_ids") != F.col("c.blocking_findings"), "count does not match").when(~clear, "status does not match").when(~X.is_offset_datetime("c.generated_at"), "bad time")
+    return d.select("path", F.col("c").alias("certificate"), F.coalesce("problem", more).alias("problem"))
 
 
 def project_json(texts: DataFrame, required: tuple[str, ...], allowed: tuple[str, ...]) -> DataFrame:

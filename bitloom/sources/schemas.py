@@ -32,6 +32,7 @@ GOLD_CASE = _struct(case_id=_S, track=_S, source_context=_A(_S), source=_S, targ
 RUN = _struct(provider=_S, model=_S, track=_S, run=T.IntegerType(), request_sha256=_S, schema_valid=T.BooleanType(), timed_out=T.BooleanType(), latency_seconds=T.DoubleType(), usage=_struct(prompt_tokens=T.LongType(), completion_tokens=T.LongType()), output=_S)
 
 # Allowed words of the closed fields.
-SEVERITIES = ("critical", "major", "minor", "suggestion")
-FINDING_STATUSES = ("open", "resolved", "rejected", "needs_human")
+SEVERITIES = ("critical", "major", "minor", "discussion")
+FINDING_STATUSES = ("open", "resolved", "rejected", "deferred")
+CATEGORIES = ("meaning", "omission", "addition", "terminology", "scripture", "register", "fluency", "format", "other")
 FINDING_REQUIRED = ("finding_id", "paragraph_id", "severity", "category", "message", "suggestion", "status", "reviewer")

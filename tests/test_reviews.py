@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,10 +125,29 @@ def test_term_readers(spark):
 
 
 def test_findings_reader(spark):
-    ok = '{"finding_id": "a", "paragraph_id": "L1", "severity": "major", "category": "c", "message": "m", "suggestion": "s", "status": "open", "reviewer": "r"}'
-    lines = [ok, "", "[1]", ok.replace('"a"', '"b"')[:-1] + ', "x": 1}', ok.replace('"a"', '"c"').replace("major", "huge"), ok.replace('"a"', '"d"').replace("L1", "L0"), ok.replace('"a"', '"e"').replace('"m"', '" "')]
+    ok = '{"finding_id": "a", "paragraph_id": "L1", "severity": "major", "category": "meaning", "message": "m", "suggestion": "", "status": "open", "reviewer": "r"}'
+    other = lambda i, *change: ok.replace('"a"', f'"{i}"').replace(*change)
+    lines = [
+        ok, "", "[1]", other("b", "}", ', "x": 1}'), other("c", "major", "suggestion"), other("d", "major", "discussion"), other("e", '"m"', '" "'), other("f", "open", "deferred"), other("g", "open", "needs_human"),
+        other("h", "meaning", "c"), ok, other("i", "}", ', "source_sha256": "AB"}'), other("j", ', "reviewer": "r"', ""), other("k", '"suggestion": ""', '"suggestion": null'),
+    ]
     d = spark.createDataFrame([("p", i, t) for i, t in enumerate(lines)], "path string, line_no int, text string")
-    assert [r.problem for r in readers.findings_jsonl(d).orderBy("line_no").collect()] == [None, "blank line", "not an object", "unknown field", "bad severity", "bad paragraph_id", "missing field"]
+    enum = "not one of the allowed values"
+    want = [None, "blank line", "$: not object", "$: unknown field x", f"$.severity: {enum}", None, "$.message: does not match", None, f"$.status: {enum}", f"$.category: {enum}", "repeated id", "$.source_sha256: does not match", "$: lacks reviewer", "$.suggestion: not string"]
+    assert [r.problem for r in readers.findings_jsonl(d, history=True).orderBy("line_no").collect()] == want
+    assert [r.problem for r in readers.findings_jsonl(d).orderBy("line_no").collect()] == [w for w in want if w != "blank line"]
+
+
+def test_certificate_reader(spark):
+    h = "0" * 64
+    ok = {"schema_version": 1, "stage": "semantic_review", "provider": "p", "model": "m", "source_sha256": h, "target_sha256": h, "review_round": 2, "blocking_findings": 1, "blocking_finding_ids": ["a"], "status": "blocking", "finding_ids": ["a", "b"], "findings_sha256": h, "generated_at": "2026-01-02T03:04:05Z", "summary": "s"}
+    cases = [
+        ({}, None), ({"schema_version": 2}, "$.schema_version: not 1"), ({"stage": "x"}, '$.stage: not "semantic_review"'), ({"review_round": True}, "$.review_round: not integer"), ({"review_round": 0}, "$.review_round: out of range"),
+        ({"finding_ids": ["a", "a"]}, "$.finding_ids: repeated items"), ({"finding_ids": [" "]}, "$.finding_ids[0]: does not match"), ({"summary": ""}, "$.summary: does not match"), ({"x": 1}, "$: unknown field x"),
+        ({"blocking_findings": 2}, "count does not match"), ({"status": "clear"}, "status does not match"), ({"generated_at": "2026-01-02T03:04:05"}, "bad time"), ({"blocking_findings": 0, "blocking_finding_ids": [], "status": "clear"}, None),
+    ]
+    d = spark.createDataFrame([(str(i).zfill(2), json.dumps(ok | change)) for i, (change, _) in enumerate(cases)] + [("zz", "{")], "path string, text string")
+    assert [r.problem for r in readers.certificates_json(d).orderBy("path").collect()] == [want for _, want in cases] + ["$: not JSON"]
 
 
 def test_manifest(spark, tmp_path):
