@@ -65,3 +65,15 @@ def test_query_is_the_stages(spark):
     got = C.run(spark, oracle.SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
     assert decontaminate(spark.read.parquet(f"{oracle.SF}/documents.parquet").limit(0), spark.read.parquet(f"{oracle.SF}/benchmark.parquet")).count() == 0
+
+
+def test_repeated_rows_become_one_before_the_shuffle(spark):
+    """Copies of one row are added up in the map tasks, and of rows that differ elsewhere the same one stays in any order."""
+    rows = [(None, "", "en", "a"), (None, "", "en", "b"), (7, "some words of one text", "de", "x"), (7, "some words of one text", "en", "y")] * 50
+    kept = []
+    for parts in (1, 3, 7):
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(parts)
+        out = C.simhash_dedup(spark, d, "")
+        kept.append(sorted(map(tuple, out.collect()), key=repr))
+        assert "partial_min_by" in out._jdf.queryExecution().executedPlan().toString()
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
