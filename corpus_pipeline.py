@@ -33,12 +33,17 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep one document of each group of linked fingerprints: that with the least doc_id, null ids last.
 
     A document is known by its doc_id and the hash of its text, so rows with one doc_id, or none, are told apart. Texts are
-    shuffled once: the semi-join and the removal of repeated rows share the partitioning by those keys.
+    shuffled once: the removal of repeated rows and the semi-join share the partitioning by those keys. Repeated rows become
+    one in each map task already, so however many there are, a task reads few; of those that differ in other columns
+    that with the least hash stays.
     """
     key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text": F.xxhash64(F.col("text").cast("string"))}
     keep = representatives(docs).select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_hash").alias("__text"))
     keep = materialize(keep, "kept-ids")
-    return docs.withColumns(key).join(keep, [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = docs.withColumns(key).groupBy(*key).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in hashed))).alias("__row"))
+    return once.join(keep, [*key], "left_semi").select("__row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
