@@ -192,19 +192,54 @@ def clean_markdown(text: Column | str) -> Column:
     return F.regexp_replace(t, "[ \\t]*\\{#[^}]*\\}", "")
 
 
+# Places that lack a space, after which the captures go with one between them.
+TIGHT = (("(\\d)\\.([A-Z][a-z])", "$1. $2"), ("(said|says),\"", "$1, \""), ("\\.([A-Z][a-z])", ". $1"))
+# Where English begins after Chinese, and the ends of an entry's Chinese part.
+TURN = "[\\x{4E00}-\\x{9FFF}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}](?U:\\s*)\\**(?U:\\s*)(?=[A-Za-z])"
+ENTRY = "\\A(?U)(.+[\\x{4E00}-\\x{9FFF}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}）)])\\s+([A-Z].+)\\z"
+
+
 def fix_typesetting(text: Column | str) -> Column:
-    """``2.How`` gets its space and ``said,"`` a space before its quote."""
-    t = F.regexp_replace(as_column(text), "(?<![\\d.])(\\d+)\\.(?=[A-Z])", "$1. ")
-    return F.regexp_replace(t, "(\\w),(?=[\"“])", "$1, ")
+    """``2.How``, ``said,"`` and ``end.Then`` get their space."""
+    t = as_column(text)
+    for place, with_space in TIGHT:
+        t = F.regexp_replace(t, place, with_space)
+    return t
+
+
+def without_anchors(text: Column | str) -> Column:
+    """Without ``{#anchors}``, and links as their words."""
+    return F.regexp_replace(F.regexp_replace(as_column(text), "\\{#[^}]*\\}", ""), "\\[([^\\]]*)\\]\\([^)]*\\)", "$1")
 
 
 def split_mixed(text: Column | str) -> Column:
-    """(cn, en) of a line that holds Chinese and then English."""
+    """(cn, en) of a line that holds Chinese and then English, anchors and links taken out; a line of one language, or with Chinese after its English, is one side (the other null)."""
+    t = strip(without_anchors(text))
+    before = F.length(F.regexp_extract(t, f"(?s)\\A(?:(?!{TURN}).)*+{TURN}", 0))
+    en = strip(F.substring(t, before + 1, F.length(t)))
+    cn = strip(F.regexp_replace(F.substring(t, F.lit(1), before), "[* ]+\\z", ""))
+    splits = (before > 0) & ~en.rlike(CJK_BASIC)
+    return F.when(splits, F.struct(cn.alias("cn"), en.alias("en"))).otherwise(F.struct(F.when(t.rlike(CJK_BASIC), t).alias("cn"), F.when(~t.rlike(CJK_BASIC), t).alias("en")))
+
+
+def clean_cn(text: Column | str) -> Column:
+    """A Chinese title or paragraph without its number, heading marks, stars and page."""
     t = as_column(text)
-    m = "(?U)\\A(.*[\\x{4E00}-\\x{9FFF}][^A-Za-z]*?)\\s*([A-Za-z].*)\\z"
-    return F.when(t.rlike(m), F.struct(strip(F.regexp_extract(t, m, 1)).alias("cn"), strip(F.regexp_extract(t, m, 2)).alias("en"))).otherwise(
-        F.struct(F.when(t.rlike(CJK_BASIC), strip(t)).alias("cn"), F.when(~t.rlike(CJK_BASIC), strip(t)).alias("en"))
-    )
+    for mark in ("\\A\\d+\\.(?U:\\s*)", "\\A#+(?U:\\s*)\\**", "\\**(?U:\\s*)\\z", "\\t\\d+\\z"):
+        t = F.regexp_replace(t, mark, "")
+    return strip(t)
+
+
+def clean_en(text: Column | str) -> Column:
+    """An English line without its number and the stars at its end."""
+    return strip(F.regexp_replace(F.regexp_replace(as_column(text), "\\A\\d+[、,.](?U:\\s*)", ""), "\\*+\\z", ""))
+
+
+def split_entry(line: Column | str) -> Column:
+    """(cn, en) of a contents entry with both titles, its page taken off; both null for anything else."""
+    t = F.regexp_replace(strip(line), "(?U)\\s+\\d+\\s*\\z", "")
+    part = lambda k: F.when(t.rlike(ENTRY), strip(F.regexp_extract(t, ENTRY, k)))
+    return F.struct(part(1).alias("cn"), part(2).alias("en"))
 
 
 def split_toc(line: Column | str) -> Column:

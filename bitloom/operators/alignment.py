@@ -1,15 +1,13 @@
 """Bilingual files: interleaving, splitting, freshness, freezing, and pairing in mixed documents.
 
-Documents are rows of line arrays, so these are narrow; only the sequential pairings of mixed
-documents (a match consumes what later matches may use) fold over a document's lines.
+Documents are rows of line arrays, so all of these are narrow and run inside the row; what depends on the order (a
+match consumes what later ones may use) is an ordered ``aggregate`` over a document's lines.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
@@ -75,91 +73,152 @@ def freeze_target(docs: DataFrame) -> DataFrame:
     return docs.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "")
 
 
-# --- mixed documents: folds over a document's lines ------------------------------------------
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# --- mixed documents: pairings inside the row ------------------------------------------------
+
 
-_CJK = re.compile("[一-鿿]")
+def _trimmed(lines: Column) -> Column:
+    return F.transform(lines, X.strip)
 
 
-def _fold(docs: DataFrame, run, schema: str) -> DataFrame:
-    """Apply ``run(lines) -> rows`` to each document; one row holds a whole document, so nothing is grouped."""
-    names = [f.split()[0] for f in schema.split(", ")]
+def _is_cn(line: Column) -> Column:
+    return line.rlike(X.CJK_BASIC)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, *r) for d, lines in zip(frame["doc_id"], frame["lines"], strict=True) for r in run([] if lines is None else list(lines))]
-            yield pd.DataFrame(rows, columns=["doc_id", *names])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "lines").mapInPandas(batches, f"doc_id {kind}, {schema}")
+def _pairs(docs: DataFrame, pairs: Column) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(pairs).alias("ord", "p")).select("doc_id", "ord", "p.cn", "p.en")
+
+
+def _pair(cn: Column, en: Column) -> Column:
+    return F.struct(cn.alias("cn"), en.alias("en"))
+
+
+def _neighbour(lines: Column, i: Column) -> Column:
+    """The English line right below the Chinese line i, or below one blank line, or null."""
+    at = lambda k: F.get(lines, i + k)
+    english = lambda x: (x != "") & ~_is_cn(x)
+    return F.when(english(at(1)), at(1)).when((at(1) == "") & english(at(2)), at(2))
 
 
 def neighbour_pairs(docs: DataFrame) -> DataFrame:
-    """JOIN of a Chinese line with the English line right below it or below one blank line; both are used up."""
+    """doc_id, ord, cn, en: a Chinese line and the English line right below it or below one blank line.
 
-    def run(lines: list[str]):
-        i = k = 0
-        while i < len(lines):
-            if _CJK.search(lines[i]):
-                j = i + 1
-                if j < len(lines) and not lines[j].strip():
-                    j += 1
-                if j < len(lines) and lines[j].strip() and not _CJK.search(lines[j]):
-                    yield k, lines[i].strip(), lines[j].strip()
-                    i, k = j + 1, k + 1
-                    continue
-            i += 1
+    An English line has one Chinese line that can claim it, so each pair is seen from its Chinese line alone.
+    """
+    def found(lines: Column) -> Column:
+        each = F.transform(lines, lambda x, i: F.when(_is_cn(x), _pair(x, _neighbour(lines, i))))
+        return F.filter(each, lambda p: p["en"].isNotNull())
 
-    return _fold(docs, run, "ord int, cn string, en string")
+    return _pairs(docs, _let(_trimmed(F.col("lines")), found))
+
+
+# What a paragraph broken by a page does not end in, and what a heading starts with.
+_ENDS = "[。！？：）”’，．.!?]$"
+_NUMBERED = "^[\\dIVX]+[.\\s]"
+
+
+def _unbroken(lines: Column, least: int) -> Column:
+    """Structs (cn, text) of non-blank lines, joined where a page broke a paragraph: the same language, over ``least`` characters so far, no heading and no end mark."""
+    kind = "array<struct<cn: boolean, text: string>>"
+    tagged = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(_is_cn(x).alias("cn"), x.alias("text")))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        heading = last["text"].rlike(_NUMBERED) & (F.length(last["text"]) < 60)
+        broken = (last["cn"] == x["cn"]) & ~heading & (F.length(last["text"]) > least) & ~last["text"].rlike(_ENDS)
+        joined = F.struct(x["cn"].alias("cn"), F.concat(last["text"], x["text"]).alias("text"))
+        return F.when(F.coalesce(broken, F.lit(False)), F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), joined)).otherwise(F.array_append(done, x)).cast(kind)
+
+    return F.aggregate(tagged, F.expr(f"cast(array() as {kind})"), step)
 
 
 def block_pairs(docs: DataFrame, least: int = 30) -> DataFrame:
-    """n-th Chinese paragraph of a block with the n-th English one of the block after it, cut to the shorter.
+    """doc_id, ord, cn, en: the n-th Chinese paragraph of a block with the n-th English one of the block below, up to the shorter block.
+
+    Paragraphs broken by a page are joined before (without a space), which depends on the text joined so far: an ordered fold.
+    """
+    def found(m: Column) -> Column:
+        starts = F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (F.get(m, i - 1)["cn"] != x["cn"]), i)), lambda i: i.isNotNull())
+
+        def blocks(s: Column) -> Column:
+            def pairs(a: Column, k: Column) -> Column:
+                b, c = F.get(s, k + 1), F.coalesce(F.get(s, k + 2), F.size(m))
+                return F.transform(F.sequence(F.lit(0), F.least(b - a, c - b) - 1), lambda j: _pair(F.get(m, a + j)["text"], F.get(m, b + j)["text"]))
 
-    Before, a paragraph broken by a page is joined: same language, more than ``least`` characters so
-    far and no end punctuation.
+            empty = F.expr("cast(array() as array<struct<cn: string, en: string>>)")
+            return F.flatten(F.transform(s, lambda a, k: F.when(F.get(m, a)["cn"] & F.get(s, k + 1).isNotNull(), pairs(a, k)).otherwise(empty)))
+
+        return _let(starts, blocks)
+
+    return _pairs(docs, _let(_unbroken(_trimmed(F.col("lines")), least), found))
+
+
+def _first_free(entries: Column) -> Column:
+    """Pairs of ``entries`` (cn, en): an English entry alone (cn null) goes to the first Chinese one before it without English, or stays alone (cn empty).
+
+    The k-th English entry alone that finds one takes the k-th Chinese one, so two running counts decide: of Chinese entries
+    waiting so far, and of English ones that found one.
     """
+    alone = lambda x: x["cn"].isNull()
+    waits = lambda x: x["cn"].isNotNull() & x["en"].isNull()
+    start = F.expr("cast(named_struct('waiting', 0, 'met', 0, 'places', array()) as struct<waiting: int, met: int, places: array<int>>)")
 
-    def run(lines: list[str]):
-        blocks: list[tuple[bool, list[str]]] = []
-        for line in (x.strip() for x in lines):
-            if not line:
-                continue
-            cn = bool(_CJK.search(line))
-            if blocks and blocks[-1][0] == cn:
-                last = blocks[-1][1][-1]
-                if len(last) > least and last[-1] not in ".!?。！？\"”:：" and not line.startswith("#"):
-                    blocks[-1][1][-1] = last + ("" if cn else " ") + line
-                else:
-                    blocks[-1][1].append(line)
-            else:
-                blocks.append((cn, [line]))
-        k = 0
-        for (cn, a), (_, b) in zip(blocks, blocks[1:], strict=False):
-            if cn:
-                for x, y in zip(a, b, strict=False):
-                    yield k, x, y
-                    k += 1
-
-    return _fold(docs, run, "ord int, cn string, en string")
+    def step(s: Column, x: Column) -> Column:
+        meets = alone(x) & (s["met"] < s["waiting"])
+        # an entry's place among those that wait, or the one it meets; 0 for all others
+        place = F.when(waits(x), s["waiting"] + 1).when(meets, -(s["met"] + 1)).otherwise(0)
+        return F.struct((s["waiting"] + waits(x).cast("int")).alias("waiting"), (s["met"] + meets.cast("int")).alias("met"), F.array_append(s["places"], place).alias("places"))
+
+    def joined(places: Column) -> Column:
+        numbered = F.zip_with(entries, places, lambda x, p: F.struct(x["cn"].alias("cn"), x["en"].alias("en"), p.alias("place")))
+
+        def all_(e: Column) -> Column:
+            english = F.transform(F.filter(e, lambda x: x["place"] < 0), lambda x: x["en"])  # in the order of the places they meet
+            kept = F.filter(e, lambda x: x["place"] >= 0)
+            return F.transform(kept, lambda x: _pair(F.coalesce(x["cn"], F.lit("")), F.coalesce(x["en"], F.when(x["place"] > 0, F.get(english, x["place"] - 1)), F.lit(""))))
+
+        return _let(numbered, all_)
+
+    return _let(F.aggregate(entries, start, step, lambda s: s["places"]), joined)
 
 
 def forward_pairs(docs: DataFrame) -> DataFrame:
-    """Each English line goes to the first Chinese line before it that has none yet."""
+    """doc_id, ord, cn, en: each English line goes to the first Chinese line before it that has none; lines left over stay, with an empty side."""
+    line = lambda x: F.struct(F.when(_is_cn(x), x).alias("cn"), F.when(~_is_cn(x), x).alias("en"))
+    entries = F.transform(F.filter(_trimmed(F.col("lines")), lambda x: x != ""), line)
+    return _pairs(docs, _let(entries, _first_free))
 
-    def run(lines: list[str]):
-        open_: list[list] = []
-        done: list[list] = []
-        for line in (x.strip() for x in lines):
-            if not line:
-                continue
-            if _CJK.search(line):
-                open_.append([line, None])
-                done.append(open_[-1])
-            elif open_:
-                open_.pop(0)[1] = line
-        yield from ((i, cn, en) for i, (cn, en) in enumerate(done))
 
-    return _fold(docs, run, "ord int, cn string, en string")
+def mixed_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, ord, cn, en of a document with lines of both languages.
+
+    A line of both is split; a Chinese line takes the English one right below it, or below a blank line, unless it looks like a
+    contents entry (a link, or a page after a tab); English lines left over go to the first Chinese line without any before
+    them. Lines left over stay, with an empty side. Numbers, heading marks and stars around titles are taken off.
+    """
+    def entries(lines: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            parts = X.split_mixed(x)
+            contents = x.rlike("\\[.*\\]\\(.*\\)") | F.coalesce(parts["cn"].rlike("\\t\\d+"), F.lit(False))
+            own = F.when(parts["en"].isNotNull(), parts["en"]).when(~contents, _neighbour(lines, i))
+            cn = lambda k: F.get(lines, i - k).rlike(X.CJK_BASIC)
+
+            def claims(k: int) -> Column:
+                y = F.get(lines, i - k)
+                p = X.split_mixed(y)
+                open_ = p["en"].isNull() & ~y.rlike("\\[.*\\]\\(.*\\)") & ~F.coalesce(p["cn"].rlike("\\t\\d+"), F.lit(False))
+                return (i >= k) & F.coalesce(cn(k) & _is_cn(X.without_anchors(y)) & open_, F.lit(False))
+
+            claimed = claims(1) | ((i >= 1) & F.coalesce(F.get(lines, F.greatest(i - 1, F.lit(0))) == "", F.lit(False)) & claims(2))
+            chinese = _is_cn(X.without_anchors(x))
+            return F.when(x == "", None).when(chinese, F.struct(X.clean_cn(parts["cn"]).alias("cn"), X.clean_en(own).alias("en"))).when(~claimed, F.struct(F.lit(None).cast("string").alias("cn"), X.clean_en(x).alias("en")))
+
+        return F.filter(F.transform(lines, one), lambda e: e.isNotNull())
+
+    return _pairs(docs, _let(_let(_trimmed(F.col("lines")), entries), _first_free))
 
 
 #: Lengths of the beginnings that places are looked up by: a part has the longest that it reaches.
@@ -167,10 +226,6 @@ _KEYS = (25, 8, 1)
 _BUCKETS = 256
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _hits(body: Column, keys: Column, size: int) -> Column:
     """Places (from 0) of ``body`` where ``size`` characters have one of the hashes in ``keys``, as structs (h, i)."""
     # a look-ahead takes the piece at each place in one pass; a place is tested against the keys of one bucket only

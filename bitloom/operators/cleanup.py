@@ -92,10 +92,11 @@ def batches(rows: DataFrame, size: int, context: int = 1, key: str = "doc_id", o
 
 
 def first_mentions(docs: DataFrame, terms: list[str], mark: str = "*") -> DataFrame:
-    """``docs`` with the first occurrence of each term in ``text`` set between marks, in the given order of terms."""
+    """``docs`` with the first occurrence of each term as a whole word in ``text`` set between marks, in the given order of terms."""
     c: Column = F.col("text")
     for t in terms:
-        at = F.instr(c, t)
+        quoted = t.replace("\\E", "\\E\\\\E\\Q")
+        at = F.regexp_instr(c, F.lit(f"(?U)\\b\\Q{quoted}\\E\\b"))
         before, after = F.substring(c, F.lit(1), at - 1), F.substring(c, at + len(t), F.length(c))
         c = F.when(at > 0, F.concat(before, F.lit(f"{mark}{t}{mark}"), after)).otherwise(c)
     return docs.withColumn("text", c)

@@ -145,6 +145,38 @@ e AS (SELECT doc_id, body, translate(lower(unnest(sentences)), '“”‘’', c
 SELECT doc_id, count(*) AS sentences, count(*) FILTER (contains(body, k) OR length(k) > 60 AND contains(body, left(k, 60)) OR length(k) > 30 AND contains(body, left(k, 30))) AS found FROM e GROUP BY doc_id"""
 
 
+def _two_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are Chinese or English by place, with some blank ones."""
+    k = lambda i: F.col("doc_id") + i + 1
+    line = lambda x, i: F.when(k(i) % 7 == 0, F.lit("")).when(k(i) % 3 == 0, F.concat(x, F.lit(" 空性"))).when(k(i) % 5 == 1, F.concat(F.lit("甲"), x)).otherwise(x)
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.transform(X.split_lines("text"), line).alias("lines"))
+
+
+_TWO_SQL = rf"""l0 AS (SELECT doc_id, {I.sql_lines("text")} AS l FROM documents WHERE text IS NOT NULL), l1 AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM l0),
+l2 AS (SELECT doc_id, n, regexp_replace(CASE WHEN (doc_id + n) % 7 = 0 THEN '' WHEN (doc_id + n) % 3 = 0 THEN x || ' 空性' WHEN (doc_id + n) % 5 = 1 THEN '甲' || x ELSE x END, '^\s+|\s+$', '', 'g') AS x FROM l1),
+lines AS (SELECT doc_id, n, x, regexp_matches(x, '[一-鿿]') AS cn FROM l2)"""
+
+
+def forward_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.forward_pairs(_two_languages(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+
+
+FORWARD_LINE_PAIRS_SQL = f"""WITH {_TWO_SQL}, c AS (SELECT *, count(*) FILTER (cn) OVER w AS s, count(*) FILTER (NOT cn) OVER w AS e FROM lines WHERE x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+o AS (SELECT *, greatest(0, max(e - s) OVER (PARTITION BY doc_id ORDER BY n)) AS left_over, greatest(0, coalesce(max(e - s) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM c),
+m AS (SELECT doc_id, e - left_over AS s, x AS en FROM o WHERE NOT cn AND left_over = before),
+p AS (SELECT o.doc_id, o.n, o.x AS cn, coalesce(m.en, '') AS en FROM o LEFT JOIN m ON m.doc_id = o.doc_id AND m.s = o.s WHERE o.cn UNION ALL SELECT doc_id, n, '', x FROM o WHERE NOT cn AND left_over > before)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS ord, cn, en FROM p"""
+
+
+def neighbour_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.neighbour_pairs(_two_languages(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+
+
+NEIGHBOUR_LINE_PAIRS_SQL = f"""WITH {_TWO_SQL}, n AS (SELECT *, lead(x) OVER w AS a, lead(x, 2) OVER w AS b FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+p AS (SELECT doc_id, n, x AS cn, CASE WHEN a <> '' THEN a ELSE b END AS en FROM n WHERE cn AND a IS NOT NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS ord, cn, en FROM p WHERE coalesce(en, '') <> '' AND NOT regexp_matches(en, '[一-鿿]')"""
+
+
 def sentences_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document that other documents have, wholly or in their first 60 or 30 characters."""
     d = I.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.sha2(X.normalise_search("text"), 256).alias("body"))
@@ -201,5 +233,5 @@ SEQUENTIAL_MATCHES_SQL = r"""WITH RECURSIVE d AS (
 SELECT doc_id, count(*) AS parts, count(pos) AS found, max(place)::BIGINT AS last, sum(place)::BIGINT AS places FROM places GROUP BY doc_id"""
 
 
-QUERIES = {n: globals()[n] for n in ("subtitle_checks", "subtitle_files", "subtitle_roundtrip", "subtitle_alignment", "join_body", "collapse_blanks", "dehyphenate", "line_batches", "toc_end", "rate_audit", "link_policy", "sentence_matches", "sequential_matches", "sentences_elsewhere")}
+QUERIES = {n: globals()[n] for n in ("subtitle_checks", "subtitle_files", "subtitle_roundtrip", "subtitle_alignment", "join_body", "collapse_blanks", "dehyphenate", "line_batches", "toc_end", "rate_audit", "link_policy", "sentence_matches", "sequential_matches", "sentences_elsewhere", "forward_line_pairs", "neighbour_line_pairs")}
 SQL = {n: globals()[n.upper() + "_SQL"] for n in QUERIES}
