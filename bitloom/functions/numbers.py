@@ -53,29 +53,8 @@ class Phrase:
 
 
 def plain(n: Decimal) -> str:
-    text = format(n, "f")
-    return text.rstrip("0").rstrip(".") if "." in text else text
-
-
-def words(n: int) -> str:
-    """English words of a whole number; millions are the largest unit."""
-    for size, name in ((10**6, "million"), (10**3, "thousand"), (100, "hundred")):
-        if n >= size:
-            return f"{words(n // size)} {name}" + (f" {words(n % size)}" if n % size else "")
-    if n < 20:
-        return ONES[n]
-    tens = next(w for w, v in TENS.items() if v == n // 10 * 10)
-    return tens + (f"-{ONES[n % 10]}" if n % 10 else "")
-
-
-def decimal_words(n: Decimal) -> str:
-    whole, _, part = plain(n).partition(".")
-    return words(int(whole)) + (" point " + " ".join(ONES[int(d)] for d in part) if part else "")
-
-
-def ordinal(n: int) -> str:
-    """1st, 2nd, 3rd, 4th, 11th ..."""
-    return f"{n}{'th' if n // 10 % 10 == 1 or n % 100 == 20 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
+    """Without zeros after the decimal part, and never with an exponent."""
+    return f"{n.normalize():f}"
 
 
 # What may hold numbers that aren't content.
@@ -149,8 +128,18 @@ def mentions(source: str) -> list[Mention]:
     return out
 
 
+#: Dashes of all lengths become hyphens.
+_DASHES = str.maketrans(dict.fromkeys(range(0x2010, 0x2016), "-"))
+
+
 def normalise(target: str) -> str:
-    return re.sub("[‐-―]", "-", re.sub(r"(?<=\d),(?=\d)", "", target.lower()))
+    """Lower case, one kind of hyphen, digits without commas between them."""
+    pieces = target.lower().translate(_DASHES).split(",")
+    out = pieces[0]
+    for piece in pieces[1:]:
+        grouped = out[-1:].isdecimal() and piece[:1].isdecimal()
+        out += piece if grouped else f",{piece}"
+    return out
 
 
 def _read(tokens: list[str]) -> tuple[str, Decimal] | None:

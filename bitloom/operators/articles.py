@@ -22,11 +22,15 @@ def missing_candidates(candidates: DataFrame, documents: DataFrame) -> DataFrame
     return candidates.join(t, "doc_id", "left").where(~F.coalesce(F.contains("text", F.col("source")), F.lit(False))).select("doc_id", "source")
 
 
+# How a heading and a subheading are numbered.
+HEADING_NUMBER, SUBHEADING_NUMBER = "\\A[一二三四五六七八九十]、", "\\A\\d+\\\\?\\.\\s"
+
+
 def classify_pairs(pairs: DataFrame, contents: int = 8) -> DataFrame:
     """``pairs`` (doc_id, ord from 0, cn, en) with kind: title, subtitle, then ``contents`` entries, then heading, subheading or para by numbering."""
     kind = (
         F.when(F.col("ord") == 0, "title").when(F.col("ord") == 1, "subtitle").when(F.col("ord") < 2 + contents, "toc")
-        .when(F.col("cn").rlike("^[一二三四五六七八九十]、"), "heading").when(F.col("cn").rlike("^\\d+\\\\?\\.\\s"), "subheading").otherwise("para")
+        .when(F.col("cn").rlike(HEADING_NUMBER), "heading").when(F.col("cn").rlike(SUBHEADING_NUMBER), "subheading").otherwise("para")
     )
     return pairs.withColumn("kind", kind)
 

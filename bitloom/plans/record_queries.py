@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import spelling
 from ..operators import gate, numbers, scoring, terms
 from ..sources import validation as V
 from . import inputs as I, term_queries
@@ -163,5 +164,21 @@ def full_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.full_report(d, {"digits": numbers.check_numbers(d), "terminology": t}, strict=True)
 
 
-QUERIES = {n: globals()[n] for n in ("project_problems", "project_projection", "analysis_problems", "fresh_paragraphs", "response_problems", "source_scores", "review_scores", "full_gate")}
+def number_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of orders as words and as ordinals, and their prices as decimal words."""
+    o = I.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(15,2)").alias("price"), (F.col("o_orderkey") * F.col("o_custkey") * 100_003 % 10**12).alias("large"))
+    return o.select("o_orderkey", spelling.words("large").alias("words"), spelling.ordinal("o_orderkey").alias("ordinal"), spelling.decimal_words("price").alias("price"))
+
+
+_HUNDRED_SQL = "[" + ", ".join(f"'{w}'" for w in spelling._BELOW_HUNDRED) + "]"
+_THREE_SQL = lambda n: f"concat_ws(' ', CASE WHEN {n} >= 100 THEN w[{n} // 100 + 1] || ' hundred' END, CASE WHEN {n} % 100 > 0 THEN w[{n} % 100 + 1] END)"
+_WORDS_SQL = lambda n: f"""CASE WHEN {n} = 0 THEN w[1] ELSE concat_ws(' ', nullif(concat_ws(' ', nullif({_THREE_SQL(f"({n} // 1000000000)")}, '') || ' thousand', nullif({_THREE_SQL(f"({n} // 1000000 % 1000)")}, '')), '') || ' million',
+  nullif({_THREE_SQL(f"({n} // 1000 % 1000)")}, '') || ' thousand', nullif({_THREE_SQL(f"({n} % 1000)")}, '')) END"""
+NUMBER_SPELLING_SQL = f"""WITH o AS (SELECT o_orderkey, o_orderkey * o_custkey * 100003 % 1000000000000 AS n, CAST(o_totalprice AS DECIMAL(15,2)) AS price, {_HUNDRED_SQL} AS w FROM orders),
+p AS (SELECT *, CAST(floor(price) AS BIGINT) AS whole, rtrim(string_split(CAST(price AS VARCHAR), '.')[2], '0') AS tail FROM o)
+SELECT o_orderkey, {_WORDS_SQL("n")} AS words, o_orderkey || CASE WHEN o_orderkey % 100 IN (11, 12, 13) THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
+  {_WORDS_SQL("whole")} || CASE WHEN tail = '' THEN '' ELSE ' point ' || array_to_string(list_transform(string_split(tail, ''), lambda d: w[CAST(d AS INTEGER) + 1]), ' ') END AS price FROM p"""
+
+
+QUERIES = {n: globals()[n] for n in ("project_problems", "project_projection", "analysis_problems", "fresh_paragraphs", "response_problems", "source_scores", "review_scores", "full_gate", "number_spelling")}
 SQL = {n: globals()[n.upper() + "_SQL"] for n in QUERIES if n.upper() + "_SQL" in globals()}

@@ -1,6 +1,7 @@
 import pytest
 
-from bitloom.functions.numbers import check_line, decimal_words, mentions, ordinal, words
+from bitloom.functions import spelling
+from bitloom.functions.numbers import check_line, mentions, normalise, plain
 
 # Facts that pin the rule, as listed in FIXTURES.md.
 FIXED_PASSES = [("1300多万", "over 13 million"), ("2024年8月11日", "August 11, 2024"), ("第71位", "71st")]
@@ -33,12 +34,25 @@ def test_extra_digits(source, target, extra):
     assert check_line(source, target) == ([], extra)
 
 
-def test_words():
-    assert [words(n) for n in (0, 13, 21, 100, 101, 1300, 2_000_001)] == ["zero", "thirteen", "twenty-one", "one hundred", "one hundred one", "one thousand three hundred", "two million one"]
+def test_words(spark):
     from decimal import Decimal
 
-    assert decimal_words(Decimal("1.50")) == "one point five"
-    assert [ordinal(n) for n in (1, 2, 3, 4, 11, 12, 13, 20, 21, 102, 111)] == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "20th", "21st", "102nd", "111th"]
+    numbers = {0: "zero", 13: "thirteen", 21: "twenty-one", 90: "ninety", 100: "one hundred", 101: "one hundred one", 1300: "one thousand three hundred", 2_000_001: "two million one", 1_000_000_000: "one thousand million", 999_010_200_019: "nine hundred ninety-nine thousand ten million two hundred thousand nineteen", 10**12: None, -1: None}
+    d = spark.createDataFrame([(n,) for n in numbers], "n long")
+    assert [r[0] for r in d.select(spelling.words("n")).collect()] == list(numbers.values())
+    tens = {Decimal("1.50"): "one point five", Decimal("20.00"): "twenty", Decimal("0.07"): "zero point zero seven", Decimal("105.25"): "one hundred five point two five"}
+    d = spark.createDataFrame([(n,) for n in tens], "n decimal(9,2)")
+    assert [r[0] for r in d.select(spelling.decimal_words("n")).collect()] == list(tens.values())
+    places = ["1st", "2nd", "3rd", "4th", "10th", "11th", "12th", "13th", "14th", "20th", "21st", "102nd", "111th", "113th", "1023rd"]
+    d = spark.createDataFrame([(int(p[:-2]),) for p in places], "n long")
+    assert [r[0] for r in d.select(spelling.ordinal("n")).collect()] == places
+
+
+def test_texts_of_numbers():
+    from decimal import Decimal
+
+    assert [plain(Decimal(x)) for x in ("1.50", "100", "1E+3", "0.00", "1200.0")] == ["1.5", "100", "1000", "0", "1200"]
+    assert normalise("A 1,200,000 – 3,4, x,5 ,6 7,") == "a 1200000 - 34, x,5 ,6 7,"
 
 
 def test_source_numbers():
