@@ -22,6 +22,8 @@ Scale: documents stream through one narrow ``mapInArrow`` (no shuffle). Items ar
 of at most ``part_bytes`` (whole words, overlapping by a window less one word), equal parts are taken once, and
 parts are dealt into blocks of about ``block_bytes`` of text, so neither a long nor a repeated item makes a large
 block. With several blocks a worker loads one index after the other and passes ``_CHUNK`` bytes of documents by each.
+Beyond ``blocks_at_once`` blocks the documents are written once and read in a pass for each few blocks, whose broadcasts go
+before the next pass, so what is broadcast doesn't grow with the benchmark; occurrences of all passes are joined by row.
 """
 
 from __future__ import annotations
@@ -231,33 +233,39 @@ def _parts(window: int, part_bytes: int):
     return run
 
 
-def _scan(text_col: str, boxes: list):
-    """mapInArrow function; with several blocks each index is loaded once for each _CHUNK bytes of documents."""
-
-    def result(batch: pa.RecordBatch, n: int, at: np.ndarray, spans: list[list[int]], items: list[set[str]]) -> pa.RecordBatch:
-        hit = np.zeros(n, np.int64)
-        for j, s in enumerate(spans):
-            if s:
-                pairs = np.array(s, np.int64).reshape(-1, 2)
-                step = np.zeros(int(at[j + 1] - at[j]) + 1, np.int64)
-                np.add.at(step, pairs[:, 0], 1)
-                np.add.at(step, pairs[:, 0] + pairs[:, 1], -1)
-                hit[j] = np.count_nonzero(np.cumsum(step) > 0)
-        ids = [",".join(sorted(i)) for i in items]
-        columns = [
-            *batch.columns,
-            pa.array(np.diff(at), pa.int64()),
-            pa.array(hit, pa.int64()),
-            pa.array([len(i) for i in items], pa.int64()),
-            pa.array(ids, pa.string()),
-            pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids], pa.string()),
-            pa.array(hit > 0, pa.bool_()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(x for x, _ in RESULT)])
+class _Found:
+    """Occurrences in each row of one batch: word spans (first, number of words) and items."""
+
+    def __init__(self, rows: int):
+        self.spans: list[list[int]] = [[] for _ in range(rows)]
+        self.items: list[set[str]] = [set() for _ in range(rows)]
+
+
+def _hit_words(spans: list[int], words: int) -> int:
+    """Words within any of the spans."""
+    if not spans:
+        return 0
+    pairs = np.array(spans, np.int64).reshape(-1, 2)
+    step = np.zeros(words + 1, np.int64)
+    np.add.at(step, pairs[:, 0], 1)
+    np.add.at(step, pairs[:, 0] + pairs[:, 1], -1)
+    return int(np.count_nonzero(np.cumsum(step) > 0))
+
+
+def _columns(words: np.ndarray, spans: list[list[int]], items: list) -> list[pa.Array]:
+    hit = np.array([_hit_words(s, int(n)) for s, n in zip(spans, words, strict=True)], np.int64)
+    ids = [",".join(sorted(i)) for i in items]
+    return [
+        pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(ids, pa.string()),
+        pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids], pa.string()), pa.array(hit > 0, pa.bool_()),
+    ]
+
+
+def _search(text_col: str, boxes: list, result):
+    """mapInArrow function that yields ``result(batch, offsets of its words, found)``; with several blocks each index is loaded once for each _CHUNK bytes of documents."""
 
     def scan(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans: list[list[list[int]]] = [[[] for _ in range(b.num_rows)] for b in waiting]
-        items: list[list[set[str]]] = [[set() for _ in range(b.num_rows)] for b in waiting]
+        found = [_Found(b.num_rows) for b in waiting]
         counts: list[np.ndarray] = []
         for k, box in enumerate(boxes):
             matcher: Matcher = box.value
@@ -268,13 +276,13 @@ def _scan(text_col: str, boxes: list):
                 if not k:
                     counts.append(at)
                 for t, f, m, pattern in matcher.find(data, starts, ends, at):
-                    spans[j][t] += (f, m)
-                    items[j][t] |= matcher.items(pattern)
+                    found[j].spans[t] += (f, m)
+                    found[j].items[t] |= matcher.items(pattern)
             if len(boxes) > 1:
                 del matcher
                 box.__dict__.pop("_value", None)  # the next index takes its place in memory
-        for batch, at, s, i in zip(waiting, counts, spans, items, strict=True):
-            yield result(batch, batch.num_rows, at, s, i)
+        for batch, at, f in zip(waiting, counts, found, strict=True):
+            yield result(batch, at, f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -292,10 +300,41 @@ def _scan(text_col: str, boxes: list):
     return tidy(run)
 
 
+def _whole(batch: pa.RecordBatch, at: np.ndarray, found: _Found) -> pa.RecordBatch:
+    columns = _columns(np.diff(at), found.spans, found.items)
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(x for x, _ in RESULT)])
+
+
+HITS = "__row long, __spans array<int>, __items array<string>"
+
+
+def _hits(batch: pa.RecordBatch, at: np.ndarray, found: _Found) -> pa.RecordBatch:
+    """Only rows with occurrences, by their number."""
+    some = [i for i, s in enumerate(found.spans) if s]
+    rows = batch.column(batch.schema.get_field_index("__row")).take(pa.array(some, pa.int64()))
+    lists = pa.array([found.spans[i] for i in some], pa.list_(pa.int32())), pa.array([sorted(found.items[i]) for i in some], pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([rows, *lists], names=["__row", "__spans", "__items"])
+
+
+def _joined(text_col: str):
+    """The result of rows that carry what all passes found in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, text_col):
+                data, off = flat_text(batch.column(batch.schema.get_field_index(text_col)))
+                _, _, at = find_words(data, off, IS_WORD)
+                spans, items = ([x or [] for x in batch.column(batch.schema.get_field_index(n)).to_pylist()] for n in ("__spans", "__items"))
+                kept = [n for n in batch.schema.names if n not in ("__spans", "__items")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), *_columns(np.diff(at), spans, items)], names=[*kept, *(x for x, _ in RESULT)])
+
+    return tidy(run)
+
+
 RESULT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items", T.StringType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 16 << 20, part_bytes: int = 1 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 16 << 20, part_bytes: int = 1 << 20, blocks_at_once: int = 4) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items, items_sha256 and contaminated added.
 
     Existing columns with these names are replaced. Null and empty texts have no words and no
@@ -309,12 +348,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     parts = materialize(bench.mapInArrow(tidy(_parts(window, part_bytes)), "i string, t string").distinct(), "benchmark-parts")
     total = parts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    boxes = []
-    for b in range(blocks):
-        rows = parts.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # about block_bytes of text
-        boxes.append(spark.sparkContext.broadcast(Matcher([(r.i, r.t) for r in rows], window)))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in RESULT)])
-    return docs.mapInArrow(_scan(text_col, boxes), schema)
+
+    def box(b: int):
+        rows = parts.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # about block_bytes of text
+        return spark.sparkContext.broadcast(Matcher([(r.i, r.t) for r in rows], window))
+
+    if blocks <= blocks_at_once:
+        return docs.mapInArrow(_search(text_col, [box(b) for b in range(blocks)], _whole), schema)
+    # a pass for each few blocks: no more of the benchmark is broadcast at a time, and only what is found is kept
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = []
+    for first in range(0, blocks, blocks_at_once):
+        boxes = [box(b) for b in range(first, min(first + blocks_at_once, blocks))]
+        found.append(materialize(numbered.select("__row", text_col).mapInArrow(_search(text_col, boxes, _hits), HITS), "hits"))
+        for b in boxes:
+            b.destroy()
+    per_row = functools.reduce(DataFrame.unionByName, found).groupBy("__row").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+    return numbered.join(per_row, "__row", "left").drop("__row").mapInArrow(_joined(text_col), schema)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ only files named in the manifest, which is written by the same tasks, are read;
 lost attempt leaves no trace in the result. Reading streams a million ids at a time.
 
 Scale: one shuffle of the texts by range (ordered output needs it), then narrow. Ranges go by id,
-text hash and row number, so rows with one id or none, even equal ones, are split like others. The
-driver sees one manifest row per file.
+text hash and row number, so rows with one id or none, even equal ones, are split like others; there are as many as keep
+each at about ``range_bytes`` of text. The driver sees one manifest row per file.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def _write(path: str, uri: str, end_id: int, max_ids: int):
     return tidy(run)
 
 
-def write_token_files(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, max_ids: int = 1 << 25, tokenizer_path: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, max_ids: int = 1 << 25, range_bytes: int = 256 << 20, tokenizer_path: str | None = None) -> DataFrame:
     """Write ``docs`` below ``uri`` (a folder of the shared store) and return the manifest.
 
     Null ids come first; null and empty texts are one end id; very long texts are written whole; rows with one
@@ -173,7 +173,10 @@ def write_token_files(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the row number only splits equal rows, so it needn't be the same in another run
     keyed = slim.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    ordered = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "text")
+    # as many ranges as the texts need, since ranges are never split later
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // range_bytes))
+    ordered = keyed.repartitionByRange(ranges, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "text")
     return materialize(ordered.select("doc_id", "text").mapInArrow(_write(tokenizer_path or tokens.default_path(), uri, end_id, max_ids), MANIFEST), "manifest")
 
 

@@ -40,8 +40,8 @@ def test_whole_tables(spark):
     assert got == want and sum(r[5] for r in want) > 0
 
 
-@pytest.mark.parametrize(("block_bytes", "part_bytes"), [(1 << 20, 1 << 20), (60, 1 << 20), (60, 15)])
-def test_random_small_vocabulary(spark, block_bytes, part_bytes):
+@pytest.mark.parametrize(("block_bytes", "part_bytes", "at_once"), [(1 << 20, 1 << 20, 4), (60, 1 << 20, 1000), (60, 15, 1000), (200, 15, 2), (60, 1 << 20, 3)])
+def test_random_small_vocabulary(spark, block_bytes, part_bytes, at_once):
     """Many overlapping windows and short items; also with the benchmark cut into several passes."""
     rng = np.random.default_rng(5)
     words = ["aa", "B", "c1", "ü", "dd", "aa-b"]
@@ -50,7 +50,7 @@ def test_random_small_vocabulary(spark, block_bytes, part_bytes):
     items = [(i, text(int(n))) for i, n in enumerate([0, 1, 2, 3, 4, 5, 12, 14, 10])] + [(3, text(11)), (99, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate(df, b, window=4, block_bytes=block_bytes, part_bytes=part_bytes).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    got = decontaminate(df, b, window=4, block_bytes=block_bytes, part_bytes=part_bytes, blocks_at_once=at_once).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert sorted(map(tuple, got), key=repr) == brute(docs, items, 4)
 
 
@@ -61,6 +61,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert [(r.n_hit, r.items) for r in got if r.text and r.text.startswith("a b")] == [(10, "1")] * 4
     assert [r.contaminated for r in got if r.text in ("one", "One")] == [True, True]
     assert decontaminate(no_docs, b).count() == 0
+    passes = decontaminate(odd_docs, b, block_bytes=5, blocks_at_once=1)
+    assert sorted(map(repr, passes.collect())) == sorted(map(repr, got)) and decontaminate(no_docs, b, block_bytes=5, blocks_at_once=1).count() == 0
     assert {r.n_hit for r in decontaminate(odd_docs, b.where("false")).collect()} == {0}
 
 

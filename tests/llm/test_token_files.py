@@ -84,3 +84,14 @@ def test_one_id_for_all_rows(spark):
         found.append(sorted(map(tuple, TF.read_token_files(spark, uri, manifest).collect()), key=lambda r: r[1]))
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found[0] == found[1] and len(found[0]) == 600 and [r[0] for r in found[0]] == [None] * 200 + [7] * 400
+
+
+def test_ranges_by_bytes(spark):
+    """However few shuffle partitions there are, a range holds a bounded part of the text."""
+    d = spark.createDataFrame([(i, f"text of number {i} " * 40) for i in range(300)], "doc_id long, text string")
+    uri = fresh_path(spark, "t")
+    manifest = TF.write_token_files(d, uri, range_bytes=10_000)
+    files = manifest.collect()
+    assert len(files) > 12 and max(r.n_docs for r in files) < 60
+    got, want = check(TF.read_token_files(spark, uri, manifest).collect(), [(r.doc_id, r.text) for r in d.collect()])
+    assert got == want
