@@ -249,20 +249,20 @@ def find_in_order(paragraphs: DataFrame, prefixes: tuple[int, ...] = (80, 40, 25
     not found; a null body has no matches; repeated rows are each searched; a document without parts has no rows.
     """
     lengths = sorted(set(prefixes), reverse=True)
-    d = paragraphs.select("doc_id", F.coalesce("body", F.lit("")).alias("raw"), F.coalesce("parts", F.array().cast("array<string>")).alias("parts"))
-    d = d.withColumn("body", X.normalise_search("raw")).withColumn("needles", F.transform("parts", lambda p: X.normalise_search(F.coalesce(p, F.lit("")))))
-    for k, size in enumerate(_KEYS):
-        own = F.filter("needles", lambda n: (F.length(n) >= size) & (F.length(n) < (_KEYS[k - 1] if k else 1 << 31)))
+    raw = F.coalesce("body", F.lit(""))
+    needles = F.transform(F.coalesce("parts", F.array().cast("array<string>")), lambda p: X.normalise_search(F.coalesce(p, F.lit(""))))
+    empty = F.expr("cast(array() as array<struct<i: int, fits: int>>)")
+
+    def hits(row: Column, k: int) -> Column:
+        size = _KEYS[k]
+        own = F.filter(row["needles"], lambda n: (F.length(n) >= size) & (F.length(n) < (_KEYS[k - 1] if k else 1 << 31)))
         keys = F.array_distinct(F.transform(own, lambda n: F.xxhash64(F.substring(n, 1, size))))
-        d = d.withColumn(f"keys{k}", keys)
-    for k, size in enumerate(_KEYS):
-        d = d.withColumn(f"hits{k}", _hits(F.col("body"), F.col(f"keys{k}"), size))
+        return _let(keys, lambda known: _hits(row["body"], known, size))
 
-    def places(needle: Column) -> Column:
+    def places(needle: Column, row: Column) -> Column:
         """Structs (i, fits): how many characters of the part's start are at each place, of the lengths that count."""
-        def of(hits: str, size: int) -> Column:
-            mine = F.filter(hits, lambda x: x["h"] == F.xxhash64(F.substring(needle, 1, size)))
-            here = lambda x, n: F.substring(F.col("body"), x["i"] + 1, n) == F.substring(needle, F.lit(1), n)
+        def of(k: int) -> Column:
+            here = lambda x, n: F.substring(row["body"], x["i"] + 1, n) == F.substring(needle, F.lit(1), n)
 
             def longest(x: Column) -> Column:
                 out = F.when(here(x, F.length(needle)), F.length(needle))
@@ -270,15 +270,14 @@ def find_in_order(paragraphs: DataFrame, prefixes: tuple[int, ...] = (80, 40, 25
                     out = out.when((F.length(needle) > n) & here(x, F.lit(n)), F.lit(n))
                 return out
 
+            mine = _let(F.xxhash64(F.substring(needle, 1, _KEYS[k])), lambda h: F.filter(row[f"hits{k}"], lambda x: x["h"] == h))
             return F.filter(F.transform(mine, lambda x: F.struct(x["i"].alias("i"), longest(x).alias("fits"))), lambda x: x["fits"].isNotNull())
 
         size = F.length(needle)
-        out = F.when(size >= _KEYS[0], of("hits0", _KEYS[0]))
+        out = F.when(size >= _KEYS[0], of(0))
         for k in range(1, len(_KEYS)):
-            out = out.when(size >= _KEYS[k], of(f"hits{k}", _KEYS[k]))
-        return F.coalesce(out, F.expr("cast(array() as array<struct<i: int, fits: int>>)"))
-
-    found = F.transform("needles", lambda n: F.struct(F.length(n).alias("size"), places(n).alias("places")))
+            out = out.when(size >= _KEYS[k], of(k))
+        return F.coalesce(out, empty)
 
     def step(state: Column, part: Column) -> Column:
         ahead = F.filter(part["places"], lambda x: x["i"] >= state["cursor"])
@@ -289,20 +288,28 @@ def find_in_order(paragraphs: DataFrame, prefixes: tuple[int, ...] = (80, 40, 25
         ))
 
     start = F.struct(F.lit(0).alias("cursor"), F.expr("cast(array() as array<int>)").alias("at"))
-    d = d.withColumn("ats", F.aggregate(found, start, step, lambda s: s["at"]))
     # a place of the squeezed text is a number of words and a place in the next word
-    bare = F.ltrim("raw", F.lit(X.WHITE))
-    lead = F.length("raw") - F.length(bare)
+    bare = F.ltrim(raw, F.lit(X.WHITE))
+    lead = F.length(raw) - F.length(bare)
 
-    def original(at: Column, words: Column) -> Column:
-        before = F.substring(F.col("body"), F.lit(1), at)
+    def original(at: Column, row: Column, words: Column) -> Column:
+        before = F.substring(row["body"], F.lit(1), at)
         word = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
         own = F.regexp_replace(F.get(words, word), "(?U)\\s+$", "")
         inside = F.when(F.length(F.lower(own)) == F.length(own), F.length(F.substring_index(before, " ", -1))).otherwise(0)
         return F.aggregate(F.slice(words, F.lit(1), word), lead, lambda n, w: n + F.length(w)) + inside
 
-    mapped = _let(F.regexp_extract_all(bare, F.lit("(?U)\\S+\\s*"), F.lit(0)), lambda w: F.transform("ats", lambda a: F.when(a.isNotNull(), original(a, w))))
-    return d.select("doc_id", F.posexplode(mapped).alias("ord", "at")).select("doc_id", "ord", F.col("at").cast("long").alias("at"))
+    def chosen(row: Column) -> Column:
+        found = F.transform(row["needles"], lambda n: F.struct(F.length(n).alias("size"), places(n, row).alias("places")))
+        ats = F.aggregate(found, start, step, lambda s: s["at"])
+        words = F.regexp_extract_all(bare, F.lit("(?U)\\S+\\s*"), F.lit(0))
+        return _let(words, lambda w: F.transform(ats, lambda a: F.when(a.isNotNull(), original(a, row, w))))
+
+    # bound as variables, so that each is made once for a row and not once for each part
+    texts = F.struct(X.normalise_search(raw).alias("body"), needles.alias("needles"))
+    keyed = lambda row: F.struct(row["body"].alias("body"), row["needles"].alias("needles"), *(hits(row, k).alias(f"hits{k}") for k in range(len(_KEYS))))
+    at = _let(texts, lambda row: _let(keyed(row), chosen))
+    return paragraphs.select("doc_id", F.posexplode(at).alias("ord", "at")).select("doc_id", "ord", F.col("at").cast("long").alias("at"))
 
 
 def segments(found: DataFrame, bodies: DataFrame) -> DataFrame:
