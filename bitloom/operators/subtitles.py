@@ -54,8 +54,8 @@ def parse(files: DataFrame, vtt: bool = False) -> DataFrame:
     problem is null for a sound block.
     """
     text = F.regexp_replace(F.regexp_replace("file", "\\r\\n?", "\n"), "\\A\\x{FEFF}", "")
-    head = text.rlike("\\AWEBVTT[^\\n]*(?:\\n|\\z)")
-    body = F.regexp_replace(text, "\\AWEBVTT[^\\n]*\\n*", "") if vtt else text
+    head = text.startswith("WEBVTT\n")
+    body = F.regexp_replace(text, "\\AWEBVTT\\n+", "") if vtt else text
     blocks = F.filter(F.split(body, "\\n{2,}"), lambda b: ~is_blank(b))
     d = files.select("track", F.posexplode(blocks).alias("i", "b"), head.alias("head")).withColumn("l", F.filter(F.split("b", "\\n"), lambda x: ~is_blank(x)))
     at = 0 if vtt else 1
@@ -114,9 +114,51 @@ def from_map(segments: DataFrame, lines: DataFrame) -> DataFrame:
     return j.select("track", n.cast("int").alias("cue"), milliseconds("start").alias("start_ms"), milliseconds("end").alias("end_ms"), text.alias("text"))
 
 
-def map_problems(segments: DataFrame) -> DataFrame:
-    """track, id, problem of segments that end before they start, overlap, repeat an id or name no line."""
-    w = Window.partitionBy("track").orderBy("start", "id")
+def map_problems(segments: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """track, id, problem of segments, in the order given by ``ord`` (without it, by start), that have no sound times, end before they start, start before the one before them ends, repeat an id or name no line.
+
+    ``lines`` (track, n) has the number of lines of each source, beyond which there are none.
+    """
+    w = Window.partitionBy("track").orderBy(*(["ord"] if "ord" in segments.columns else ["start", "id"]))
     d = segments.withColumn("before", F.lag("end").over(w)).withColumn("same", F.count("*").over(Window.partitionBy("track", "id")))
-    problem = F.when(F.col("end") <= F.col("start"), "ends before it starts").when(F.col("start") < F.col("before"), "overlaps").when(F.col("same") > 1, "repeated id").when(F.col("source_line") < 1, "no line")
+    d = d.join(lines.select("track", "n"), "track", "left") if lines is not None else d.withColumn("n", F.lit(None).cast("long"))
+    sound = lambda c: F.coalesce((F.col(c) >= 0) & (F.col(c) < float("inf")) & ~F.isnan(c), F.lit(False))
+    problem = (
+        F.when(~sound("start") | ~sound("end"), "bad time").when(F.col("end") <= F.col("start"), "ends before it starts").when(F.col("start") < F.col("before"), "overlaps").when(F.col("same") > 1, "repeated id")
+        .when(F.coalesce(F.col("source_line") < 1, F.lit(True)) | F.coalesce(F.col("source_line") > F.col("n"), F.lit(False)), "no line")
+    )
     return d.withColumn("problem", problem).where("problem is not null").select("track", "id", "problem")
+
+
+# The files of a subtitled project.
+STEMS = ("source", "target", "bilingual")
+FILES = tuple(f"{stem}.{kind}" for kind in ("srt", "vtt") for stem in STEMS)
+
+
+def report(cues: DataFrame, expected: DataFrame) -> DataFrame:
+    """track, check, status: all checks of the six files of each track.
+
+    ``cues``: track, file, cue, start_ms, end_ms, text; ``expected``: track, n, the segments of its source map. Each file covers
+    all segments and is in order; all have one timing; each SRT file says what its VTT file says; lines are short and English is slow
+    enough to read. A file without cues covers nothing and is in order. One pass by (track, file) and one by (track, cue).
+    """
+    before = F.lag("end_ms").over(Window.partitionBy("track", "file").orderBy("cue"))
+    english = F.col("file") == "target.srt"
+    lines = lambda limit: F.forall(split_lines("text"), lambda x: F.length(x) <= limit)
+    d = cues.withColumn("in_order", (F.col("end_ms") > F.col("start_ms")) & (F.col("start_ms") >= F.coalesce(before, F.col("start_ms"))))
+    slow = F.coalesce(characters_per_second(F.col("text"), F.col("start_ms"), F.col("end_ms")) <= MAX_CPS, F.lit(False))
+    of = lambda f: F.col("file") == f
+    every = lambda which, ok: F.coalesce(F.bool_and(F.when(which, ok)), F.lit(True))
+    sums = [F.count_if(of(f)).alias(f"{f}:n") for f in FILES] + [every(of(f), F.col("in_order")).alias(f"{f}:timing") for f in FILES]
+    own = d.groupBy("track").agg(*sums, every(of("source.srt"), lines(MAX_CHINESE_LINE)).alias("chinese_line_length"), every(english, lines(MAX_ENGLISH_LINE)).alias("english_line_length"), every(english, slow).alias("english_reading_speed"))
+    when = F.struct("start_ms", "end_ms")
+    whole = F.struct("start_ms", "end_ms", "text")
+    mirrored = [(F.count_if(F.col("file").startswith(f"{s}.")) % 2 == 0) & (F.count_distinct(F.when(F.col("file").startswith(f"{s}."), whole)) <= 1) for s in STEMS]
+    cue = cues.groupBy("track", "cue").agg(((F.count("*") == len(FILES)) & (F.count_distinct(when) == 1)).alias("aligned"), (mirrored[0] & mirrored[1] & mirrored[2]).alias("mirrored"))
+    both = cue.groupBy("track").agg(F.bool_and("aligned").alias("bilingual_timing_alignment"), F.bool_and("mirrored").alias("srt_vtt_content_alignment"))
+    j = expected.join(own, "track", "left").join(both, "track", "left")
+    covers = {f"{f}:coverage": F.coalesce(F.col(f"`{f}:n`"), F.lit(0)) == F.col("n") for f in FILES}
+    rest = [*(f"{f}:timing" for f in FILES), "bilingual_timing_alignment", "srt_vtt_content_alignment", "chinese_line_length", "english_line_length", "english_reading_speed"]
+    found = [*covers.items(), *((n, F.coalesce(F.col(f"`{n}`"), F.lit(True))) for n in rest)]
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.when(ok, "PASS").otherwise("FAIL").alias("status")) for n, ok in found))).alias("r")
+    return j.select("track", rows).select("track", "r.check", "r.status")

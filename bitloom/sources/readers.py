@@ -133,8 +133,9 @@ def project_json(texts: DataFrame, required: tuple[str, ...], allowed: tuple[str
 
 
 def source_map_json(texts: DataFrame) -> DataFrame:
-    """track (the path), id, start, end, source_line of source maps."""
-    return texts.select("path", F.inline(F.from_json("text", S.SOURCE_MAP)["segments"])).withColumnRenamed("path", "track")
+    """track (the path), ord, id, start, end, source_line of source maps."""
+    d = texts.select(F.col("path").alias("track"), F.posexplode(F.from_json("text", S.SOURCE_MAP)["segments"]).alias("ord", "s"))
+    return d.select("track", "ord", "s.*")
 
 
 def sheet_csv(spark: SparkSession, path: str) -> DataFrame:
