@@ -191,12 +191,15 @@ def terminology(docs: DataFrame, policy: DataFrame, strict: bool = False) -> Dat
     fails a term and nothing else of it is looked at; a term awaiting a decision is unresolved; no
     rendering fails; too few warn, or fail in strict runs below 99 %. Documents without a term skip.
     """
-    text = docs.select("doc_id", F.array_join("src", "\n").alias("text"))
-    n = occurrences(text, policy.select(F.col("source").alias("term")))
+    # terms belong to a source text, so rows with one doc_id, or none, stay apart, and equal texts share theirs
+    joined = F.coalesce(F.array_join("src", "\n"), F.lit(""))
+    keyed = docs.withColumn("key", F.sha2(joined, 256))
+    found = occurrences(keyed.select(F.col("key").alias("doc_id"), joined.alias("text")), policy.select(F.col("source").alias("term")))
+    n = found.select(F.col("doc_id").alias("key"), "term", "n").dropDuplicates(["key", "term"])
     # patterns are made once for each term, before it meets documents
     ready = policy.select(F.col("source").alias("term"), ranked_patterns(F.col("renderings")).alias("good"), ranked_patterns(F.col("forbidden")).alias("bad"), "needs_human")
-    met = n.join(ready, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "n", "good", "bad", "needs_human"))).alias("terms"))
-    whole = docs.select("doc_id", F.lower(F.array_join("tgt", " ")).alias("target")).join(met, "doc_id", "left")
+    met = n.join(ready, "term").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "n", "good", "bad", "needs_human"))).alias("terms"))
+    whole = keyed.select("doc_id", "key", F.lower(F.array_join("tgt", " ")).alias("target")).join(met, "key", "left")
     target = F.coalesce("target", F.lit(""))
     judged = F.transform("terms", lambda t: F.struct(
         t["term"].alias("term"), t["n"].alias("n"), t["needs_human"].alias("open"), renderings_in(target, t["good"]).alias("hits"),

@@ -125,3 +125,12 @@ def test_term_table_file_unreadable_or_empty(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.row_id, r.problem) for r in read.orderBy("path").collect()] == [("broken.db", None, "unreadable"), ("other.db", None, "unreadable")]
     assert readers.term_table_sqlite(spark, str(tmp_path / "other.db"), table="words").count() == 0
     assert readers.term_table_sqlite(spark, str(tmp_path / "other.db"), table='a "b').count() == 0
+
+
+def test_repeated_ids_stay_apart(spark):
+    """Rows with one doc_id, or none, have their own terms."""
+    rows = [(1, ["止 观"], ["calm and insight"]), (1, ["观"], ["nothing"]), (None, ["止"], ["calm"]), (None, ["止"], ["x"]), (2, ["无"], ["x"]), (3, None, None)]
+    d = spark.createDataFrame(rows, "doc_id int, src array<string>, tgt array<string>")
+    p = spark.createDataFrame([("止", ["calm"], [], False), ("观", ["insight"], [], False)], "source string, renderings array<string>, forbidden array<string>, needs_human boolean")
+    got = sorted(((r.doc_id, r.status, r.checked, r.failed) for r in terms.terminology(d, p).collect()), key=repr)
+    assert got == sorted([(1, "PASS", 2, ""), (1, "FAIL", 1, "观"), (None, "PASS", 1, ""), (None, "FAIL", 1, "止"), (2, "SKIP", 0, ""), (3, "SKIP", 0, "")], key=repr)
