@@ -224,6 +224,8 @@ def mixed_pairs(docs: DataFrame) -> DataFrame:
 #: Lengths of the beginnings that places are looked up by: a part has the longest that it reaches.
 _KEYS = (25, 8, 1)
 _BUCKETS = 256
+#: A row of more parts than this has its places hashed once; up to it, each part is simply looked for, which is cheaper.
+_MANY = 1000
 
 
 def _hits(body: Column, keys: Column, size: int) -> Column:
@@ -244,9 +246,10 @@ def find_in_order(paragraphs: DataFrame, prefixes: tuple[int, ...] = (80, 40, 25
     length, ``least_step`` at least. ``at`` counts characters of ``body`` as it is: of the first one of the word that the
     match begins in, if lower case changes that word's length.
 
-    All in the row, without a shuffle: one pass hashes the characters at each place and keeps places that begin like some
-    part, equality is tested at these alone, and one ordered ``aggregate`` over the parts chooses. Null and empty parts are
-    not found; a null body has no matches; repeated rows are each searched; a document without parts has no rows.
+    All in the row, without a shuffle: one ordered ``aggregate`` over the parts looks each up from the cursor on. Where
+    there are over ``_MANY`` parts, which would take the body so many times, one pass hashes the characters at each place
+    and keeps places that begin like some part, and equality is tested at these alone. Null and empty parts are not found;
+    a null body has no matches; repeated rows are each searched; a document without parts has no rows.
     """
     lengths = sorted(set(prefixes), reverse=True)
     raw = F.coalesce("body", F.lit(""))
@@ -291,25 +294,50 @@ def find_in_order(paragraphs: DataFrame, prefixes: tuple[int, ...] = (80, 40, 25
     # a place of the squeezed text is a number of words and a place in the next word
     bare = F.ltrim(raw, F.lit(X.WHITE))
     lead = F.length(raw) - F.length(bare)
+    # as long as ``bare``, with NULs for a run of white space and a space for its end, so that a word starts after as many spaces
+    spaced = F.regexp_replace(F.regexp_replace(bare, "(?U)\\s(?=\\s)", "\0"), "(?U)\\s", " ")
+
+    def original(at: Column, row: Column) -> Column:
+        def place(x: Column) -> Column:
+            upto = lambda n: F.call_function("substring_index", row["spaced"], F.lit(" "), n)
+            begin = F.when(x["word"] > 0, F.length(upto(x["word"])) + 1).otherwise(0)
+
+            def inside(b: Column) -> Column:
+                own = F.substring(upto(x["word"] + 1), b + 1, F.length(row["spaced"]))
+                return b + F.when(F.length(F.lower(own)) == F.length(own), F.length(F.substring_index(x["before"], " ", -1))).otherwise(0)
+
+            return row["lead"] + _let(begin, inside)
 
-    def original(at: Column, row: Column, words: Column) -> Column:
         before = F.substring(row["body"], F.lit(1), at)
-        word = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
-        own = F.regexp_replace(F.get(words, word), "(?U)\\s+$", "")
-        inside = F.when(F.length(F.lower(own)) == F.length(own), F.length(F.substring_index(before, " ", -1))).otherwise(0)
-        return F.aggregate(F.slice(words, F.lit(1), word), lead, lambda n, w: n + F.length(w)) + inside
+        spaces = lambda b: F.length(b) - F.length(F.replace(b, F.lit(" "), F.lit("")))
+        return _let(_let(before, lambda b: F.struct(b.alias("before"), spaces(b).alias("word"))), place)
 
-    def chosen(row: Column) -> Column:
+    def by_places(row: Column) -> Column:
         found = F.transform(row["needles"], lambda n: F.struct(F.length(n).alias("size"), places(n, row).alias("places")))
-        ats = F.aggregate(found, start, step, lambda s: s["at"])
-        words = F.regexp_extract_all(bare, F.lit("(?U)\\S+\\s*"), F.lit(0))
-        return _let(words, lambda w: F.transform(ats, lambda a: F.when(a.isNotNull(), original(a, row, w))))
+        return F.aggregate(found, start, step, lambda s: s["at"])
+
+    def by_search(row: Column) -> Column:
+        def one(state: Column, needle: Column) -> Column:
+            size = F.length(needle)
+            of = lambda piece: _let(F.position(piece, row["body"], state["cursor"] + 1), lambda p: F.when(p > 0, p - 1))
+            at = F.when(size > 0, F.coalesce(of(needle), *(F.when(size > n, of(F.substring(needle, 1, n))) for n in lengths)))
+            return _let(at, lambda a: F.struct(
+                F.when(a.isNull(), state["cursor"]).otherwise(a + F.greatest(size, F.lit(least_step))).alias("cursor"), F.array_append(state["at"], a).alias("at"),
+            ))
+
+        return F.aggregate(row["needles"], start, one, lambda s: s["at"])
 
     # bound as variables, so that each is made once for a row and not once for each part
-    texts = F.struct(X.normalise_search(raw).alias("body"), needles.alias("needles"))
+    texts = F.struct(X.normalise_search(raw).alias("body"), needles.alias("needles"), spaced.alias("spaced"), lead.alias("lead"), F.length(X.strip(raw)).alias("size"))
     keyed = lambda row: F.struct(row["body"].alias("body"), row["needles"].alias("needles"), *(hits(row, k).alias(f"hits{k}") for k in range(len(_KEYS))))
-    at = _let(texts, lambda row: _let(keyed(row), chosen))
-    return paragraphs.select("doc_id", F.posexplode(at).alias("ord", "at")).select("doc_id", "ord", F.col("at").cast("long").alias("at"))
+    chosen = lambda row: F.when(F.size(row["needles"]) > _MANY, _let(keyed(row), by_places)).otherwise(by_search(row))
+    # words only grow by lower case and white space only shrinks, to one character; so with the same length nothing has moved
+    # (a text in which both happen may have it, too, so white space is compared by itself)
+    still = lambda row: (F.length(row["body"]) == row["size"]) & ~F.contains(row["spaced"], F.lit("\0"))
+    moved = lambda row, ats: F.transform(ats, lambda a: F.when(a.isNotNull(), original(a, row)))
+    at = _let(texts, lambda row: _let(chosen(row), lambda ats: F.when(still(row), F.transform(ats, lambda a: row["lead"] + a)).otherwise(moved(row, ats))))
+    # the outer form, since Spark filters by the other's array first, which searches each row once more
+    return paragraphs.select("doc_id", F.posexplode_outer(at).alias("ord", "at")).where("ord is not null").select("doc_id", "ord", F.col("at").cast("long").alias("at"))
 
 
 def segments(found: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -85,3 +85,15 @@ def test_query(spark):
     got = oracle.rows(Q.sequential_matches(spark, oracle.SF))
     assert got == oracle.expected(Q.SEQUENTIAL_MATCHES_SQL)
     assert len({r[got[0].index("found")] for r in got[1]}) > 1
+
+
+def test_few_and_many_parts_agree(spark, monkeypatch):
+    """Parts looked for one by one give what the hashed places give, also where white space or lower case moves places."""
+    r = random.Random(7)
+    docs = [document(r) for _ in range(80)] + [(b.replace(" ", r.choice(["\t", "  ", " \0"])).replace("é", "İ"), p) for b, p in (document(r) for _ in range(40))]
+    d = spark.createDataFrame([(i, b, p) for i, (b, p) in enumerate(docs)], "doc_id int, body string, parts array<string>")
+    found = []
+    for many in (1000, 0):
+        monkeypatch.setattr(alignment, "_MANY", many)
+        found.append(sorted(map(tuple, alignment.find_in_order(d, least_step=1).collect()), key=repr))
+    assert found[0] == found[1] and sum(x[2] is not None for x in found[0]) > 100
