@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom.functions import json_schema as J, variant_schema as V
 from bitloom.plans import analysis_queries as Q
@@ -111,3 +112,11 @@ def test_no_python(spark):
 def test_queries(spark, name):
     got = oracle.rows(Q.QUERIES[name](spark, oracle.SF))
     assert got == oracle.expected(Q.SQL[name]) and len(got[1]) > 1
+
+
+def test_checks_of_one_partition_are_dealt_out(spark):
+    """A small file is one partition, whose texts would all be checked by one task."""
+    d = spark.createDataFrame([(i, '{"a": 1}') for i in range(400)], "k int, t string").coalesce(1)
+    checked = J.validate(d, "t", {"type": "object", "required": ["b"]})
+    sizes = checked.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(x[1] for x in sizes) <= 150 and checked.where("problem is null").count() == 0
