@@ -38,6 +38,8 @@ _WORD[[9, 32]] = False
 
 #: Words or keys that a task gathers before it adds them up.
 HELD = 1 << 21
+#: Words that a trie is grown from: its paths of all depths are in memory at once.
+GROWN = 1 << 20
 #: Paths gathered for a range before they are merged.
 MERGED = 1 << 21
 WORDS_PER_RANGE, LEAST_RANGES = 1 << 20, 128
@@ -214,10 +216,10 @@ class Trie:
 
     def paths(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows (language, words, -1 where a path is shorter) of all paths of two words or more, and their counts."""
-        above = np.zeros((0, 0), np.int64)
+        above = np.zeros((0, 0), np.int32)
         out, counts = [], []
         for d, (parent, word, n) in enumerate(self.levels):
-            rows = np.full((len(word), depth + 1), -1, np.int64)
+            rows = np.full((len(word), depth + 1), -1, np.int32)
             rows[:, : d + 1] = above[parent, : d + 1] if d else parent[:, None]
             rows[:, d + 1] = word
             above = rows
@@ -284,7 +286,7 @@ def _grow(words: Broadcast, pairs: Broadcast, ranges: int, depth: int):
                 of = lambda k: hashed[rows[:, 0], rows[:, k]]
             else:
                 both, at = np.unique(lang * len(texts) + word, return_index=True)
-                of = lambda k: key[at[np.searchsorted(both, rows[:, 0] * len(texts) + np.maximum(rows[:, k], 0)) % len(at)]]
+                of = lambda k: key[at[np.searchsorted(both, rows[:, 0].astype(np.int64) * len(texts) + np.maximum(rows[:, k], 0)) % len(at)]]
             prefix = pair_keys(of(1), of(2))
             prefix = np.where(rows[:, 3] >= 0, pair_keys(prefix, of(3)), prefix) if depth > 2 else prefix
             yield from _blocks(rows, counts, (prefix % np.uint64(ranges)).astype(np.int64), langs, texts)
@@ -300,7 +302,7 @@ def _grow(words: Broadcast, pairs: Broadcast, ranges: int, depth: int):
             used, word = np.unique(s.word[kept], return_inverse=True)
             held.append((s.langs.cast(pa.binary()), s.words.take(pa.array(used)), s.lang[kept], word, s.key[kept], ~linked[kept]))
             size += len(kept)
-            if size > HELD:
+            if size > GROWN:
                 yield from out()
                 held, size = [], 0
         if held:

@@ -123,3 +123,11 @@ def test_exact_products(spark):
 def test_slice():
     s = P.Slice(pa.array(["en", "en"]), pa.array(["A b. c  d", "e"]))
     assert [s.words[i].as_py() for i in s.word] == [b"a", b"b", b"c", b"d", b"e"] and s.follows.tolist() == [False, True, False, True, False]
+
+
+def test_paths_take_four_bytes_a_word():
+    """All paths of a trie are in memory at once, so their numbers are 32-bit ones, and few words are grown into one trie."""
+    zero = np.zeros(4, np.int64)
+    rows, counts = P.Trie(zero, np.array([0, 1, 0, 1]), np.array([4, 3, 2, 1]), 3).paths(3)
+    assert rows.dtype == np.int32 and P.GROWN < P.HELD
+    assert sorted(map(tuple, np.column_stack([rows, counts]).tolist())) == [(0, 0, 1, -1, 2), (0, 0, 1, 0, 1), (0, 1, 0, -1, 1), (0, 1, 0, 1, 1)]
